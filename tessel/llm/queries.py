@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import byte_bpe, packing, token_files
+from tessel.llm import byte_bpe, jpeg, packing, token_files
 from tessel.llm.common import public_tokenizer, read_documents, scratch
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.from_media(jpeg.to_media(read_documents(spark, sf_dir)))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_documents(spark, sf_dir), public_tokenizer(WORD_BPE), end_id=1, capacity=4096)
 
@@ -33,6 +37,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_media_columns": op3_media_columns,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_token_files": op9_token_files,
     "op10_byte_bpe": op10_byte_bpe,

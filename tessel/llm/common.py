@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import tempfile
 import uuid
+from array import array
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_root: dict[str, str] = {}
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+_ENDED = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]").fullmatch
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -59,41 +65,74 @@ def public_tokenizer(name: str) -> str:
 class WordMemo:
     """Ids of whole texts by the ``tokenizers`` library, one call per new word.
 
-    The pattern of a word-level BPE never matches across blanks, so the ids of a text are those of
-    its blank-separated pieces in order. Pieces are encoded by the library once and remembered, as
-    at most ``room`` short ones; the memo starts anew when it is full. Only the four ASCII blanks
-    separate, because for others (U+001C, say) the library's own rules may differ.
+    The pattern of a lower-casing word-level BPE never matches across blanks, so the ids of a text
+    are those of its blank-separated words in order. The library encodes a word once; then it is
+    remembered in one of two generations of ``room`` words: when the younger is full it becomes the
+    older, and words met again move up. Only the four ASCII blanks separate, because for
+    others (U+001C, say) the library's own rules may differ. Before it goes to the library, a word
+    in ASCII or Latin-1 letters is lower-cased, and a full stop or comma behind a letter or digit is
+    taken off, as the library does both itself; words with ``<|`` are left alone, for special tokens
+    are told by case. Words of letters alone go to the same model without its normalisers and
+    pattern, which have nothing to do on them.
     """
 
-    def __init__(self, path: str, room: int = 400_000):
+    def __init__(self, path: str, room: int = 350_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.room = Tokenizer.from_file(path), room
-        self.known: dict[str, bytes] = {"": b""}
+        self.young: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+        self.ends = {x: self.library([x])[0] for x in ".,"}
+        parts = json.loads(self.tokenizer.to_str())
+        kinds = [x["type"] for k in ("normalizer", "pre_tokenizer") for x in (parts[k] or {}).get("normalizers", (parts[k] or {}).get("pretokenizers", []))]
+        if kinds != ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"]:
+            raise ValueError("the memo needs a lower-casing word-level vocabulary")
+        blank = {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}
+        parts |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [blank, parts["pre_tokenizer"]["pretokenizers"][1]]}, "added_tokens": []}
+        self.bare = Tokenizer.from_str(json.dumps(parts))
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last[[i for x, i in parts["model"]["vocab"].items() if x.endswith(parts["model"]["end_of_word_suffix"])]] = True
+
+    def library(self, words: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def letters(self, words: list[str]) -> list[bytes]:
+        """Ids of lower-case words of letters; the last token of each is one that ends words."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 20_000):
+            ids = np.array(self.bare.encode(" ".join(words[at : at + 20_000]), add_special_tokens=False).ids, "<u4")
+            ends, raw, begin = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist(), ids.tobytes(), 0
+            for end in ends:
+                out.append(raw[begin:end])
+                begin = end
+        return out
+
+    def learn(self, words: set[str]) -> None:
+        """Have all of ``words`` among the young."""
+        young, old = self.young, self.old
+        met = old.keys() & words
+        young.update(zip(met, map(old.__getitem__, met), strict=True))
+        new = [*(words - met)]
+        letters = [x for x in new if _LETTERS(x)]
+        young.update(zip(letters, self.letters("\n".join(letters).lower().split("\n")), strict=True)) if letters else None
+        ended = [x for x in new if _ENDED(x)]
+        stems = [x[:-1] for x in ended if x[:-1] not in young and x[:-1] not in old]
+        found = dict(zip(stems, self.letters([x.lower() for x in stems]), strict=True))
+        for word in ended:
+            stem = word[:-1]
+            young[word] = (young.get(stem) or old.get(stem) or found[stem]) + self.ends[word[-1]]
+        rest = [x for x in new if x not in young]
+        young.update(zip(rest, self.library(rest), strict=True))
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        import numpy as np
-
         split = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in batch]
-        new: set[str] = set()
-        for words in split:
-            new.update(words)
-        new.difference_update(self.known)
-        if len(self.known) + len(new) > self.room:
-            self.known = {"": b""}
-            new = set().union(*split) - {""}
-        todo = list(new)
-        known = self.known
-        for at in range(0, len(todo), 20_000):
-            part = todo[at : at + 20_000]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[word] = np.array(got.ids, "<u4").tobytes()
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
-        if len(known) > self.room or any(len(w) > 200 for w in todo):
-            self.known = {w: i for w, i in known.items() if len(w) <= 200} if len(known) <= self.room else {"": b""}
-        return out
+        words = set().union(*split)
+        if len(self.young) > self.room:
+            self.young, self.old = {"": b""}, {w: i for w, i in self.young.items() if len(w) < 100}
+        self.learn(words.difference(self.young))
+        return [b"".join(map(self.young.__getitem__, words)) for words in split]
 
 
 _memos: dict[str, WordMemo] = {}

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 
 from tessel.llm.common import portions, texts
 
-BYTES_A_QUERY, WORDS_KEPT, LONG = 1 << 20, 500_000, 64
+BYTES_A_QUERY, WORDS_KEPT, LONG = 1 << 20, 300_000, 64
 
 #: A word takes part while a pair of it merges; pos is where a token begins, so it only thins out.
 ENCODE = """
@@ -95,7 +95,9 @@ class ByteBpe:
         import regex
 
         ranks = read_ranks(path)
-        self.find, self.known = regex.compile(pattern).findall, {}
+        self.known: dict[str, bytes] = {}
+        self.find = regex.compile(pattern).findall
+        self.old: dict[str, bytes] = {}
         self.single = np.array([ranks[bytes([b])] for b in range(256)])
         pairs = [(ranks[k[:i]], ranks[k[i:]], r) for k, r in ranks.items() for i in range(1, len(k)) if k[:i] in ranks and k[i:] in ranks]
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": os.path.join(os.environ.get("TMPDIR", "/tmp"), f"bpe-{os.getpid()}")})
@@ -122,10 +124,12 @@ class ByteBpe:
     def encode(self, batch: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
         split = [self.find(x) for x in batch]
-        if len(self.known) > WORDS_KEPT:
-            self.known = {}
-        todo = [*set().union(*split).difference(self.known)]
-        todo = [w.encode() for w in todo]
+        if len(self.known) > WORDS_KEPT:  # the younger generation becomes the older
+            self.known, self.old = {}, self.known
+        todo = set().union(*split).difference(self.known)
+        met = self.old.keys() & todo
+        self.known.update(zip(met, map(self.old.__getitem__, met), strict=True))
+        todo = [w.encode() for w in todo - met]
         short = sum(len(w) <= LONG for w in todo)
         todo.sort(key=len)
         for part in [*_portions(todo[:short]), *_portions(todo[short:])]:

@@ -7,15 +7,16 @@ import os
 import re
 import tempfile
 import uuid
-from array import array
+from itertools import chain, repeat
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_root: dict[str, str] = {}
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
-_ENDED = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]").fullmatch
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -63,27 +64,26 @@ def public_tokenizer(name: str) -> str:
 
 
 class WordMemo:
-    """Ids of whole texts by the ``tokenizers`` library, one call per new word.
+    """Ids of whole texts by the ``tokenizers`` library, which sees each new word once.
 
     The pattern of a lower-casing word-level BPE never matches across blanks, so the ids of a text
-    are those of its blank-separated words in order. The library encodes a word once; then it is
-    remembered in one of two generations of ``room`` words: when the younger is full it becomes the
-    older, and words met again move up. Only the four ASCII blanks separate, because for
-    others (U+001C, say) the library's own rules may differ. Before it goes to the library, a word
-    in ASCII or Latin-1 letters is lower-cased, and a full stop or comma behind a letter or digit is
-    taken off, as the library does both itself; words with ``<|`` are left alone, for special tokens
-    are told by case. Words of letters alone go to the same model without its normalisers and
-    pattern, which have nothing to do on them.
+    are those of its blank-separated words in order. Numpy finds the words of a column of texts, a
+    64-bit polynomial hash (with the length) names each, and ids of known words are gathered by
+    name. Only the four ASCII blanks separate, because for others (U+001C, say) the library's own
+    rules may differ. As the library does both itself, ASCII letters are lower-cased first, unless
+    ``<|`` occurs (special tokens are told by case), and a full stop or comma between an ASCII
+    letter or digit and a blank is a word of its own. New words of Latin-1 letters go to the same
+    model without its normalisers and pattern, which have nothing to do on them. The memo starts
+    anew when it has ``room`` words.
     """
 
-    def __init__(self, path: str, room: int = 350_000):
+    _BASE = 0x9E3779B97F4A7C15 | 1
+
+    def __init__(self, path: str, room: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.room = Tokenizer.from_file(path), room
-        self.young: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
-        self.ends = {x: self.library([x])[0] for x in ".,"}
         parts = json.loads(self.tokenizer.to_str())
         kinds = [x["type"] for k in ("normalizer", "pre_tokenizer") for x in (parts[k] or {}).get("normalizers", (parts[k] or {}).get("pretokenizers", []))]
         if kinds != ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"]:
@@ -93,46 +93,95 @@ class WordMemo:
         self.bare = Tokenizer.from_str(json.dumps(parts))
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.last[[i for x, i in parts["model"]["vocab"].items() if x.endswith(parts["model"]["end_of_word_suffix"])]] = True
-
-    def library(self, words: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def letters(self, words: list[str]) -> list[bytes]:
-        """Ids of lower-case words of letters; the last token of each is one that ends words."""
-        out: list[bytes] = []
-        for at in range(0, len(words), 20_000):
-            ids = np.array(self.bare.encode(" ".join(words[at : at + 20_000]), add_special_tokens=False).ids, "<u4")
-            ends, raw, begin = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist(), ids.tobytes(), 0
-            for end in ends:
-                out.append(raw[begin:end])
-                begin = end
-        return out
-
-    def learn(self, words: set[str]) -> None:
-        """Have all of ``words`` among the young."""
-        young, old = self.young, self.old
-        met = old.keys() & words
-        young.update(zip(met, map(old.__getitem__, met), strict=True))
-        new = [*(words - met)]
-        letters = [x for x in new if _LETTERS(x)]
-        young.update(zip(letters, self.letters("\n".join(letters).lower().split("\n")), strict=True)) if letters else None
-        ended = [x for x in new if _ENDED(x)]
-        stems = [x[:-1] for x in ended if x[:-1] not in young and x[:-1] not in old]
-        found = dict(zip(stems, self.letters([x.lower() for x in stems]), strict=True))
-        for word in ended:
-            stem = word[:-1]
-            young[word] = (young.get(stem) or old.get(stem) or found[stem]) + self.ends[word[-1]]
-        rest = [x for x in new if x not in young]
-        young.update(zip(rest, self.library(rest), strict=True))
-
-    def encode(self, batch: list[str]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers."""
-        split = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in batch]
-        words = set().union(*split)
-        if len(self.young) > self.room:
-            self.young, self.old = {"": b""}, {w: i for w, i in self.young.items() if len(w) < 100}
-        self.learn(words.difference(self.young))
-        return [b"".join(map(self.young.__getitem__, words)) for words in split]
+        self.small = np.array([c + 32 if 65 <= c < 91 else c for c in range(256)], np.uint8)
+        self.kind = np.array([0 if chr(c) in " \t\n\r" else 1 if chr(c).isalnum() and c < 128 else 2 if chr(c) in ".," else 3 for c in range(256)], np.uint8)
+        self.power = self.inverse = np.ones(1, np.uint64)
+        self.forget()
+
+    def forget(self) -> None:
+        self.slot: dict[int, int] = {}
+        self.begin, self.size, self.ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32)
+        self.used = 0
+
+    def powers(self, n: int) -> None:
+        if len(self.power) < n:
+            for name, base in (("power", self._BASE), ("inverse", pow(self._BASE, -1, 1 << 64))):
+                all_ = np.full(n, base, np.uint64)
+                all_[0] = 1
+                setattr(self, name, np.cumprod(all_, dtype=np.uint64))
+
+    def learn(self, names: list[int], words: list[str]) -> None:
+        """Append the ids of new words to the memo."""
+        letters = [k for k, x in enumerate(words) if _LETTERS(x)]
+        sizes, ids = np.zeros(len(words), np.int32), []
+        order = [*letters, *sorted(set(range(len(words))).difference(letters))]
+        for at in range(0, len(letters), 20_000):
+            part = letters[at : at + 20_000]
+            got = np.array(self.bare.encode(" ".join([words[k] for k in part]).lower(), add_special_tokens=False).ids, np.uint32)
+            sizes[at : at + len(part)] = np.diff(np.flatnonzero(self.last[got]), prepend=-1)
+            ids.append(got)
+        rest = [words[k] for k in order[len(letters) :]]
+        for at in range(0, len(rest), 20_000):
+            got = [x.ids for x in self.tokenizer.encode_batch_fast(rest[at : at + 20_000], add_special_tokens=False)]
+            sizes[len(letters) + at : len(letters) + at + len(got)] = [*map(len, got)]
+            ids.append(np.fromiter(chain.from_iterable(got), np.uint32))
+        ids = np.concatenate(ids)
+        first = len(self.slot)
+        while len(self.begin) < first + len(words):
+            self.begin, self.size = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.size, 2 * len(self.size))
+        while len(self.ids) < self.used + len(ids):
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        self.begin[first : first + len(words)] = self.used + np.cumsum(sizes) - sizes
+        self.size[first : first + len(words)] = sizes
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.slot.update(zip([names[k] for k in order], range(first, first + len(words)), strict=True))
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids (unsigned 32-bit) of an Arrow column of texts, and where those of each text end."""
+        wide = np.int64 if pa.types.is_large_string(column.type) else np.int32
+        offsets = np.frombuffer(column.buffers()[1], wide)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        data = column.buffers()[2].slice(offsets[0], offsets[-1] - offsets[0]) if len(column) and column.buffers()[2] else pa.py_buffer(b"")
+        offsets = offsets - offsets[:1]
+        raw = np.frombuffer(data, np.uint8)
+        if not len(raw):
+            return np.zeros(0, np.uint32), np.zeros(len(column), np.int64)
+        text = data.to_pybytes()
+        if b"<|" not in text:
+            raw = self.small[raw]
+            text = raw.tobytes()
+        kind, opens = self.kind[raw], np.zeros(len(raw) + 1, bool)
+        opens[offsets] = True
+        inside = np.append(kind > 0, False)
+        first = inside.copy()
+        first[1:] &= ~inside[:-1] | opens[1:]
+        mark = np.flatnonzero(kind == 2)
+        mark = mark[(kind[mark - 1] == 1) & ~opens[mark] & (~inside[mark + 1] | opens[mark + 1])]
+        first[mark] = True
+        begins = np.flatnonzero(first)
+        ends = np.flatnonzero(inside[:-1] & (~inside[1:] | first[1:])) + 1
+        self.powers(len(raw) + 1)
+        total = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(raw * self.power[: len(raw)], out=total[1:], dtype=np.uint64)
+        named = (total[ends] - total[begins]) * self.inverse[begins] ^ (ends - begins).astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+        which, names = pd.factorize(named)
+        if len(self.slot) > self.room:
+            self.forget()
+        listed = names.tolist()
+        slots = np.fromiter(map(self.slot.get, listed, repeat(-1)), np.int64, len(listed))
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            sample = np.empty(len(names), np.int64)
+            sample[which[::-1]] = np.arange(len(which))[::-1]
+            places = sample[new]
+            words = [text[a:b].decode() for a, b in zip(begins[places].tolist(), ends[places].tolist(), strict=True)]
+            self.learn([listed[k] for k in new], words)
+            slots[new] = [*map(self.slot.__getitem__, (listed[k] for k in new))]
+        slots = slots[which]
+        size = self.size[slots]
+        after = np.cumsum(size, dtype=np.int64)
+        ids = self.ids[np.repeat(self.begin[slots] - (after - size), size) + np.arange(after[-1] if len(after) else 0)]
+        return ids, np.append(0, after)[np.searchsorted(begins, offsets[1:])]
 
 
 _memos: dict[str, WordMemo] = {}

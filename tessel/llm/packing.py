@@ -46,9 +46,10 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
             for part in portions(batch):
-                rows = []
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), memo.encode(part.column("text").to_pylist()), strict=True):
-                    ids += end
+                ids, ends = memo.encode(part.column("text"))
+                raw, rows = ids.astype("<u4").tobytes(), []
+                for doc_id, a, b in zip(part.column("doc_id").to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                    ids = raw[4 * a : 4 * b] + end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[at : at + 4 * capacity]
                         rows.append((row, doc_id, k, at // 4, len(own) // 4, zlib.crc32(own)))

@@ -18,6 +18,7 @@ among them; a null doc_id comes first.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -64,11 +65,12 @@ def encode_ids(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_memo(tokenizer)
         kind = id_type(memo.tokenizer.get_vocab_size(), end_id)
-        end = np.array([end_id], kind).tobytes()
         for batch in batches:
             for part in portions(batch):
-                got = memo.encode(part.column("text").to_pylist())
-                ids = [np.frombuffer(x, "<u4").astype(kind).tobytes() + end for x in got]
+                ids, ends = memo.encode(part.column("text"))
+                raw = np.insert(ids.astype(kind), ends, end_id).tobytes()
+                at = np.append(0, (ends + np.arange(1, len(ends) + 1)) * np.dtype(kind).itemsize).tolist()
+                ids = [raw[a:b] for a, b in pairwise(at)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return texts(docs).mapInArrow(run, "doc_id long, ids binary")
@@ -84,8 +86,9 @@ def rank_table(ids: DataFrame, kind: str, room: int) -> list[int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(room, np.int64)
         for batch in batches:
-            for x in batch.column("ids"):
-                seen += np.bincount(np.frombuffer(x.as_buffer(), kind), minlength=room)
+            for at in range(0, batch.num_rows, 1000):
+                ids = b"".join(batch.column("ids").slice(at, 1000).to_pylist())
+                seen += np.bincount(np.frombuffer(ids, kind), minlength=room)
         there = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(seen[there])], ["id", "n"])
 

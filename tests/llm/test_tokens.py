@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import tiktoken
 from tokenizers import Tokenizer
 
@@ -16,8 +17,11 @@ SF = "/root/testdata/sf0.001"
 WORDS = P.path("word_bpe_49k.json")
 
 
+TOKENIZER = Tokenizer.from_file(WORDS)
+
+
 def library_ids(text, end):
-    return np.array(Tokenizer.from_file(WORDS).encode(text or "", add_special_tokens=False).ids + [end], "<u4").tobytes()
+    return np.array(TOKENIZER.encode(text or "", add_special_tokens=False).ids + [end], "<u4").tobytes()
 
 
 def texts_of(spark):
@@ -28,7 +32,10 @@ def test_memo_equals_the_library():
     texts = [t or "" for _, t in ODD] + ["Word word. WORD, Wörter. Wörter x.. 'S. it's. <|ENDOFTEXT|> <|endoftext|>. ., . é, é. 5. ٣. 中."]
     memo = WordMemo(WORDS, room=5)
     for _ in range(2):
-        assert [x + np.array([2], "<u4").tobytes() for x in memo.encode(texts)] == [library_ids(t, 2) for t in texts]
+        for column in (pa.array(texts), pa.array(["x", *texts, "y"]).slice(1, len(texts))):
+            ids, ends = memo.encode(column)
+            assert [np.append(x, 2).astype("<u4").tobytes() for x in np.split(ids, ends[:-1])] == [library_ids(t, 2) for t in texts]
+    assert [len(x) for x in memo.encode(pa.array([], pa.string()))] == [0, 0]
 
 
 def test_pack_round_trip():

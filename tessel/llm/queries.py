@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import byte_bpe, exact_dedup, jpeg, licenses, packing, token_files
+from tessel.llm import byte_bpe, exact_dedup, jpeg, licenses, near_dedup, packing, token_files
 from tessel.llm.common import public_tokenizer, read_documents, scratch
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
@@ -25,6 +25,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(spark, f"{sf_dir}/documents.parquet")
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read_documents(spark, sf_dir))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_documents(spark, sf_dir), public_tokenizer(WORD_BPE), end_id=1, capacity=4096)
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_media_columns": op3_media_columns,
     "op4_license_scan": op4_license_scan,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_near_duplicates": op6_near_duplicates,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_token_files": op9_token_files,
     "op10_byte_bpe": op10_byte_bpe,

@@ -51,6 +51,11 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def read_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``labels`` of a test-data folder."""
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 def texts(docs: DataFrame, *keep: str) -> DataFrame:
     """``doc_id``, ``text`` (null counts as empty) and the columns named in ``keep``; others go."""
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *keep)

@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import byte_bpe, exact_dedup, jpeg, licenses, near_dedup, packing, token_files
-from tessel.llm.common import public_tokenizer, read_documents, scratch
+from tessel.llm import byte_bpe, exact_dedup, jpeg, licenses, near_dedup, packing, quality, token_files, toxicity
+from tessel.llm.common import public_tokenizer, read_documents, read_labels, scratch
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir)
+    return quality.score(docs, quality.fit(docs, read_labels(spark, sf_dir)))
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.from_media(jpeg.to_media(read_documents(spark, sf_dir)))
 
@@ -29,6 +34,11 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_documents(spark, sf_dir))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir)
+    return toxicity.severity(docs, toxicity.fit(docs, read_labels(spark, sf_dir)))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_documents(spark, sf_dir), public_tokenizer(WORD_BPE), end_id=1, capacity=4096)
 
@@ -49,10 +59,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op3_media_columns": op3_media_columns,
     "op4_license_scan": op4_license_scan,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_toxicity": op7_toxicity,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_token_files": op9_token_files,
     "op10_byte_bpe": op10_byte_bpe,

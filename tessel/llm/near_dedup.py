@@ -177,3 +177,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
     label = components(links.unionByName(more))
     of = once.select("digest", F.col("id").alias("rep_id")).join(label, F.col("rep_id") == F.col("id"), "left").select("digest", "rep_id", F.coalesce("component", "rep_id").alias("class_id"))
     return signed.select("doc_id", "digest").join(of, "digest").select("doc_id", "rep_id", "class_id")
+
+
+def deduplicate(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without those that have a smaller doc_id in their class; all columns as they are."""
+    goes = near_duplicates(docs, width, threshold).where("doc_id <> class_id").select(F.col("doc_id").alias("_goes")).distinct()
+    return docs.join(goes, docs["doc_id"] == goes["_goes"], "left_anti")

@@ -21,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -196,3 +197,15 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 
     rows = texts(docs).mapInArrow(run, "doc_id long, score double")
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` whose text scores ``threshold`` or more, all columns as they are."""
+
+    @F.pandas_udf("double")
+    def scored(text: pd.Series) -> pd.Series:
+        column = pa.array(text, pa.string())
+        parts = [model.score(column.slice(at, 1000)) for at in range(0, len(column), 1000)]
+        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+
+    return docs.where(scored(F.coalesce("text", F.lit(""))) >= threshold)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import byte_bpe, exact_dedup, jpeg, licenses, near_dedup, packing, quality, token_files, toxicity
+from tessel.llm import byte_bpe, exact_dedup, jpeg, licenses, near_dedup, packing, pii, quality, token_files, toxicity
 from tessel.llm.common import public_tokenizer, read_documents, read_labels, scratch
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
@@ -18,6 +18,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, read_labels(spark, sf_dir)))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read_documents(spark, sf_dir))
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.from_media(jpeg.to_media(read_documents(spark, sf_dir)))
 
@@ -60,6 +64,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_pii": op2_pii,
     "op3_media_columns": op3_media_columns,
     "op4_license_scan": op4_license_scan,
     "op5_exact_dedup": op5_exact_dedup,

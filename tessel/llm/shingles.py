@@ -72,7 +72,7 @@ def shingles(word: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarr
     """
     n = np.diff(bounds)
     rolled = np.zeros(len(word), np.uint64)
-    for k in range(width):
+    for k in range(min(width, len(word))):
         rolled[: len(word) - k] = rolled[: len(word) - k] * np.uint64(_BASE) + word[k:]
     text = np.repeat(np.arange(len(n)), n)
     whole = np.arange(len(word)) + width <= np.repeat(bounds[1:], n)

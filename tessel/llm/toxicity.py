@@ -27,7 +27,7 @@ from tessel.llm.common import portions, texts
 from tessel.llm.labelled import SAMPLE, held_out, sample
 from tessel.llm.shingles import _SMALL, _WORD, hashes, spans, texts_of
 
-SPACE, KEPT, GRADES, LEAST = 1 << 20, 4096, 4, 4
+SPACE, KEPT, LEAST = 1 << 20, 4096, 3
 PREFIXES = (5, 6, 7, 8)
 
 
@@ -87,7 +87,7 @@ def learn(rows: np.ndarray, cols: np.ndarray, y: np.ndarray) -> Model:
     grade = np.where(toxic, 1 + np.searchsorted(cut, hits, "left").clip(max=2), 0)
     w, theta = np.zeros(len(kept)), np.array([1.0, 0.0, 0.0])  # theta_1 and the logs of the steps to the others
     m = [np.zeros(len(w) + 3), np.zeros(len(w) + 3)]
-    for step in range(1, 401):
+    for step in range(1, 1501):
         eta = np.bincount(rows, w[at], n)
         steps = np.exp(theta[1:])
         bounds = np.cumsum([theta[0], *steps])
@@ -99,7 +99,7 @@ def learn(rows: np.ndarray, cols: np.ndarray, y: np.ndarray) -> Model:
         d_eta = (up - low) / n
         d_bound = np.array([(-(up * (grade == k)).sum() + (low * (grade == k + 1)).sum()) / n for k in range(3)])
         d_theta = np.array([d_bound.sum(), d_bound[1:].sum() * steps[0], d_bound[2] * steps[1]])
-        grad = np.concatenate([np.bincount(at, d_eta[rows], len(w)) + 2e-5 * w, d_theta])
+        grad = np.concatenate([np.bincount(at, d_eta[rows], len(w)) + 5e-6 * w, d_theta])
         m[0], m[1] = 0.9 * m[0] + 0.1 * grad, 0.999 * m[1] + 0.001 * grad**2
         move = 0.05 * m[0] / (1 - 0.9**step) / (np.sqrt(m[1] / (1 - 0.999**step)) + 1e-9)
         w, theta = w - move[: len(w)], theta - move[len(w) :]

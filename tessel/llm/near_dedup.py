@@ -6,13 +6,16 @@ repeats, and stops as soon as its next arrival is later than all that the text's
 a register keeps the first arrival. Two texts agree in a register with the probability Jaccard of
 their weights. Bands of registers give buckets.
 
-Texts with the same words are one row first. Links are found in two steps, both checked on the
+Texts with the same words are one row first. Links are found in three steps, all checked on the
 shingle sets themselves (Jaccard of ``THRESHOLD`` or more):
 
 1. Every text is compared with one leader of each of its buckets, so pairs grow with the rows.
-2. Among all texts that share buckets, links between different components that step 1 could not
-   see are found exactly by prefix filtering: two sets of at least 0.8 share a shingle among the
-   rarest fifth of each. Per shingle only rows outside its commonest component start pairs.
+2. Every text is compared with the hub of each of its buckets, which has most links so far: the
+   original of a group of edited copies, say.
+3. Among all texts that share buckets, links between different components that the first steps
+   could not see are found exactly by prefix filtering: two sets of at least 0.8 share a shingle
+   among the rarest fifth of each, early enough for the rest to suffice. Per shingle only rows
+   outside its commonest component start pairs.
 
 Components come from label propagation with pointer jumping over tables in the shared folder; no
 link, label or fingerprint goes to the driver, which sees counts only.
@@ -139,26 +142,38 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def leader_pairs(keyed: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each row of ``keyed`` (key, id) with the leader of its bucket."""
-    order = F.struct(F.xxhash64("id"), "id")
-    leaders = keyed.groupBy("key").agg(F.min(order).getField("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return keyed.join(leaders, "key").select("a", F.col("id").alias("b"))
+def bucketed(keyed: DataFrame) -> DataFrame:
+    """The rows (key, id) of buckets with more than one, and the leader of each bucket."""
+    leaders = keyed.groupBy("key").agg(F.min(F.struct(F.xxhash64("id"), "id")).getField("id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return keyed.join(leaders, "key").select("key", "id", "leader")
+
+
+def hub_pairs(buckets: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each row with the most linked row of its bucket."""
+    ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id")))
+    degree = ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+    hubs = buckets.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", "id")).getField("id").alias("a"))
+    return buckets.join(hubs, "key").where("a <> id").select("a", F.col("id").alias("b")).distinct()
 
 
 def prefix_pairs(sets: DataFrame, label: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """All pairs (a, b) from different components that could reach ``threshold``: they share a shingle of both prefixes."""
+    """All pairs (a, b) from different components that could reach ``threshold``.
+
+    Shingles stand in order of rarity. The first one that two sets share lies in both prefixes, and
+    what follows it in either must be long enough for the overlap that the threshold asks for.
+    """
     rows = sets.join(label, "id", "left").select("id", F.coalesce("component", "id").alias("component"), F.size("items").alias("n"), F.explode("items").alias("item"))
     often = rows.groupBy("item").agg(F.count(F.lit(1)).alias("often"))
     ranked = rows.join(often, "item").groupBy("id", "component", "n").agg(F.array_sort(F.collect_list(F.struct("often", "item"))).alias("items"))
     length = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - F.lit(1e-9)) + 1
-    prefix = settle(ranked.select("id", "component", "n", F.explode(F.slice("items", F.lit(1), length.cast("int"))).alias("p")).where("p.often > 1").select("id", "component", "n", "p.item"), "op6-prefix")
+    prefix = ranked.select("id", "component", "n", F.posexplode(F.slice("items", F.lit(1), length.cast("int"))).alias("at", "p")).where("p.often > 1")
+    prefix = settle(prefix.select("id", "component", "n", (F.col("n") - F.col("at")).alias("rest"), "p.item"), "op6-prefix")
     share = prefix.groupBy("item", "component").agg(F.count(F.lit(1)).alias("k"))
     major = share.groupBy("item").agg(F.max(F.struct("k", "component")).alias("m"), F.count(F.lit(1)).alias("many")).where("many > 1").select("item", F.col("m.component").alias("major"))
     mixed = settle(prefix.join(major, "item"), "op6-mixed")
-    a = mixed.where("component <> major").select("item", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
-    b = mixed.select("item", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
-    close = (F.col("ca") != F.col("cb")) & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9)
+    a = mixed.where("component <> major").select("item", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("rest").alias("ra"))
+    b = mixed.select("item", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("rest").alias("rb"))
+    close = (F.col("ca") != F.col("cb")) & (F.least("ra", "rb") >= F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9)
     return a.join(b, "item").where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -168,10 +183,13 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
     once = signed.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").alias("id"), "keys")).alias("s")).select("digest", "s.*")
     once = settle(once, "op6-once")
     keyed = once.select("id", F.explode("keys").alias("key"))
-    pairs = settle(leader_pairs(keyed).where("a <> b").distinct(), "op6-pairs")
-    members = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    buckets = settle(bucketed(keyed), "op6-buckets")
+    members = buckets.select("id").distinct()
     sets = settle(shingle_sets(docs.join(members, docs["doc_id"] == members["id"], "left_semi").dropDuplicates(["doc_id"]), width), "op6-sets")
-    links = settle(linked(pairs, sets, threshold), "op6-linked")
+    led = buckets.where("leader <> id").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    links = settle(linked(led, sets, threshold), "op6-linked")
+    hubs = hub_pairs(buckets, links).join(led, ["a", "b"], "left_anti")
+    links = links.unionByName(settle(linked(hubs, sets, threshold), "op6-linked"))
     label = components(links)
     more = linked(prefix_pairs(sets, label, threshold), sets, threshold)
     label = components(links.unionByName(more))

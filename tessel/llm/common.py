@@ -61,6 +61,19 @@ def texts(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *keep)
 
 
+SLOTS = 1 << 20
+
+
+def likely(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """Those ``rows`` whose column ``name`` hashes to a slot in which one of ``keys`` lies.
+
+    A superset of a semi join that moves no row: there are ``SLOTS`` slots at most, so their list
+    can go to every task. An exact join follows where it matters.
+    """
+    slot = F.pmod(F.xxhash64(name), F.lit(SLOTS)).alias("_slot")
+    return rows.withColumn("_slot", slot).join(F.broadcast(keys.select(slot).distinct()), "_slot", "left_semi").drop("_slot")
+
+
 def public_tokenizer(name: str) -> str:
     """Where a public vocabulary lies; the operators take any path."""
     import public_tokenizers

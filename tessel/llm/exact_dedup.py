@@ -10,7 +10,7 @@ number, so that a batch which runs twice leaves the same files.
 A digest that has come more than once is a hit: full texts are compared for hits before any row is
 dropped. Hits with a large share of all rows (1,000 at most, as each has a thousandth of the rows)
 go to every task, which sums equal bytes before they move; others are joined by digest, and rows
-that hash to none of a million slots in which hits lie don't take part. Should
+in no slot of a hit (``likely``) don't take part. Should
 different texts share a digest, each text is a group of its own.
 
 Defined cases: a null text counts as empty, and so equals a text of blanks only; of equal texts
@@ -24,10 +24,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm.common import scratch, settle
+from tessel.llm.common import likely, scratch, settle
 
 BLANKS = "[\\x20\\x09-\\x0D]+"
-SLOTS = 1 << 20  # so many at most go to every task
 HOT_SHARE = 1000  # a digest is hot with one in so many rows; so there are no more hot ones than that
 
 _STATE_CONF = {
@@ -95,10 +94,8 @@ def collisions(docs: DataFrame, seen: DataFrame, bits: int = 256) -> DataFrame:
     rows = digests(docs, bits, F.lit(None).cast("string").alias("locator"))
     # Hot rows meet nobody but the small list before they are summed; the others come to their digest.
     often = groups(rows.join(hot, "digest", "left_semi"), "digest", "content")
-    slot = F.pmod(F.xxhash64("digest"), F.lit(SLOTS)).alias("slot")
     others = hits.where(F.col("group_size") < least)
-    near = rows.select("*", slot).join(F.broadcast(others.select(slot).distinct()), "slot", "left_semi").drop("slot")
-    seldom = groups(near.join(hot, "digest", "left_anti").join(others.hint("merge"), "digest", "left_semi"), "digest", "content")
+    seldom = groups(likely(rows, others, "digest").join(hot, "digest", "left_anti").join(others.hint("merge"), "digest", "left_semi"), "digest", "content")
     exact = settle(often.unionByName(seldom).select("digest", "content", "group_size", "best", F.xxhash64("content").alias("of")), "op5-hits")
     shared = exact.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
     return _named(exact.join(shared, "digest", "left_semi"), "digest", "content")

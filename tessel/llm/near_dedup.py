@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import portions, settle, texts
+from tessel.llm.common import likely, portions, settle, texts
 from tessel.llm.shingles import mix, shingles, texts_of, words
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -185,7 +185,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
     keyed = once.select("id", F.explode("keys").alias("key"))
     buckets = settle(bucketed(keyed), "op6-buckets")
     members = buckets.select("id").distinct()
-    sets = settle(shingle_sets(docs.join(members, docs["doc_id"] == members["id"], "left_semi").dropDuplicates(["doc_id"]), width), "op6-sets")
+    some = likely(docs.select(F.col("doc_id").alias("id"), "text"), members, "id").join(members.hint("merge"), "id", "left_semi")
+    sets = settle(shingle_sets(some.dropDuplicates(["id"]).withColumnRenamed("id", "doc_id"), width), "op6-sets")
     led = buckets.where("leader <> id").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     links = settle(linked(led, sets, threshold), "op6-linked")
     hubs = hub_pairs(buckets, links).join(led, ["a", "b"], "left_anti")

@@ -19,6 +19,7 @@ texts have equal scores; an empty table gives no rows; repeated rows stay.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -50,10 +51,8 @@ INDEX, SIGN_INDEX = index_vectors(SLOTS, DIM, 1), index_vectors(SIGNS, SIGN_DIM,
 
 def _means(rows: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """The mean of the rows of each text; zero where it has none."""
-    out = np.zeros((len(bounds) - 1, rows.shape[1]), np.float32)
-    some = np.flatnonzero(np.diff(bounds))
-    if len(some):
-        out[some] = np.add.reduceat(rows, bounds[some], axis=0)
+    at = bounds.tolist()
+    out = np.array([rows[a:b].sum(0) for a, b in pairwise(at)], np.float32).reshape(len(at) - 1, rows.shape[1])
     return out / np.maximum(np.diff(bounds), 1)[:, None].astype(np.float32)
 
 
@@ -75,13 +74,16 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     marks, after = spans(kind == 5, offsets)
     symbol = 256 + (hashes(raw, marks, after) % np.uint64(SIGNS - 256)).astype(np.int64)
     lines = np.flatnonzero(kind == 6)
-    where = np.concatenate([begins, marks, lines])
-    sign = np.concatenate([form, symbol, np.full(len(lines), 255)])[np.argsort(where, kind="stable")]
-    means = _means(SIGN_INDEX[sign], np.searchsorted(np.sort(where), offsets))
+    texts_ = len(bounds) - 1
+    of = [np.repeat(np.arange(texts_), np.diff(np.searchsorted(at, offsets))) for at in (begins, marks, lines)]
+    sign = np.concatenate([form, symbol, np.full(len(lines), 255)]) + SIGNS * np.concatenate(of)
+    seen = np.bincount(sign, minlength=SIGNS * texts_).reshape(texts_, SIGNS).astype(np.float32)
+    means = seen @ SIGN_INDEX / np.maximum(seen.sum(1, keepdims=True), 1)
     text, _, _ = shingles(word, bounds, 5)
-    n, different = np.diff(bounds), np.bincount(text, minlength=len(bounds) - 1)
+    n, different = np.diff(bounds), np.bincount(text, minlength=texts_)
     repeats = 1 - different / np.maximum(n - 4, 1).clip(1)
-    unlike = np.array([len(np.unique(word[a:b])) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]) / np.maximum(n, 1)
+    keys = np.sort(of[0].astype(np.uint64) << np.uint64(40) | word >> np.uint64(24))
+    unlike = np.bincount((keys[np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])] >> np.uint64(40)).astype(np.int64), minlength=texts_) / np.maximum(n, 1)
     counts = np.stack([repeats.clip(0, 1) * (n > 4), unlike, np.log1p(n) / 10], 1).astype(np.float32)
     return (word % np.uint64(SLOTS)).astype(np.int64), bounds, means, counts
 

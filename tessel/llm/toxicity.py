@@ -64,28 +64,16 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.theta - eta[:, None], -30, 30)))
 
 
-def learn(rows: np.ndarray, cols: np.ndarray, y: np.ndarray) -> Model:
-    """Fit on incidences (row, feature) and labels 0 or 1."""
+def learn(rows: np.ndarray, at: np.ndarray, y: np.ndarray, chosen: np.ndarray, odds: np.ndarray) -> Model:
+    """Fit on incidences (row, place in ``chosen``) and labels 0 or 1; ``odds`` are log-odds of the features."""
     model, n = Model(), len(y)
-    if not 0 < y.mean() < 1:
+    if not len(chosen) or not 0 < y.mean() < 1:
         return model
-    feature, cols = np.unique(cols, return_inverse=True)
-    toxic = y[rows] == 1
-    pos, neg = np.bincount(cols[toxic], minlength=len(feature)), np.bincount(cols[~toxic], minlength=len(feature))
-    odds = np.log((pos + 0.5) / (y.sum() + 1)) - np.log((neg + 0.5) / (n - y.sum() + 1))
-    sure = odds / np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
-    kept = np.flatnonzero((pos >= LEAST) & (sure > 3))
-    kept = np.sort(kept[np.argsort(-sure[kept], kind="stable")[:KEPT]])
-    if not len(kept):
-        return model
-    at = np.searchsorted(kept, cols).clip(max=len(kept) - 1)
-    hit = kept[at] == cols
-    rows, at = rows[hit], at[hit]
-    hits = np.bincount(rows, (odds[kept] > 3)[at], n)
+    hits = np.bincount(rows, (odds > 3)[at], n)
     toxic = y == 1
     cut = np.quantile(hits[toxic], [1 / 3, 2 / 3])
     grade = np.where(toxic, 1 + np.searchsorted(cut, hits, "left").clip(max=2), 0)
-    w, theta = np.zeros(len(kept)), np.array([1.0, 0.0, 0.0])  # theta_1 and the logs of the steps to the others
+    w, theta = np.zeros(len(chosen)), np.array([1.0, 0.0, 0.0])  # theta_1 and the logs of the steps to the others
     m = [np.zeros(len(w) + 3), np.zeros(len(w) + 3)]
     for step in range(1, 1501):
         eta = np.bincount(rows, w[at], n)
@@ -103,32 +91,41 @@ def learn(rows: np.ndarray, cols: np.ndarray, y: np.ndarray) -> Model:
         m[0], m[1] = 0.9 * m[0] + 0.1 * grad, 0.999 * m[1] + 0.001 * grad**2
         move = 0.05 * m[0] / (1 - 0.9**step) / (np.sqrt(m[1] / (1 - 0.999**step)) + 1e-9)
         w, theta = w - move[: len(w)], theta - move[len(w) :]
-    model.chosen, model.weight, model.theta = feature[kept], w, np.cumsum([theta[0], *np.exp(theta[1:])])
+    model.chosen, model.weight, model.theta = chosen, w, np.cumsum([theta[0], *np.exp(theta[1:])])
     return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = SAMPLE) -> Model:
-    """Learn from at most ``bound`` labelled documents. Incidences that too few toxic texts have stay in the tasks."""
+    """Learn from at most ``bound`` labelled documents; the driver gets ``KEPT`` features and their incidences."""
     rows = sample(docs, labels, label, bound).withColumn("label", F.col("label").cast("int"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in portions(batch, 1 << 20):
-                text, feature = features(part.column("text"))
-                bounds = pa.array(np.searchsorted(text, np.arange(len(part) + 1)), pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.ListArray.from_arrays(bounds, pa.array(feature, pa.int64()))], ["doc_id", "label", "features"])
-
-    sets = rows.mapInArrow(run, "doc_id long, label int, features array<long>").cache()
-    # The features that could be chosen: at most SPACE, and far fewer are in LEAST toxic texts.
-    common = sets.where("label = 1").select(F.explode("features").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST)
-    pairs = sets.select("doc_id", F.explode("features").alias("f")).join(common.select("f"), "f", "left_semi")
-    few = pairs.groupBy("doc_id").agg(F.collect_set("f").alias("features"))
-    got = sets.select("doc_id", "label").join(few, "doc_id", "left").toPandas().sort_values("doc_id", kind="stable")
-    sets.unpersist()
-    if not len(got):
+    def incidences(chosen: np.ndarray | None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in portions(batch, 1 << 20):
+                    text, feature = features(part.column("text"))
+                    if chosen is not None:
+                        place = np.searchsorted(chosen, feature).clip(max=len(chosen) - 1)
+                        hit = chosen[place] == feature
+                        text, feature = text[hit], place[hit]
+                    bounds = pa.array(np.searchsorted(text, np.arange(len(part) + 1)), pa.int32())
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.ListArray.from_arrays(bounds, pa.array(feature, pa.int64()))], ["doc_id", "label", "features"])
+
+        return rows.mapInArrow(run, "doc_id long, label int, features array<long>")
+
+    toxic, total = rows.agg(F.sum("label"), F.count(F.lit(1))).first()
+    if not toxic or toxic == total:
+        return Model()
+    seen = incidences(None).select("label", F.explode("features").alias("f")).groupBy("f").agg(F.sum("label").alias("pos"), F.count(F.lit(1)).alias("n")).where(F.col("pos") >= LEAST)
+    pos, neg = F.col("pos") + 0.5, F.col("n") - F.col("pos") + 0.5
+    rated = seen.withColumn("odds", F.log(pos / (toxic + 1)) - F.log(neg / (total - toxic + 1))).withColumn("sure", F.col("odds") / F.sqrt(1 / pos + 1 / neg))
+    kept = rated.where("sure > 3").orderBy(F.desc("sure"), "f").limit(KEPT).select("f", "odds").toPandas().sort_values("f")
+    if not len(kept):
         return Model()
-    lists = [np.sort(np.asarray(x, np.int64)) if x is not None else np.zeros(0, np.int64) for x in got["features"]]
-    return learn(np.repeat(np.arange(len(lists)), [*map(len, lists)]), np.concatenate(lists), got["label"].to_numpy())
+    chosen = kept["f"].to_numpy(np.int64)
+    got = incidences(chosen).toPandas().sort_values("doc_id", kind="stable")
+    sizes = [*map(len, got["features"])]
+    return learn(np.repeat(np.arange(len(got)), sizes), np.concatenate([*got["features"]]).astype(np.int64), got["label"].to_numpy(), chosen, kept["odds"].to_numpy())
 
 
 def severity(docs: DataFrame, model: Model) -> DataFrame:

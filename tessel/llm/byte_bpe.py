@@ -28,29 +28,32 @@ from pyspark.sql import DataFrame
 
 from tessel.llm.common import portions, texts
 
-BYTES_A_QUERY, WORDS_KEPT, LONG = 1 << 20, 300_000, 64
+BYTES_A_QUERY, WORDS_KEPT, LONG = 1 << 20, 250_000, 64
 
-#: A word takes part while a pair of it merges; pos is where a token begins, so it only thins out.
+#: place is 128 times the word's number plus where the token begins, so places only thin out and
+#: one order serves all words. A word takes part while a pair of it merges.
 ENCODE = """
 WITH RECURSIVE step AS (
-    SELECT word, pos, token, true AS live FROM start
+    SELECT place, token, true AS live FROM start
   UNION ALL
-    SELECT word, pos, token, live FROM (
+    SELECT place, token, live FROM (
         WITH pair AS (
-            SELECT word, pos, token, lead(token) OVER w AS other, lag(pos) OVER w AS before
-            FROM step WHERE live WINDOW w AS (PARTITION BY word ORDER BY pos)
+            SELECT place, token, lead(place) OVER w AS after, lead(token) OVER w AS other, lag(place) OVER w AS before
+            FROM step WHERE live WINDOW w AS (ORDER BY place)
         ), ranked AS (
-            SELECT word, pos, token, before, min(rank * 4294967296 + pos) OVER (PARTITION BY word) AS best
-            FROM pair LEFT JOIN merges ON a = token AND b = other
+            SELECT place, token, before, rank FROM pair LEFT JOIN merges ON a = token AND b = other AND after >> 7 = place >> 7
+        ), chosen AS (
+            SELECT place >> 7 AS word, min(rank::BIGINT * 128 + (place & 127)) AS best FROM ranked WHERE rank IS NOT NULL GROUP BY 1
         )
-        SELECT word, pos, CASE WHEN pos = best % 4294967296 THEN best // 4294967296 ELSE token END AS token, best IS NOT NULL AS live
-        FROM ranked WHERE best IS NULL OR before IS NULL OR before <> best % 4294967296
+        SELECT place, CASE WHEN place & 127 = best & 127 THEN (best >> 7)::INTEGER ELSE token END AS token, best IS NOT NULL AS live
+        FROM ranked LEFT JOIN chosen ON word = place >> 7
+        WHERE best IS NULL OR before IS NULL OR before <> ((place >> 7) << 7 | (best & 127))
     )
 )
-SELECT word, token FROM step WHERE NOT live ORDER BY word, pos
+SELECT place >> 7 AS word, token FROM step WHERE NOT live ORDER BY place
 """
 
-#: As above; overlapping places form a run, in which every second one contracts.
+#: The same by word and pos, which is where a token begins; overlapping places form a run, in which every second one contracts.
 ENCODE_LONG = """
 WITH RECURSIVE step AS (
     SELECT word, pos, token, true AS live FROM start
@@ -60,7 +63,7 @@ WITH RECURSIVE step AS (
             SELECT word, pos, token, lead(token) OVER w AS other, row_number() OVER w AS n
             FROM step WHERE live WINDOW w AS (PARTITION BY word ORDER BY pos)
         ), ranked AS (
-            SELECT pair.*, rank, hazard, min(rank * 4294967296 + n) OVER (PARTITION BY word) AS best
+            SELECT pair.*, rank, hazard, min(rank::BIGINT * 4294967296 + n) OVER (PARTITION BY word) AS best
             FROM pair LEFT JOIN merges ON a = token AND b = other
         ), place AS (
             SELECT *, coalesce(rank = best // 4294967296 AND (NOT hazard OR n = best % 4294967296), false) AS fits FROM ranked
@@ -98,14 +101,14 @@ class ByteBpe:
         self.known: dict[str, bytes] = {}
         self.find = regex.compile(pattern).findall
         self.old: dict[str, bytes] = {}
-        self.single = np.array([ranks[bytes([b])] for b in range(256)])
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = [(ranks[k[:i]], ranks[k[i:]], r) for k, r in ranks.items() for i in range(1, len(k)) if k[:i] in ranks and k[i:] in ranks]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": os.path.join(os.environ.get("TMPDIR", "/tmp"), f"bpe-{os.getpid()}")})
-        a, b, rank = np.array(pairs).T
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": os.path.join(os.environ.get("TMPDIR", "/tmp"), f"bpe-{os.getpid()}")})
+        a, b, rank = np.array(pairs, np.int32).T
         hazard = np.zeros(rank.max() + 1, bool)
         hazard[a[rank < a]] = hazard[b[rank < b]] = True  # with a neighbour, such a token makes an earlier one
         self.fill("merges", {"a": a, "b": b, "rank": rank, "hazard": hazard[rank]})
-        self.fill("vocabulary", {"token": [*ranks.values()], "hex": [k.hex() for k in ranks]})
+        self.fill("vocabulary", {"token": np.array([*ranks.values()], np.int32), "hex": [k.hex() for k in ranks]})
         for name in ("merges", "vocabulary"):
             self.db.sql(f"CREATE TABLE {name}_ AS SELECT * FROM {name}")
             self.db.unregister(name)
@@ -117,7 +120,10 @@ class ByteBpe:
     def contract(self, words: list[bytes]) -> list[np.ndarray]:
         """The ids of each word, by one recursive query."""
         size = np.array([*map(len, words)])
-        self.fill("start", {"word": np.repeat(np.arange(len(words)), size), "pos": np.concatenate([np.arange(n) for n in size]), "token": self.single[np.frombuffer(b"".join(words), np.uint8)]})
+        word = np.repeat(np.arange(len(words)), size)
+        pos = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
+        where = {"place": word << 7 | pos} if size.max() <= LONG else {"word": word, "pos": pos}
+        self.fill("start", where | {"token": self.single[np.frombuffer(b"".join(words), np.uint8)]})
         got = self.db.sql(ENCODE if size.max() <= LONG else ENCODE_LONG).fetchnumpy()
         return np.split(got["token"].astype("<u4"), np.flatnonzero(np.diff(got["word"])) + 1)
 
@@ -140,7 +146,7 @@ class ByteBpe:
     def decode(self, batch: list[bytes]) -> list[bytes]:
         """The bytes that ids stand for, by one ordered aggregation."""
         size = np.array([len(x) // 4 for x in batch])
-        self.fill("ids", {"doc": np.repeat(np.arange(len(batch)), size), "pos": np.arange(size.sum()), "token": np.frombuffer(b"".join(batch), "<u4").astype(np.int64)})
+        self.fill("ids", {"doc": np.repeat(np.arange(len(batch)), size), "pos": np.arange(size.sum()), "token": np.frombuffer(b"".join(batch), "<i4")})
         got = dict(self.db.sql(DECODE).fetchall())
         return [got.get(k, b"") for k in range(len(batch))]
 
@@ -186,7 +192,7 @@ def decode_bytes(ids: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path, pattern)
         for batch in batches:
-            for part in portions(batch.rename_columns(["doc_id", "text"]), 4 << 20):
+            for part in portions(batch.rename_columns(["doc_id", "text"]), 2 << 20):
                 own = part.column("text")
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), own, pa.array(bpe.decode(own.to_pylist()), pa.binary())], ["doc_id", "ids", "decoded"])
 

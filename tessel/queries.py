@@ -1,10 +1,425 @@
-"""Registered queries of the engine and their SQL counterparts."""
+"""Registered queries of the engine and their SQL counterparts (DuckDB)."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessel.functions import text as text_
+from tessel.functions import vectors
+from tessel.operators import artifacts, chunking, events, glossary, search, store, textfiles, usage
+from tessel.sources.files import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str):
+    """Register a query under its function's name, with its SQL."""
+
+    def put(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__], ORACLES[f.__name__] = f, sql
+        return f
+
+    return put
+
+
+_DOT = "list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE))"
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return search.scored(e, e.where("vec_id = 0"))
+
+
+@query(f"""
+SELECT e.vec_id, round({_DOT}, 9) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY {_DOT} DESC, e.vec_id LIMIT 8""")
+def search_topk(spark, sf_dir):
+    """The eight vectors nearest to vector 0."""
+    return search.top(_scored(spark, sf_dir), "vec_id").select("vec_id", F.round("score", 9).alias("score"))
+
+
+@query(f"""
+WITH s AS (SELECT label AS key, vec_id, {_DOT} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)
+SELECT key, round(score, 9) AS score, vec_id AS chunk_index FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, vec_id) AS n FROM s WHERE NOT isnan(score)) WHERE n = 1""")
+def search_best_chunk(spark, sf_dir):
+    """The best chunk of each entry (label)."""
+    return search.best_chunks(_scored(spark, sf_dir), "label", "vec_id").select(F.col("label").alias("key"), F.round("score", 9).alias("score"), "chunk_index")
+
+
+def _split_sql(text: str, limit: str, lookback: int) -> str:
+    region = f"reverse(substr({text}, greatest(0, {limit} - {lookback}) + 1, {limit} - greatest(0, {limit} - {lookback})))"
+    return f"""(CASE WHEN regexp_matches({region}, '(?s)^(?:.*?\\s)??[.!?]') THEN {limit} - length(regexp_extract({region}, '(?s)^(?:.*?\\s)??[.!?]')) + 1
+        WHEN regexp_matches({region}, '[\\n\\r]') THEN {limit} - length(regexp_extract({region}, '^[^\\n\\r]*[\\n\\r]')) + 1 ELSE {limit} END)"""
+
+
+def _chunks_sql(size: int, overlap: int, lookback: int) -> str:
+    return f"""
+WITH RECURSIVE walk AS (
+    SELECT doc_id, text, 0 AS n, 0::BIGINT AS pos, (CASE WHEN {size} < length(text) THEN {_split_sql("text", str(size), lookback)} ELSE length(text) END)::BIGINT AS stop
+    FROM documents WHERE length(text) > 0
+  UNION ALL
+    SELECT doc_id, text, n + 1, start, CASE WHEN start + {size} < length(text) THEN {_split_sql("text", f"(start + {size})", lookback)} ELSE length(text) END
+    FROM (SELECT *, CASE WHEN stop - {overlap} <= pos THEN stop ELSE greatest(pos + 1, {_split_sql("text", f"(stop - {overlap})", lookback)}) END AS start FROM walk WHERE stop < length(text))
+)"""
+
+
+_CHUNK_COLUMNS = "SELECT doc_id, n::INTEGER AS chunk_index, pos::INTEGER AS start_offset, stop::INTEGER AS end_offset FROM walk"
+
+
+@query(_chunks_sql(6000, 480, 240) + _CHUNK_COLUMNS)
+def chunk_documents(spark, sf_dir):
+    """Chunks with the default sizes."""
+    return chunking.chunks(table(spark, sf_dir, "documents")).drop("chunk")
+
+
+@query(_chunks_sql(500, 80, 60) + _CHUNK_COLUMNS)
+def chunk_small(spark, sf_dir):
+    """Chunks with small sizes."""
+    return chunking.chunks(table(spark, sf_dir, "documents"), 500, 80, 60).drop("chunk")
+
+
+@query(
+    _chunks_sql(6000, 480, 240)
+    + ", w AS (SELECT doc_id, n, list_filter(string_split_regex(lower(substr(text, pos + 1, stop - pos)), '[^a-z0-9]+'), lambda x: x <> '') AS words FROM walk), s AS (SELECT doc_id, len(words) AS k, list_transform(words, lambda x: strpos('0123456789abcdef', md5(x)[1]) - 1) AS s FROM w)"
+    + "SELECT doc_id, count(*)::BIGINT AS n_chunks, sum(k)::BIGINT AS n_tokens, "
+    + ", ".join(f"sum(len(list_filter(s, lambda x: x = {d})))::BIGINT AS v{d}" for d in range(16))
+    + " FROM s GROUP BY doc_id"
+)
+def embed_hash(spark, sf_dir):
+    """Chunks embedded by hashed word counts, summed by document."""
+    return chunking.embedded(chunking.chunks(table(spark, sf_dir, "documents")))
+
+
+@query("""
+WITH o AS (SELECT doc_id AS key, n_chars AS mod_ts, n_chars AS size FROM documents WHERE doc_id % 2 = 0),
+n AS (SELECT doc_id AS key, n_chars + (CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END) AS mod_ts, n_chars AS size FROM documents)
+SELECT n.key, n.mod_ts, n.size, CASE WHEN o.key IS NULL THEN 'inserted' WHEN o.mod_ts = n.mod_ts AND o.size = n.size THEN 'kept' ELSE 'updated' END AS status FROM n LEFT JOIN o ON o.key = n.key""")
+def incremental_upsert(spark, sf_dir):
+    """A store of the even documents after all documents come, a third of them changed."""
+    docs = table(spark, sf_dir, "documents")
+    old = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("key"), F.col("n_chars").alias("mod_ts"), F.col("n_chars").alias("size"))
+    new = docs.select(F.col("doc_id").alias("key"), (F.col("n_chars") + F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0)).alias("mod_ts"), F.col("n_chars").alias("size"))
+    return store.upsert(old, new)
+
+
+_Q8_SQL = """
+WITH b AS (SELECT vec_id, unnest(range(8)) AS block, list_concat(embedding, list_transform(range(256 - len(embedding)), lambda x: 0::FLOAT)) AS v FROM embeddings),
+p AS (SELECT vec_id, block, v[block * 32 + 1:block * 32 + 32] AS part FROM b),
+s AS (SELECT vec_id, block, part, (CASE WHEN list_max(list_transform(part, lambda x: abs(x))) = 0 THEN 1::FLOAT ELSE (list_max(list_transform(part, lambda x: abs(x))) / 127::FLOAT)::FLOAT END) AS scale FROM p),
+q AS (SELECT vec_id, block, part, scale, list_transform(part, lambda x: greatest(-128, least(127, floor((x / scale)::FLOAT::DOUBLE + 0.5)))::INTEGER) AS q FROM s)"""
+
+
+@query(_Q8_SQL + "SELECT vec_id, block::INTEGER AS block, scale::DOUBLE AS scale, array_to_string(q, ',') AS q FROM q")
+def q8_quantize(spark, sf_dir):
+    """Vectors, filled up to 256 values, as blocks of 8-bit values."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(vectors.blocks(vectors.checked(vectors.padded(F.col("embedding"))))).alias("block", "b"))
+    return rows.select("vec_id", "block", F.col("b.scale").cast("double").alias("scale"), F.array_join(F.transform("b.q", lambda x: x.cast("string")), ",").alias("q"))
+
+
+@query(
+    _Q8_SQL
+    + """, h AS (SELECT *, round_even(scale::DOUBLE / pow(2, floor(log2(scale::DOUBLE)) - 10), 0) * pow(2, floor(log2(scale::DOUBLE)) - 10) AS half FROM q)
+SELECT vec_id, round(max(list_max(list_transform(list_zip(part, q), lambda x: abs(x[1]::DOUBLE - (x[2] * half)::FLOAT::DOUBLE)))), 9) AS max_error FROM h GROUP BY vec_id"""
+)
+def q8_roundtrip(spark, sf_dir):
+    """The largest error of each vector through its stored bytes."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", vectors.padded(F.col("embedding")).alias("v")).withColumn("d", vectors.q8_values(vectors.q8_bytes("v")))
+    return rows.select("vec_id", F.round(F.array_max(F.zip_with("v", "d", lambda a, b: F.abs(a.cast("double") - b.cast("double")))), 9).alias("max_error"))
+
+
+@query("""
+SELECT 'vec;"' || vec_id AS key, 7::BIGINT AS size, 1::INTEGER AS n_chunks, len(embedding)::INTEGER AS n_values, embedding[1]::DOUBLE AS first_value, embedding[-1]::DOUBLE AS last_value FROM embeddings""")
+def db_roundtrip(spark, sf_dir):
+    """Entries as lines of text and back."""
+    piece = F.array(F.struct(F.lit(0).alias("start"), F.lit(9).alias("end"), F.col("embedding").alias("vec")))
+    entries = table(spark, sf_dir, "embeddings").select(F.concat(F.lit('vec;"'), F.col("vec_id").cast("string")).alias("key"), F.lit(5).cast("long").alias("mod_ts"), F.lit(7).cast("long").alias("size"), F.lit(1).alias("prompt_tokens"), F.lit(2).alias("total_tokens"), piece.alias("chunks"))
+    back = store.from_lines(store.to_lines(entries).withColumn("ordinal", F.monotonically_increasing_id()))
+    return back.select("key", "size", (F.col("chunk_index") + 1).alias("n_chunks"), F.size("vec").alias("n_values"), F.element_at("vec", 1).cast("double").alias("first_value"), F.element_at("vec", -1).cast("double").alias("last_value"))
+
+
+@query("""
+SELECT vec_id, (3 + vec_id % 5)::INTEGER AS prompt_tokens, 0::INTEGER AS total_tokens, len(embedding)::INTEGER AS n_values, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 9) AS total FROM embeddings""")
+def embedding_response(spark, sf_dir):
+    """A service's JSON answers, read by pattern; a count that isn't there is 0."""
+    numbers = F.array_join(F.transform("embedding", lambda x: x.cast("string")), ", ")
+    json = F.concat(F.lit('{"usage": {"prompt_tokens": '), (3 + F.col("vec_id") % 5).cast("string"), F.lit('}, "data": [{"embedding": ['), numbers, F.lit("]}]}"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", json.alias("j")).select("vec_id", text_.json_int(F.col("j"), "prompt_tokens").alias("prompt_tokens"), text_.json_int(F.col("j"), "total_tokens").alias("total_tokens"), text_.json_floats(F.col("j"), "embedding").alias("v"))
+    return rows.select("vec_id", "prompt_tokens", "total_tokens", F.size("v").alias("n_values"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double")), 9).alias("total"))
+
+
+@query("""
+SELECT vec_id, len(embedding)::INTEGER AS n, embedding[1]::DOUBLE AS a1, embedding[2]::DOUBLE AS a2, embedding[3]::DOUBLE AS a3, embedding[-3]::DOUBLE AS z1, embedding[-2]::DOUBLE AS z2, embedding[-1]::DOUBLE AS z3 FROM embeddings""")
+def vector_stats(spark, sf_dir):
+    """Size, first and last values."""
+    at = {"a1": 1, "a2": 2, "a3": 3, "z1": -3, "z2": -2, "z3": -1}
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.size("embedding").alias("n"), *[F.element_at("embedding", k).cast("double").alias(n) for n, k in at.items()])
+
+
+@query(
+    _chunks_sql(500, 80, 60)
+    + """, s AS (SELECT doc_id, n, pos, stop, ((length(c) - length(replace(c, 'th', ''))) / 2)::DOUBLE AS score FROM (SELECT *, lower(substr(text, pos + 1, stop - pos)) AS c FROM walk)),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, n) AS k FROM s) WHERE k = 1 ORDER BY score DESC, doc_id LIMIT 8),
+t AS (SELECT b.*, text, length(text) AS size FROM b JOIN documents USING (doc_id))
+SELECT doc_id, n::INTEGER AS chunk_index, printf('%.4f', score) AS score,
+  (CASE WHEN pos <= 0 THEN 1 ELSE 1 + length(left(text, least(pos, size - 1))) - length(replace(left(text, least(pos, size - 1)), chr(10), '')) END)::INTEGER AS start_line,
+  (CASE WHEN stop <= 0 THEN 1 ELSE 1 + length(left(text, CASE WHEN stop >= size THEN size - 1 ELSE stop END)) - length(replace(left(text, CASE WHEN stop >= size THEN size - 1 ELSE stop END), chr(10), '')) END)::INTEGER AS end_line,
+  left(substr(text, pos + 1, least(stop, size) - pos), 40) AS excerpt FROM t"""
+)
+def search_report(spark, sf_dir):
+    """The best chunks by a keyword with their lines and excerpts."""
+    docs = table(spark, sf_dir, "documents")
+    pieces = chunking.chunks(docs, 500, 80, 60).withColumn("score", search.keyword_score(F.col("chunk"), "th"))
+    best = pieces.groupBy("doc_id").agg(F.max(F.struct("score", (-F.col("chunk_index")).alias("late"), "start_offset", "end_offset")).alias("b"))
+    few = search.top(best.select("doc_id", "b.score", (-F.col("b.late")).alias("chunk_index"), "b.start_offset", "b.end_offset"), "doc_id")
+    return search.report(few, docs)
+
+
+_PATH_SQL = "regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '')"
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
+    return table(spark, sf_dir, "pages").select("page_id", path.alias("path"), F.length("html").cast("long").alias("size"))
+
+
+@query(f"""
+SELECT path, size FROM (SELECT {_PATH_SQL} AS path, length(html)::BIGINT AS size FROM pages)
+WHERE regexp_full_match(path, '(?s).*/[^/]*[0-9](?:\\.html|[^/])') AND NOT regexp_matches(path, '^(?:www\\.[^/]*|m\\.[^/]*)(?:/|$)') AND NOT regexp_full_match(path, '[^/]*/fr(?:/.*)?')""")
+def find_files_glob(spark, sf_dir):
+    """Paths by glob, without excluded directories."""
+    return textfiles.find_by_glob(_paths(spark, sf_dir), "**/*[0-9]{.html,?}", r"www\.[^/]*|m\.[^/]*|[^/]*/fr").select("path", "size")
+
+
+@query(f"""
+SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'other/x' ELSE 'base/' || array_to_string(list_filter(string_split({_PATH_SQL}, '/'), lambda x: x <> ''), '/') END AS normal, page_id % 3 <> 0 AS allowed FROM pages""")
+def path_guard(spark, sf_dir):
+    """Paths that may leave their base directory, normalised and judged."""
+    rows = _paths(spark, sf_dir)
+    parts = F.size(F.filter(F.split("path", "/"), lambda x: x != ""))
+    up = F.concat(F.lit("./"), "path", F.lit("/"), F.array_join(F.array_repeat(F.lit(".."), parts + 1), "/"), F.lit("/other//x"))
+    rows = rows.select("page_id", F.when(F.col("page_id") % 3 == 0, up).otherwise(F.col("path")).alias("path"))
+    return textfiles.allowed(rows, "base", ".*").select("page_id", "normal", "allowed")
+
+
+@query("""
+WITH l AS (SELECT doc_id, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS l FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '\\r\\n|\\r|\\n') AS l FROM documents))
+SELECT doc_id, 'Lines 2-' || least(5, len(l)) || ' of ' || len(l) AS header, coalesce(array_to_string(l[2:5], chr(10)), '') AS body, len(l[2:5])::INTEGER AS lines_read, len(l)::INTEGER AS total_lines, len(l) > 5 AS truncated, (CASE WHEN len(l) > 5 THEN 6 END)::INTEGER AS next_line FROM l""")
+def line_range(spark, sf_dir):
+    """Lines 2 to 5 of every document."""
+    return textfiles.line_range(table(spark, sf_dir, "documents"), 2, 5)
+
+
+@query("""
+SELECT doc_id, ((length(text) - length(replace(text, 'the', ''))) / 3)::INTEGER AS replacements, md5(replace(text, 'the', '<THE>')) AS digest FROM documents""")
+def edit_replace_all(spark, sf_dir):
+    """A literal replaced everywhere."""
+    return textfiles.replace_all(table(spark, sf_dir, "documents"), "the", "<THE>").select("doc_id", "replacements", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("""
+SELECT doc_id, (CASE WHEN strpos(text, '. ') > 0 THEN 1 ELSE 0 END)::INTEGER AS replacements, md5(CASE WHEN strpos(text, '. ') > 0 THEN left(text, strpos(text, '. ') - 1) || '! ' || substr(text, strpos(text, '. ') + 2) ELSE text END) AS digest FROM documents""")
+def edit_replace_first(spark, sf_dir):
+    """A literal replaced once."""
+    return textfiles.replace_first(table(spark, sf_dir, "documents"), ". ", "! ").select("doc_id", "replacements", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+_NEEDLE = "the zzq"
+
+
+def _prefix_sql() -> str:
+    cases = "".join(f" WHEN regexp_matches(text, '(?s){_NEEDLE[:n]}[^{_NEEDLE[n]}]') THEN {n}" for n in reversed(range(len(_NEEDLE))))
+    places = "".join(f" WHEN {n} THEN length(regexp_extract(text, '(?s)^(.*){_NEEDLE[:n]}[^{_NEEDLE[n]}]', 1))" for n in range(len(_NEEDLE)))
+    return f"""
+SELECT doc_id, n::INTEGER AS prefix_length, place::INTEGER AS position, '{_NEEDLE}'[n + 1] AS expected, substr(text, place + n + 1, 1) AS actual FROM (
+SELECT *, CASE n {places} END AS place FROM (SELECT doc_id, text, CASE {cases} END AS n FROM documents))"""
+
+
+@query(_prefix_sql())
+def edit_longest_prefix(spark, sf_dir):
+    """How far a text that isn't there matches at best."""
+    return textfiles.longest_prefix(table(spark, sf_dir, "documents"), _NEEDLE).drop("actual_code")
+
+
+@query("""
+SELECT p_partkey, p_name FROM part WHERE contains(replace(lower(p_name), ' ', ''), 'redwid') OR contains(replace(lower(p_name), ' ', ''), 'gear')""")
+def keyword_search(spark, sf_dir):
+    """Titles with any of some keywords; an underscore in a keyword stays."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(".mp4")).alias("file"))
+    return textfiles.keyword_hits(rows, F.col("file"), ["Red wid", "GEAR", "blue_bolt"]).select("p_partkey", "p_name")
+
+
+def _glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entry = F.concat(F.lit("# "), "p_name", F.lit("\n"), F.when(F.col("p_partkey") % 7 == 0, F.lit("-> red widget")).otherwise(F.concat("p_type", F.lit("\n## "), F.col("p_size").cast("string"))), F.lit("\n"))
+    entries = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", entry.alias("t")))), lambda x: x["t"]), "")
+    files = table(spark, sf_dir, "part").groupBy(F.floor(F.col("p_partkey") / 100).alias("file")).agg(F.concat(F.lit("text before\n"), entries).alias("text"))
+    return glossary.parse(files)
+
+
+_GLOSSARY_SQL = """
+WITH g AS (SELECT regexp_replace(lower(p_name), '[ _-]', '', 'g') AS key, p_name AS term, p_type || chr(10) || '## ' || p_size AS description FROM (
+SELECT *, row_number() OVER (PARTITION BY regexp_replace(lower(p_name), '[ _-]', '', 'g') ORDER BY p_partkey) AS n FROM part WHERE p_partkey % 7 <> 0) WHERE n = 1)"""
+
+
+@query(_GLOSSARY_SQL + "SELECT key, term, description FROM g")
+def glossary_parse(spark, sf_dir):
+    """Entries of Markdown files; the first of equal keys stays, references go."""
+    return _glossary(spark, sf_dir).select("key", "term", "description")
+
+
+@query(_GLOSSARY_SQL + "SELECT min(pos)::INTEGER AS pos, key, any_value(term) AS term, any_value(description) AS description FROM (VALUES (1, 'redwidget'), (3, 'bluebolt'), (4, 'redwidget'), (5, 'hotgear'), (0, 'zz')) w(pos, key) JOIN g USING (key) GROUP BY key")
+def glossary_lookup(spark, sf_dir):
+    """Words looked up by key, each key once."""
+    words = spark.createDataFrame([(0, "zz"), (1, "Red_Widget"), (2, None), (3, '"blue bolt"'), (4, "red-widget"), (5, "HOT gear")], "pos int, word string")
+    return glossary.look_up(_glossary(spark, sf_dir), words)
+
+
+def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("long")
+    kind, value = F.col("event_type"), F.col("value")
+    server = kind == "purchase"
+    return table(spark, sf_dir, "events").select(
+        "event_id", k.alias("prompt_tokens"), (k % 13).alias("completion_tokens"), (k + k % 13).alias("total_tokens"), F.col("ts").cast("string").alias("ts_start"), kind.alias("model"),
+        F.when(server, value * 10).alias("prompt_ms"), F.when(server, value * 3).alias("predicted_ms"), F.when(server, value).alias("prompt_per_second"), F.when(server, value / 2).alias("predicted_per_second"),
+        F.when(kind == "view", F.floor(value * 7).cast("long")).alias("first_ms"), F.floor(value * 20).cast("long").alias("total_ms"),
+    )
+
+
+_CALLS_SQL = """
+WITH c AS (SELECT event_id, event_type AS model, value, (props->>'$.k')::BIGINT AS p, (props->>'$.k')::BIGINT % 13 AS g, floor(value * 7)::BIGINT AS first_ms, floor(value * 20)::BIGINT AS total_ms FROM events),
+w AS (SELECT *, CASE WHEN total_ms > 0 AND g > 0 THEN 1000.0::DOUBLE * (p / 5.0::DOUBLE + g) / total_ms ELSE 0 END AS r FROM c)"""
+
+
+@query(
+    _CALLS_SQL
+    + """
+SELECT event_id,
+  CASE model WHEN 'purchase' THEN floor(value * 10 + 0.5)::BIGINT WHEN 'view' THEN first_ms ELSE (CASE WHEN r > 0 AND p > 0 THEN floor(p * 1000.0::DOUBLE / (5 * r) + 0.5)::BIGINT ELSE total_ms END) END AS millis_pp,
+  CASE model WHEN 'purchase' THEN floor(value * 3 + 0.5)::BIGINT WHEN 'view' THEN total_ms - first_ms ELSE (CASE WHEN r > 0 AND g > 0 THEN floor(g * 1000.0::DOUBLE / r + 0.5)::BIGINT ELSE total_ms END) END AS millis_tg,
+  round(CASE model WHEN 'purchase' THEN value WHEN 'view' THEN (CASE WHEN first_ms > 0 AND p > 0 THEN p * 1000.0::DOUBLE / first_ms ELSE 0 END) ELSE 5 * r END, 6) AS pp_tps,
+  round(CASE model WHEN 'purchase' THEN value / 2 WHEN 'view' THEN (CASE WHEN total_ms - first_ms > 0 AND g > 0 THEN g * 1000.0::DOUBLE / (total_ms - first_ms) ELSE 0 END) ELSE r END, 6) AS tg_tps FROM w"""
+)
+def usage_rates(spark, sf_dir):
+    """Rates of calls by server timings, stream or buffer."""
+    return usage.rates(_calls(spark, sf_dir)).select("event_id", "millis_pp", "millis_tg", F.round("pp_tps", 6).alias("pp_tps"), F.round("tg_tps", 6).alias("tg_tps"))
+
+
+@query("""
+SELECT '{"type":"usage","model":"' || event_type || '","promptTokens":' || (props->>'$.k') || ',"completionTokens":' || ((props->>'$.k')::BIGINT % 13) || '}' AS value FROM events""")
+def usage_jsonl(spark, sf_dir):
+    """Calls as lines of JSON."""
+    nothing = F.lit(None).cast("string")
+    return usage.as_json(_calls(spark, sf_dir).withColumns({"ts_start": nothing, "millis_pp": nothing, "millis_tg": nothing}))
+
+
+@query(_CALLS_SQL + "SELECT count(*) AS n_calls, sum(p)::BIGINT AS prompt_tokens, sum(g)::BIGINT AS completion_tokens, sum(p + g)::BIGINT AS total_tokens, count(*) || ' calls' AS message FROM c")
+def usage_totals(spark, sf_dir):
+    """Totals of all calls."""
+    return usage.totals(_calls(spark, sf_dir))
+
+
+@query("""
+SELECT user_id, strftime(min(ts) FILTER (event_type = 'view'), '%Y-%m-%d %H:%M:%S.%f') AS first_at, arg_max(value, (ts, value)) FILTER (event_type = 'purchase') AS last_value FROM events GROUP BY user_id""")
+def stream_first_last(spark, sf_dir):
+    """First view and last purchase of each user."""
+    rows = events.first_and_last(table(spark, sf_dir, "events"), "user_id", "ts", "value", F.col("event_type") == "view", F.col("event_type") == "purchase")
+    return rows.withColumn("first_at", F.date_format("first_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+@query("""
+SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS pos, '{"turn":' || turn || ',"role":"' || role || '","size":' || length(text) || '}' AS payload FROM conversations""")
+def sse_parse(spark, sf_dir):
+    """Payloads of event streams that were cut anywhere."""
+    line = F.concat(F.lit('data: {"turn":'), F.col("turn").cast("string"), F.lit(',"role":"'), "role", F.lit('","size":'), F.length("text").cast("string"), F.lit("}\r\n\r\n"))
+    whole = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), ": ping\n"), F.lit("data: [DONE]\n")).alias("s"))
+    pieces = whole.select("conv_id", F.posexplode(F.transform(F.sequence(F.lit(0), ((F.length("s") - 1) / 17).cast("int")), lambda k: F.substring(F.col("s"), k * 17 + 1, F.lit(17)))).alias("seq", "piece"))
+    return events.payloads(pieces, "conv_id")
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT DISTINCT user_id, epoch_us(ts) // 1000 AS "at" FROM events), walk AS (
+    SELECT user_id, min("at") AS "at" FROM e GROUP BY user_id
+  UNION ALL
+    SELECT w.user_id, min(e."at") AS "at" FROM walk w JOIN e ON e.user_id = w.user_id AND e."at" >= w."at" + 3600000 GROUP BY w.user_id, w."at"
+) SELECT user_id, "at" FROM walk""")
+def throttle(spark, sf_dir):
+    """Events of each user at least an hour apart."""
+    rows = table(spark, sf_dir, "events").select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
+    return events.throttled(rows, "user_id", "at", 3600)
+
+
+@query("""
+SELECT conv_id, count(*)::INTEGER AS n_turns, md5(string_agg(role || ': ' || coalesce(text, ''), chr(10) ORDER BY turn)) AS history, arg_max(text, turn) FILTER (role = 'assistant') AS last_answer FROM conversations GROUP BY conv_id""")
+def conversation_state(spark, sf_dir):
+    """Conversations in order, and their last answers."""
+    return events.conversations(table(spark, sf_dir, "conversations")).withColumn("history", F.md5(F.col("history").cast("binary")))
+
+
+@query("""
+SELECT event_type AS name, count(*) AS call_count, count(*) FILTER (value >= 5) AS calls_ok, arg_max(user_id % 2 = 0, (ts, event_id)) AS is_active FROM events GROUP BY event_type ORDER BY 1""")
+def registry_table(spark, sf_dir):
+    """Counters of each tool, and whether it is on."""
+    e = table(spark, sf_dir, "events")
+    toggles = e.select(F.col("event_type").alias("name"), (F.col("user_id") % 2 == 0).alias("active"), F.struct("ts", "event_id").alias("ts"))
+    return events.tool_table(e.select(F.col("event_type").alias("name"), (F.col("value") >= 5).alias("ok")), toggles)
+
+
+def _jars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name, version = F.replace("p_name", F.lit(" "), F.lit("-")), F.concat(F.col("p_size").cast("string"), F.lit("."), (F.col("p_partkey") % 4).cast("string"))
+    folder = F.concat(F.lit("/home/u/repository/org/"), F.lower("p_type"), F.lit("/"), name, F.lit("/"), version, F.lit("/"))
+    good = F.concat(folder, name, F.lit("-"), version, F.when(F.col("p_partkey") % 3 == 0, "-sources").otherwise(""), F.lit(".jar"))
+    loose = F.concat(F.lit("/lib/"), name, F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("-"), version)).otherwise(""), F.lit(".jar"))
+    return table(spark, sf_dir, "part").select("p_partkey", "p_name", F.when(F.col("p_partkey") % 5 == 0, loose).otherwise(good).alias("path"))
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 THEN 'org.' || lower(p_type) END AS group_id, CASE WHEN p_partkey % 5 <> 0 THEN replace(p_name, ' ', '-') END AS artifact_id,
+  CASE WHEN p_partkey % 5 <> 0 OR p_partkey % 2 = 0 THEN p_size || '.' || (p_partkey % 4) ELSE 'unknown' END AS version FROM part""")
+def artifact_coords(spark, sf_dir):
+    """Coordinates and versions of archive paths."""
+    rows = _jars(spark, sf_dir).withColumn("c", artifacts.coordinates(F.col("path")))
+    return rows.select("p_partkey", "c.group_id", "c.artifact_id", artifacts.version(F.col("path")).alias("version"))
+
+
+@query("""
+WITH e AS (SELECT 'pkg.' || replace(p_name, ' ', '_') AS class_name, p_partkey % 3 AS tier, p_partkey AS ordinal FROM part WHERE p_size > 20),
+w AS (SELECT DISTINCT 'pkg.' || replace(p_name, ' ', '_') AS class_name FROM part UNION ALL VALUES ('pkg.none'), ('not a class'))
+SELECT class_name, CASE WHEN class_name = 'not a class' THEN 'error' WHEN b IS NULL THEN 'not_found' ELSE 'success' END AS status, 'jar-' || b.ordinal AS path, b.tier AS tier
+FROM w LEFT JOIN (SELECT class_name, min({'tier': tier, 'ordinal': ordinal}) AS b FROM e GROUP BY class_name) USING (class_name)""")
+def resolve_priority(spark, sf_dir):
+    """Each class from the first archive that has it; failures stay with their class."""
+    part = table(spark, sf_dir, "part").select(F.concat(F.lit("pkg."), F.replace("p_name", F.lit(" "), F.lit("_"))).alias("class_name"), (F.col("p_partkey") % 3).alias("tier"), F.col("p_partkey").alias("ordinal"), "p_size")
+    wanted = part.select("class_name").distinct().unionByName(spark.createDataFrame([("pkg.none",), ("not a class",)], "class_name string"))
+    return artifacts.resolve(wanted, part.where("p_size > 20").select("class_name", "tier", "ordinal", F.concat(F.lit("jar-"), F.col("ordinal").cast("string")).alias("path")))
+
+
+@query("""
+SELECT doc_id, md5(replace(replace(replace(replace(replace(replace(replace(coalesce(text, ''), '\\', '\\\\'), '"', '\\"'), chr(8), '\\b'), chr(12), '\\f'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t')) AS digest FROM documents""")
+def json_escape(spark, sf_dir):
+    """Texts escaped for JSON."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text_.json_escape(F.col("text")).cast("binary")).alias("digest"))
+
+
+@query("""
+SELECT event_id, (props->>'$.k')::BIGINT AS k, 0::BIGINT AS missing, true AS is_object FROM events""")
+def json_variant(spark, sf_dir):
+    """JSON read as a nested value, with defaults."""
+    v = F.try_parse_json("props")
+    rows = table(spark, sf_dir, "events").select("event_id", v.alias("v"))
+    return rows.select("event_id", F.try_variant_get("v", "$.k", "bigint").alias("k"), F.coalesce(F.try_variant_get("v", "$.none", "bigint"), F.lit(0)).cast("long").alias("missing"), F.schema_of_variant("v").startswith("OBJECT").alias("is_object"))
+
+
+@query(f"""
+SELECT page_id, CASE lower(regexp_extract(p, '[^.]*$')) WHEN 'html' THEN 'text/html' WHEN 'css' THEN 'text/css' WHEN 'js' THEN 'application/javascript' WHEN 'json' THEN 'application/json' WHEN 'png' THEN 'image/png' WHEN 'jpg' THEN 'image/jpeg' WHEN 'svg' THEN 'image/svg+xml' WHEN 'ico' THEN 'image/x-icon' ELSE 'application/octet-stream' END AS content_type FROM (SELECT page_id, {_PATH_SQL} AS p FROM pages)""")
+def content_type(spark, sf_dir):
+    """Content types of paths."""
+    return _paths(spark, sf_dir).select("page_id", text_.content_type(F.col("path")).alias("content_type"))
+
+
+@query("""
+SELECT event_id, strftime(ts + CASE WHEN ts >= TIMESTAMP '2024-03-31 01:00:00' AND ts < TIMESTAMP '2024-10-27 01:00:00' THEN INTERVAL 2 HOUR ELSE INTERVAL 1 HOUR END, '%Y%m%d') AS day FROM events""")
+def date_basic_iso(spark, sf_dir):
+    """Dates of instants in a zone."""
+    return table(spark, sf_dir, "events").select("event_id", text_.basic_date(F.unix_millis(F.col("ts").cast("timestamp"))).alias("day"))

@@ -1 +1,51 @@
-"""See the module docstrings."""
+"""Structured Streaming forms of the event operators."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+
+def running_totals(calls: DataFrame) -> DataFrame:
+    """Totals over a stream of calls (for output mode complete); summed in each task first."""
+    return calls.groupBy().agg(F.count(F.lit(1)).alias("n_calls"), *[F.sum(c).alias(c) for c in ("prompt_tokens", "completion_tokens", "total_tokens")])
+
+
+def payloads(pieces: DataFrame) -> DataFrame:
+    """stream_id, payload of a stream of pieces (stream_id, seq, piece); a cut line waits in state for its rest."""
+
+    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = state.get[0] if state.exists else ""
+        rows = pd.concat(list(batches)).sort_values("seq")
+        *done, held = (held + "".join(rows["piece"])).split("\n")
+        state.update((held,))
+        out = [x[6:].rstrip("\r") for x in done if x.startswith("data: ")]
+        yield pd.DataFrame({"stream_id": key[0], "payload": [x for x in out if x.strip() not in ("", "[DONE]")]})
+
+    return pieces.groupBy("stream_id").applyInPandasWithState(run, "stream_id long, payload string", "held string", "append", GroupStateTimeout.NoTimeout)
+
+
+def throttled(events: DataFrame, gap: int) -> DataFrame:
+    """key, at (epoch milliseconds) of events that are ``gap`` whole seconds after the last one let through."""
+
+    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, out = state.get[0] if state.exists else None, []
+        for at in sorted(pd.concat(list(batches))["at"].tolist()):
+            if last is None or (at - last) // 1000 >= gap:
+                last = at
+                out.append(at)
+        if last is not None:
+            state.update((int(last),))
+        yield pd.DataFrame({"key": key[0], "at": pd.Series(out, dtype="int64")})
+
+    return events.groupBy("key").applyInPandasWithState(run, "key long, at long", "last long", "append", GroupStateTimeout.NoTimeout)
+
+
+def conversations(turns: DataFrame) -> DataFrame:
+    """conv_id, n_turns, last_answer after each batch of turns (conv_id, turn, role, text), for output mode update."""
+    last = F.max(F.when(F.col("role") == "assistant", F.struct("turn", "text"))).getField("text")
+    return turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), last.alias("last_answer"))

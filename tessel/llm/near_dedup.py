@@ -22,7 +22,8 @@ link, label or fingerprint goes to the driver, which sees counts only.
 
 Defined cases: texts of one to four words have one shingle of them all; a text without words is
 like equal texts only; a null text counts as empty; class_id is the smallest doc_id of a class;
-repeated rows are in one class; an empty table gives no rows; columns other than doc_id and text
+repeated rows are in one class; rows without a doc_id have the class of rows with the same words, or
+none; an empty table gives no rows; columns other than doc_id and text
 are ignored.
 """
 
@@ -180,9 +181,9 @@ def prefix_pairs(sets: DataFrame, label: DataFrame, threshold: float = THRESHOLD
 def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, rep_id (smallest doc_id with the same words), class_id, a row a document."""
     signed = settle(signatures(docs, width), "op6-signatures")
-    once = signed.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").alias("id"), "keys")).alias("s")).select("digest", "s.*")
+    once = signed.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), "keys")).alias("s")).select("digest", "s.id", "s.keys")
     once = settle(once, "op6-once")
-    keyed = once.select("id", F.explode("keys").alias("key"))
+    keyed = once.where("id is not null").select("id", F.explode("keys").alias("key"))
     buckets = settle(bucketed(keyed), "op6-buckets")
     members = buckets.select("id").distinct()
     some = likely(docs.select(F.col("doc_id").alias("id"), "text"), members, "id").join(members.hint("merge"), "id", "left_semi")

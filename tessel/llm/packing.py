@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tessel.llm.common import portions, settle, texts, word_memo
 
 SHARD_PIECES = 8192  # pieces that one island holds
-ISLANDS, POPULATION, EPOCHS, GENERATIONS = 2, 4, 2, 4
+ISLANDS, POPULATION, EPOCHS, GENERATIONS = 2, 4, 2, 20
 WELL_FILLED = 0.995  # emptier sequences are pooled over all shards
 LEVELS = 4  # rounds of pooling at most
 _PIECE = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"

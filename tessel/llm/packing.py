@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tessel.llm.common import portions, settle, texts, word_memo
 
 SHARD_PIECES = 8192  # pieces that one island holds
-ISLANDS, POPULATION, EPOCHS, GENERATIONS = 2, 4, 2, 20
+ISLANDS, POPULATION, EPOCHS, GENERATIONS = 2, 4, 2, 60
 WELL_FILLED = 0.995  # emptier sequences are pooled over all shards
 LEVELS = 4  # rounds of pooling at most
 _PIECE = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -90,14 +90,6 @@ class Bins:
         return bin_
 
 
-def best_fit(length: np.ndarray, group: np.ndarray, free: list[int], todo: np.ndarray, capacity: int) -> np.ndarray:
-    """``group`` with the pieces ``todo`` placed, the longest first."""
-    bins = Bins(capacity, free)
-    for i in todo[np.argsort(-length[todo], kind="stable")].tolist():
-        group[i] = bins.fit(int(length[i]))
-    return group
-
-
 def fitness(length: np.ndarray, group: np.ndarray, capacity: int) -> tuple[int, float]:
     """Fewer sequences first, then the mean square of their filling."""
     fill = np.bincount(group, length)
@@ -105,23 +97,26 @@ def fitness(length: np.ndarray, group: np.ndarray, capacity: int) -> tuple[int,
 
 
 def crossover(length: np.ndarray, giver: np.ndarray, taker: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
-    """Inject a random choice of the giver's fuller sequences into the taker."""
+    """Inject most of the giver's fuller sequences into the taker; displaced pieces are fitted in a blurred order."""
     fill = np.bincount(giver, length)
-    full = np.flatnonzero(fill >= np.quantile(fill, 0.25))
+    full = np.flatnonzero(fill >= np.quantile(fill, rng.uniform(0.3, 0.8)))
     chosen = np.zeros(len(fill), bool)
-    chosen[rng.choice(full, max(1, int(len(full) * rng.uniform(0.2, 0.6))), replace=False)] = True
+    chosen[rng.choice(full, max(1, int(len(full) * rng.uniform(0.5, 1))), replace=False)] = True
     inside = chosen[giver]
     broken = np.zeros(int(taker.max()) + 1, bool)
     broken[taker[inside]] = True
-    broken |= np.bincount(taker, length) < capacity * rng.uniform(0.9, 1)  # mutation: poorly filled ones are dealt anew too
+    broken |= np.bincount(taker, length) < capacity * rng.uniform(0.95, 1)  # mutation: poorly filled ones are dealt anew too
     keeps = ~inside & ~broken[taker]
     child = np.full(len(length), -1)
     child[inside] = np.unique(giver[inside], return_inverse=True)[1]
-    first = int(chosen.sum())
-    child[keeps] = np.unique(taker[keeps], return_inverse=True)[1] + first
+    child[keeps] = np.unique(taker[keeps], return_inverse=True)[1] + int(chosen.sum())
     placed = child >= 0
-    free = (capacity - np.bincount(child[placed], length[placed])).astype(int).tolist()
-    return best_fit(length, child, free, np.flatnonzero(~placed), capacity)
+    bins = Bins(capacity, (capacity - np.bincount(child[placed], length[placed])).astype(int).tolist())
+    todo = np.flatnonzero(~placed)
+    blurred = length[todo] * rng.uniform(1 - rng.choice([0, 0.1, 0.3, 0.6]), 1, len(todo))
+    for i in todo[np.argsort(-blurred, kind="stable")].tolist():
+        child[i] = bins.fit(int(length[i]))
+    return child
 
 
 def evolve(length: np.ndarray, groups: list[np.ndarray], capacity: int, seed: int) -> list[np.ndarray]:

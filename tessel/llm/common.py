@@ -97,7 +97,7 @@ class WordMemo:
 
     _BASE = 0x9E3779B97F4A7C15 | 1
 
-    def __init__(self, path: str, room: int = 1_000_000):
+    def __init__(self, path: str, room: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -212,7 +212,7 @@ def word_memo(path: str) -> WordMemo:
     return _memos[path]
 
 
-def portions(batch, size: int = 4 << 20):
+def portions(batch, size: int = 2 << 20):
     """Slices of an Arrow batch (columns doc_id, text) of about ``size`` bytes of text each."""
     import pyarrow.compute as pc
 

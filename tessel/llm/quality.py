@@ -22,7 +22,6 @@ from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -204,10 +203,13 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 def keep(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs`` whose text scores ``threshold`` or more, all columns as they are."""
 
-    @F.pandas_udf("double")
-    def scored(text: pd.Series) -> pd.Series:
-        column = pa.array(text, pa.string())
-        parts = [model.score(column.slice(at, 1000)) for at in range(0, len(column), 1000)]
-        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
-
-    return docs.where(scored(F.coalesce("text", F.lit(""))) >= threshold)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.schema.get_field_index("text")
+            done = 0
+            for part in portions(batch.set_column(text, "text", batch.column(text).fill_null("")), 1 << 20):
+                good = model.score(part.column("text")) >= threshold
+                yield batch.slice(done, len(part)).filter(pa.array(good))
+                done += len(part)
+
+    return docs.mapInArrow(run, docs.schema)

@@ -35,3 +35,16 @@ def test_named_rows_win(spark, docs):
     assert {r["keep_id"] for r in exact_dedup.report(spark, path).where("group_size = 2").collect()} == {7}
     assert {r["class_id"] for r in near_dedup.near_duplicates(docs).where("rep_id = 7").collect()} == {7}
     assert near_dedup.deduplicate(docs).count() == 5 and exact_dedup.deduplicate(docs).count() == 4
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_equals_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    got = queries.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas()
+    want = con.execute(queries.ORACLES[name]).df()
+    columns = sorted(got.columns)
+    assert sorted(want.columns) == columns
+    assert got[columns].sort_values("doc_id").values.tolist() == want[columns].sort_values("doc_id").values.tolist()

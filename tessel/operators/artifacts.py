@@ -39,3 +39,9 @@ def resolve(wanted: DataFrame, entries: DataFrame) -> DataFrame:
     best = entries.groupBy("class_name").agg(F.min(F.struct("tier", "ordinal", "path")).alias("b"))
     status = F.when(F.col("class_name").rlike(r"^[\w$]+(\.[\w$]+)*$"), F.when(F.col("b").isNotNull(), "success").otherwise("not_found")).otherwise("error")
     return wanted.join(best, "class_name", "left").select("class_name", status.alias("status"), "b.path", "b.tier")
+
+
+def artifact_of(resolved: DataFrame) -> DataFrame:
+    """class_name, group_id, artifact_id, version of resolved classes; a path outside a repository has its version only."""
+    c = coordinates(F.col("path"))
+    return resolved.where("status = 'success'").select("class_name", c["group_id"].alias("group_id"), c["artifact_id"].alias("artifact_id"), version(F.col("path")).alias("version"))

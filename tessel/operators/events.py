@@ -16,6 +16,22 @@ def payloads(pieces: DataFrame, key: str) -> DataFrame:
     return whole.select(key, F.posexplode(F.transform(found, lambda x: F.substring(x, 7, 1_000_000_000))).alias("pos", "payload"))
 
 
+def deltas(rows: DataFrame, key: str) -> DataFrame:
+    """key, reasoning, output, final: text of a stream's events (``pos``, ``payload``) by type, in order.
+
+    The final text is the streamed output if there is any, else what the completed event has.
+    """
+    kind, part = F.get_json_object("payload", "$.type"), F.get_json_object("payload", "$.delta")
+
+    def joined(name: str):
+        own = F.collect_list(F.when(kind == name, F.struct("pos", part.alias("t"))))
+        return F.array_join(F.transform(F.array_sort(own), lambda x: x["t"]), "")
+
+    done = F.max(F.when(kind == "response.completed", F.struct("pos", F.get_json_object("payload", "$.text").alias("t")))).getField("t")
+    out = rows.groupBy(key).agg(joined("response.reasoning_text.delta").alias("reasoning"), joined("response.output_text.delta").alias("output"), done.alias("done"))
+    return out.select(key, "reasoning", "output", F.when(F.col("output") != "", F.col("output")).otherwise(F.coalesce("done", F.lit(""))).alias("final"))
+
+
 def first_and_last(events: DataFrame, key: str, order: str, value: str, first: Column, last: Column) -> DataFrame:
     """key, first_at, last_value: when an event of one sort first came, and the last value of another."""
     return events.groupBy(key).agg(F.min(F.when(first, F.col(order))).alias("first_at"), F.max(F.when(last, F.struct(order, value))).getField(value).alias("last_value"))

@@ -11,6 +11,11 @@ from tessel.functions.vectors import dot
 K = 8
 
 
+def query_text(text: Column, size: int = 6000) -> Column:
+    """What of a query is embedded: no more than a chunk."""
+    return F.left(text, F.lit(size))
+
+
 def scored(chunks: DataFrame, query: DataFrame, vector: str = "embedding") -> DataFrame:
     """``chunks`` with ``score`` against the one row of ``query``; NaN scores go."""
     one = F.broadcast(query.limit(1).select(F.col(vector).alias("_q")))  # one row, so no real product
@@ -43,8 +48,12 @@ def keyword_score(text: Column, keyword: str) -> Column:
 
 
 def report(best: DataFrame, docs: DataFrame, key: str = "doc_id", width: int = 40) -> DataFrame:
-    """Results (few: a top-k) joined with their texts: lines, excerpt, score as text; Not Found without a text."""
-    rows = docs.select(key, "text").join(F.broadcast(best), key, "right")
+    """Results (few: a top-k) joined with their texts: lines, excerpt, score as text; Not Found without a text.
+
+    The keys of the results go to every task and pick their texts, so no other text moves.
+    """
+    texts = docs.select(key, "text").join(F.broadcast(best.select(key)), key, "left_semi")
+    rows = best.join(texts, key, "left")
     text = F.col("text")
     return rows.select(
         key, "chunk_index", F.format_string("%.4f", "score").alias("score"),

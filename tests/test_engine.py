@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessel.functions import text as text_
 from tessel.functions import vectors
 from tessel.operators import artifacts, chunking, events, glossary, search, store, textfiles, usage
-from tessel.sources import files
+from tessel.sources import files, sinks
 
 
 def one(spark, expression):
@@ -231,3 +231,26 @@ def test_small_functions(spark):
     assert one(spark, text_.join_url(F.lit("http://h/"), F.lit("/p"))) == "http://h/p"
     assert one(spark, text_.basic_date(F.lit(1704063600000))) == "20240101"
     assert one(spark, text_.json_floats(F.lit('{"embedding":[1, -2.5]}'), "embedding")) == [1.0, -2.5]
+
+
+def test_deltas_and_sinks(spark, tmp_path):
+    lines = ['{"type":"response.output_text.delta","delta":"a"}', '{"type":"response.reasoning_text.delta","delta":"r"}', '{"type":"response.output_text.delta","delta":"b"}', '{"type":"response.completed","text":"zz"}']
+    rows = spark.createDataFrame([(1, k, x) for k, x in enumerate(lines)] + [(2, 0, lines[3])], "s int, pos int, payload string")
+    assert {r["s"]: tuple(r)[1:] for r in events.deltas(rows, "s").collect()} == {1: ("r", "ab", "ab"), 2: ("", "", "zz")}
+    path = str(tmp_path / "new")
+    sinks.create_files(spark.createDataFrame([("x",)], "value string"), path)
+    with pytest.raises(PySparkException, match="exists"):
+        sinks.create_files(spark.createDataFrame([("y",)], "value string"), path)
+    sinks.create_files(spark.createDataFrame([("y",)], "value string"), path, overwrite=True)
+    assert [r["value"] for r in spark.read.text(path).collect()] == ["y"]
+    sinks.write_back(textfiles.replace_all(spark.createDataFrame([(1, "aa"), (2, "b")], "doc_id long, text string"), "a", "c"), str(tmp_path / "e"))
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "e")).collect()] == [(1, 2, "cc")]
+    assert one(spark, search.query_text(F.lit("abc"), 2)) == "ab"
+
+
+def test_artifact_of_a_class(spark):
+    wanted = spark.createDataFrame([("a.B",), ("a.C",), ("no class",)], "class_name string")
+    entries = spark.createDataFrame([("a.B", 1, 0, "/lib/x-3.jar"), ("a.B", 0, 5, "g/h/x/2/x-2-sources.jar")], "class_name string, tier int, ordinal int, path string")
+    got = artifacts.resolve(wanted, entries)
+    assert {r["class_name"]: r["status"] for r in got.collect()} == {"a.B": "success", "a.C": "not_found", "no class": "error"}
+    assert [tuple(r) for r in artifacts.artifact_of(got).collect()] == [("a.B", "g.h", "x", "2")]

@@ -6,8 +6,8 @@ import numpy as np
 import pyarrow as pa
 
 #: Words are runs of ASCII letters (lower-cased), digits and non-ASCII bytes.
-_SMALL = np.array([c + 32 if 65 <= c < 91 else c for c in range(256)], np.uint8)
-_WORD = np.array([48 <= c < 58 or 97 <= c < 123 or c >= 128 for c in range(256)])
+SMALL = np.array([c + 32 if 65 <= c < 91 else c for c in range(256)], np.uint8)
+WORD = np.array([48 <= c < 58 or 97 <= c < 123 or c >= 128 for c in range(256)])
 _BASE = 0xD1342543DE82EF95
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -60,8 +60,8 @@ def hashes(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
 def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and the n + 1 bounds of each text among them."""
     raw, offsets = texts_of(column)
-    raw = _SMALL[raw]
-    begins, ends = spans(_WORD[raw], offsets)
+    raw = SMALL[raw]
+    begins, ends = spans(WORD[raw], offsets)
     return hashes(raw, begins, ends), np.searchsorted(begins, offsets)
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tessel.llm.common import portions, texts
 from tessel.llm.labelled import SAMPLE, held_out, sample
-from tessel.llm.shingles import _SMALL, _WORD, hashes, spans, texts_of
+from tessel.llm.shingles import SMALL, WORD, hashes, spans, texts_of
 
 SPACE, KEPT, LEAST = 1 << 20, 4096, 3
 PREFIXES = (5, 6, 7, 8)
@@ -34,8 +34,8 @@ PREFIXES = (5, 6, 7, 8)
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Different features of the texts as (text number, feature below SPACE), sorted."""
     raw, offsets = texts_of(column)
-    raw = _SMALL[raw]
-    begins, ends = spans(_WORD[raw], offsets)
+    raw = SMALL[raw]
+    begins, ends = spans(WORD[raw], offsets)
     keys = []
     text = np.searchsorted(offsets, begins, "right") - 1
     for size in (0, *PREFIXES):

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tessel.llm.common import portions, texts
 from tessel.llm.labelled import SAMPLE, held_out, sample
-from tessel.llm.shingles import SMALL, hashes, mix, shingles, spans, texts_of
+from tessel.llm.shingles import SMALL, hashes, shingles, spans, texts_of
 
 SLOTS, DIM, SIGNS, SIGN_DIM, WINDOW, HIDDEN = 1 << 14, 32, 1 << 10, 64, 2, 24
 #: Byte classes: 0 blank, 1 lower-case, 2 upper-case, 3 digit, 4 non-ASCII, 5 symbol, 6 line end.

@@ -1,6 +1,7 @@
 """Toxicity by cumulative-link ordinal regression over sparse text features (operator 7).
 
-Features of a text: its different words and their beginnings of 5 to 8 bytes, hashed. Labels say
+Features of a text: its different words, those that it says again, and beginnings of words of 5 to
+8 bytes, hashed. Labels say
 toxic or not; severity grades come from them: among toxic documents of the sample, grade 1 to 3 by
 how many different telling features (log-odds) a text has. One weight vector is shared by all
 ordered thresholds: P(grade > k) = sigmoid(w.x - theta_k), with theta_1 < theta_2 < theta_3. The
@@ -42,6 +43,8 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         long = np.flatnonzero(ends - begins > size) if size else np.arange(len(begins))
         hashed = hashes(raw, begins[long], begins[long] + size if size else ends[long])
         keys.append(text[long] * SPACE + ((hashed ^ np.uint64(size)) % np.uint64(SPACE)).astype(np.int64))
+    whole, count = np.unique(keys[0], return_counts=True)
+    keys.append((whole // SPACE * SPACE + (whole * 40503 + 7) % SPACE)[count > 1])  # said again
     keys = np.sort(np.concatenate(keys))
     keys = keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
     return keys // SPACE, keys % SPACE

@@ -57,6 +57,7 @@ def _named(found: DataFrame, *by: str) -> DataFrame:
 
 def watch(spark: SparkSession, path: str, table: str, checkpoint: str, bits: int = 256, files_a_batch: int = 1000) -> None:
     """Run the stream over the Parquet files at ``path`` that are new to ``checkpoint``; append to ``table``."""
+    path = path.rstrip("/")
     pattern = f"{path[:-1]}[{path[-1]}]"  # a stream takes a single file only as a match of a pattern
     stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_a_batch).parquet(pattern)
     seen = groups(digests(stream, bits, F.col("_metadata.file_path").alias("locator")), "digest")

@@ -10,7 +10,7 @@ number, so that a batch which runs twice leaves the same files.
 A digest that has come more than once is a hit: full texts are compared for hits before any row is
 dropped. Hits with a large share of all rows (1,000 at most, as each has a thousandth of the rows)
 go to every task, which sums equal bytes before they move; others are joined by digest, and rows
-in no slot of a hit (``likely``) don't take part. Should
+in no slot of a hit don't take part. Should
 different texts share a digest, each text is a group of its own.
 
 Defined cases: a null text counts as empty, and so equals a text of blanks only; of equal texts
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm.common import likely, scratch, settle
+from tessel.llm.common import SLOTS, scratch, settle
 
 BLANKS = "[\\x20\\x09-\\x0D]+"
 HOT_SHARE = 1000  # a digest is hot with one in so many rows; so there are no more hot ones than that
@@ -86,18 +86,29 @@ def state(spark: SparkSession, table: str) -> DataFrame:
     return newest.select("digest", "s.*")
 
 
-def collisions(docs: DataFrame, seen: DataFrame, bits: int = 256) -> DataFrame:
+def read_rows(docs: DataFrame, hits: DataFrame, bits: int = 256) -> DataFrame:
+    """One more pass over the texts: doc_id, n_points, digest, text_sha256, and the content of likely hits only.
+
+    ``SLOTS`` bounds the list of slots that goes to every task.
+    """
+    slot = F.pmod(F.xxhash64("digest"), F.lit(SLOTS)).alias("_slot")
+    few = F.broadcast(hits.select(slot).distinct().withColumn("_hit", F.lit(True)))
+    rows = digests(docs, bits).withColumn("text_sha256", F.sha2("content", 256)).withColumn("_slot", slot).join(few, "_slot", "left")
+    return settle(rows.select("doc_id", "n_points", "digest", "text_sha256", F.when(F.col("_hit"), F.col("content")).alias("content")), "op5-rows")
+
+
+def collisions(rows: DataFrame, seen: DataFrame) -> DataFrame:
     """Compare full texts on hits: the groups (digest, content, ...) of digests that different texts share."""
     hits = seen.where("group_size > 1").select("digest", "group_size")
     total = seen.agg(F.sum("group_size")).first()[0] or 0
     least = max(2, -(-total // HOT_SHARE))
     hot = F.broadcast(hits.where(F.col("group_size") >= least).select("digest"))
-    rows = digests(docs, bits, F.lit(None).cast("string").alias("locator"))
+    rows = rows.where("content is not null").withColumn("locator", F.lit(None).cast("string"))
     # Hot rows meet nobody but the small list before they are summed; the others come to their digest.
     often = groups(rows.join(hot, "digest", "left_semi"), "digest", "content")
-    others = hits.where(F.col("group_size") < least)
-    seldom = groups(likely(rows, others, "digest").join(hot, "digest", "left_anti").join(others.hint("merge"), "digest", "left_semi"), "digest", "content")
-    exact = settle(often.unionByName(seldom).select("digest", "content", "group_size", "best", F.xxhash64("content").alias("of")), "op5-hits")
+    others = hits.where(F.col("group_size") < least).hint("merge")
+    seldom = groups(rows.join(hot, "digest", "left_anti").join(others, "digest", "left_semi"), "digest", "content")
+    exact = settle(often.unionByName(seldom).select("digest", "content", "group_size", "best"), "op5-hits")
     shared = exact.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
     return _named(exact.join(shared, "digest", "left_semi"), "digest", "content")
 
@@ -110,15 +121,14 @@ def report(spark: SparkSession, path: str, bits: int = 256, files_a_batch: int =
     if docs.isEmpty():
         return docs.select("doc_id", F.lit(None).cast("long").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lit("").alias("text_sha256"))
     seen = settle(state(spark, f"{work}/changed"), "op5-state")
-    split = settle(collisions(docs, seen, bits), "op5-split")
-    rows = digests(docs, bits)
+    rows = read_rows(docs, seen.where("group_size > 1"), bits)
+    split = settle(collisions(rows, seen), "op5-split")
+    slim = rows.drop("content", "n_points")
     if split.isEmpty():
-        found = rows.select("doc_id", "digest", F.col("digest").alias("text_sha256")).join(seen, "digest")
+        found = slim.join(seen, "digest")
     else:
-        rows = rows.withColumn("text_sha256", F.sha2("content", 256))
         alone = split.select("digest").distinct()
-        one = rows.join(alone, "digest", "left_anti").join(seen, "digest")
-        found = one.unionByName(rows.join(split, ["digest", "content"]))
+        found = slim.join(alone, "digest", "left_anti").join(seen, "digest").unionByName(rows.drop("n_points").join(split, ["digest", "content"]).drop("content"))
     return found.select("doc_id", "keep_id", "group_size", F.equal_null("doc_id", "keep_id").alias("kept"), "text_sha256")
 
 

@@ -31,18 +31,21 @@ def checked(v: Column) -> Column:
 def blocks(v: Column) -> Column:
     """Blocks of 32 values as (scale, q): the scale in float32, values rounded half up on the float32 quotient."""
 
-    def block(k: Column) -> Column:
-        part = F.slice(v, k * BLOCK + 1, F.lit(BLOCK))
-        top = F.array_max(F.transform(F.filter(part, lambda x: ~F.isnan(x)), F.abs))
+    def scaled(part: Column) -> Column:
+        top = F.array_max(F.transform(F.filter(part, lambda x: ~F.isnan(x)), lambda x: F.abs(x)))
         scale = F.when(F.coalesce(top, F.lit(0.0)) == 0, F.lit(1.0).cast("float")).otherwise((top / 127).cast("float"))
+        return F.struct(part.alias("part"), scale.alias("scale"))
 
-        def quantised(x: Column) -> Column:
-            q = F.floor((x / scale).cast("float").cast("double") + 0.5)
+    def rounded(block: Column) -> Column:
+        def value(x: Column) -> Column:
+            q = F.floor((x / block["scale"]).cast("float").cast("double") + 0.5)
             return F.when(F.isnan(x), 0).otherwise(F.greatest(F.least(q, F.lit(127)), F.lit(-128))).cast("byte")
 
-        return F.struct(scale.alias("scale"), F.transform(part, quantised).alias("q"))
+        return F.struct(block["scale"].alias("scale"), F.transform(block["part"], value).alias("q"))
 
-    return F.transform(F.sequence(F.lit(0), (F.size(v) / BLOCK).cast("int") - 1), block)
+    # One step after the other, so that a block's scale is computed once and not for each value.
+    parts = F.transform(F.sequence(F.lit(0), (F.size(v) / BLOCK).cast("int") - 1), lambda k: F.slice(v, k * BLOCK + 1, F.lit(BLOCK)))
+    return F.transform(F.transform(parts, scaled), rounded)
 
 
 @F.pandas_udf(T.BinaryType())

@@ -115,7 +115,8 @@ q AS (SELECT vec_id, block, part, scale, list_transform(part, lambda x: greatest
 @query(_Q8_SQL + "SELECT vec_id, block::INTEGER AS block, scale::DOUBLE AS scale, array_to_string(q, ',') AS q FROM q")
 def q8_quantize(spark, sf_dir):
     """Vectors, filled up to 256 values, as blocks of 8-bit values."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(vectors.blocks(vectors.checked(vectors.padded(F.col("embedding"))))).alias("block", "b"))
+    full = table(spark, sf_dir, "embeddings").select("vec_id", vectors.checked(vectors.padded(F.col("embedding"))).alias("v"))
+    rows = full.select("vec_id", F.posexplode(vectors.blocks(F.col("v"))).alias("block", "b"))
     return rows.select("vec_id", "block", F.col("b.scale").cast("double").alias("scale"), F.array_join(F.transform("b.q", lambda x: x.cast("string")), ",").alias("q"))
 
 

@@ -4,7 +4,9 @@ A text is its different shingles of five words, weighted by 1 + ln(count). Each
 exponential arrivals at a rate of its weight to the registers, in an order of its own without
 repeats, and stops as soon as its next arrival is later than all that the text's registers hold;
 a register keeps the first arrival. Two texts agree in a register with the probability Jaccard of
-their weights. Bands of registers give buckets.
+their weights. Bands of registers give buckets. Where repeats differ, that may lie far below the
+Jaccard of the sets, which links ask for: so a text with repeats also has the bands that its set
+gives, at the weight 1 for each different shingle. For others both are the same.
 
 Texts with the same words are one row first. Links are found in three steps, all checked on the
 shingle sets themselves (Jaccard of ``THRESHOLD`` or more):
@@ -82,6 +84,19 @@ def bands(registers: np.ndarray) -> np.ndarray:
     return key
 
 
+def band_keys(text: np.ndarray, item: np.ndarray, count: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Different bucket keys of all texts in order, and how many each has: weighted bands, then those of the bare set."""
+    keys = bands(prob_minhash(text, item, 1 + np.log(count), n_texts))
+    uneven = np.zeros(n_texts, bool)
+    uneven[text[count > 1]] = True
+    inside, bare, differs = uneven[text], np.zeros_like(keys), np.zeros(keys.shape, bool)
+    bare[uneven] = bands(prob_minhash((np.cumsum(uneven) - 1)[text[inside]], item[inside], np.ones(int(inside.sum())), int(uneven.sum())))
+    differs[uneven] = bare[uneven] != keys[uneven]
+    some = np.broadcast_to((np.bincount(text, minlength=n_texts) > 0)[:, None], keys.shape)
+    chosen = np.concatenate([some, differs], 1)
+    return np.concatenate([keys, bare], 1)[chosen], chosen.sum(1)
+
+
 def _shingled(column: pa.Array, width: int):
     word, bounds = words(column)
     return word, bounds, *shingles(word, bounds, width)
@@ -95,12 +110,11 @@ def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             for part in portions(batch):
                 column = part.column("text")
                 word, bounds, text, item, count = _shingled(column, width)
-                keys = bands(prob_minhash(text, item, 1 + np.log(count), len(part))).view(np.int64)
+                keys, sizes = band_keys(text, item, count, len(part))
                 raw, offsets = texts_of(column)
                 whole = [word[a:b] if b > a else raw[c:d] for a, b, c, d in zip(bounds[:-1], bounds[1:], offsets[:-1], offsets[1:], strict=True)]
                 digest = [hashlib.blake2b(x.tobytes(), digest_size=16, key=b"w" if x.dtype == np.uint64 else b"t").digest() for x in whole]
-                some = bounds[1:] > bounds[:-1]
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(some * BANDS)), pa.int32()), pa.array(keys[some].ravel()))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(keys.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digest, pa.binary()), lists], ["doc_id", "digest", "keys"])
 
     return texts(docs).mapInArrow(run, "doc_id long, digest binary, keys array<long>")

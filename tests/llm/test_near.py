@@ -86,3 +86,14 @@ def test_op6_large_group_and_odd(spark, odd, none):
     assert len(got) == len(ODD) + len(rows)
     assert {r["doc_id"]: r["class_id"] for r in got} == brute(ODD + rows)
     assert near_dedup.near_duplicates(none).count() == 0
+
+
+def test_op6_unequal_repeats(spark):
+    rows = []
+    for i in range(60):
+        head, own, block = ([f"{x}{i}x{k}" for k in range(n)] for x, n in (("h", 75), ("o", 8), ("b", 20)))
+        rows += [(2 * i, " ".join(head + block + block[:4])), (2 * i + 1, " ".join(own + head[8:] + block * 100 + block[:4]))]
+    want = brute(rows)
+    assert all(want[2 * i + 1] == 2 * i for i in range(60))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == want

@@ -15,8 +15,8 @@ different texts share a digest, each text is a group of its own.
 
 Defined cases: a null text counts as empty, and so equals a text of blanks only; of equal texts
 the one with most code points stays, then the smallest doc_id; rows with the doc_id that stays and
-an equal text are all marked as kept in the report, and ``deduplicate`` leaves one of them; an
-empty table gives no rows; columns other than doc_id and text are ignored by the report.
+an equal text are all marked as kept in the report, and ``deduplicate`` leaves one of them, with
+most code points, then as first written (so do rows without a doc_id, if one of them stays); an empty table gives no rows; columns other than doc_id and text are ignored by the report.
 """
 
 from __future__ import annotations
@@ -86,15 +86,15 @@ def state(spark: SparkSession, table: str) -> DataFrame:
     return newest.select("digest", "s.*")
 
 
-def read_rows(docs: DataFrame, hits: DataFrame, bits: int = 256) -> DataFrame:
-    """One more pass over the texts: doc_id, n_points, digest, text_sha256, and the content of likely hits only.
+def read_rows(docs: DataFrame, hits: DataFrame, bits: int = 256, *keep: str) -> DataFrame:
+    """One more pass over the texts: doc_id, n_points, digest, text_sha256, ``keep``, and the content of likely hits only.
 
     ``SLOTS`` bounds the list of slots that goes to every task.
     """
     slot = F.pmod(F.xxhash64("digest"), F.lit(SLOTS)).alias("_slot")
     few = F.broadcast(hits.select(slot).distinct().withColumn("_hit", F.lit(True)))
-    rows = digests(docs, bits).withColumn("text_sha256", F.sha2("content", 256)).withColumn("_slot", slot).join(few, "_slot", "left")
-    return settle(rows.select("doc_id", "n_points", "digest", "text_sha256", F.when(F.col("_hit"), F.col("content")).alias("content")), "op5-rows")
+    rows = digests(docs, bits, *keep).withColumn("text_sha256", F.sha2("content", 256)).withColumn("_slot", slot).join(few, "_slot", "left")
+    return settle(rows.select("doc_id", "n_points", "digest", "text_sha256", *keep, F.when(F.col("_hit"), F.col("content")).alias("content")), "op5-rows")
 
 
 def collisions(rows: DataFrame, seen: DataFrame) -> DataFrame:
@@ -113,31 +113,31 @@ def collisions(rows: DataFrame, seen: DataFrame) -> DataFrame:
     return _named(exact.join(shared, "digest", "left_semi"), "digest", "content")
 
 
-def report(spark: SparkSession, path: str, bits: int = 256, files_a_batch: int = 1000) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for each document at ``path``."""
+def report(spark: SparkSession, path: str, bits: int = 256, files_a_batch: int = 1000, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 for each document at ``path``; with ``keep`` also n_points and those columns."""
     work = scratch(spark, "op5")
     watch(spark, path, f"{work}/changed", f"{work}/checkpoint", bits, files_a_batch)
     docs = spark.read.parquet(path)
     if docs.isEmpty():
-        return docs.select("doc_id", F.lit(None).cast("long").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lit("").alias("text_sha256"))
+        return docs.select("doc_id", F.lit(None).cast("long").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lit("").alias("text_sha256"), *([F.lit(0).cast("long").alias("n_points"), *keep] if keep else []))
     seen = settle(state(spark, f"{work}/changed"), "op5-state")
-    rows = read_rows(docs, seen.where("group_size > 1"), bits)
+    rows = read_rows(docs, seen.where("group_size > 1"), bits, *keep)
     split = settle(collisions(rows, seen), "op5-split")
-    slim = rows.drop("content", "n_points")
+    slim = rows.drop("content")
     if split.isEmpty():
         found = slim.join(seen, "digest")
     else:
         alone = split.select("digest").distinct()
-        found = slim.join(alone, "digest", "left_anti").join(seen, "digest").unionByName(rows.drop("n_points").join(split, ["digest", "content"]).drop("content"))
-    return found.select("doc_id", "keep_id", "group_size", F.equal_null("doc_id", "keep_id").alias("kept"), "text_sha256")
+        found = slim.join(alone, "digest", "left_anti").join(seen, "digest").unionByName(rows.join(split, ["digest", "content"]).drop("content"))
+    return found.select("doc_id", "keep_id", "group_size", F.equal_null("doc_id", "keep_id").alias("kept"), "text_sha256", *(["n_points", *keep] if keep else []))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns as they are."""
-    path = scratch(docs.sparkSession, "op5-docs")
-    docs.write.option("compression", "zstd").parquet(path)
-    docs = docs.sparkSession.read.schema(docs.schema).parquet(path)
-    stays = report(docs.sparkSession, path).where("kept").select(F.col("doc_id").alias("_doc"), F.col("text_sha256").alias("_digest")).distinct()
-    marked = docs.withColumn("_digest", F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), BLANKS, ""), 256))
-    joined = marked.join(stays, F.col("doc_id").eqNullSafe(F.col("_doc")) & (marked["_digest"] == stays["_digest"]), "left_semi").drop("_digest")
-    return joined
+    """The rows of ``docs`` that stay, one of each group of equal texts, all columns as they are."""
+    path, numbered = scratch(docs.sparkSession, "op5-docs"), docs.withColumn("_op5_row", F.monotonically_increasing_id())
+    numbered.write.option("compression", "zstd").parquet(path)
+    numbered = docs.sparkSession.read.schema(numbered.schema).parquet(path)
+    kept = report(docs.sparkSession, path, keep=("_op5_row",)).where("kept")
+    best = F.max(F.struct("n_points", F.bitwise_not("_op5_row").alias("first")))
+    stays = kept.groupBy("doc_id", "text_sha256").agg(best.alias("best")).select(F.bitwise_not("best.first").alias("_op5_row"))
+    return numbered.join(stays, "_op5_row", "left_semi").select(*docs.columns)

@@ -214,6 +214,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
 
 
 def deduplicate(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without those that have a smaller doc_id in their class; all columns as they are."""
-    goes = near_duplicates(docs, width, threshold).where("doc_id <> class_id").select(F.col("doc_id").alias("_goes")).distinct()
-    return docs.join(goes, docs["doc_id"] == goes["_goes"], "left_anti")
+    """``docs`` with one row of each class: the smallest doc_id's (none comes last), then the first written; all columns as they are."""
+    numbered = settle(docs.withColumn("_op6_row", F.monotonically_increasing_id()), "op6-docs")
+    classes = near_duplicates(numbered.select(F.col("_op6_row").alias("doc_id"), "text"), width, threshold).select(F.col("doc_id").alias("_op6_row"), "class_id")
+    named = settle(classes.join(numbered.select("_op6_row", "doc_id"), "_op6_row"), "op6-classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_op6_row"))
+    stays = named.groupBy("class_id").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("class_id", F.col("first._op6_row").alias("stays"))
+    goes = named.join(stays, "class_id").where("_op6_row <> stays").select("_op6_row")
+    return numbered.join(goes, "_op6_row", "left_anti").select(*docs.columns)

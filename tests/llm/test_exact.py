@@ -50,3 +50,10 @@ def test_deduplicate(spark, odd, none):
     assert got.columns == odd.columns
     assert sorted(r["doc_id"] for r in got.dropDuplicates(["doc_id"]).collect()) == sorted({k for _, k, *_ in brute(ODD)})
     assert exact_dedup.deduplicate(none).count() == 0
+
+
+def test_deduplicate_leaves_one_row_each(spark, odd):
+    assert sorted(r["doc_id"] for r in exact_dedup.deduplicate(odd).collect()) == sorted({k for _, k, *_ in brute(ODD)})
+    rows = [(None, "null"), (None, "nul l"), (None, "nul l"), (12, "pq"), (12, "p q"), (12, "p q"), (13, "pq"), (12, "other"), (None, "v"), (14, "v")]
+    got = exact_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(None, "nul l"), (12, "p q"), (12, "other"), (14, "v")]))

@@ -97,3 +97,11 @@ def test_op6_unequal_repeats(spark):
     assert all(want[2 * i + 1] == 2 * i for i in range(60))
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["class_id"] for r in got} == want
+
+
+def test_deduplicate_leaves_one_row_each(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(None, a + " x"), (None, a + " y"), (None, b + " x"), (3, b + " y"), (2, b), (2, b), (2, c), (5, "???"), (5, "???")]
+    got = near_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"][0]) for r in got) == [(0, "a"), (2, "b"), (2, "c"), (5, "?")]
+    assert (2, b) in map(tuple, got)

@@ -5,7 +5,7 @@ whole from one parent, injects them into the other, drops that one's sequences w
 twice, and best-fits the displaced pieces. Pieces are dealt by a hash into shards of bounded size;
 each shard evolves on several islands, and after each epoch an island's elite moves to the next
 island of its shard. Sequences that stay badly filled in their shards are pooled, dealt anew into
-fewer shards and packed again, until one shard holds what is left.
+as many shards as they need and packed again, until one shard holds what is left or none leaves.
 
 Nothing but shards and elites (bounded by ``SHARD_PIECES``) is ever in one task, and the driver
 holds counts only.
@@ -160,7 +160,7 @@ def _ints(x: bytes, kind: str = "<i4") -> np.ndarray:
 
 
 def pack_level(items: DataFrame, shards: int, capacity: int, level: int = 0) -> DataFrame:
-    """One round of evolution with migration over ``items`` (row, length): adds sequence_id, offset, fill."""
+    """One round of evolution with migration over ``items`` (row, length): adds sequence_id (its first piece's row), offset, fill."""
 
     def begin(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "row"], ascending=[False, True])
@@ -189,7 +189,7 @@ def pack_level(items: DataFrame, shards: int, capacity: int, level: int = 0) ->
                 begins = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
                 sizes = np.diff(np.r_[begins, len(group)])
                 fill = np.add.reduceat(length, begins)
-                yield pd.DataFrame({"row": row, "length": length, "sequence_id": level << 58 | x.shard << 16 | group, "offset": at - np.repeat(at[begins], sizes), "fill": np.repeat(fill, sizes)})
+                yield pd.DataFrame({"row": row, "length": length, "sequence_id": np.repeat(row[begins], sizes), "offset": at - np.repeat(at[begins], sizes), "fill": np.repeat(fill, sizes)})
 
     dealt = items.select("row", "length", F.pmod(F.xxhash64("row", F.lit(level)), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"))
     state = settle(dealt.groupBy("shard", "island").applyInPandas(begin, _STATE), "op8-islands")
@@ -209,14 +209,15 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
     shards = max(1, -(-n // SHARD_PIECES))
     while n:
         packed = settle(pack_level(left, shards, capacity, level), "op8-level")
-        last = shards == 1 or level + 1 == LEVELS
         poor = F.col("fill") < WELL_FILLED * capacity
+        rest = packed.where(poor).select("row", "length")
+        pooled = rest.count()
+        last = shards == 1 or level + 1 == LEVELS or pooled == n
         places.append((packed if last else packed.where(~poor)).select("row", "sequence_id", "offset"))
         if last:
             break
-        left, level = packed.where(poor).select("row", "length"), level + 1
-        n = left.count()
-        shards = min(shards // 2, -(-n // SHARD_PIECES)) or 1
+        left, level, n = rest, level + 1, pooled
+        shards = max(1, -(-n // SHARD_PIECES))
     out = places[0]
     for x in places[1:]:
         out = out.unionByName(x)

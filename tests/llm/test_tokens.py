@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessel.llm import byte_bpe, packing, queries, token_files
@@ -104,6 +105,21 @@ def test_op8_odd(spark, odd, none, monkeypatch):
     assert packing.pack_documents(none, WORDS, 1, 64).count() == 0
 
 
+def test_op8_long_pieces_keep_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_PIECES", 4)
+    sizes, own = [], packing.pack_level
+    monkeypatch.setattr(packing, "pack_level", lambda items, shards, *more: sizes.append((items.count(), shards)) or own(items, shards, *more))
+    texts = {k: "word " * 40 for k in range(64)}
+    rows = packing.pack_documents(spark.createDataFrame([*texts.items()], "doc_id long, text string"), WORDS, 1, 64).collect()
+    assert check_packing(rows, texts, 64) == 64
+    assert all(n <= 4 * shards for n, shards in sizes)
+
+
+def test_op8_large_shards_have_ids_of_their_own(spark):
+    items = spark.range(140_000).select(F.col("id").alias("row"), F.lit(1).cast("long").alias("length"))
+    assert packing.pack_level(items, 2, 1).select("sequence_id").distinct().count() == 140_000
+
+
 def test_crossover_beats_or_keeps_best_fit():
     rng = np.random.default_rng(0)
     length = rng.integers(900, 2100, 400)

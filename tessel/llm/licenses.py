@@ -2,7 +2,7 @@
 
 A text becomes its words, lower-cased in ASCII and joined by one blank; one pass of the automaton
 finds every base phrase, notice phrase and identifier tag as whole consecutive words. Behind each
-tag the expression is read from the text itself, turned into postfix order by precedence
+tag the expression is read from the text itself, to where prose or the line ends, turned into postfix order by precedence
 (``with`` before ``and`` before ``or``) and evaluated: its licences become labels, ``or`` takes the
 more open side, ``and`` the less open one, and ``with`` eases the licence before it.
 
@@ -18,6 +18,7 @@ than doc_id and text are ignored; repeated rows stay.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,7 +40,7 @@ NOTICES = {
 
 #: Words of identifier tags; an expression follows in the text.
 TAGS = ("spdx license identifier", "license expression")
-_TAG = re.compile(r"(?:spdx[^\S\n]*-[^\S\n]*license[^\S\n]*-[^\S\n]*identifier|license[\s-]expression)[^\S\n]*[:=]?[^\S\n]*([^\n]{0,400})", re.I)
+_TAG = re.compile(r"(?:spdx[^\S\n]*-[^\S\n]*license[^\S\n]*-[^\S\n]*identifier|license[\s-]expression)[^\S\n]*[:=]?[^\S\n]*", re.I)
 
 #: How open the terms of a label are; UNKNOWN for others.
 OPENNESS = {
@@ -59,12 +60,13 @@ def family(identifier: str) -> str:
     return {"bsl": "boost", "cc": "cc0" if "cc0" in identifier.lower() else "cc", "0bsd": "bsd"}.get(name, name)
 
 
-def postfix(expression: str) -> list[str]:
-    """Shunting-yard: operands and operators of a licence expression in postfix order; ValueError if it isn't one."""
+def postfix(expression: str, begin: int = 0, end: int = sys.maxsize) -> list[str]:
+    """Shunting-yard: operands and operators of the licence expression from ``begin`` in postfix order; ValueError if it isn't one."""
     out: list[str] = []
     held: list[str] = []
     operand_next = True
-    for token in _TOKEN.findall(expression):
+    for match in _TOKEN.finditer(expression, begin, end):
+        token = match[0]
         low = token.lower()
         if low in _PRECEDENCE:
             if operand_next:
@@ -95,10 +97,10 @@ def postfix(expression: str) -> list[str]:
     return out + held[::-1]
 
 
-def evaluate(expression: str) -> tuple[set[str], float]:
+def evaluate(expression: str, begin: int = 0, end: int = sys.maxsize) -> tuple[set[str], float]:
     """Labels of an expression and how open its terms are."""
     try:
-        steps = postfix(expression)
+        steps = postfix(expression, begin, end)
     except ValueError:
         return {"unparsed"}, UNKNOWN
     stack: list[tuple[set[str], float]] = []
@@ -135,8 +137,11 @@ def scan(text: str, words) -> tuple:
     labels = base | {NOTICES[p] for p in seen if p in NOTICES}
     terms = [OPENNESS[x] for x in labels]
     if seen.intersection(TAGS):
+        line_end = -1
         for m in _TAG.finditer(text):
-            more, open_ = evaluate(m[1])
+            if line_end < m.end():
+                line_end = text.find("\n", m.end()) % (len(text) + 1)  # the text's end without one
+            more, open_ = evaluate(text, m.end(), line_end)
             labels |= more
             terms.append(open_)
     first, last = (line.count(" ", 0, min(starts)), line.count(" ", 0, max(starts))) if starts else (None, None)

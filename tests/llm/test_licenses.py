@@ -57,3 +57,12 @@ def test_not_an_expression(text):
 
 def test_families():
     assert [*map(licenses.family, ("MIT", "Apache-2.0", "GPL-3.0-or-later", "BSD-3-Clause", "CC0-1.0", "LGPL-2.1+", "CC-BY-NC-4.0", "ISC"))] == ["mit", "apache", "gpl", "bsd", "cc0", "lgpl", "cc-by-nc", "isc"]
+
+
+def test_long_expressions_are_read_whole():
+    words = licenses.automaton()
+    long = " AND ".join(["(MIT OR Apache-2.0)"] * 40)
+    for text in (f"SPDX-License-Identifier: {long} AND GPL-3.0-only", f"SPDX-License-Identifier: ({long} AND GPL-3.0-only)\nBSD", f"SPDX-License-Identifier: MIT {'prose ' * 10}SPDX-License-Identifier: {long} AND GPL-3.0\r\nx"):
+        *_, labels, score = licenses.scan(text, words)
+        assert set(labels.split(",")) == {"apache", "gpl", "mit"} and score == licenses.OPENNESS["gpl"]
+    assert licenses.scan("SPDX-License-Identifier:\nMIT", words)[-2:] == ("unparsed", licenses.UNKNOWN)

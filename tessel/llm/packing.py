@@ -5,7 +5,8 @@ whole from one parent, injects them into the other, drops that one's sequences w
 twice, and best-fits the displaced pieces. Pieces are dealt by a hash into shards of bounded size;
 each shard evolves on several islands, and after each epoch an island's elite moves to the next
 island of its shard. Sequences that stay badly filled in their shards are pooled, dealt anew into
-as many shards as they need and packed again, until one shard holds what is left or none leaves.
+as many shards as they need and packed again, until one shard holds what is left or a round saves no
+sequence.
 
 Nothing but shards and elites (bounded by ``SHARD_PIECES``) is ever in one task, and the driver
 holds counts only.
@@ -32,7 +33,6 @@ from tessel.llm.common import portions, settle, texts, word_memo
 SHARD_PIECES = 8192  # pieces that one island holds
 ISLANDS, POPULATION, EPOCHS, GENERATIONS = 2, 4, 2, 60
 WELL_FILLED = 0.995  # emptier sequences are pooled over all shards
-LEVELS = 4  # rounds of pooling at most
 _PIECE = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -205,19 +205,20 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
     cut = settle(pieces(docs, tokenizer, end_id, capacity), "op8-pieces")
     whole = cut.where(F.col("length") == capacity).select("row", (-F.col("row") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     left, places, level = cut.where(F.col("length") < capacity).select("row", "length"), [whole], 0
-    n = left.count()
-    shards = max(1, -(-n // SHARD_PIECES))
+    n, held, least = left.count(), None, 0
     while n:
+        shards = -(-n // SHARD_PIECES)
         packed = settle(pack_level(left, shards, capacity, level), "op8-level")
-        poor = F.col("fill") < WELL_FILLED * capacity
-        rest = packed.where(poor).select("row", "length")
-        pooled = rest.count()
-        last = shards == 1 or level + 1 == LEVELS or pooled == n
-        places.append((packed if last else packed.where(~poor)).select("row", "sequence_id", "offset"))
-        if last:
+        poor, first = F.col("fill") < WELL_FILLED * capacity, F.col("offset") == 0
+        made, n, worse = packed.agg(F.count_if(first), F.count_if(poor), F.count_if(poor & first)).first()
+        if held is not None and made >= least:  # nothing saved: what is left stays as it was
+            places.append(held.select("row", "sequence_id", "offset"))
             break
-        left, level, n = rest, level + 1, pooled
-        shards = max(1, -(-n // SHARD_PIECES))
+        places.append((packed if shards == 1 else packed.where(~poor)).select("row", "sequence_id", "offset"))
+        if shards == 1:
+            break
+        held, least, level = packed.where(poor), worse, level + 1
+        left = held.select("row", "length")
     out = places[0]
     for x in places[1:]:
         out = out.unionByName(x)

@@ -115,6 +115,27 @@ def test_op8_long_pieces_keep_the_bound(spark, monkeypatch):
     assert all(n <= 4 * shards for n, shards in sizes)
 
 
+def test_op8_pools_until_nothing_is_saved(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_PIECES", 2)
+    levels = []
+
+    def pack_level(items, shards, capacity, level):
+        levels.append(level)  # each level joins two rows of one sequence more, and none from the seventh on
+        rows = sorted((r["row"], r["length"]) for r in items.collect())
+        at = [(0, 0) if k and level < 6 and k <= level + 1 else (k, 0) for k in range(len(rows))]
+        out, used = [], {}
+        for (row, length), (group, _) in zip(rows, at, strict=True):
+            out.append((row, length, rows[group][0], used.get(group, 0)))
+            used[group] = used.get(group, 0) + length
+        return spark.createDataFrame([(*x, 1) for x in out], "row long, length long, sequence_id long, offset long, fill long")
+
+    monkeypatch.setattr(packing, "pack_level", pack_level)
+    texts = {k: "word " * 3 for k in range(12)}
+    rows = packing.pack_documents(spark.createDataFrame([*texts.items()], "doc_id long, text string"), WORDS, 1, 64).collect()
+    assert check_packing(rows, texts, 64) == 12 - 6
+    assert levels == [*range(7)]
+
+
 def test_op8_large_shards_have_ids_of_their_own(spark):
     items = spark.range(140_000).select(F.col("id").alias("row"), F.lit(1).cast("long").alias("length"))
     assert packing.pack_level(items, 2, 1).select("sequence_id").distinct().count() == 140_000

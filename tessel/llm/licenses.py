@@ -40,7 +40,8 @@ NOTICES = {
 
 #: Words of identifier tags; an expression follows in the text.
 TAGS = ("spdx license identifier", "license expression")
-_TAG = re.compile(r"(?:spdx[^\S\n]*-[^\S\n]*license[^\S\n]*-[^\S\n]*identifier|license[\s-]expression)[^\S\n]*[:=]?[^\S\n]*", re.I)
+_GAP, _IN_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[0-9A-Za-z\x80-\U0010FFFF]"  # as the words are split
+_TAG = re.compile(rf"(?<!{_IN_WORD})(?:spdx{_GAP}license{_GAP}identifier|license{_GAP}expression)(?!{_IN_WORD})", re.I | re.A)
 
 #: How open the terms of a label are; UNKNOWN for others.
 OPENNESS = {

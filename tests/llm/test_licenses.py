@@ -66,3 +66,10 @@ def test_long_expressions_are_read_whole():
         *_, labels, score = licenses.scan(text, words)
         assert set(labels.split(",")) == {"apache", "gpl", "mit"} and score == licenses.OPENNESS["gpl"]
     assert licenses.scan("SPDX-License-Identifier:\nMIT", words)[-2:] == ("unparsed", licenses.UNKNOWN)
+
+
+@pytest.mark.parametrize("tag", ["SPDX License Identifier: ", "SPDX_License_Identifier=", "spdx--license\n// identifier: ", "License_Expression: ", "license / expression "])
+def test_tags_with_any_separators(tag):
+    words = licenses.automaton()
+    assert licenses.scan(f"x {tag}GPL-3.0 OR MIT\nApache-2.0", words)[-2:] == ("gpl,mit", 0.9)
+    assert licenses.scan(f"é{tag}GPL-3.0\n{tag}MIT", words)[-2:] == ("mit", 0.9)

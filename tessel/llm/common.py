@@ -9,7 +9,7 @@ import os
 import re
 import tempfile
 import uuid
-from itertools import chain, repeat
+from itertools import chain, pairwise, repeat
 
 import numpy as np
 import pandas as pd
@@ -18,17 +18,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_root: dict[str, str] = {}
+_made: list[str] = []  # scratch paths of this driver, in order
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none (tests, a laptop) a folder of our own is made and set.
+    Only in local mode (tests, a laptop), where the session names none, a folder of our own is made and set.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_root:
         _own_root[app] = tempfile.mkdtemp(prefix="tessel-")
@@ -38,7 +41,8 @@ def shared_root(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def settle(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
@@ -48,6 +52,32 @@ def settle(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def made() -> int:
+    """How many scratch paths there have been: a mark for ``discard``."""
+    return len(_made)
+
+
+def discard(spark: SparkSession, since: int, keep: int = 0) -> None:
+    """Remove the scratch tables made since a mark, but for the last ``keep``; nothing may read them any more."""
+    gone = _made[since : len(_made) - keep]
+    del _made[since : len(_made) - keep]
+    for path in map(spark._jvm.org.apache.hadoop.fs.Path, gone):
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spare(columns: list[str], name: str) -> str:
+    """``name``, made longer until it is none of ``columns`` in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def named(columns: list[str]) -> list[F.Column]:
+    """Columns by their names as they are, dots and all."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` of a test-data folder."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -60,20 +90,52 @@ def read_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def texts(docs: DataFrame, *keep: str) -> DataFrame:
     """``doc_id``, ``text`` (null counts as empty) and the columns named in ``keep``; others go."""
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *keep)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *keep)
 
 
 SLOTS = 1 << 20
 
 
+def _slots(rows: DataFrame, keys: DataFrame, name: str) -> tuple[DataFrame, DataFrame, str]:
+    """``rows`` with the slot of ``name`` in one more column, the different slots of ``keys``, and that column's name."""
+    slot, hashed = spare(rows.columns, "_slot"), F.pmod(F.xxhash64(name), F.lit(SLOTS))
+    return rows.withColumn(slot, hashed), F.broadcast(keys.select(hashed.alias(slot)).distinct()), slot
+
+
 def likely(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
     """Those ``rows`` whose column ``name`` hashes to a slot in which one of ``keys`` lies.
 
     A superset of a semi join that moves no row: there are ``SLOTS`` slots at most, so their list
-    can go to every task. An exact join follows where it matters.
+    can go to every task. An exact join follows where it matters. With many more keys than slots
+    nearly all rows pass.
+    """
+    marked, few, slot = _slots(rows, keys, name)
+    return marked.join(few, slot, "left_semi").drop(slot)
+
+
+def without(rows: DataFrame, gone: DataFrame, name: str) -> DataFrame:
+    """``rows`` but for those whose column ``name`` is in ``gone``; only rows in a slot of ``gone`` move."""
+    marked, few, slot = _slots(rows, gone, name)
+    rest = marked.join(few, slot, "left_semi").join(gone.select(name).hint("merge"), name, "left_anti")
+    return marked.join(few, slot, "left_anti").unionByName(rest).select(*named(rows.columns))
+
+
+HOT_KEYS, HOT_ROWS, SALTS = 1000, 10_000, 64
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, other: str, counts: DataFrame | None = None) -> DataFrame:
+    """Inner join on ``key`` with a ``table`` that has one row a key.
+
+    The ``HOT_KEYS`` keys with most rows (``HOT_ROWS`` at least; ``counts`` has key and n, if known)
+    are dealt over ``SALTS`` parts by the column ``other`` (and, as it may be null, by partition), and
+    their row of the table goes to each.
     """
-    slot = F.pmod(F.xxhash64(name), F.lit(SLOTS)).alias("_slot")
-    return rows.withColumn("_slot", slot).join(F.broadcast(keys.select(slot).distinct()), "_slot", "left_semi").drop("_slot")
+    n = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
+    hot = F.broadcast(n.where(F.col("n") >= HOT_ROWS).orderBy(F.desc("n"), key).limit(HOT_KEYS).select(key, F.lit(True).alias("_hot")))
+    dealt = rows.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(other, F.spark_partition_id()), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))).drop("_hot")
+    each = F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    copies = table.join(hot, key, "left").withColumn("_salt", F.explode(each)).drop("_hot")
+    return dealt.join(copies, [key, "_salt"]).drop("_salt")
 
 
 def public_tokenizer(name: str) -> str:
@@ -83,22 +145,59 @@ def public_tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def strings(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The byte strings between ``begins`` and ``ends``, which don't overlap, as an Arrow column."""
+    if not len(begins):
+        return pa.array([], pa.binary())
+    inside = np.zeros(len(raw) + 1, np.int8)
+    inside[begins] = 1
+    inside[ends] -= 1
+    body = raw[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)]
+    offsets = np.zeros(len(begins) + 1, np.int32)
+    np.cumsum(ends - begins, out=offsets[1:])
+    return pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(body)])
+
+
+def eights(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place ``at`` on as one number, the first one lowest; 0 behind the end."""
+    full = np.append(raw, np.zeros(8, np.uint8))
+    return np.lib.stride_tricks.as_strided(full, (len(raw), 8), (1, 1))[at].view("<u8").ravel().astype(np.uint64)
+
+
+ONLY = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def distinct(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The different byte strings between ``begins`` and ``ends``, told byte for byte, and which of them each is.
+
+    First those of up to seven bytes, as one number of their bytes with their length on top, then longer ones.
+    """
+    size = ends - begins
+    few = size < 8
+    short, long = np.flatnonzero(few), np.flatnonzero(~few)
+    which = np.empty(len(size), np.int64)
+    which[short], numbers = pd.factorize(eights(raw, begins[short]) & ONLY[size[short]] | size[short].astype(np.uint64) << np.uint64(56))
+    coded = strings(raw, begins[long], ends[long]).dictionary_encode()
+    which[long] = coded.indices.to_numpy() + len(numbers)
+    data, offsets = coded.dictionary.buffers()[2], np.frombuffer(coded.dictionary.buffers()[1], np.int32)[: len(coded.dictionary) + 1].tolist()
+    body = data.to_pybytes() if data else b""
+    return which, numbers, [body[a:b] for a, b in pairwise(offsets)]
+
+
 class WordMemo:
     """Ids of whole texts by the ``tokenizers`` library, which sees each new word once.
 
     The pattern of a lower-casing word-level BPE never matches across blanks, so the ids of a text
-    are those of its blank-separated words in order. Numpy finds the words of a column of texts, a
-    64-bit polynomial hash (with the length) names each, and ids of known words are gathered by
-    name. Only the four ASCII blanks separate, because for others (U+001C, say) the library's own
+    are those of its blank-separated words in order. Numpy finds the words of a column of texts,
+    Arrow's dictionary encoding tells the different ones, byte for byte, and ids of known words are
+    gathered. Only the four ASCII blanks separate, because for others (U+001C, say) the library's own
     rules may differ. As the library does both itself, ASCII letters are lower-cased first, unless
     ``<|`` occurs (special tokens are told by case), and a full stop or comma between an ASCII
     letter or digit and a blank is a word of its own. New words of Latin-1 letters go to the same
     model without its normalisers and pattern, which have nothing to do on them. The memo starts
-    anew when it has ``room`` words.
+    anew when it has ``room`` words or 64 MB of them.
     """
 
-    _BASE = 0x9E3779B97F4A7C15 | 1
-
     def __init__(self, path: str, room: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -115,23 +214,18 @@ class WordMemo:
         self.last[[i for x, i in parts["model"]["vocab"].items() if x.endswith(parts["model"]["end_of_word_suffix"])]] = True
         self.small = np.array([c + 32 if 65 <= c < 91 else c for c in range(256)], np.uint8)
         self.kind = np.array([0 if chr(c) in " \t\n\r" else 1 if chr(c).isalnum() and c < 128 else 2 if chr(c) in ".," else 3 for c in range(256)], np.uint8)
-        self.power = self.inverse = np.ones(1, np.uint64)
         self.forget()
 
     def forget(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.slot: dict[int | bytes, int] = {}
+        self.held = 0
         self.begin, self.size, self.ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32)
         self.used = 0
 
-    def powers(self, n: int) -> None:
-        if len(self.power) < n:
-            for name, base in (("power", self._BASE), ("inverse", pow(self._BASE, -1, 1 << 64))):
-                all_ = np.full(n, base, np.uint64)
-                all_[0] = 1
-                setattr(self, name, np.cumprod(all_, dtype=np.uint64))
-
-    def learn(self, names: list[int], words: list[str]) -> None:
+    def learn(self, names: list[int | bytes], words: list[bytes]) -> None:
         """Append the ids of new words to the memo."""
+        self.held += sum(map(len, words))
+        words = [x.decode() for x in words]
         letters = [k for k, x in enumerate(words) if _LETTERS(x)]
         sizes, ids = np.zeros(len(words), np.int32), []
         order = [*letters, *sorted(set(range(len(words))).difference(letters))]
@@ -166,10 +260,8 @@ class WordMemo:
         raw = np.frombuffer(data, np.uint8)
         if not len(raw):
             return np.zeros(0, np.uint32), np.zeros(len(column), np.int64)
-        text = data.to_pybytes()
-        if b"<|" not in text:
+        if b"<|" not in data.to_pybytes():
             raw = self.small[raw]
-            text = raw.tobytes()
         kind, opens = self.kind[raw], np.zeros(len(raw) + 1, bool)
         opens[offsets] = True
         inside = np.append(kind > 0, False)
@@ -180,23 +272,16 @@ class WordMemo:
         first[mark] = True
         begins = np.flatnonzero(first)
         ends = np.flatnonzero(inside[:-1] & (~inside[1:] | first[1:])) + 1
-        self.powers(len(raw) + 1)
-        total = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(raw * self.power[: len(raw)], out=total[1:], dtype=np.uint64)
-        named = (total[ends] - total[begins]) * self.inverse[begins] ^ (ends - begins).astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
-        which, names = pd.factorize(named)
-        if len(self.slot) > self.room:
+        which, short, long = distinct(raw, begins, ends)
+        names = [*short.tolist(), *long]
+        if len(self.slot) > self.room or self.held > 64 << 20:
             self.forget()
-        listed = names.tolist()
-        slots = np.fromiter(map(self.slot.get, listed, repeat(-1)), np.int64, len(listed))
+        slots = np.fromiter(map(self.slot.get, names, repeat(-1)), np.int64, len(names))
         new = np.flatnonzero(slots < 0)
         if len(new):
-            sample = np.empty(len(names), np.int64)
-            sample[which[::-1]] = np.arange(len(which))[::-1]
-            places = sample[new]
-            words = [text[a:b].decode() for a, b in zip(begins[places].tolist(), ends[places].tolist(), strict=True)]
-            self.learn([listed[k] for k in new], words)
-            slots[new] = [*map(self.slot.__getitem__, (listed[k] for k in new))]
+            listed = [names[k] for k in new.tolist()]
+            self.learn(listed, [x if isinstance(x, bytes) else x.to_bytes(8, "little")[: x >> 56] for x in listed])
+            slots[new] = [*map(self.slot.__getitem__, listed)]
         slots = slots[which]
         size = self.size[slots]
         after = np.cumsum(size, dtype=np.int64)
@@ -221,16 +306,19 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+TEXTS = 1 << 15  # texts of one portion, at most
+
+
 def portions(batch, size: int = 2 << 20):
-    """Slices of an Arrow batch (columns doc_id, text) of about ``size`` bytes of text each."""
+    """Slices of an Arrow batch (columns doc_id, text) of about ``size`` bytes of text and ``TEXTS`` texts each."""
     import pyarrow.compute as pc
 
     if not batch.num_rows:
         return
-    lengths = pc.binary_length(batch.column(batch.schema.get_field_index("text"))).to_numpy(zero_copy_only=False)
+    lengths = pc.binary_length(batch.column(batch.schema.get_field_index("text"))).fill_null(0).to_numpy(zero_copy_only=False)
     ends = (lengths.cumsum() // size).searchsorted(range(1, int(lengths.sum()) // size + 2))
     begin = 0
-    for end in [*map(int, ends), batch.num_rows]:
+    for end in sorted({*map(int, ends), *range(TEXTS, batch.num_rows, TEXTS), batch.num_rows}):
         if end > begin:
             yield batch.slice(begin, end - begin)
             begin = end

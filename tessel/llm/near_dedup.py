@@ -8,8 +8,9 @@ their weights. Bands of registers give buckets. Where repeats differ, that may l
 Jaccard of the sets, which links ask for: so a text with repeats also has the bands that its set
 gives, at the weight 1 for each different shingle. For others both are the same.
 
-Texts with the same words are one row first. Links are found in three steps, all checked on the
-shingle sets themselves (Jaccard of ``THRESHOLD`` or more):
+Texts with the same words (BLAKE2b, 256 bits) are one row first, under a number of its own. Links
+are found in three steps, all checked on the shingle sets themselves (64-bit names; Jaccard of
+``THRESHOLD`` or more), after sets whose sizes rule it out:
 
 1. Every text is compared with one leader of each of its buckets, so pairs grow with the rows.
 2. Every text is compared with the hub of each of its buckets, which has most links so far: the
@@ -19,19 +20,23 @@ shingle sets themselves (Jaccard of ``THRESHOLD`` or more):
    among the rarest fifth of each, early enough for the rest to suffice. Per shingle only rows
    outside its commonest component start pairs.
 
+Buckets, leaders, hubs and words that many rows share are dealt over tasks (``spread_join``).
 Components come from label propagation with pointer jumping over tables in the shared folder; no
-link, label or fingerprint goes to the driver, which sees counts only.
+link, label or fingerprint goes to the driver, which sees counts only. Tables that no later step
+reads are removed.
+
+``estimated`` gives what the registers of two texts estimate, the probability Jaccard of their
+weights.
 
 Defined cases: texts of one to four words have one shingle of them all; a text without words is
 like equal texts only; a null text counts as empty; class_id is the smallest doc_id of a class;
-repeated rows are in one class; rows without a doc_id have the class of rows with the same words, or
-none; an empty table gives no rows; columns other than doc_id and text
-are ignored.
+repeated rows are in one class, and different texts under one doc_id are texts of their own; rows
+without a doc_id belong to classes as others do, and a class of such rows only has none; an empty
+table gives no rows; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +44,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import likely, portions, settle, texts
-from tessel.llm.shingles import mix, shingles, texts_of, words
+from tessel.llm.common import discard, likely, made, named, portions, settle, spare, spread_join, texts, without
+from tessel.llm.shingles import digests, mix, shingles, words
 
 WIDTH, THRESHOLD = 5, 0.8
 REGISTERS, BANDS, ROWS = 163, 32, 5  # a prime, so that each shingle's steps visit every register
@@ -97,54 +102,71 @@ def band_keys(text: np.ndarray, item: np.ndarray, count: np.ndarray, n_texts: in
     return np.concatenate([keys, bare], 1)[chosen], chosen.sum(1)
 
 
-def _shingled(column: pa.Array, width: int):
-    word, bounds = words(column)
-    return word, bounds, *shingles(word, bounds, width)
+def _shingled(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return shingles(*words(column), width)
+
+
+def _lists(sizes: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), values)
 
 
 def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, digest (of the words), keys (buckets; none without words)."""
+    """doc_id, digest (of the words), n (different shingles), keys (buckets; none without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in portions(batch):
                 column = part.column("text")
-                word, bounds, text, item, count = _shingled(column, width)
+                text, item, count = _shingled(column, width)
                 keys, sizes = band_keys(text, item, count, len(part))
-                raw, offsets = texts_of(column)
-                whole = [word[a:b] if b > a else raw[c:d] for a, b, c, d in zip(bounds[:-1], bounds[1:], offsets[:-1], offsets[1:], strict=True)]
-                digest = [hashlib.blake2b(x.tobytes(), digest_size=16, key=b"w" if x.dtype == np.uint64 else b"t").digest() for x in whole]
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(keys.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digest, pa.binary()), lists], ["doc_id", "digest", "keys"])
+                n = np.bincount(text, minlength=len(part))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digests(column), pa.binary()), pa.array(n), _lists(sizes, pa.array(keys.view(np.int64)))], ["doc_id", "digest", "n", "keys"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, digest binary, keys array<long>")
+    return texts(docs).mapInArrow(run, "doc_id long, digest binary, n long, keys array<long>")
 
 
 def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """id (doc_id) and items: the different shingles as sorted 32-bit numbers."""
+    """digest (of the words) and items: the different shingles as 64-bit names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in portions(batch):
+                text, item, _ = _shingled(part.column("text"), width)
+                items = _lists(np.bincount(text, minlength=len(part)), pa.array(item.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(digests(part.column("text")), pa.binary()), items], ["digest", "items"])
+
+    return texts(docs).mapInArrow(run, "digest binary, items array<long>")
+
+
+def estimated(docs: DataFrame, pairs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """a, b (doc_ids of ``docs``), estimate: the share of registers in which two texts agree, their probability Jaccard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in portions(batch):
-                *_, text, item, _ = _shingled(part.column("text"), width)
-                keys = np.unique(text.astype(np.uint64) << np.uint64(32) | mix(item) >> np.uint64(32))
-                offsets = np.searchsorted(keys, np.arange(len(part) + 1).astype(np.uint64) << np.uint64(32))
-                items = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys.astype(np.uint32).view(np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), items], ["id", "items"])
+                text, item, count = _shingled(part.column("text"), width)
+                got = prob_minhash(text, item, 1 + np.log(count), len(part))
+                lists = _lists(np.full(len(part), REGISTERS), pa.array(got.astype(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["doc_id", "r"])
 
-    return texts(docs).mapInArrow(run, "id long, items array<int>")
+    signed = texts(docs).mapInArrow(run, "doc_id long, r array<long>")
+    both = pairs.join(signed.select(F.col("doc_id").alias("a"), F.col("r").alias("ra")), "a").join(signed.select(F.col("doc_id").alias("b"), F.col("r").alias("rb")), "b")
+    same = F.size(F.filter(F.zip_with("ra", "rb", lambda x, y: (x == y) & (x != 0)), lambda x: x))
+    return both.select("a", "b", (same / F.lit(REGISTERS)).alias("estimate"))
 
 
 def linked(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Those pairs (a, b) whose shingle sets have a Jaccard of ``threshold`` or more."""
-    with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("items").alias("items_b")), "b")
-    both = with_b.join(sets.select(F.col("id").alias("a"), F.col("items").alias("items_a")), "a")
+    """Those pairs (a, b) of a written table whose shingle sets (id, items) have a Jaccard of ``threshold`` or more."""
+    count = {end: pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n")) for end in "ab"}
+    with_b = spread_join(pairs.select("a", "b"), sets.select(F.col("id").alias("b"), F.col("items").alias("items_b")), "b", "a", count["b"])
+    both = spread_join(with_b, sets.select(F.col("id").alias("a"), F.col("items").alias("items_a")), "a", "b", count["a"])
     common, total = F.size(F.array_intersect("items_a", "items_b")), F.size("items_a") + F.size("items_b")
     return both.where(common >= F.lit(threshold) * (total - common)).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
     """id, component (its smallest id) of every end of a link (a, b)."""
+    spark, begin = links.sparkSession, made()
     both = settle(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "op6-links")
     labels = settle(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("component")), "op6-labels")
     while True:
@@ -154,21 +176,29 @@ def components(links: DataFrame) -> DataFrame:
         after = settle(near.join(far, "next").select("id", F.least("next", "jump").alias("component"), (F.least("next", "jump") != F.col("component")).alias("moved")), "op6-labels")
         labels = after.select("id", "component")
         if after.where("moved").isEmpty():
+            discard(spark, begin, keep=1)
             return labels
+        discard(spark, begin + 1, keep=1)
+
+
+def _close(n: str, m: str, threshold: float) -> F.Column:
+    """Whether the sizes of two sets allow for a Jaccard of ``threshold``."""
+    return F.least(n, m) >= F.lit(threshold) * F.greatest(n, m) - F.lit(1e-9)
 
 
 def bucketed(keyed: DataFrame) -> DataFrame:
-    """The rows (key, id) of buckets with more than one, and the leader of each bucket."""
-    leaders = keyed.groupBy("key").agg(F.min(F.struct(F.xxhash64("id"), "id")).getField("id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return keyed.join(leaders, "key").select("key", "id", "leader")
+    """The rows (key, id, n) of buckets with more than one, with the leader of each bucket and its n (leader, leader_n)."""
+    first = F.min(F.struct(F.xxhash64("id"), "id", "n")).alias("first")
+    leaders = settle(keyed.groupBy("key").agg(first, F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key", F.col("first.id").alias("leader"), F.col("first.n").alias("leader_n"), "rows"), "op6-leaders")
+    return spread_join(keyed, leaders.drop("rows"), "key", "id", leaders.select("key", F.col("rows").alias("n")))
 
 
-def hub_pairs(buckets: DataFrame, links: DataFrame) -> DataFrame:
+def hub_pairs(buckets: DataFrame, links: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs (a, b) of each row with the most linked row of its bucket."""
     ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id")))
     degree = ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
-    hubs = buckets.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", "id")).getField("id").alias("a"))
-    return buckets.join(hubs, "key").where("a <> id").select("a", F.col("id").alias("b")).distinct()
+    hubs = buckets.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", "id", "n")).alias("h")).select("key", F.col("h.id").alias("a"), F.col("h.n").alias("hub_n"))
+    return spread_join(buckets.select("key", "id", "n"), hubs, "key", "id").where("a <> id").where(_close("n", "hub_n", threshold)).select("a", F.col("id").alias("b")).distinct()
 
 
 def prefix_pairs(sets: DataFrame, label: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -195,30 +225,36 @@ def prefix_pairs(sets: DataFrame, label: DataFrame, threshold: float = THRESHOLD
 def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, rep_id (smallest doc_id with the same words), class_id, a row a document."""
     signed = settle(signatures(docs, width), "op6-signatures")
-    once = signed.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), "keys")).alias("s")).select("digest", "s.id", "s.keys")
-    once = settle(once, "op6-once")
-    keyed = once.where("id is not null").select("id", F.explode("keys").alias("key"))
-    buckets = settle(bucketed(keyed), "op6-buckets")
-    members = buckets.select("id").distinct()
-    some = likely(docs.select(F.col("doc_id").alias("id"), "text"), members, "id").join(members.hint("merge"), "id", "left_semi")
-    sets = settle(shingle_sets(some.dropDuplicates(["id"]).withColumnRenamed("id", "doc_id"), width), "op6-sets")
-    led = buckets.where("leader <> id").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "n", "keys")).alias("s")
+    once = signed.groupBy("digest").agg(first, F.count(F.lit(1)).alias("copies"))
+    once = settle(once.select("digest", F.monotonically_increasing_id().alias("id"), F.col("s.doc_id").alias("rep_id"), "s.n", "s.keys", "copies"), "op6-once")
+    begin = made()
+    buckets = settle(bucketed(once.select("id", "n", F.explode("keys").alias("key"))), "op6-buckets")
+    members = settle(once.join(buckets.select("id").distinct(), "id", "left_semi").select("id", "digest", F.col("rep_id").alias("doc_id")), "op6-members")
+    some = shingle_sets(likely(texts(docs), members, "doc_id"), width).groupBy("digest").agg(F.first("items").alias("items"))
+    sets = settle(some.join(members.select("digest", "id"), "digest").select("id", "items"), "op6-sets")
+    led = settle(buckets.where("leader <> id").where(_close("n", "leader_n", threshold)).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "op6-pairs")
     links = settle(linked(led, sets, threshold), "op6-linked")
-    hubs = hub_pairs(buckets, links).join(led, ["a", "b"], "left_anti")
+    hubs = settle(hub_pairs(buckets, links, threshold).join(led, ["a", "b"], "left_anti"), "op6-pairs")
     links = links.unionByName(settle(linked(hubs, sets, threshold), "op6-linked"))
     label = components(links)
-    more = linked(prefix_pairs(sets, label, threshold), sets, threshold)
+    more = linked(settle(prefix_pairs(sets, label, threshold), "op6-pairs"), sets, threshold)
     label = components(links.unionByName(more))
-    of = once.select("digest", F.col("id").alias("rep_id")).join(label, F.col("rep_id") == F.col("id"), "left").select("digest", "rep_id", F.coalesce("component", "rep_id").alias("class_id"))
-    return signed.select("doc_id", "digest").join(of, "digest").select("doc_id", "rep_id", "class_id")
+    discard(docs.sparkSession, begin, keep=1)
+    least = F.min(F.struct(F.col("rep_id").isNull(), "rep_id")).getField("rep_id").alias("class_id")
+    classes = label.join(once.select("id", "rep_id"), "id").groupBy("component").agg(least)
+    of = once.join(spread_join(label, classes, "component", "id"), "id", "left").select("digest", "rep_id", F.coalesce("class_id", "rep_id").alias("class_id"))
+    return spread_join(signed.select("doc_id", "digest"), of, "digest", "doc_id", once.select("digest", F.col("copies").alias("n"))).select("doc_id", "rep_id", "class_id")
 
 
 def deduplicate(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one row of each class: the smallest doc_id's (none comes last), then the first written; all columns as they are."""
-    numbered = settle(docs.withColumn("_op6_row", F.monotonically_increasing_id()), "op6-docs")
-    classes = near_duplicates(numbered.select(F.col("_op6_row").alias("doc_id"), "text"), width, threshold).select(F.col("doc_id").alias("_op6_row"), "class_id")
-    named = settle(classes.join(numbered.select("_op6_row", "doc_id"), "_op6_row"), "op6-classes")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_op6_row"))
-    stays = named.groupBy("class_id").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("class_id", F.col("first._op6_row").alias("stays"))
-    goes = named.join(stays, "class_id").where("_op6_row <> stays").select("_op6_row")
-    return numbered.join(goes, "_op6_row", "left_anti").select(*docs.columns)
+    row = spare(docs.columns, "_row")
+    numbered = settle(docs.withColumn(row, F.monotonically_increasing_id()), "op6-docs")
+    classes = near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text"), width, threshold).select(F.col("doc_id").alias(row), "class_id")
+    ids = numbered.select(row, F.col("doc_id").alias("own"))
+    known = settle(classes.join(ids, row), "op6-classes")
+    first = F.min(F.struct(F.col("own").isNull().alias("unnamed"), "own", F.col(row).alias("row"))).alias("first")
+    stays = known.groupBy("class_id").agg(first).select(F.col("first.row").alias(row))
+    goes = settle(known.select(row).join(stays, row, "left_anti"), "op6-goes")
+    return without(numbered, goes, row).select(*named(docs.columns))

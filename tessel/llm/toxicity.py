@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import portions, texts
+from tessel.llm.common import eights, portions, texts
 from tessel.llm.labelled import SAMPLE, held_out, sample
-from tessel.llm.shingles import SMALL, WORD, hashes, spans, texts_of
+from tessel.llm.shingles import SMALL, WORD, hashes, mix, spans, texts_of
 
 SPACE, KEPT, LEAST = 1 << 20, 4096, 3
 PREFIXES = (5, 6, 7, 8)
@@ -37,12 +37,12 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     raw, offsets = texts_of(column)
     raw = SMALL[raw]
     begins, ends = spans(WORD[raw], offsets)
-    keys = []
+    keys, head = [], eights(raw, begins)
     text = np.searchsorted(offsets, begins, "right") - 1
     for size in (0, *PREFIXES):
         long = np.flatnonzero(ends - begins > size) if size else np.arange(len(begins))
-        hashed = hashes(raw, begins[long], begins[long] + size if size else ends[long])
-        keys.append(text[long] * SPACE + ((hashed ^ np.uint64(size)) % np.uint64(SPACE)).astype(np.int64))
+        hashed = head[long] & np.uint64(2 ** (8 * size) - 1) ^ np.uint64(size << 58) if size else hashes(raw, begins, ends)
+        keys.append(text[long] * SPACE + (mix(hashed) % np.uint64(SPACE)).astype(np.int64))
     whole, count = np.unique(keys[0], return_counts=True)
     keys.append((whole // SPACE * SPACE + (whole * 40503 + 7) % SPACE)[count > 1])  # said again
     keys = np.sort(np.concatenate(keys))

@@ -4,7 +4,8 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 
-from tessel.llm import near_dedup, queries
+from tessel.llm import common, near_dedup, queries
+from tessel.llm.common import portions
 from tessel.llm.shingles import shingles, words
 
 from .conftest import ODD
@@ -52,6 +53,49 @@ def test_shingles_equal_brute_force():
     assert sorted(count[text == 5]) == [3, 3]
 
 
+def morse(n, letters):
+    """A word that polynomial hashes modulo 2**64 can't tell from its complement."""
+    return "".join(letters[k.bit_count() % 2] for k in range(n))
+
+
+def test_words_are_told_byte_for_byte(spark):
+    rows = [(k, morse(n, x)) for k, (n, x) in enumerate((n, x) for n in (1024, 2048) for x in ("ab", "ba"))]
+    rows += [(9, "one two three four five"), (10, "one two three four five six"), (11, "a\x00b c"), (12, "ab c")]
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == brute(rows)
+    column = pa.array([x for n in (*range(1, 20), 63, 64, 65, 200) for x in ("a" * n, "b" * n, "a" * (n - 1) + "b")])
+    word, _ = words(column)
+    assert len(set(word.tolist())) == len(set(column.to_pylist()))
+    assert word.tolist() == [words(pa.array([x]))[0][0] for x in column.to_pylist()]
+
+
+def test_many_short_texts_in_one_batch():
+    column = pa.array([f"t{k} a b c d" for k in range(70_000)])
+    sizes = [len(x) for x in portions(pa.RecordBatch.from_arrays([pa.array(range(70_000)), column], ["doc_id", "text"]))]
+    assert sum(sizes) == 70_000 and max(sizes) <= 1 << 15
+
+
+def test_texts_under_one_id_stay_apart(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = [(1, a), (1, b), (1, a), (2, a + " x"), (3, b + " x"), (None, a + " y"), (None, b + " z"), (None, "other words")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), str(r["rep_id"]), str(r["class_id"])) for r in got) == sorted([("1", "1", "1")] * 3 + [("2", "2", "1"), ("3", "3", "1")] + [("None", "None", "1")] * 2 + [("None", "None", "None")])
+
+
+def test_estimates_are_of_weighted_shingles(spark):
+    a = " ".join(f"w{k}" for k in range(200))
+    docs = spark.createDataFrame([(1, a), (2, a), (3, " ".join(f"w{k}" for k in range(20, 220))), (4, "other words are in this text")], "doc_id long, text string")
+    got = {(r["a"], r["b"]): r["estimate"] for r in near_dedup.estimated(docs, spark.createDataFrame([(1, 2), (1, 3), (1, 4)], "a long, b long")).collect()}
+    assert got[1, 2] == 1 and got[1, 4] == 0 and abs(got[1, 3] - 176 / 216) < 0.12
+
+
+def test_hot_keys_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rows = spark.createDataFrame([(k % 3 % 2, k) for k in range(30)] + [(1, None), (7, 7)], "key long, other long")
+    table = spark.createDataFrame([(0, "a"), (1, "b"), (5, "c"), (7, "d")], "key long, v string")
+    got = common.spread_join(rows, table, "key", "other").select("key", "other", "v")
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, rows.join(table, "key").collect())))
+
+
 def test_registers_estimate_probability_jaccard():
     rng = np.random.default_rng(5)
     a, b = rng.uniform(0.5, 3, 300), rng.uniform(0.5, 3, 300)
@@ -105,3 +149,10 @@ def test_deduplicate_leaves_one_row_each(spark):
     got = near_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert sorted((r["doc_id"] or 0, r["text"][0]) for r in got) == [(0, "a"), (2, "b"), (2, "c"), (5, "?")]
     assert (2, b) in map(tuple, got)
+
+
+def test_deduplicate_keeps_clashing_columns(spark, clashing):
+    got = near_dedup.deduplicate(clashing)
+    assert got.columns == clashing.columns
+    once = {r["doc_id"]: r for r in clashing.collect()}
+    assert all(r == once[r["doc_id"]] for r in got.collect()) and got.count() == len(set(brute(list({r["doc_id"]: r["text"] for r in once.values()}.items())).values()))

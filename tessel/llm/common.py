@@ -131,7 +131,11 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, other: str, counts:
     their row of the table goes to each.
     """
     n = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
-    hot = F.broadcast(n.where(F.col("n") >= HOT_ROWS).orderBy(F.desc("n"), key).limit(HOT_KEYS).select(key, F.lit(True).alias("_hot")))
+    keys = n.where(F.col("n") >= HOT_ROWS).orderBy(F.desc("n"), key).limit(HOT_KEYS).select(key)
+    found = keys.collect()
+    if not found:
+        return rows.join(table, key)
+    hot = F.broadcast(rows.sparkSession.createDataFrame(found, keys.schema).withColumn("_hot", F.lit(True)))
     dealt = rows.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(other, F.spark_partition_id()), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))).drop("_hot")
     each = F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
     copies = table.join(hot, key, "left").withColumn("_salt", F.explode(each)).drop("_hot")

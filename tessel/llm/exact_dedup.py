@@ -7,11 +7,12 @@ task before rows move, so a digest that a third of all rows share costs no more
 micro-batch appends the state rows that it changed to a table in the shared folder, under its
 number, so that a batch which runs twice leaves the same files.
 
-A digest that has come more than once is a hit: full texts are compared for hits before any row is
-dropped. Hits with a large share of all rows (1,000 at most, as each has a thousandth of the rows)
+A digest that has come more than once is a hit: before any row is dropped, the full text of each of
+its rows is compared with the one that the state's locator and identifier lead to. Hits with a large share of all rows (1,000 at most, as each has a thousandth of the rows)
 go to every task, which sums equal bytes before they move; others are joined by digest, and rows
 in no slot of a hit don't take part. Should
-different texts share a digest, each text is a group of its own.
+different texts share a digest, each text is a group of its own. With a ``work`` folder of the
+caller's, checkpoint and state last: a later run over more files streams only the new ones.
 
 Defined cases: a null text counts as empty, and so equals a text of blanks only; of equal texts
 the one with most code points stays, then the smallest doc_id; rows with the doc_id that stays and
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm.common import SLOTS, scratch, settle
+from tessel.llm.common import SLOTS, named, scratch, settle, spare, spread_join, without
 
 BLANKS = "[\\x20\\x09-\\x0D]+"
 HOT_SHARE = 1000  # a digest is hot with one in so many rows; so there are no more hot ones than that
@@ -41,7 +42,7 @@ _STATE_CONF = {
 def digests(docs: DataFrame, bits: int = 256, *more: F.Column) -> DataFrame:
     """doc_id, digest, n_points, content (without blanks) and what ``more`` adds. Fewer ``bits`` are for tests."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", F.length(text).cast("long").alias("n_points"), F.regexp_replace(text, BLANKS, "").alias("content"), *more)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(text).cast("long").alias("n_points"), F.regexp_replace(text, BLANKS, "").alias("content"), *more)
     return rows.withColumn("digest", F.left(F.sha2("content", 256), F.lit(bits // 4)))
 
 
@@ -60,7 +61,7 @@ def watch(spark: SparkSession, path: str, table: str, checkpoint: str, bits: int
     path = path.rstrip("/")
     pattern = f"{path[:-1]}[{path[-1]}]"  # a stream takes a single file only as a match of a pattern
     stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_a_batch).parquet(pattern)
-    seen = groups(digests(stream, bits, F.col("_metadata.file_path").alias("locator")), "digest")
+    seen = groups(digests(stream, bits, stream.metadataColumn("_metadata").getField("file_path").alias("locator")), "digest")
 
     def append(changed: DataFrame, batch: int) -> None:
         _named(changed, "digest").write.mode("overwrite").option("compression", "zstd").parquet(f"{table}/batch={batch}")
@@ -87,57 +88,66 @@ def state(spark: SparkSession, table: str) -> DataFrame:
 
 
 def read_rows(docs: DataFrame, hits: DataFrame, bits: int = 256, *keep: str) -> DataFrame:
-    """One more pass over the texts: doc_id, n_points, digest, text_sha256, ``keep``, and the content of likely hits only.
+    """One more pass over the texts: doc_id, n_points, digest, text_sha256, locator, ``keep``, and the content of likely hits only.
 
     ``SLOTS`` bounds the list of slots that goes to every task.
     """
     slot = F.pmod(F.xxhash64("digest"), F.lit(SLOTS)).alias("_slot")
     few = F.broadcast(hits.select(slot).distinct().withColumn("_hit", F.lit(True)))
-    rows = digests(docs, bits, *keep).withColumn("text_sha256", F.sha2("content", 256)).withColumn("_slot", slot).join(few, "_slot", "left")
-    return settle(rows.select("doc_id", "n_points", "digest", "text_sha256", *keep, F.when(F.col("_hit"), F.col("content")).alias("content")), "op5-rows")
+    file = docs.metadataColumn("_metadata").getField("file_path").alias("locator")
+    rows = digests(docs, bits, file, *named(keep)).withColumn("text_sha256", F.sha2("content", 256)).withColumn("_slot", slot).join(few, "_slot", "left")
+    return settle(rows.select("doc_id", "n_points", "digest", "text_sha256", "locator", *keep, F.when(F.col("_hit"), F.col("content")).alias("content")), "op5-rows")
 
 
 def collisions(rows: DataFrame, seen: DataFrame) -> DataFrame:
-    """Compare full texts on hits: the groups (digest, content, ...) of digests that different texts share."""
+    """Compare full texts on hits: the groups (digest, content, ...) of digests with texts unlike the one that the state locates."""
     hits = seen.where("group_size > 1").select("digest", "group_size")
     total = seen.agg(F.sum("group_size")).first()[0] or 0
     least = max(2, -(-total // HOT_SHARE))
     hot = F.broadcast(hits.where(F.col("group_size") >= least).select("digest"))
-    rows = rows.where("content is not null").withColumn("locator", F.lit(None).cast("string"))
+    rows = rows.where("content is not null")
     # Hot rows meet nobody but the small list before they are summed; the others come to their digest.
     often = groups(rows.join(hot, "digest", "left_semi"), "digest", "content")
     others = hits.where(F.col("group_size") < least).hint("merge")
     seldom = groups(rows.join(hot, "digest", "left_anti").join(others, "digest", "left_semi"), "digest", "content")
     exact = settle(often.unionByName(seldom).select("digest", "content", "group_size", "best"), "op5-hits")
-    shared = exact.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
-    return _named(exact.join(shared, "digest", "left_semi"), "digest", "content")
+    located = _named(exact, "digest", "content").join(seen.select("digest", F.col("keep_id").alias("id"), F.col("locator").alias("place")), "digest")
+    original = located.where(F.col("keep_id").eqNullSafe(F.col("id")) & (F.col("locator") == F.col("place"))).select("digest", F.col("content").alias("original"))
+    unlike = exact.select("digest", "content").join(original, "digest", "left").where(~F.col("content").eqNullSafe(F.col("original"))).select("digest").distinct()
+    return _named(exact.join(unlike, "digest", "left_semi"), "digest", "content")
 
 
-def report(spark: SparkSession, path: str, bits: int = 256, files_a_batch: int = 1000, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for each document at ``path``; with ``keep`` also n_points and those columns."""
-    work = scratch(spark, "op5")
+def report(spark: SparkSession, path: str, bits: int = 256, files_a_batch: int = 1000, keep: tuple[str, ...] = (), work: str | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 for each document at ``path``; with ``keep`` also n_points and those columns.
+
+    ``work`` is a folder that lasts, with the stream's checkpoint and state; without it they start anew.
+    """
+    work = work or scratch(spark, "op5")
     watch(spark, path, f"{work}/changed", f"{work}/checkpoint", bits, files_a_batch)
     docs = spark.read.parquet(path)
     if docs.isEmpty():
-        return docs.select("doc_id", F.lit(None).cast("long").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lit("").alias("text_sha256"), *([F.lit(0).cast("long").alias("n_points"), *keep] if keep else []))
+        return docs.select(F.col("doc_id").cast("long"), F.lit(None).cast("long").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lit("").alias("text_sha256"), *([F.lit(0).cast("long").alias("n_points"), *keep] if keep else []))
     seen = settle(state(spark, f"{work}/changed"), "op5-state")
     rows = read_rows(docs, seen.where("group_size > 1"), bits, *keep)
     split = settle(collisions(rows, seen), "op5-split")
-    slim = rows.drop("content")
+    slim, sizes = rows.drop("content", "locator"), seen.select("digest", F.col("group_size").alias("n"))
+    seen = seen.drop("locator")
     if split.isEmpty():
-        found = slim.join(seen, "digest")
+        found = spread_join(slim, seen, "digest", "doc_id", sizes)
     else:
         alone = split.select("digest").distinct()
-        found = slim.join(alone, "digest", "left_anti").join(seen, "digest").unionByName(rows.join(split, ["digest", "content"]).drop("content"))
+        found = slim.join(alone, "digest", "left_anti").join(seen, "digest").unionByName(rows.drop("locator").join(split.drop("locator"), ["digest", "content"]).drop("content"))
     return found.select("doc_id", "keep_id", "group_size", F.equal_null("doc_id", "keep_id").alias("kept"), "text_sha256", *(["n_points", *keep] if keep else []))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, one of each group of equal texts, all columns as they are."""
-    path, numbered = scratch(docs.sparkSession, "op5-docs"), docs.withColumn("_op5_row", F.monotonically_increasing_id())
+    spark, row = docs.sparkSession, spare([*docs.columns, "content", "locator", "digest", "text_sha256", "n_points", "keep_id", "group_size", "kept"], "row")
+    path, numbered = scratch(spark, "op5-docs"), docs.withColumn(row, F.monotonically_increasing_id())
     numbered.write.option("compression", "zstd").parquet(path)
-    numbered = docs.sparkSession.read.schema(numbered.schema).parquet(path)
-    kept = report(docs.sparkSession, path, keep=("_op5_row",)).where("kept")
-    best = F.max(F.struct("n_points", F.bitwise_not("_op5_row").alias("first")))
-    stays = kept.groupBy("doc_id", "text_sha256").agg(best.alias("best")).select(F.bitwise_not("best.first").alias("_op5_row"))
-    return numbered.join(stays, "_op5_row", "left_semi").select(*docs.columns)
+    numbered = spark.read.schema(numbered.schema).parquet(path)
+    judged = settle(report(spark, path, keep=(row,)).select("doc_id", "text_sha256", "kept", "n_points", row), "op5-judged")
+    best = F.max(F.struct("n_points", F.bitwise_not(row).alias("first")))
+    stays = judged.where("kept").groupBy("doc_id", "text_sha256").agg(best.alias("best")).select(F.bitwise_not("best.first").alias(row))
+    goes = settle(judged.select(row).join(stays, row, "left_anti"), "op5-goes")
+    return without(numbered, goes, row).select(*named(docs.columns))

@@ -45,10 +45,25 @@ def test_state_lasts_over_runs(spark):
     assert spark.read.parquet(f"{work}/out").where("batch = 2").count() == 1
 
 
-def test_deduplicate(spark, odd, none):
-    got = exact_dedup.deduplicate(odd)
-    assert got.columns == odd.columns
-    assert sorted(r["doc_id"] for r in got.dropDuplicates(["doc_id"]).collect()) == sorted({k for _, k, *_ in brute(ODD)})
+def test_reports_last_over_runs(spark):
+    work, rows = scratch(spark, "t"), []
+    for batch in ([(5, "x y"), (6, "z")], [(3, "xy"), (9, "x  y "), (6, "z")], [], [(1, "zz"), (2, None)]):
+        rows += batch
+        spark.createDataFrame(batch, "doc_id long, text string").coalesce(1).write.mode("append").parquet(f"{work}/in")
+        assert sorted(map(tuple, exact_dedup.report(spark, f"{work}/in", work=f"{work}/state").collect())) == brute(rows)
+    spark.createDataFrame([(4, "z ")], "doc_id long, text string").coalesce(1).write.mode("append").parquet(f"{work}/in")
+    got = exact_dedup.report(spark, f"{work}/in", bits=256, work=f"{work}/state")
+    assert sorted(map(tuple, got.collect())) == brute([*rows, (4, "z ")])
+    assert 2 <= len(exact_dedup.state(spark, f"{work}/state/changed").select("locator").distinct().collect()) <= 4
+
+
+def test_deduplicate(spark, odd, none, clashing):
+    for docs in (odd, clashing):
+        got = exact_dedup.deduplicate(docs)
+        assert got.columns == docs.columns
+        stays = {k for _, k, *_ in brute(ODD)}
+        want = {r["doc_id"]: r for r in docs.collect() if r["doc_id"] in stays}
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.values()))
     assert exact_dedup.deduplicate(none).count() == 0
 
 

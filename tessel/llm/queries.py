@@ -91,7 +91,7 @@ _PII = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 f AS ({" UNION ALL ".join(_placed_sql(f"doc_id, text, {k} AS n, '{kind}' AS kind", pattern, "d") for k, (kind, pattern) in _KINDS.items())}),
 g AS (SELECT *, a + length(v) AS b, regexp_replace(v, '[^0-9]', '', 'g') AS digits FROM f),
-s AS (SELECT *, kind || ':' || lower(v) AS entity FROM g WHERE CASE kind WHEN 'email' THEN true
+s AS (SELECT *, unnest([kind || ':' || lower(v), CASE kind WHEN 'email' THEN 'domain:' || regexp_extract(lower(v), '[^@]*$') WHEN 'ip' THEN 'network:' || regexp_extract(v, '^[0-9]+.[0-9]+.[0-9]+') WHEN 'card' THEN 'issuer:' || left(digits, 6) ELSE 'prefix:' || left(digits, -7) END]) AS entity FROM g WHERE CASE kind WHEN 'email' THEN true
     WHEN 'ip' THEN len(list_filter(string_split(v, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(try_cast(x AS BIGINT), 999) > 255)) = 0
     WHEN 'phone' THEN length(digits) BETWEEN 8 AND 15
     ELSE length(digits) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda i: CASE WHEN i % 2 = 1 THEN digits[-i]::INTEGER ELSE digits[-i]::INTEGER * 2 - CASE WHEN digits[-i]::INTEGER > 4 THEN 9 ELSE 0 END END)) % 10 = 0 END),
@@ -102,11 +102,11 @@ near AS (SELECT DISTINCT t.doc_id, t.text, entity, term, t.a, t.b FROM t JOIN s
     AND NOT EXISTS (SELECT 1 FROM s o WHERE o.doc_id = t.doc_id AND o.a < t.b AND t.a < o.b)),
 te AS (SELECT entity, term, count(DISTINCT doc_id) AS n_te FROM near GROUP BY ALL HAVING count(DISTINCT text) >= {pii.SUPPORT}),
 e AS (SELECT entity, count(DISTINCT doc_id) AS n_e FROM s GROUP BY entity),
-w AS (SELECT term, count(*) AS n_t FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '{_WORDS}'))) AS term FROM d) GROUP BY term),
-told AS (SELECT entity, term FROM te JOIN e USING (entity) JOIN w USING (term) WHERE n_te / n_t >= pow(n_e / (SELECT count(*) FROM d)::DOUBLE, 1 - {pii.ALPHA})),
+w AS (SELECT term, count(DISTINCT doc_id) AS n_t FROM near GROUP BY term),
+told AS (SELECT entity, term FROM te JOIN e USING (entity) JOIN w USING (term) WHERE n_te / n_t >= pow(n_e / (SELECT count(DISTINCT doc_id) FROM s)::DOUBLE, 1 - {pii.ALPHA})),
 x AS (SELECT DISTINCT doc_id, 5 AS n, 'term' AS kind, a, b FROM near JOIN told USING (entity, term)),
 o AS (SELECT doc_id, count(*) FILTER (n = 1) AS n_email, count(*) FILTER (n = 2) AS n_ip, count(*) FILTER (n = 3) AS n_card, count(*) FILTER (n = 4) AS n_phone, count(*) FILTER (n = 5) AS n_terms,
-    string_agg(kind || ':' || a || ':' || b, ',' ORDER BY n, a) FILTER (n < 5) AS base, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY n, a) AS spans FROM (SELECT doc_id, n, kind, a, b FROM s UNION ALL SELECT * FROM x) GROUP BY doc_id)
+    string_agg(kind || ':' || a || ':' || b, ',' ORDER BY n, a) FILTER (n < 5) AS base, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY n, a) AS spans FROM (SELECT DISTINCT doc_id, n, kind, a, b FROM s UNION ALL SELECT * FROM x) GROUP BY doc_id)
 SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, coalesce(n_terms, 0) AS n_terms, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN o USING (doc_id)"""
 
 #: Where SQL expresses an operator. The others are tested against brute force, round trips or held-out rows.

@@ -34,7 +34,7 @@ def test_named_rows_win(spark, docs):
     docs.write.parquet(path)
     assert {r["keep_id"] for r in exact_dedup.report(spark, path).where("group_size = 2").collect()} == {7}
     assert {r["class_id"] for r in near_dedup.near_duplicates(docs).where("rep_id = 7").collect()} == {7}
-    assert near_dedup.deduplicate(docs).count() == 5 and exact_dedup.deduplicate(docs).count() == 4
+    assert near_dedup.deduplicate(docs).count() == 4 and exact_dedup.deduplicate(docs).count() == 4
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))

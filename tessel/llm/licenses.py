@@ -2,8 +2,9 @@
 
 A text becomes its words, lower-cased in ASCII and joined by one blank; one pass of the automaton
 finds every base phrase, notice phrase and identifier tag as whole consecutive words. Behind each
-tag the expression is read from the text itself, to where prose or the line ends, turned into postfix order by precedence
-(``with`` before ``and`` before ``or``) and evaluated: its licences become labels, ``or`` takes the
+tag the expression is read from the text itself, to where prose begins or a line ends with nothing
+open (a bracket, an operator), turned into postfix order by precedence (``with`` before ``and`` before
+``or``) and evaluated: its licences become labels, ``or`` takes the
 more open side, ``and`` the less open one, and ``with`` eases the licence before it.
 
 Score: how open the text's terms are, from 0 (reserved, or nothing found) to 1 (public domain):
@@ -18,7 +19,6 @@ than doc_id and text are ignored; repeated rows stay.
 from __future__ import annotations
 
 import re
-import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -57,16 +57,21 @@ _TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:-]*")
 
 def family(identifier: str) -> str:
     """The label of a licence identifier: its name without versions (``GPL-2.0-only`` is ``gpl``)."""
-    name = re.sub(r"-?\d[\d.]*(-only|-or-later|-clause|\+)?.*$|-only$|-or-later$|\+$", "", identifier.lower()) or identifier.lower()
+    name = re.sub(r"-v?\d.*$|v\d[\d.]*\+?$|-only$|-or-later$|\+$", "", identifier.lower())
     return {"bsl": "boost", "cc": "cc0" if "cc0" in identifier.lower() else "cc", "0bsd": "bsd"}.get(name, name)
 
 
-def postfix(expression: str, begin: int = 0, end: int = sys.maxsize) -> list[str]:
+def postfix(expression: str, begin: int = 0) -> list[str]:
     """Shunting-yard: operands and operators of the licence expression from ``begin`` in postfix order; ValueError if it isn't one."""
+    line_end = expression.find("\n", begin) % (len(expression) + 1)  # the text's end without one
     out: list[str] = []
     held: list[str] = []
     operand_next = True
-    for match in _TOKEN.finditer(expression, begin, end):
+    for match in _TOKEN.finditer(expression, begin):
+        if match.start() > line_end:
+            if not (out or held) or not (operand_next or "(" in held):
+                break  # nothing on the tag's line, or nothing open
+            line_end = expression.find("\n", match.start()) % (len(expression) + 1)
         token = match[0]
         low = token.lower()
         if low in _PRECEDENCE:
@@ -98,10 +103,10 @@ def postfix(expression: str, begin: int = 0, end: int = sys.maxsize) -> list[str
     return out + held[::-1]
 
 
-def evaluate(expression: str, begin: int = 0, end: int = sys.maxsize) -> tuple[set[str], float]:
+def evaluate(expression: str, begin: int = 0) -> tuple[set[str], float]:
     """Labels of an expression and how open its terms are."""
     try:
-        steps = postfix(expression, begin, end)
+        steps = postfix(expression, begin)
     except ValueError:
         return {"unparsed"}, UNKNOWN
     stack: list[tuple[set[str], float]] = []
@@ -138,11 +143,8 @@ def scan(text: str, words) -> tuple:
     labels = base | {NOTICES[p] for p in seen if p in NOTICES}
     terms = [OPENNESS[x] for x in labels]
     if seen.intersection(TAGS):
-        line_end = -1
         for m in _TAG.finditer(text):
-            if line_end < m.end():
-                line_end = text.find("\n", m.end()) % (len(text) + 1)  # the text's end without one
-            more, open_ = evaluate(text, m.end(), line_end)
+            more, open_ = evaluate(text, m.end())
             labels |= more
             terms.append(open_)
     first, last = (line.count(" ", 0, min(starts)), line.count(" ", 0, max(starts))) if starts else (None, None)

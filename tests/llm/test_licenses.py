@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 import pytest
 
 from tessel.llm import licenses, queries
@@ -57,6 +58,69 @@ def test_not_an_expression(text):
 
 def test_families():
     assert [*map(licenses.family, ("MIT", "Apache-2.0", "GPL-3.0-or-later", "BSD-3-Clause", "CC0-1.0", "LGPL-2.1+", "CC-BY-NC-4.0", "ISC"))] == ["mit", "apache", "gpl", "bsd", "cc0", "lgpl", "cc-by-nc", "isc"]
+    assert [*map(licenses.family, ("X11", "W3C-19980720", "GPLv2+", "0BSD", "BSL-1.0", "MIT-0", "bzip2-1.0.6"))] == ["x11", "w3c", "gpl", "bsd", "boost", "mit", "bzip2"]
+
+
+def test_open_expressions_go_on_in_the_next_line():
+    words = licenses.automaton()
+    tag = "# SPDX-License-Identifier: "
+    for text, want in (("(MIT OR\n#  Apache-2.0) AND\n# GPL-3.0\nBSD", "apache,gpl,mit"), ("MIT\nOR Apache-2.0", "mit"), ("MIT OR\n\nISC\nAND GPL-2.0", "isc,mit"), ("(MIT\nprose follows here)", "unparsed")):
+        assert licenses.scan(tag + text, words)[-2] == want
+
+
+def value(tokens):
+    """Labels and openness of an expression by recursive descent."""
+
+    def term(level):
+        if level == 3:
+            token = tokens.pop(0)
+            if token == "(":
+                inner = term(0)
+                assert tokens.pop(0) == ")"
+                return inner
+            label = licenses.family(token)
+            return {label}, licenses.OPENNESS.get(label, licenses.UNKNOWN)
+        got = term(level + 1)
+        while tokens and tokens[0].lower() == ("or", "and", "with")[level]:
+            tokens.pop(0)
+            (a, x), (b, y) = got, term(level + 1)
+            got = (a | b, max(x, y)) if level == 0 else (a | b, min(x, y)) if level == 1 else (a, x + (1 - x) / 2)
+        return got
+
+    return term(0)
+
+
+def test_labels_and_score_equal_brute_force(spark):
+    rng, names = np.random.default_rng(3), ["MIT", "Apache-2.0", "GPL-2.0-only", "ISC", "X-Other", "CC0-1.0"]
+
+    def expression(depth):
+        kind = int(rng.integers(0, 5)) if depth else 0
+        if kind == 0:
+            return [str(rng.choice(names))]
+        if kind == 1:
+            return ["(", *expression(depth - 1), ")"]
+        if kind == 2:
+            return [str(rng.choice(names)), "WITH", "Some-exception"]
+        return [*expression(depth - 1), ("OR", "and")[kind - 3], *expression(depth - 1)]
+
+    phrases = {**licenses.BASE, **licenses.NOTICES}
+    rows, want = [], []
+    for i in range(300):
+        parts = [str(x) for x in rng.choice([*phrases, "prose", "license", "cc", "by"], int(rng.integers(0, 6)))]
+        labels, terms, lines = set(), [], []
+        for tokens in [expression(4) for _ in range(int(rng.integers(0, 3)))]:
+            lines.append("SPDX-License-Identifier: " + " ".join(tokens))
+            own, open_ = value(tokens)
+            labels |= own
+            terms.append(open_)
+        text = "\n".join([" ".join(parts), *lines, ""])
+        joined = " " + " ".join(WORD.findall(text.lower())) + " "
+        found = {phrases[p] for p in phrases if f" {p} " in joined}
+        terms += [licenses.OPENNESS[x] for x in found]
+        rows.append((i, text))
+        want.append((i, ",".join(sorted(labels | found)), round(min(terms, default=0.0), 9)))
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["labels"], round(r["score"], 9)) for r in got) == want
 
 
 def test_long_expressions_are_read_whole():

@@ -9,7 +9,7 @@ pair with the new token has a smaller rank. So rounds don't grow with the length
 documents with the vocabulary and puts the bytes together with an ordered aggregate.
 
 Each Python worker has a DuckDB of its own with one thread and a memory limit; nothing is
-shuffled.
+shuffled. Should a query spill, it does so in a folder of the executor's, which goes with it.
 
 Defined cases: a null text counts as empty and has no ids; a word of any length is one more word
 to the query; equal texts have equal ids; an empty table gives no rows; columns other than doc_id
@@ -18,8 +18,11 @@ and text are ignored; repeated rows stay.
 
 from __future__ import annotations
 
+import atexit
 import base64
 import os
+import shutil
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -103,7 +106,10 @@ class ByteBpe:
         self.old: dict[str, bytes] = {}
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = [(ranks[k[:i]], ranks[k[i:]], r) for k, r in ranks.items() for i in range(1, len(k)) if k[:i] in ranks and k[i:] in ranks]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": os.path.join(os.environ.get("TMPDIR", "/tmp"), f"bpe-{os.getpid()}")})
+        own = os.environ.get("SPARK_LOCAL_DIRS", tempfile.gettempdir()).split(",")[0]  # Spark removes it with the executor
+        spill = os.path.join(own, f"bpe-{os.getpid()}-{id(self)}")
+        atexit.register(shutil.rmtree, spill, ignore_errors=True)
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": spill})
         a, b, rank = np.array(pairs, np.int32).T
         hazard = np.zeros(rank.max() + 1, bool)
         hazard[a[rank < a]] = hazard[b[rank < b]] = True  # with a neighbour, such a token makes an earlier one

@@ -6,13 +6,13 @@ the sample less 128, so an eighth-size thumbnail, made from DC values alone, is
 image is 24 blocks wide, each row of blocks is a restart interval, and bytes that don't fit the
 65,535 lines of one image follow in further images.
 
-``from_media`` reads baseline JPEG in general (any sampling, tables, restart interval): it parses
-the markers, Huffman-decodes the scans, skips AC coefficients, and rebuilds the luminance
-thumbnail. All restart intervals of a batch with the same tables are decoded in step in numpy.
+``from_media`` reads baseline JPEG in general (any sampling, tables, restart interval, one scan or
+several): it parses the markers, Huffman-decodes the scan of the first component, skips AC
+coefficients, and rebuilds the luminance thumbnail. All restart intervals of a batch with the same tables are decoded in step in numpy.
 
 Defined cases: a null or empty text is a payload of 576 bytes 255; equal texts give equal values;
 an empty table gives no rows; columns other than doc_id and text are ignored; repeated rows stay;
-a damaged image raises ValueError.
+media that are null, damaged or no baseline JPEG give a row with nulls and ``error``, others go on.
 """
 
 from __future__ import annotations
@@ -118,16 +118,34 @@ def to_images(payloads: list[bytes], across: int = ACROSS) -> list[bytes]:
 
 
 class Image:
-    """Markers of one baseline image; ``end`` is where it ends in ``data``."""
+    """Markers of one baseline image, and the scan with its first component; ``end`` is where it ends in ``data``.
+
+    Whatever is damaged raises ValueError.
+    """
 
     def __init__(self, data: bytes, at: int = 0):
         if data[at : at + 2] != b"\xff\xd8":
             raise ValueError("no start of image")
-        at, self.restart, self.quantisers, self.tables = at + 2, 0, {}, {}
+        self.restart, self.quantisers, self.tables, self.components, self.scan = 0, {}, {}, [], None
+        try:
+            self.end = self._markers(data, at + 2)
+        except (IndexError, KeyError, StopIteration, struct.error):
+            raise ValueError("a damaged image") from None
+        if self.scan is None or 2 * len(self.blocks) * self.across * self.down > 8 * len(self.scan):
+            raise ValueError("the scan is too short")
+
+    def _markers(self, data: bytes, at: int) -> int:
         while True:
-            if at + 4 > len(data) or data[at] != 0xFF:
+            if data[at] != 0xFF:
                 raise ValueError("no marker where one belongs")
-            marker, size = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
+            while data[at + 1] == 0xFF:  # filling
+                at += 1
+            marker = data[at + 1]
+            if marker == 0xD9:
+                return at + 2
+            size = struct.unpack_from(">H", data, at + 2)[0]
+            if size < 2 or at + 2 + size > len(data):
+                raise ValueError("a segment is cut off")
             body, at = data[at + 4 : at + 2 + size], at + 2 + size
             if marker == 0xDB:
                 while body:
@@ -137,44 +155,59 @@ class Image:
             elif marker == 0xC4:
                 while body:
                     n = sum(body[1:17])
+                    if n > len(body) - 17:
+                        raise ValueError("a table is cut off")
                     self.tables[body[0]] = (tuple(body[1:17]), tuple(body[17 : 17 + n]))
                     body = body[17 + n :]
             elif marker == 0xC0:
                 depth, self.height, self.width, n = struct.unpack_from(">BHHB", body)
                 self.components = [(body[k], body[k + 1] >> 4, body[k + 1] & 15, body[k + 2]) for k in range(6, 6 + 3 * n, 3)]
-                if depth != 8:
-                    raise ValueError("only 8-bit samples are baseline")
+                if depth != 8 or not n or not self.height or not self.width or not all(1 <= x <= 4 for c in self.components for x in c[1:3]):
+                    raise ValueError("only 8-bit samples of a stated size are read")
             elif 0xC1 <= marker <= 0xCF and marker not in (0xC8, 0xCC):
                 raise ValueError("not a baseline image")
             elif marker == 0xDD:
                 self.restart = struct.unpack(">H", body)[0]
             elif marker == 0xDA:
+                end = at
+                while True:  # markers other than restarts and stuffing end the scan
+                    end = data.find(b"\xff", end)
+                    if end < 0:
+                        raise ValueError("the scan doesn't end")
+                    if data[end + 1] == 0 or 0xD0 <= data[end + 1] <= 0xD7:
+                        end += 2
+                        continue
+                    break
                 chosen = {body[k]: body[k + 1] for k in range(1, 1 + 2 * body[0], 2)}
-                break
-        if len(chosen) != len(self.components):
-            raise ValueError("several scans")
-        end = at
-        while True:  # markers other than restarts and stuffing end the scan
-            end = data.find(b"\xff", end)
-            if end < 0:
-                raise ValueError("the scan doesn't end")
-            if data[end + 1] == 0 or 0xD0 <= data[end + 1] <= 0xD7:
-                end += 2
-                continue
-            break
-        self.scan, self.end = data[at:end], end + 2
-        if len(self.components) == 1:  # a lone component isn't interleaved: one block at a time
-            self.components = [(self.components[0][0], 1, 1, self.components[0][3])]
-        self.most = max(h for _, h, _, _ in self.components), max(v for _, _, v, _ in self.components)
-        self.across, self.down = -(-self.width // (8 * self.most[0])), -(-self.height // (8 * self.most[1]))
+                if self.scan is None and self.components[0][0] in chosen:
+                    self._first_scan(data[at:end], chosen)
+                at = end
+
+    def _first_scan(self, scan: bytes, chosen: dict[int, int]) -> None:
+        """The scan as it stands with the tables and the restart interval that hold now."""
+        own = [x for x in self.components if x[0] in chosen]
+        if len(own) != len(chosen):
+            raise ValueError("a scan of unknown components")
+        self.scan, self.interval = scan, self.restart
+        most = max(h for _, h, _, _ in self.components), max(v for _, _, v, _ in self.components)
+        _, h, v, self.quantiser = self.components[0]
+        self.size = -(-self.height * v // (8 * most[1])), -(-self.width * h // (8 * most[0]))  # of the thumbnail
+        if len(own) == 1:  # a lone component isn't interleaved: one block at a time
+            self.sampling, (self.down, self.across) = (1, 1), self.size
+        else:
+            self.sampling, self.down, self.across = (h, v), -(-self.height // (8 * most[1])), -(-self.width // (8 * most[0]))
         #: Per block of an MCU: component, DC table, AC table.
-        self.blocks = tuple((k, self.tables[chosen[c] >> 4], self.tables[0x10 | chosen[c] & 15]) for k, (c, h, v, _) in enumerate(self.components) for _ in range(h * v))
+        each = [(k, self.tables[chosen[c] >> 4], self.tables[0x10 | chosen[c] & 15], h * v if len(own) > 1 else 1) for k, (c, h, v, _) in enumerate(own)]
+        self.blocks = tuple((k, dc, ac) for k, dc, ac, n in each for _ in range(n))
+        self.parts = len(own)
 
 
 def _lookup(table: tuple) -> np.ndarray:
     """For each 16-bit window: the code's length in the high byte, its symbol in the low one."""
     out = np.zeros(1 << 16, np.uint16)
     for symbol, code, n in codes(*table):
+        if code >> n:
+            raise ValueError("a table with too many codes")
         out[code << 16 - n : code + 1 << 16 - n] = n << 8 | symbol
     return out
 
@@ -194,7 +227,7 @@ def decode_scans(images: list[Image]) -> list[np.ndarray]:
     clean = np.concatenate([raw[keep], np.zeros(8, np.uint8)]).astype(np.uint32)
     window = clean[:-3] << 24 | clean[1:-2] << 16 | clean[2:-1] << 8 | clean[3:]
     total = [x.across * x.down for x in images]
-    each = [min(first.restart or n, n) for n in total]
+    each = [min(first.interval or n, n) for n in total]
     starts, sizes, owner = [], [], []
     for k, (n, per) in enumerate(zip(total, each, strict=True)):
         own = restarts[np.searchsorted(restarts, begins[k]) : np.searchsorted(restarts, begins[k + 1])]
@@ -211,7 +244,7 @@ def decode_scans(images: list[Image]) -> list[np.ndarray]:
         return window[p >> 3] << (p & 7).astype(np.uint32) >> np.uint32(16)
 
     values = np.zeros((len(at), int(size.max()), len(first.blocks)), np.int32)
-    before = np.zeros((len(at), len(first.components)), np.int32)
+    before = np.zeros((len(at), first.parts), np.int32)
     for step in range(values.shape[1]):
         live = slice(None) if step < size.min() else np.flatnonzero(size > step)
         p = at[live]
@@ -219,6 +252,8 @@ def decode_scans(images: list[Image]) -> list[np.ndarray]:
             found = luts[dc][peek(p)]
             p = p + (found >> 8)
             n = (found & 255).astype(np.uint32)
+            if len(n) and (n.max() > 11 or not found.all()):
+                raise ValueError("no such code")
             extra = (peek(p) >> (np.uint32(16) - n)).astype(np.int32)
             difference = np.where(extra < (1 << n.astype(np.int32) >> 1), extra - (1 << n.astype(np.int32)) + 1, extra)
             p = p + n
@@ -246,10 +281,12 @@ def decode_scans(images: list[Image]) -> list[np.ndarray]:
 
 def thumbnail(image: Image, dc: np.ndarray) -> np.ndarray:
     """Luminance at an eighth of the size, uint8."""
-    _, h, v, q = image.components[0]
+    h, v = image.sampling
     grid = dc[:, : h * v].reshape(image.down, image.across, v, h).transpose(0, 2, 1, 3).reshape(image.down * v, image.across * h)
-    grid = grid[: -(-image.height * v // (8 * image.most[1])), : -(-image.width * h // (8 * image.most[0]))]
-    return np.clip(np.rint(grid * (image.quantisers[q] / 8)) + 128, 0, 255).astype(np.uint8)
+    if image.quantiser not in image.quantisers:
+        raise ValueError("no quantiser")
+    grid = grid[: image.size[0], : image.size[1]]
+    return np.clip(np.rint(grid * (image.quantisers[image.quantiser] / 8)) + 128, 0, 255).astype(np.uint8)
 
 
 def from_images(media: list[bytes]) -> list[list[np.ndarray]]:
@@ -260,14 +297,30 @@ def from_images(media: list[bytes]) -> list[list[np.ndarray]]:
         while at < len(data):
             image = Image(data, at)
             at = image.end
-            group = alike[image.blocks, image.restart]
-            own.append((image.blocks, image.restart, len(group)))
+            group = alike[image.blocks, image.interval]
+            own.append((image.blocks, image.interval, len(group)))
             group.append(image)
         where.append(own)
     done = {key: [thumbnail(x, dc) for x, dc in zip(group, decode_scans(group), strict=True)] for key, group in alike.items()}
     return [[done[blocks, restart][k] for blocks, restart, k in own] for own in where]
 
 
+def read_each(media: list[bytes | None]) -> list[tuple[list[np.ndarray], str | None]]:
+    """The same with an error for each stored form that can't be read; the others go on."""
+    try:
+        if all(media):
+            return [(x, None) for x in from_images(media)]
+    except ValueError:
+        pass
+    out = []
+    for data in media:  # one by one, to tell which it is
+        try:
+            out.append((from_images([data])[0], None) if data else ([], "no media"))
+        except ValueError as e:
+            out.append(([], str(e)))
+    return out
+
+
 def thumbnail_hash(thumb: np.ndarray) -> str:
     """64 bits in hex: which of 8x8 areas are lighter than their mean."""
     rows, cols = (np.arange(9) * s // 8 for s in thumb.shape)
@@ -293,7 +346,7 @@ def to_media(docs: DataFrame) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width long, height long"
+FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width long, height long, error string"
 
 
 def from_media(media: DataFrame) -> DataFrame:
@@ -301,14 +354,20 @@ def from_media(media: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in FEATURES.split(", ")]
+        kinds = [pa.string() if x.endswith("string") else pa.int64() for x in FEATURES.split(", ")[1:]]
         for batch in batches:
             for part in portions(batch.rename_columns(["doc_id", "n_bytes", "text"]), 2 << 20):
                 stored, rows = part.column("text").to_pylist(), []
-                for data, n, images in zip(stored, part.column("n_bytes").to_pylist(), from_images(stored), strict=True):
-                    thumb = np.concatenate(images)
-                    payload = thumb.tobytes()
-                    height, width = (8 * s for s in thumb.shape)
-                    rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), f"{thumb.shape[1]}x{thumb.shape[0]}:{thumbnail_hash(thumb)}", width, height))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, zip(*rows, strict=True))], names)
+                for data, n, (images, error) in zip(stored, part.column("n_bytes").to_pylist(), read_each(stored), strict=True):
+                    if len({x.shape[1] for x in images}) > 1:
+                        images, error = [], "images of unlike widths"
+                    kept = (len(data), hashlib.sha256(data).hexdigest()) if data is not None else (None, None)
+                    if error is None:
+                        thumb = np.concatenate(images)
+                        payload = thumb.tobytes()
+                        rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), *kept, f"{thumb.shape[1]}x{thumb.shape[0]}:{thumbnail_hash(thumb)}", 8 * thumb.shape[1], 8 * thumb.shape[0], None))
+                    else:
+                        rows.append((n, None, None, None, *kept, None, None, None, error))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], names)
 
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, FEATURES)

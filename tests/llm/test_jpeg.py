@@ -63,6 +63,26 @@ def test_general_image():
     assert (thumb == np.clip(luma * 2 + 128, 0, 255)).all()
     with pytest.raises(ValueError):
         jpeg.from_images([image[:-2]])
+    # Filling before markers, and the same image with its second component in a scan of its own.
+    filled = image.replace(b"\xff\xc4", b"\xff\xff\xff\xc4").replace(b"\xff\xd9", b"\xff\xff\xd9")
+    assert (jpeg.from_images([filled])[0][0] == thumb).all()
+    apart, kept = [], {c: iter(want[c]) for c in (0, 1)}
+    for c, n in ((0, 12), (1, 6)):
+        bits.clear()
+        rows = np.array(want[0]).reshape(2, 3, 2).reshape(2, 6).ravel().tolist() if c == 0 else list(kept[1])
+        before = 0
+        for x in rows[:n]:
+            size = abs(x - before).bit_length()
+            if size not in code[0]:
+                pytest.skip("the small table has no such difference")
+            put(*code[0][size])
+            number(x - before, size) if size else None
+            put(*code[1][0x00])
+            before = x
+        bits += [1] * (-len(bits) % 8)
+        apart.append(jpeg._segment(0xDA, bytes([1, c + 1, 0, 0, 63, 0])) + np.packbits(bits).tobytes().replace(b"\xff", b"\xff\x00"))
+    several = image[: image.index(b"\xff\xda")] + b"".join(apart) + b"\xff\xd9"
+    assert (jpeg.from_images([several])[0][0] == thumb).all()
     with pytest.raises(ValueError):
         jpeg.from_images([image.replace(b"\xff\xc0", b"\xff\xc2")])
 
@@ -74,6 +94,22 @@ def test_op3_equals_brute_force(spark):
     assert all(r["width"] == 192 and r["height"] * 24 == r["payload_bytes"] * 8 for r in rows)
 
 
+def test_damage_stays_with_its_row(spark, odd):
+    rng = np.random.default_rng(1)
+    good = jpeg.to_images([bytes(range(64)) * 9])[0]
+    rows = [(0, good), (1, None), (2, b""), (3, b"no image"), (4, good[:-3]), (5, good + good), (6, good.replace(b"\xff\xc0", b"\xff\xc2"))]
+    for k in range(60):
+        bad = bytearray(good[: int(rng.integers(2, len(good)))] if k % 2 else good)
+        for at in rng.integers(2, len(bad), 3) if len(bad) > 2 else []:
+            bad[at] = int(rng.integers(0, 256))
+        rows.append((10 + k, bytes(bad)))
+    docs = spark.createDataFrame([(i, 576, bytearray(x) if x is not None else None) for i, x in rows], "doc_id long, n_bytes long, media binary")
+    got = {r["doc_id"]: r for r in jpeg.from_media(docs).collect()}
+    assert len(got) == len(rows) and got[0]["error"] is None and got[0]["payload_bytes"] == 576 and got[5]["payload_bytes"] == 1152
+    assert all(got[k]["error"] and got[k]["payload_sha256"] is None for k in (1, 2, 3, 4, 6))
+    assert all((r["error"] is None) == (r["feature"] is not None) for r in got.values())
+
+
 def test_op3_odd(odd, none):
     media = jpeg.to_media(odd)
     stored = {r["doc_id"]: bytes(r["media"]) for r in media.collect()}

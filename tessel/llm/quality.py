@@ -31,6 +31,7 @@ from tessel.llm.labelled import SAMPLE, held_out, sample
 from tessel.llm.shingles import SMALL, hashes, shingles, spans, texts_of
 
 SLOTS, DIM, SIGNS, SIGN_DIM, WINDOW, HIDDEN = 1 << 14, 32, 1 << 10, 64, 2, 24
+DECAY = 1e-4
 #: Byte classes: 0 blank, 1 lower-case, 2 upper-case, 3 digit, 4 non-ASCII, 5 symbol, 6 line end.
 _CLASS = np.array([6 if c == 10 else 0 if c <= 32 or c == 127 else 1 if 97 <= c < 123 else 2 if 65 <= c < 91 else 3 if 48 <= c < 58 else 4 if c >= 128 else 5 for c in range(256)], np.uint8)
 
@@ -109,6 +110,16 @@ def context_sums(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
     return out
 
 
+def cross_entropy(p: list[np.ndarray], z: np.ndarray, t: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """Mean loss of a tanh layer and a logistic one, with weight decay, and its gradient."""
+    h = np.tanh(z @ p[0] + p[1])
+    logit = np.clip(h @ p[2] + p[3], -30, 30)
+    d = (1 / (1 + np.exp(-logit)) - t) / len(t)
+    back = np.outer(d, p[2]) * (1 - h * h)
+    loss = np.logaddexp(0, np.where(t == 1, -1, 1) * logit).mean() + DECAY / 2 * ((p[0] ** 2).sum() + (p[2] ** 2).sum())
+    return float(loss), [z.T @ back + DECAY * p[0], back.sum(0), h.T @ d + DECAY * p[2], d.sum()]
+
+
 class Model:
     """What scoring needs: word vectors, scaling, two layers and a temperature; or a constant."""
 
@@ -137,10 +148,7 @@ class Model:
             order = rng.permutation(len(z))
             for at in range(0, len(z), 256):
                 k = order[at : at + 256]
-                h = np.tanh(z[k] @ p[0] + p[1])
-                d = (1 / (1 + np.exp(-np.clip(h @ p[2] + p[3], -30, 30))) - t[k]) / len(k)
-                back = np.outer(d, p[2]) * (1 - h * h)
-                grads = [z[k].T @ back + 1e-4 * p[0], back.sum(0), h.T @ d + 1e-4 * p[2], d.sum()]
+                _, grads = cross_entropy(p, z[k], t[k])
                 step += 1
                 rate = 3e-3 * 0.95**epoch
                 for j, g in enumerate(grads):

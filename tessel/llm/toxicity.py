@@ -30,6 +30,7 @@ from tessel.llm.shingles import SMALL, WORD, hashes, mix, spans, texts_of
 
 SPACE, KEPT, LEAST = 1 << 20, 4096, 3
 PREFIXES = (5, 6, 7, 8)
+DECAY = 5e-6
 
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -67,6 +68,24 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.theta - eta[:, None], -30, 30)))
 
 
+def objective(p: np.ndarray, rows: np.ndarray, at: np.ndarray, grade: np.ndarray) -> tuple[float, np.ndarray]:
+    """Mean negative log-likelihood of grades 0 to 3, with weight decay, and its gradient.
+
+    ``p`` has the weights, then theta_1 and the logs of the steps to the other thresholds.
+    """
+    w, theta, n = p[:-3], p[-3:], len(grade)
+    eta, steps = np.bincount(rows, w[at], n), np.exp(theta[1:])
+    s = 1 / (1 + np.exp(-np.clip(np.cumsum([theta[0], *steps])[None, :] - eta[:, None], -30, 30)))  # P(grade <= k)
+    upper = np.concatenate([s, np.ones((n, 1))], 1)[np.arange(n), grade]
+    lower = np.concatenate([np.zeros((n, 1)), s], 1)[np.arange(n), grade]
+    prob = np.maximum(upper - lower, 1e-9)
+    up, low = upper * (1 - upper) / prob, lower * (1 - lower) / prob
+    d_bound = np.array([(-(up * (grade == k)).sum() + (low * (grade == k + 1)).sum()) / n for k in range(3)])
+    d_theta = np.array([d_bound.sum(), d_bound[1:].sum() * steps[0], d_bound[2] * steps[1]])
+    loss = -np.log(prob).mean() + DECAY / 2 * (w @ w)
+    return float(loss), np.concatenate([np.bincount(at, ((up - low) / n)[rows], len(w)) + DECAY * w, d_theta])
+
+
 def learn(rows: np.ndarray, at: np.ndarray, y: np.ndarray, chosen: np.ndarray, odds: np.ndarray) -> Model:
     """Fit on incidences (row, place in ``chosen``) and labels 0 or 1; ``odds`` are log-odds of the features."""
     model, n = Model(), len(y)
@@ -79,18 +98,7 @@ def learn(rows: np.ndarray, at: np.ndarray, y: np.ndarray, chosen: np.ndarray, o
     w, theta = np.zeros(len(chosen)), np.array([1.0, 0.0, 0.0])  # theta_1 and the logs of the steps to the others
     m = [np.zeros(len(w) + 3), np.zeros(len(w) + 3)]
     for step in range(1, 1501):
-        eta = np.bincount(rows, w[at], n)
-        steps = np.exp(theta[1:])
-        bounds = np.cumsum([theta[0], *steps])
-        s = 1 / (1 + np.exp(-np.clip(np.concatenate([bounds[None, :] - eta[:, None]]), -30, 30)))  # P(grade <= k)
-        upper = np.concatenate([s, np.ones((n, 1))], 1)[np.arange(n), grade]
-        lower = np.concatenate([np.zeros((n, 1)), s], 1)[np.arange(n), grade]
-        prob = np.maximum(upper - lower, 1e-9)
-        up, low = upper * (1 - upper) / prob, lower * (1 - lower) / prob
-        d_eta = (up - low) / n
-        d_bound = np.array([(-(up * (grade == k)).sum() + (low * (grade == k + 1)).sum()) / n for k in range(3)])
-        d_theta = np.array([d_bound.sum(), d_bound[1:].sum() * steps[0], d_bound[2] * steps[1]])
-        grad = np.concatenate([np.bincount(at, d_eta[rows], len(w)) + 5e-6 * w, d_theta])
+        _, grad = objective(np.concatenate([w, theta]), rows, at, grade)
         m[0], m[1] = 0.9 * m[0] + 0.1 * grad, 0.999 * m[1] + 0.001 * grad**2
         move = 0.05 * m[0] / (1 - 0.9**step) / (np.sqrt(m[1] / (1 - 0.999**step)) + 1e-9)
         w, theta = w - move[: len(w)], theta - move[len(w) :]

@@ -211,13 +211,15 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 def keep(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs`` whose text scores ``threshold`` or more, all columns as they are."""
 
+    place = docs.columns.index("text")
+    plain = docs.toDF(*["text" if k == place else f"c{k}" for k in range(len(docs.columns))])  # names may have dots
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.schema.get_field_index("text")
             done = 0
-            for part in portions(batch.set_column(text, "text", batch.column(text).fill_null("")), 1 << 20):
+            for part in portions(batch.set_column(place, "text", batch.column(place).fill_null("")), 1 << 20):
                 good = model.score(part.column("text")) >= threshold
                 yield batch.slice(done, len(part)).filter(pa.array(good))
                 done += len(part)
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -2,7 +2,8 @@
 
 Each stage takes what its predecessor kept, as a table with the columns of ``documents``, and
 returns such a table; the last returns pieces with their places. Stages read nothing but their
-input (and labels, for the classifier), so each can be run again from the table before it.
+input (and labels, for the classifier), so each can be run again from the table before it. Once a
+stage's table is written, those that it came from are removed.
 
 1. quality: documents that the classifier rejects go.
 2. exact_dedup: of equal texts one stays.
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.llm import exact_dedup, near_dedup, packing, pii, quality
-from tessel.llm.common import public_tokenizer, read_documents, read_labels, settle
+from tessel.llm.common import discard, made, public_tokenizer, read_documents, read_labels, settle
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +55,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each one's table is written to the shared folder and read again."""
-    docs = read_documents(spark, sf_dir)
+    docs, begin = read_documents(spark, sf_dir), made()
     for name, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(spark, begin, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)

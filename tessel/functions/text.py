@@ -33,6 +33,23 @@ def join_url(base: Column, path: Column) -> Column:
     return F.concat(F.regexp_replace(base, "/+$", ""), F.lit("/"), F.regexp_replace(path, "^/+", ""))
 
 
+def responses_url(base: Column) -> Column:
+    """``base`` with one ``/responses`` at its end."""
+    return F.when(F.endswith(base, F.lit("/responses")), base).otherwise(F.concat(F.regexp_replace(base, "/$", ""), F.lit("/responses")))
+
+
+def word_list(text: Column) -> Column:
+    """Words of a list: commas, with blanks around them; nothing after the last comma is no word. Null gives none."""
+    return F.coalesce(F.split(F.regexp_replace(text, "( *, *)+$", ""), " *, *", -1), F.array().cast("array<string>"))
+
+
+def json_arguments(text: Column) -> Column:
+    """A JSON object as a nested value (variant); a string that holds one is read once more, anything else is an empty object."""
+    outer = F.try_parse_json(text)
+    inner = F.when(F.schema_of_variant(outer) == "STRING", F.try_parse_json(F.try_variant_get(outer, "$", "string"))).otherwise(outer)
+    return F.when(F.coalesce(F.schema_of_variant(inner).startswith("OBJECT"), F.lit(False)), inner).otherwise(F.parse_json(F.lit("{}")))
+
+
 def glob_regex(pattern: str) -> str:
     """A regular expression for a path glob: ``*`` and ``?`` stay within a component, ``**`` does not."""
     out, depth, k = "", 0, 0

@@ -48,20 +48,32 @@ def blocks(v: Column) -> Column:
     return F.transform(F.transform(parts, scaled), rounded)
 
 
+def _alike(values: pd.Series, each) -> pd.Series:
+    """``each`` over all values of one size at once; null stays null."""
+    sizes = values.map(lambda x: -1 if x is None else len(x))
+    out = pd.Series([None] * len(values), dtype=object)
+    for size in set(sizes) - {-1}:
+        own = np.flatnonzero(sizes == size)
+        for k, x in zip(own.tolist(), each([values.iloc[k] for k in own.tolist()]), strict=True):
+            out.iat[k] = x
+    return out
+
+
 @F.pandas_udf(T.BinaryType())
 def q8_bytes(v: pd.Series) -> pd.Series:
     """34 bytes a block: the scale as little-endian float16, then 32 signed bytes."""
-    return v.map(lambda x: None if x is None else q8_encode(np.asarray(x, np.float32)))
+    return _alike(v, lambda rows: [x.tobytes() for x in q8_encoded(np.stack(rows).astype(np.float32))])
 
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def q8_values(data: pd.Series) -> pd.Series:
     """The values of stored blocks, with the rounded scale."""
-    return data.map(lambda x: None if x is None else q8_decode(x))
+    return _alike(data, lambda rows: list(q8_decode(b"".join(rows)).reshape(len(rows), -1)))
 
 
-def q8_encode(v: np.ndarray) -> bytes:
-    if not len(v) or len(v) % MULTIPLE:
+def q8_encoded(v: np.ndarray) -> np.ndarray:
+    """Stored bytes (n, bytes) of vectors (n, size)."""
+    if not v.shape[1] or v.shape[1] % MULTIPLE:
         raise ValueError("vector size must be a positive multiple of 256")
     part = v.reshape(-1, BLOCK)
     top = np.nan_to_num(np.abs(part), nan=0.0, posinf=np.inf).max(1)
@@ -71,7 +83,11 @@ def q8_encode(v: np.ndarray) -> bytes:
     with np.errstate(over="ignore"):
         out[:, :2] = scale.astype("<f2").view(np.uint8).reshape(-1, 2)
     out[:, 2:] = np.clip(np.nan_to_num(q), -128, 127).astype(np.int8).view(np.uint8)
-    return out.tobytes()
+    return out.reshape(len(v), -1)
+
+
+def q8_encode(v: np.ndarray) -> bytes:
+    return q8_encoded(v[None, :]).tobytes()
 
 
 def q8_decode(data: bytes) -> np.ndarray:
@@ -83,7 +99,7 @@ def q8_decode(data: bytes) -> np.ndarray:
 @F.pandas_udf(T.BinaryType())
 def f32_bytes(v: pd.Series) -> pd.Series:
     """Big-endian float32 values."""
-    return v.map(lambda x: None if x is None else np.asarray(x, ">f4").tobytes())
+    return _alike(v, lambda rows: [x.tobytes() for x in np.stack(rows).astype(">f4")])
 
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))

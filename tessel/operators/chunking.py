@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters that Java counts as white space, beside Unicode's separators without the no-break ones.
 _BLANK = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f               　"
@@ -63,14 +65,29 @@ DIMENSIONS = 16
 def embedded(pieces: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, n_chunks, n_tokens, v0 to v15: words of all chunks of an entry, counted by the first hex digit of their MD5.
 
-    This stands in for a remote embedder, whose answer would be as deterministic per chunk.
+    This stands in for a remote embedder, whose answer would be as deterministic per chunk. Words
+    are rows that each task sums up before they move.
     """
-    words = F.filter(F.split(F.lower("chunk"), "[^a-z0-9]+"), lambda w: w != "")
-    slots = pieces.select(key, F.transform(words, lambda w: F.instr(F.lit("0123456789abcdef"), F.substring(F.md5(w.cast("binary")), 1, 1)) - 1).alias("s"))
-    each = slots.select(key, F.size("s").alias("n"), *[F.size(F.filter("s", _equals(d))).alias(f"v{d}") for d in range(DIMENSIONS)])
-    sums = [F.sum(f"v{d}").cast("long").alias(f"v{d}") for d in range(DIMENSIONS)]
-    return each.groupBy(key).agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("n").cast("long").alias("n_tokens"), *sums)
+    words = pieces.select(key, F.posexplode_outer(F.split(F.lower("chunk"), "[^a-z0-9]+")).alias("pos", "w"))
+    rows = words.select(key, (F.coalesce("pos", F.lit(0)) == 0).alias("first"), F.when(F.col("w") != "", F.substring(F.md5(F.col("w").cast("binary")), 1, 1)).alias("digit"))
+    counts = [F.count_if(F.col("digit") == f"{d:x}").alias(f"v{d}") for d in range(DIMENSIONS)]
+    return rows.groupBy(key).agg(F.count_if("first").alias("n_chunks"), F.count("digit").alias("n_tokens"), *counts)
 
 
-def _equals(d: int):
-    return lambda x: x == d
+def embed_with(pieces: DataFrame, embedder: Callable[[list[str]], tuple[list[int], np.ndarray]], text: str = "chunk", batch_size: int = 64) -> DataFrame:
+    """``pieces`` with n_tokens and embedding by any ``embedder`` of lists of texts (chunks or queries), in batches.
+
+    It gives token counts and a matrix with a row a text, and must be deterministic, as tasks may run again.
+    """
+    schema = T.StructType([*pieces.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])
+    place = pieces.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, batch_size):
+                part = batch.slice(begin, batch_size)
+                tokens, rows = embedder([x or "" for x in part.column(place).to_pylist()])
+                vectors = pa.array(list(np.asarray(rows, np.float32)), pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(tokens, pa.int64()), vectors], schema.names)
+
+    return pieces.mapInArrow(run, schema)

@@ -2,18 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+BLOCK = 4096  # rows of one key that are numbered in one task
+
+
+def before(rows: DataFrame, key: str, order: str, value: Column, name: str, block: int = BLOCK) -> DataFrame:
+    """Adds ``name``: the sum of ``value`` over the rows of ``key`` with a smaller ``order`` (an integer).
+
+    Rows are summed in blocks of ``order`` first, then the blocks of a key, so that one key's rows
+    don't meet in one task.
+    """
+    marked = rows.withColumns({"_block": F.floor(F.col(order) / block), "_value": value})
+    blocks = marked.groupBy(key, "_block").agg(F.sum("_value").alias("_sum"))
+    earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(F.col(key).alias("_key"), F.col("_block").alias("_of"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(key, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    own = marked.withColumn("_own", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
+    both = own.join(blocks, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_block") == F.col("_of")))
+    return both.withColumn(name, F.col("_before") + F.col("_own")).drop("_block", "_value", "_sum", "_key", "_of", "_before", "_own")
+
+
+def payload_of(line: str) -> str | None:
+    """What follows the first ``data: `` of a whole line, without blanks and control characters around; None if there is nothing to keep."""
+    at = line.find("data: ")
+    found = line[at + 6 :].strip(_TRIM) if at >= 0 else ""
+    return None if found in ("", "[DONE]") else found
+
+
+_TRIM = "".join(map(chr, range(33)))
+
+
 def payloads(pieces: DataFrame, key: str) -> DataFrame:
     """key, pos, payload of event streams cut into pieces (``seq``, ``piece``) anywhere; no marker is lost at a cut.
 
-    A stream's pieces are put together, so its size is bounded by memory; streams spread over tasks.
+    A payload follows the first ``data: `` of a line, trimmed; ``[DONE]`` and empty ones go, and so
+    does a last line without an end, as the streaming form would still wait for its rest. Lines are
+    numbered over pieces and put together one by one, so a stream's size isn't bounded by memory.
     """
-    whole = pieces.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "piece"))), lambda x: x["piece"]), "").alias("_whole"))
-    found = F.filter(F.split("_whole", "\r?\n"), lambda x: x.startswith("data: ") & ~F.trim(F.substring(x, 7, 1_000_000_000)).isin("", "[DONE]"))
-    return whole.select(key, F.posexplode(F.transform(found, lambda x: F.substring(x, 7, 1_000_000_000))).alias("pos", "payload"))
+    whole = pieces.select(key, F.col("seq").cast("long").alias("seq"), F.split("piece", "\n", -1).alias("parts"))
+    whole = before(whole, key, "seq", F.size("parts") - 1, "first")
+    parts = whole.select(key, "seq", "first", F.size("parts").alias("n"), F.posexplode("parts").alias("k", "part"))
+    part = F.struct("seq", "part")
+    lines = parts.groupBy(key, (F.col("first") + F.col("k")).alias("line")).agg(F.array_sort(F.collect_list(part)).alias("t"), F.bool_or(F.col("k") < F.col("n") - 1).alias("ends")).where("ends")
+    text = F.array_join(F.transform("t", lambda x: x["part"]), "")
+    found = F.when(F.instr(text, "data: ") > 0, F.regexp_replace(F.substr(text, F.instr(text, "data: ") + 6), r"^[\x00-\x20]+|[\x00-\x20]+$", ""))
+    kept = lines.select(key, "line", found.alias("payload")).where(F.col("payload").isNotNull() & ~F.col("payload").isin("", "[DONE]"))
+    return before(kept, key, "line", F.lit(1), "pos").select(key, F.col("pos").cast("int").alias("pos"), "payload")
 
 
 def deltas(rows: DataFrame, key: str) -> DataFrame:
@@ -40,13 +82,33 @@ def first_and_last(events: DataFrame, key: str, order: str, value: str, first: C
 def throttled(events: DataFrame, key: str, millis: str, gap: int) -> DataFrame:
     """key, at: events that come ``gap`` whole seconds or more after the last one let through; the first always is.
 
-    Which event passes depends on the one before that passed, so a key's times are one ordered
-    fold: times only (8 bytes each), distinct before they move.
+    Rows are sorted by key and time and pass by once; only the last time let through is held, and
+    from it the next one is searched for in the batch. Equal times count once.
     """
-    times = events.select(key, millis).distinct().groupBy(key).agg(F.array_sort(F.collect_list(millis)).alias("t"))
-    start = F.array().cast("array<bigint>")
-    fold = F.aggregate("t", start, lambda acc, x: F.when((F.size(acc) == 0) | (F.floor((x - F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0))) / 1000) >= gap), F.concat(acc, F.array(x))).otherwise(acc))
-    return times.select(key, F.explode(fold).alias("at"))
+    kind, step = events.schema[key].dataType.simpleString(), max(gap * 1000, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []  # key and last time
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, times = batch.column(0), batch.column(1).to_numpy()
+            which = keys.dictionary_encode("encode").indices.to_numpy()
+            bounds = np.append(np.flatnonzero(np.append(True, which[1:] != which[:-1])), len(times)).tolist()
+            chosen: list[int] = []
+            for begin, end in pairwise(bounds):
+                own = keys[begin].as_py()
+                at = begin
+                if held and held[0] == own:
+                    at = begin + int(np.searchsorted(times[begin:end], held[1] + step))
+                while at < end:
+                    chosen.append(at)
+                    held = [own, int(times[at])]
+                    at = begin + int(np.searchsorted(times[begin:end], held[1] + step))
+            yield batch.take(pa.array(chosen, pa.int64())).rename_columns([key, "at"])
+
+    rows = events.select(key, F.col(millis).cast("long").alias("at")).where("at is not null")
+    return rows.repartition(key).sortWithinPartitions(key, "at").mapInArrow(run, f"{key} {kind}, at long")
 
 
 def conversations(turns: DataFrame, key: str = "conv_id") -> DataFrame:
@@ -73,7 +135,7 @@ def tool_table(calls: DataFrame, toggles: DataFrame | None = None, active_only:
     out = calls.groupBy("name").agg(F.count(F.lit(1)).alias("call_count"), F.count_if("ok").alias("calls_ok"))
     if toggles is not None:
         last = toggles.groupBy("name").agg(F.max_by("active", "ts").alias("is_active"))
-        out = out.join(F.broadcast(last), "name", "left")  # a row a tool
+        out = out.join(last, "name", "left")
     else:
         out = out.withColumn("is_active", F.lit(True))
     out = out.withColumn("is_active", F.coalesce("is_active", F.lit(True)))

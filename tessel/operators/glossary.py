@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessel.functions.text import word_list
+
 
 def key_of(term: Column) -> Column:
     """Lower case, without blanks, underscores, hyphens and one pair of quotes around; null gives ''."""
@@ -24,7 +26,7 @@ def parse(files: DataFrame, resolve_references: bool = False) -> DataFrame:
     term, rest = F.trim(F.substring_index("e", "\n", 1)), F.regexp_replace(F.when(F.instr("e", "\n") > 0, F.expr("substring(e, instr(e, '\n') + 1)")).otherwise(""), r"^\s+|\s+$", "")
     rows = entries.select("file", "n", term.alias("term"), rest.alias("description")).withColumn("key", key_of(F.col("term")))
     refers = F.col("description").startswith("-> ")
-    rows = rows.withColumn("reference", F.when(refers, key_of(F.trim(F.substring("description", 4, 10_000)))))
+    rows = rows.withColumn("reference", F.when(refers, key_of(F.trim(F.substr("description", F.lit(4))))))
     if not resolve_references:
         rows = rows.where(~refers)
     first = rows.groupBy("key").agg(F.min_by(F.struct("term", "description", "reference"), F.struct("file", "n")).alias("e"))
@@ -46,6 +48,6 @@ def answer(found: DataFrame) -> DataFrame:
     return found.agg(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["t"]), "\n\n").alias("text"))
 
 
-def words_of(text: str) -> list[str]:
-    """Words of a list as text: commas, with blanks around them."""
-    return [w.strip(" ") for w in text.split(",")]
+def asked(rows: DataFrame, text: str = "words") -> DataFrame:
+    """pos, word of each word in lists as text, for ``look_up``."""
+    return rows.select(F.posexplode(word_list(F.col(text))).alias("pos", "word"))

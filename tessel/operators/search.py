@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessel.functions.text import excerpt, number_of_line
-from tessel.functions.vectors import dot
 
 K = 8
 
@@ -16,10 +22,44 @@ def query_text(text: Column, size: int = 6000) -> Column:
     return F.left(text, F.lit(size))
 
 
-def scored(chunks: DataFrame, query: DataFrame, vector: str = "embedding") -> DataFrame:
-    """``chunks`` with ``score`` against the one row of ``query``; NaN scores go."""
-    one = F.broadcast(query.limit(1).select(F.col(vector).alias("_q")))  # one row, so no real product
-    return chunks.join(one, how="cross").withColumn("score", dot(F.col(vector), F.col("_q"))).drop("_q").where(~F.isnan("score"))
+QUERIES = 1000  # vectors of one search, at most; more are searched in blocks
+
+
+def scored(chunks: DataFrame, query: DataFrame, vector: str = "embedding", query_id: str | None = None) -> DataFrame:
+    """``chunks`` without their vectors, with ``score`` against each row of ``query``; NaN scores and vectors of other sizes go.
+
+    ``query_id`` names the rows of ``query``, and each chunk has a row for each; without it the
+    query is one row. The vectors of a query go to every task, which multiplies whole batches, in
+    double precision.
+    """
+    asked = query.select(*([query_id] if query_id else []), F.col(vector).cast("array<double>").alias("_q")).limit(QUERIES + 1).collect()
+    if len(asked) > QUERIES or (query_id is None and len(asked) != 1):
+        raise ValueError(f"a search takes one vector, or up to {QUERIES} with a query_id")
+    names = [c for c in chunks.columns if c != vector]
+    schema = T.StructType([chunks.schema[c] for c in names] + ([query.schema[query_id]] if query_id else []) + [T.StructField("score", T.DoubleType())])
+    asked = [(x[0], np.array(x["_q"] if x["_q"] is not None else [], float)) for x in asked]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors, rest = batch.column(batch.num_columns - 1), batch.select(range(batch.num_columns - 1))
+            sizes = pc.list_value_length(vectors).fill_null(-1).to_numpy(zero_copy_only=False)
+            for own, q in asked:
+                fits = np.flatnonzero(sizes == len(q))
+                if len(fits) and len(q):
+                    part = vectors.take(pa.array(fits)).flatten().cast(pa.float64())
+                    score = part.fill_null(float("nan")).to_numpy(zero_copy_only=False).reshape(len(fits), -1) @ q
+                    good = np.flatnonzero(~np.isnan(score))
+                    columns = [*rest.take(pa.array(fits[good])).columns, *([pa.array([own] * len(good), kind)] if query_id else []), pa.array(score[good])]
+                    yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    kind = to_arrow_type(query.schema[query_id].dataType) if query_id else None
+    return chunks.select(*names, vector).mapInArrow(run, schema)
+
+
+def top_of_each(rows: DataFrame, query_id: str, *ties: str, k: int = K) -> DataFrame:
+    """The first ``k`` of each query by score, with their ``place`` from 1; each task keeps no more than that of a query."""
+    order = Window.partitionBy(query_id).orderBy(F.desc("score"), *ties)
+    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
 def best_chunks(chunks: DataFrame, key: str, order: str) -> DataFrame:
@@ -50,10 +90,10 @@ def keyword_score(text: Column, keyword: str) -> Column:
 def report(best: DataFrame, docs: DataFrame, key: str = "doc_id", width: int = 40) -> DataFrame:
     """Results (few: a top-k) joined with their texts: lines, excerpt, score as text; Not Found without a text.
 
-    The keys of the results go to every task and pick their texts, so no other text moves.
+    The results are made once and go to every task, which picks their texts, so no other text moves.
     """
-    texts = docs.select(key, "text").join(F.broadcast(best.select(key)), key, "left_semi")
-    rows = best.join(texts, key, "left")
+    few = best.sparkSession.createDataFrame(best.collect(), best.schema)
+    rows = few.join(docs.select(key, "text").join(F.broadcast(few.select(key)), key, "left_semi"), key, "left")
     text = F.col("text")
     return rows.select(
         key, "chunk_index", F.format_string("%.4f", "score").alias("score"),

@@ -2,19 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.functions.vectors import checked, f32_bytes, f32_values, q8_bytes, q8_values
 
 
 def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
-    """``old`` with the rows of ``new`` that changed in (key, mod_ts, size), as a merge with ``status``."""
-    fresh = new.join(old.select("key", "mod_ts", "size"), ["key", "mod_ts", "size"], "left_anti")
-    known = old.select("key", F.lit(True).alias("known"))
-    put = fresh.join(known, "key", "left").withColumn("status", F.when(F.col("known"), "updated").otherwise("inserted")).drop("known")
-    kept = old.join(fresh.select("key"), "key", "left_anti").withColumn("status", F.lit("kept"))
-    return kept.unionByName(put)
+    """``old`` with the rows of ``new`` that changed in (key, mod_ts, size), as a merge with ``status``: one join by key.
+
+    Of rows with one key (null is one) the last by mod_ts, then size, counts.
+    """
+
+    def once(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("key").agg(F.max_by(F.struct(*old.columns), F.struct("mod_ts", "size")).alias(name)).withColumnRenamed("key", f"{name}_key")
+
+    both = once(old, "o").join(once(new, "n"), F.col("o_key").eqNullSafe(F.col("n_key")), "full")
+    o, n = F.col("o"), F.col("n")
+    same = o["mod_ts"].eqNullSafe(n["mod_ts"]) & o["size"].eqNullSafe(n["size"])
+    status = F.when(n.isNull(), "kept").when(o.isNull(), "inserted").when(same, "kept").otherwise("updated")
+    rows = both.select(status.alias("status"), F.when(status == "kept", o).otherwise(n).alias("r"))
+    return rows.select("r.*", "status")
+
+
+def load(spark: SparkSession, path: str, held: DataFrame | None = None) -> DataFrame | None:
+    """The entries of a store file as ``from_lines`` gives them, in file order; without a file, ``held`` as it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return held
+    lines_ = spark.read.text(path)
+    at = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n"))
+    return from_lines(lines_.select(at.alias("ordinal"), F.col("value").alias("line")))
+
+
+def save(entries: DataFrame, path: str, q8: bool = False) -> None:
+    """Write entries as lines in the order of their ``ordinal``."""
+    to_lines(entries, q8).orderBy("ordinal").select("line").write.mode("overwrite").text(path)
 
 
 def escaped(field: Column) -> Column:
@@ -30,15 +53,16 @@ def fields(line: Column) -> Column:
 
 
 def to_lines(entries: DataFrame, q8: bool = False) -> DataFrame:
-    """``line`` for each entry (key, mod_ts, size, prompt_tokens, total_tokens, chunks of start, end, vec), one format for all."""
+    """``line`` for each entry (key, mod_ts, size, prompt_tokens, total_tokens, chunks of start, end, vec), one format for all; an ``ordinal`` stays."""
     pieces = entries.select("*", F.posexplode_outer("chunks").alias("n", "c"))
     vec = F.col("c.vec")
     coded = pieces.withColumn("b", F.base64(q8_bytes(checked(vec)) if q8 else f32_bytes(vec)))
     piece = F.when(F.col("c").isNotNull(), F.struct("n", F.concat_ws(";", "c.start", "c.end", "b").alias("t")))
     keys = ["key", "mod_ts", "size", "prompt_tokens", "total_tokens"]
-    whole = coded.groupBy(*keys).agg(F.array_sort(F.collect_list(piece)).alias("p"))
+    ordinal = ["ordinal"] if "ordinal" in entries.columns else []
+    whole = coded.groupBy(*keys, *ordinal).agg(F.array_sort(F.collect_list(piece)).alias("p"))
     head = [escaped(F.col("key")), *[F.col(k).cast("string") for k in keys[1:]], F.lit("Q8_0" if q8 else "F32"), F.size("p").cast("string")]
-    return whole.select(F.concat_ws(";", *head, F.when(F.size("p") > 0, F.array_join(F.transform("p", lambda x: x["t"]), ";"))).alias("line"))
+    return whole.select(*ordinal, F.concat_ws(";", *head, F.when(F.size("p") > 0, F.array_join(F.transform("p", lambda x: x["t"]), ";"))).alias("line"))
 
 
 def from_lines(lines: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,13 +24,13 @@ def find_by_glob(files: DataFrame, pattern: str = "**/*.*", exclude: str | None
         parts = F.split("path", "/")
         above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
         found = found.where(~F.exists(above, lambda p: p.rlike(f"^(?:{exclude})$")))
-    return found if limit is None else found.orderBy("path").limit(max(0, limit))
+    return found if limit is None else found.orderBy("path", "size").limit(max(0, limit))
 
 
 def allowed(paths: DataFrame, base: str, project: str) -> DataFrame:
     """Adds ``normal`` and ``allowed``: the path below ``base`` stays there, and its project's name matches."""
     clean = normal_path(F.concat(F.lit(base + "/"), F.col("path")))
-    name = F.split(F.substring(clean, len(base) + 2, 10_000), "/")[0]
+    name = F.split(F.substr(clean, F.lit(len(base) + 2)), "/")[0]
     return paths.withColumns({"normal": clean, "allowed": clean.startswith(base + "/") & name.rlike(f"^(?:{project})$")})
 
 
@@ -85,29 +88,44 @@ def edited(rows: DataFrame) -> DataFrame:
     return rows.where("replacements > 0")
 
 
-def quoted(literal: str) -> str:
-    """A literal text as a regular expression that Java and RE2 both take."""
-    return "".join(c if c.isalnum() or c in " _" else f"\\{c}" if ord(c) > 32 and ord(c) < 127 else c for c in literal)
+def farthest(text: str, needle: str) -> tuple[int, int] | None:
+    """(length, place) of the longest prefix of ``needle`` that another character follows, at its last place; None without one."""
+    if not text:
+        return None
+    low, high = 0, len(needle) - 1
+    while low < high:  # a prefix occurs where a longer one does
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if text.find(needle[:middle]) >= 0 else (low, middle - 1)
+    for n in range(low, -1, -1):
+        at = text.rfind(needle[:n], 0, len(text) - 1)
+        while at >= 0 and text[at + n] == needle[n]:
+            at = text.rfind(needle[:n], 0, at + n - 1) if n else len(text[:at].rstrip(needle[0])) - 1
+        if at >= 0:
+            return n, at
+    return None
 
 
 def longest_prefix(docs: DataFrame, needle: str, key: str = "doc_id") -> DataFrame:
     """key, prefix_length, position, expected, actual, actual_code: how far a text that isn't there matches.
 
     The longest prefix that is followed by another character counts, at its last place; one that
-    the text's end cuts off doesn't. Each length is one pattern, tried from the longest.
+    the text's end cuts off doesn't. One pass over the texts, whatever the needle's length.
     """
     _needle(needle)
-    text, out = F.col("text"), None
-    for n in range(len(needle)):  # the longest wraps the others
-        other = f"[^{quoted(needle[n])}]"
-        before = F.regexp_extract(text, f"(?s)^(.*){quoted(needle[:n])}{other}", 1)
-        hit = F.regexp_like(text, F.lit(f"(?s){quoted(needle[:n])}{other}"))
-        found = F.struct(F.lit(n).alias("n"), F.length(before).alias("at"))
-        out = F.when(hit, found) if out is None else F.when(hit, found).otherwise(out)
-    rows = docs.select(key, "text", out.alias("m"))
-    actual = F.substring(text, F.col("m.at") + F.col("m.n") + 1, F.lit(1))
-    expected = F.substring(F.lit(needle), F.col("m.n") + 1, F.lit(1))
-    return rows.select(key, F.col("m.n").alias("prefix_length"), F.col("m.at").alias("position"), F.when(F.col("m").isNotNull(), expected).alias("expected"), F.when(F.col("m").isNotNull(), actual).alias("actual"), F.when(F.col("m").isNotNull(), F.concat(F.lit("U+"), F.lpad(F.hex(F.ascii(actual)), 4, "0"))).alias("actual_code"))
+    names = [key, "prefix_length", "position", "expected", "actual", "actual_code"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
+        for batch in batches:
+            rows = []
+            for text in batch.column(1).to_pylist():
+                n, at = farthest(text or "", needle) or (None, None)
+                rows.append((n, at, needle[n], text[at + n], f"U+{ord(text[at + n]):04X}") if n is not None else (None,) * 5)
+            columns = [*zip(*rows, strict=True)] or [[]] * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names)
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, prefix_length int, position int, expected string, actual string, actual_code string")
 
 
 def occurrences(text: Column, literal: str) -> Column:

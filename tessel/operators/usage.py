@@ -47,10 +47,22 @@ def totals(calls: DataFrame) -> DataFrame:
     return out.withColumn("message", F.when(F.col("n_calls") == 0, "none").otherwise(F.concat(F.col("n_calls").cast("string"), F.lit(" calls"))))
 
 
+#: The fields of a log record and the columns that they come from.
+RECORD = {
+    "tsStart": "ts_start", "millisPP": "millis_pp", "millisTG": "millis_tg", "model": "model", "promptTokens": "prompt_tokens", "completionTokens": "completion_tokens",
+    "totalTokens": "total_tokens", "cachedTokens": "cached_tokens", "ppTPS": "pp_tps", "tgTPS": "tg_tps",
+}
+
+
 def as_json(calls: DataFrame) -> DataFrame:
-    """``value``: one JSON object a call, for the append-only log."""
-    names = {"tsStart": "ts_start", "millisPP": "millis_pp", "millisTG": "millis_tg", "model": "model", "promptTokens": "prompt_tokens", "completionTokens": "completion_tokens"}
-    return calls.select(F.to_json(F.struct(F.lit("usage").alias("type"), *[F.col(c).alias(n) for n, c in names.items()])).alias("value"))
+    """``value``: one JSON object a call, for the append-only log: its type, the columns of ``RECORD``, and ``usage`` (JSON text) as it came.
+
+    ts_start is ISO 8601 text; rates are 32-bit floats; fields without a value are null.
+    """
+    kinds = {"pp_tps": "float", "tg_tps": "float"}
+    fields = [F.col(c).cast(kinds[c]).alias(n) if c in kinds else F.col(c).alias(n) for n, c in RECORD.items()]
+    record = F.struct(F.lit("llm-request").alias("type"), *fields, F.try_parse_json("usage").alias("usage"))
+    return calls.select(F.to_json(record, {"ignoreNullFields": "false"}).alias("value"))
 
 
 def append_log(calls: DataFrame, path: str) -> None:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +44,16 @@ def search_topk(spark, sf_dir):
     return search.top(_scored(spark, sf_dir), "vec_id").select("vec_id", F.round("score", 9).alias("score"))
 
 
+@query(f"""
+SELECT query_id, place, vec_id, round(score, 9) AS score FROM (SELECT q.vec_id AS query_id, e.vec_id, {_DOT} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT} DESC, e.vec_id)::INTEGER AS place
+FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0) q) WHERE place <= 8""")
+def search_many(spark, sf_dir):
+    """The eight vectors nearest to each vector whose number divides by 50."""
+    e = table(spark, sf_dir, "embeddings")
+    rows = search.scored(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), query_id="query_id")
+    return search.top_of_each(rows, "query_id", "vec_id").select("query_id", "place", "vec_id", F.round("score", 9).alias("score"))
+
+
 @query(f"""
 WITH s AS (SELECT label AS key, vec_id, {_DOT} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)
 SELECT key, round(score, 9) AS score, vec_id AS chunk_index FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, vec_id) AS n FROM s WHERE NOT isnan(score)) WHERE n = 1""")
@@ -252,11 +265,11 @@ def keyword_search(spark, sf_dir):
     return textfiles.keyword_hits(rows, F.col("file"), ["Red wid", "GEAR", "blue_bolt"]).select("p_partkey", "p_name")
 
 
-def _glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _glossary(spark: SparkSession, sf_dir: str, resolve_references: bool = False) -> DataFrame:
     entry = F.concat(F.lit("# "), "p_name", F.lit("\n"), F.when(F.col("p_partkey") % 7 == 0, F.lit("-> red widget")).otherwise(F.concat("p_type", F.lit("\n## "), F.col("p_size").cast("string"))), F.lit("\n"))
     entries = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", entry.alias("t")))), lambda x: x["t"]), "")
     files = table(spark, sf_dir, "part").groupBy(F.floor(F.col("p_partkey") / 100).alias("file")).agg(F.concat(F.lit("text before\n"), entries).alias("text"))
-    return glossary.parse(files)
+    return glossary.parse(files, resolve_references)
 
 
 _GLOSSARY_SQL = """
@@ -282,7 +295,8 @@ def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind, value = F.col("event_type"), F.col("value")
     server = kind == "purchase"
     return table(spark, sf_dir, "events").select(
-        "event_id", k.alias("prompt_tokens"), (k % 13).alias("completion_tokens"), (k + k % 13).alias("total_tokens"), F.col("ts").cast("string").alias("ts_start"), kind.alias("model"),
+        "event_id", k.alias("prompt_tokens"), (k % 13).alias("completion_tokens"), (k + k % 13).alias("total_tokens"), F.replace(F.col("ts").cast("string"), F.lit(" "), F.lit("T")).alias("ts_start"), (k % 5).alias("cached_tokens"),
+        F.format_string('{"prompt_tokens":%d,"prompt_tokens_details":{"cached_tokens":%d}}', k, k % 5).alias("usage"), kind.alias("model"),
         F.when(server, value * 10).alias("prompt_ms"), F.when(server, value * 3).alias("predicted_ms"), F.when(server, value).alias("prompt_per_second"), F.when(server, value / 2).alias("predicted_per_second"),
         F.when(kind == "view", F.floor(value * 7).cast("long")).alias("first_ms"), F.floor(value * 20).cast("long").alias("total_ms"),
     )
@@ -307,12 +321,24 @@ def usage_rates(spark, sf_dir):
     return usage.rates(_calls(spark, sf_dir)).select("event_id", "millis_pp", "millis_tg", F.round("pp_tps", 6).alias("pp_tps"), F.round("tg_tps", 6).alias("tg_tps"))
 
 
-@query("""
-SELECT '{"type":"usage","model":"' || event_type || '","promptTokens":' || (props->>'$.k') || ',"completionTokens":' || ((props->>'$.k')::BIGINT % 13) || '}' AS value FROM events""")
+@query(
+    _CALLS_SQL
+    + """, r AS (SELECT *,
+  CASE model WHEN 'purchase' THEN floor(value * 10 + 0.5)::BIGINT WHEN 'view' THEN first_ms ELSE (CASE WHEN r > 0 AND p > 0 THEN floor(p * 1000.0::DOUBLE / (5 * r) + 0.5)::BIGINT ELSE total_ms END) END AS millis_pp,
+  CASE model WHEN 'purchase' THEN floor(value * 3 + 0.5)::BIGINT WHEN 'view' THEN total_ms - first_ms ELSE (CASE WHEN r > 0 AND g > 0 THEN floor(g * 1000.0::DOUBLE / r + 0.5)::BIGINT ELSE total_ms END) END AS millis_tg,
+  CASE model WHEN 'purchase' THEN value WHEN 'view' THEN (CASE WHEN first_ms > 0 AND p > 0 THEN p * 1000.0::DOUBLE / first_ms ELSE 0 END) ELSE 5 * r END AS pp,
+  CASE model WHEN 'purchase' THEN value / 2 WHEN 'view' THEN (CASE WHEN total_ms - first_ms > 0 AND g > 0 THEN g * 1000.0::DOUBLE / (total_ms - first_ms) ELSE 0 END) ELSE r END AS tg FROM w)
+SELECT 'llm-request' AS type, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS "tsStart", millis_pp AS "millisPP", millis_tg AS "millisTG", model, p AS "promptTokens", g AS "completionTokens", p + g AS "totalTokens", p % 5 AS "cachedTokens",
+  round(pp::FLOAT::DOUBLE, 3) AS "ppTPS", round(tg::FLOAT::DOUBLE, 3) AS "tgTPS", p AS "raw_prompt", p % 5 AS "raw_cached", 12::INTEGER AS n_fields FROM r JOIN (SELECT event_id, ts FROM events) USING (event_id)"""
+)
 def usage_jsonl(spark, sf_dir):
-    """Calls as lines of JSON."""
-    nothing = F.lit(None).cast("string")
-    return usage.as_json(_calls(spark, sf_dir).withColumns({"ts_start": nothing, "millis_pp": nothing, "millis_tg": nothing}))
+    """Calls as lines of JSON, all twelve fields read back."""
+    value, of = F.parse_json("value"), {"type": "string", "tsStart": "string", "millisPP": "bigint", "millisTG": "bigint", "model": "string", "promptTokens": "bigint", "completionTokens": "bigint", "totalTokens": "bigint", "cachedTokens": "bigint", "ppTPS": "double", "tgTPS": "double"}
+    rows = usage.as_json(usage.rates(_calls(spark, sf_dir))).withColumn("v", value)
+    fields = [F.try_variant_get("v", f"$.{n}", t).alias(n) for n, t in of.items()]
+    raw = [F.try_variant_get("v", f"$.usage.{p}", "bigint").alias(n) for p, n in (("prompt_tokens", "raw_prompt"), ("prompt_tokens_details.cached_tokens", "raw_cached"))]
+    whole = rows.select(*fields, *raw, F.size(F.json_object_keys("value")).alias("n_fields"))
+    return whole.withColumns({"tsStart": F.substring("tsStart", 1, 19), **{c: F.round(F.col(c).cast("float").cast("double"), 3) for c in ("ppTPS", "tgTPS")}})
 
 
 @query(_CALLS_SQL + "SELECT count(*) AS n_calls, sum(p)::BIGINT AS prompt_tokens, sum(g)::BIGINT AS completion_tokens, sum(p + g)::BIGINT AS total_tokens, count(*) || ' calls' AS message FROM c")
@@ -380,7 +406,7 @@ SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 THEN 'org.' || lower(p_type) END
   CASE WHEN p_partkey % 5 <> 0 OR p_partkey % 2 = 0 THEN p_size || '.' || (p_partkey % 4) ELSE 'unknown' END AS version FROM part""")
 def artifact_coords(spark, sf_dir):
     """Coordinates and versions of archive paths."""
-    rows = _jars(spark, sf_dir).withColumn("c", artifacts.coordinates(F.col("path")))
+    rows = _jars(spark, sf_dir).withColumn("c", artifacts.coordinates(F.col("path"), "/home/u/repository"))
     return rows.select("p_partkey", "c.group_id", "c.artifact_id", artifacts.version(F.col("path")).alias("version"))
 
 
@@ -406,8 +432,9 @@ def json_escape(spark, sf_dir):
 @query("""
 SELECT event_id, (props->>'$.k')::BIGINT AS k, 0::BIGINT AS missing, true AS is_object FROM events""")
 def json_variant(spark, sf_dir):
-    """JSON read as a nested value, with defaults."""
-    v = F.try_parse_json("props")
+    """JSON read as a nested value, with defaults; every third one is held in a string."""
+    quoted = F.concat(F.lit('"'), text_.json_escape(F.col("props")), F.lit('"'))
+    v = text_.json_arguments(F.when(F.col("event_id") % 3 == 0, quoted).otherwise(F.col("props")))
     rows = table(spark, sf_dir, "events").select("event_id", v.alias("v"))
     return rows.select("event_id", F.try_variant_get("v", "$.k", "bigint").alias("k"), F.coalesce(F.try_variant_get("v", "$.none", "bigint"), F.lit(0)).cast("long").alias("missing"), F.schema_of_variant("v").startswith("OBJECT").alias("is_object"))
 
@@ -424,3 +451,140 @@ SELECT event_id, strftime(ts + CASE WHEN ts >= TIMESTAMP '2024-03-31 01:00:00' A
 def date_basic_iso(spark, sf_dir):
     """Dates of instants in a zone."""
     return table(spark, sf_dir, "events").select("event_id", text_.basic_date(F.unix_millis(F.col("ts").cast("timestamp"))).alias("day"))
+
+
+@query(f"""
+SELECT * FROM (SELECT CASE WHEN starts_with({_PATH_SQL}, 'm.') THEN 'm/' ELSE 'x/' END || {_PATH_SQL} AS path, length(html)::BIGINT AS size FROM pages)
+WHERE starts_with(path, 'm/') AND regexp_full_match(path, '(?s).*/[^/]*[.][^/]*') ORDER BY path, size LIMIT 25""")
+def find_files_below(spark, sf_dir):
+    """The first paths below one directory, up to a limit."""
+    top = F.when(F.col("path").startswith("m."), "m/").otherwise("x/")
+    return textfiles.find_by_glob(_paths(spark, sf_dir).select(F.concat(top, "path").alias("path"), "size"), "**/*.*", below="m", limit=25)
+
+
+@query("""
+WITH r AS (SELECT *, regexp_replace(lower(p_name), '[ _-]', '', 'g') AS key, p_partkey % 7 = 0 AS refers FROM part),
+g AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY p_partkey) AS n FROM r) WHERE n = 1)
+SELECT key AS asked, CASE WHEN refers THEN 'redwidget' ELSE key END AS key FROM g""")
+def glossary_references(spark, sf_dir):
+    """Each key of the glossary with the one that it refers to."""
+    return _glossary(spark, sf_dir, resolve_references=True).select(F.col("key").alias("asked"), F.coalesce("reference", "key").alias("key"))
+
+
+@query("""
+WITH w AS (SELECT doc_id, string_split_regex(regexp_replace(regexp_replace(coalesce(text, ''), ' ', ',', 'g'), '( *, *)+$', ''), ' *, *') AS w FROM documents)
+SELECT doc_id, len(w) AS n_words, w[1] AS first, w[-1] AS last FROM w""")
+def word_list(spark, sf_dir):
+    """Texts as lists with commas for blanks."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", text_.word_list(F.replace(F.coalesce("text", F.lit("")), F.lit(" "), F.lit(","))).alias("w"))
+    return rows.select("doc_id", F.size("w").cast("long").alias("n_words"), F.element_at("w", 1).alias("first"), F.element_at("w", -1).alias("last"))
+
+
+def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = F.col("turn") % 2 == 1
+    return table(spark, sf_dir, "conversations").select("conv_id", F.when(odd, "function_call_output").otherwise("function_call").alias("type"), F.floor(F.col("turn") / 2).cast("string").alias("call_id"), F.md5(F.col("text").cast("binary")).alias("text"))
+
+
+@query("""
+WITH h AS (SELECT conv_id, turn // 2 AS c, turn % 2 AS o, md5(text) AS t FROM conversations)
+SELECT a.conv_id, a.c::VARCHAR AS call_id, a.t AS call, b.t AS output FROM h a LEFT JOIN h b ON b.conv_id = a.conv_id AND b.c = a.c AND b.o = 1 WHERE a.o = 0""")
+def call_pairs(spark, sf_dir):
+    """Tool calls with their outputs."""
+    return events.call_pairs(_history(spark, sf_dir)).select("conv_id", "call_id", "call", "output")
+
+
+@query("""
+SELECT conv_id, least(coalesce(min(turn) FILTER (role = 'system'), max(turn)) + 1, 20)::BIGINT AS rounds FROM conversations GROUP BY conv_id""")
+def tool_loop(spark, sf_dir):
+    """Rounds of each conversation up to the first that isn't a call."""
+    return events.tool_loop(table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("round"), (F.col("role") != "system").alias("has_call")))
+
+
+@query("""
+SELECT conv_id, md5(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'user'), '')) AS reasoning, md5(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS output,
+  md5(CASE WHEN coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '') <> '' THEN string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant') ELSE coalesce(arg_max(text, turn) FILTER (role = 'system'), '') END) AS final FROM conversations GROUP BY conv_id""")
+def stream_deltas(spark, sf_dir):
+    """Texts of streamed answers, put together by type."""
+    kind = F.when(F.col("role") == "user", "response.reasoning_text.delta").when(F.col("role") == "assistant", "response.output_text.delta").otherwise("response.completed")
+    field = F.when(F.col("role") == "system", F.to_json(F.struct(kind.alias("type"), "text"))).otherwise(F.to_json(F.struct(kind.alias("type"), F.col("text").alias("delta"))))
+    rows = events.deltas(table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("pos"), field.alias("payload")), "conv_id")
+    return rows.select("conv_id", *[F.md5(F.col(c).cast("binary")).alias(c) for c in ("reasoning", "output", "final")])
+
+
+@query("""
+SELECT event_type AS name, count(*) AS call_count, count(*) FILTER (value >= 5) AS calls_ok, true AS is_active FROM events GROUP BY event_type HAVING arg_max(user_id % 2 = 0, (ts, event_id)) ORDER BY 1""")
+def registry_active(spark, sf_dir):
+    """The tools that are on."""
+    e = table(spark, sf_dir, "events")
+    toggles = e.select(F.col("event_type").alias("name"), (F.col("user_id") % 2 == 0).alias("active"), F.struct("ts", "event_id").alias("ts"))
+    return events.tool_table(e.select(F.col("event_type").alias("name"), (F.col("value") >= 5).alias("ok")), toggles, active_only=True)
+
+
+@query("""
+SELECT doc_id, md5(CASE WHEN length(text) < 80 THEN text ELSE '[...]' || right(text, 80) END) AS tail, md5(left(text, 6000)) AS query FROM documents""")
+def progress_tail(spark, sf_dir):
+    """The ends that progress messages show, and what of a query is embedded."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text_.tail(F.col("text")).cast("binary")).alias("tail"), F.md5(search.query_text(F.col("text")).cast("binary")).alias("query"))
+
+
+@query(f"""
+SELECT page_id, rtrim(url, '/') || '/v1/x' AS joined, CASE WHEN page_id % 2 = 0 THEN 'http://h/responses' ELSE 'http://h/p' || page_id || '/responses' END AS answers, 'pkg/C' || page_id || '.class' AS entry FROM pages""")
+def addresses(spark, sf_dir):
+    """Addresses of services and entries of classes."""
+    base = F.when(F.col("page_id") % 2 == 0, F.lit("http://h/responses")).when(F.col("page_id") % 4 == 1, F.concat(F.lit("http://h/p"), F.col("page_id").cast("string"), F.lit("/"))).otherwise(F.concat(F.lit("http://h/p"), F.col("page_id").cast("string")))
+    entry = artifacts.entry_path(F.concat(F.lit("pkg.C"), F.col("page_id").cast("string")))
+    return table(spark, sf_dir, "pages").select("page_id", text_.join_url(F.col("url"), F.lit("/v1/x")).alias("joined"), text_.responses_url(base).alias("answers"), entry.alias("entry"))
+
+
+@query("""
+WITH j AS (SELECT 'org.' || lower(p_type) AS group_id, replace(p_name, ' ', '-') AS artifact_id, p_size || '.' || (p_partkey % 4) AS version, p_partkey FROM part WHERE p_partkey % 5 <> 0)
+SELECT group_id, artifact_id, arg_max(version, p_partkey) AS version FROM j GROUP BY ALL""")
+def classpath(spark, sf_dir):
+    """The last archive of each artifact, and its version."""
+    jars = artifacts.classpath(_jars(spark, sf_dir).withColumnRenamed("p_partkey", "ordinal"), "/home/u/repository")
+    return jars.select("group_id", "artifact_id", artifacts.version(F.col("path")).alias("version"))
+
+
+@query("""
+WITH b AS (SELECT * FROM (SELECT label, vec_id, list_sum(list_transform(embedding, lambda x: x::DOUBLE)) AS s FROM embeddings) ORDER BY s DESC, vec_id LIMIT 20)
+SELECT '| file | from | to | score |' || chr(10) || '| --- | --- | --- | --- |' || chr(10) || string_agg('| ' || vec_id || ' | ' || label || ' | ' || label || ' | ' || printf('%.4f', s) || ' |', chr(10) ORDER BY printf('%.4f', s)::DOUBLE DESC, vec_id) AS markdown FROM b""")
+def report_markdown(spark, sf_dir):
+    """A report of the twenty best as Markdown."""
+    score = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    few = search.top(table(spark, sf_dir, "embeddings").select("vec_id", "label", score.alias("score")), "vec_id", k=20)
+    rows = few.select("vec_id", F.format_string("%.4f", "score").alias("score"), F.col("label").alias("start_line"), F.col("label").alias("end_line"))
+    return search.markdown(rows.withColumn("score", F.col("score")), "vec_id")
+
+
+def _archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive for each document: sources of class pkg.D<doc_id> in even ones, a class without sources in odd ones."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                data = io.BytesIO()
+                with zipfile.ZipFile(data, "w") as archive:
+                    for name, body in [(f"pkg/D{doc_id}.java", text or "")] if doc_id % 2 == 0 else [(f"pkg/D{doc_id}.class", "class")]:
+                        archive.writestr(zipfile.ZipInfo(name, (2024, 1, 2, 3, 4, 6)), body)
+                rows.append({"path": f"r/d-{doc_id}{'' if doc_id % 2 else '-sources'}.jar", "content": data.getvalue(), "ordinal": doc_id, "on_classpath": doc_id % 3 == 0})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("path", pa.string()), ("content", pa.binary()), ("ordinal", pa.int64()), ("on_classpath", pa.bool_())]))
+
+    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(run, "path string, content binary, ordinal long, on_classpath boolean")
+
+
+@query("""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, CASE doc_id % 4 WHEN 3 THEN 'read_metadata' ELSE 'read_source' END AS command FROM documents),
+l AS (SELECT *, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS lines FROM (SELECT *, string_split_regex(text, '\r\n|\r|\n') AS l FROM d))
+SELECT 'pkg.D' || doc_id AS class_name, command, CASE WHEN doc_id % 2 = 0 OR command = 'read_metadata' THEN 'success' ELSE 'sources_not_available' END AS status,
+  'r/d-' || doc_id || CASE doc_id % 2 WHEN 0 THEN '-sources' ELSE '' END || '.jar' AS path, (CASE doc_id % 2 WHEN 0 THEN strlen(text) ELSE 5 END)::BIGINT AS size, '2024-01-02T03:04:06Z' AS modified, 'STORED' AS method,
+  CASE WHEN doc_id % 2 = 0 THEN md5('--- File: pkg/D' || doc_id || '.java ---' || chr(10) || 'Lines 2-' || least(4, len(lines)) || ' of ' || len(lines) || chr(10) || chr(10) || coalesce(array_to_string(list_transform(range(2, least(4, len(lines)) + 1), lambda i: lpad(i::VARCHAR, 4, ' ') || ' | ' || lines[i]), chr(10)), '')) END AS text,
+  CASE WHEN doc_id % 2 = 0 THEN len(lines[2:4])::INTEGER END AS lines_read, CASE WHEN doc_id % 2 = 0 THEN len(lines) > 4 END AS truncated FROM l
+UNION ALL VALUES ('pkg.None', 'read_source', 'not_found', NULL, NULL, NULL, NULL, NULL, NULL, NULL), ('pkg.D1', 'run', 'error', NULL, NULL, NULL, NULL, NULL, NULL, NULL)""")
+def read_source(spark, sf_dir):
+    """Lines 2 to 4 of classes from the archives that have them, and what is known of those without sources."""
+    ids = table(spark, sf_dir, "documents").select("doc_id")
+    wanted = ids.select(F.concat(F.lit("pkg.D"), F.col("doc_id").cast("string")).alias("class_name"), F.when(F.col("doc_id") % 4 == 3, "read_metadata").otherwise("read_source").alias("command"))
+    wanted = wanted.unionByName(spark.createDataFrame([("pkg.None", "read_source"), ("pkg.D1", "run")], "class_name string, command string"))
+    rows = artifacts.read_classes(wanted.withColumns({"start_line": F.lit(2), "end_line": F.lit(4)}), _archives(spark, sf_dir))
+    return rows.select("class_name", "command", "status", "path", "size", "modified", "method", F.md5(F.col("text").cast("binary")).alias("text"), "lines_read", "truncated")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -72,9 +74,23 @@ def archive_entries(archives: DataFrame) -> DataFrame:
     return archives.select("path", "content").mapInArrow(run, ENTRY)
 
 
-def first_setting(*values: F.Column) -> F.Column:
-    """The first setting that is given."""
-    return F.coalesce(*values)
+def entry_texts(archives: DataFrame) -> DataFrame:
+    """path, name, text (UTF-8) of the entries ``names`` of archives given as ``path`` and ``content``; those that can't be read have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content, names in zip(*(batch.column(c).to_pylist() for c in ("path", "content", "names")), strict=True):
+                rows = []
+                try:
+                    archive = zipfile.ZipFile(io.BytesIO(content or b""))
+                    for name in names:
+                        with contextlib.suppress(KeyError, zipfile.BadZipFile, NotImplementedError, RuntimeError, EOFError, zlib.error):
+                            rows.append({"path": path, "name": name, "text": archive.read(name).decode("utf-8", "replace")})
+                except zipfile.BadZipFile:
+                    continue
+                yield pa.RecordBatch.from_pylist(rows, pa.schema([("path", pa.string()), ("name", pa.string()), ("text", pa.string())]))
+
+    return archives.select("path", "content", "names").mapInArrow(run, "path string, name string, text string")
 
 
 def name_list(value: F.Column) -> F.Column:

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessel.operators.events import payload_of
+
 
 def running_totals(calls: DataFrame) -> DataFrame:
     """Totals over a stream of calls (for output mode complete); summed in each task first."""
@@ -16,17 +18,25 @@ def running_totals(calls: DataFrame) -> DataFrame:
 
 
 def payloads(pieces: DataFrame) -> DataFrame:
-    """stream_id, payload of a stream of pieces (stream_id, seq, piece); a cut line waits in state for its rest."""
+    """stream_id, payload of a stream of pieces (stream_id, seq from 0 on, piece), as the batch form gives them.
+
+    A cut line waits in state for its rest, and a piece that comes early for those before it.
+    """
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get[0] if state.exists else ""
-        rows = pd.concat(list(batches)).sort_values("seq")
-        *done, held = (held + "".join(rows["piece"])).split("\n")
-        state.update((held,))
-        out = [x[6:].rstrip("\r") for x in done if x.startswith("data: ")]
-        yield pd.DataFrame({"stream_id": key[0], "payload": [x for x in out if x.strip() not in ("", "[DONE]")]})
-
-    return pieces.groupBy("stream_id").applyInPandasWithState(run, "stream_id long, payload string", "held string", "append", GroupStateTimeout.NoTimeout)
+        held, following, seqs, parts = state.get if state.exists else ("", 0, [], [])
+        waiting = dict(zip(seqs, parts, strict=True))
+        for rows in batches:
+            waiting.update(zip(rows["seq"].tolist(), rows["piece"].tolist(), strict=True))
+        ready = []
+        while following in waiting:
+            ready.append(waiting.pop(following) or "")
+            following += 1
+        *done, held = (held + "".join(ready)).split("\n")
+        state.update((held, following, [*waiting], [*waiting.values()]))
+        yield pd.DataFrame({"stream_id": key[0], "payload": [x for x in map(payload_of, done) if x is not None]})
+
+    return pieces.groupBy("stream_id").applyInPandasWithState(run, "stream_id long, payload string", "held string, following long, seqs array<long>, parts array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
 def throttled(events: DataFrame, gap: int) -> DataFrame:

@@ -161,7 +161,9 @@ def test_glossary(spark):
     assert [(r["pos"], r["term"]) for r in glossary.look_up(plain, words).collect()] == [(0, "A b")]
     assert sorted((r["pos"], r["term"]) for r in glossary.look_up(full, words).collect()) == [(0, "A b"), (3, "c")]
     assert glossary.answer(glossary.look_up(full, words)).first()[0] == "# A b\nx\n\n# c\ny\n## not"
-    assert glossary.words_of("a , b,c") == ["a", "b", "c"]
+    assert one(spark, text_.word_list(F.lit("a , b,, c d ,,"))) == ["a", "b", "", "c d"] and one(spark, text_.word_list(F.lit(None).cast("string"))) == []
+    asked = glossary.asked(spark.createDataFrame([("zz, a_b ,r",)], "words string"))
+    assert sorted((r["pos"], r["term"]) for r in glossary.look_up(full, asked).collect()) == [(1, "A b"), (2, "c")]
 
 
 def test_artifacts(spark):
@@ -199,10 +201,10 @@ def test_usage(spark):
 
 
 def test_log_is_appended(spark, tmp_path):
-    calls = spark.createDataFrame([("t", 1, 2, "m", 3, 4)], "ts_start string, millis_pp long, millis_tg long, model string, prompt_tokens long, completion_tokens long")
+    calls = spark.createDataFrame([("t", 1, 2, "m", 3, 4, 7, 0, 1.5, None, '{"x":1}')], "ts_start string, millis_pp long, millis_tg long, model string, prompt_tokens long, completion_tokens long, total_tokens long, cached_tokens long, pp_tps double, tg_tps double, usage string")
     for _ in range(2):
         usage.append_log(calls, str(tmp_path / "log"))
-    assert spark.read.json(str(tmp_path / "log")).where("type = 'usage' AND millisPP = 1").count() == 2
+    assert spark.read.json(str(tmp_path / "log")).where("type = 'llm-request' AND millisPP = 1 AND usage.x = 1 AND tgTPS IS NULL AND totalTokens = 7").count() == 2
 
 
 def test_streams_cut_anywhere(spark):
@@ -254,3 +256,101 @@ def test_artifact_of_a_class(spark):
     got = artifacts.resolve(wanted, entries)
     assert {r["class_name"]: r["status"] for r in got.collect()} == {"a.B": "success", "a.C": "not_found", "no class": "error"}
     assert [tuple(r) for r in artifacts.artifact_of(got).collect()] == [("a.B", "g.h", "x", "2")]
+
+
+def test_search_takes_several_queries(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0]), (4, None), (5, [float("nan"), 1.0])], "id long, embedding array<float>")
+    two = spark.createDataFrame([("x", [1.0, 0.5]), ("y", [0.0, 2.0])], "q string, embedding array<float>")
+    got = search.top_of_each(search.scored(rows, two, query_id="q"), "q", "id", k=1)
+    assert sorted((r["q"], r["id"], r["score"], r["place"]) for r in got.collect()) == [("x", 1, 1.0, 1), ("y", 2, 2.0, 1)]
+    for bad in (two, two.where("false")):
+        with pytest.raises(ValueError, match="one vector"):
+            search.scored(rows, bad)
+
+
+def test_upsert_of_repeated_and_null_keys(spark):
+    schema = "key string, mod_ts long, size long, v string"
+    old = spark.createDataFrame([("a", 1, 1, "old"), ("b", 1, 1, "old"), (None, 1, 1, "old"), ("e", 1, 1, "old")], schema)
+    new = spark.createDataFrame([("a", 1, 1, "same"), ("b", 2, 1, "new"), ("b", 1, 9, "earlier"), (None, 1, 2, "new"), ("d", 1, 1, "new"), ("d", 1, 1, "new")], schema)
+    got = store.upsert(old, new)
+    assert got.columns == [*old.columns, "status"]
+    assert sorted((str(r["key"]), r["mod_ts"], r["v"], r["status"]) for r in got.collect()) == [("None", 1, "new", "updated"), ("a", 1, "old", "kept"), ("b", 2, "new", "updated"), ("d", 1, "new", "inserted"), ("e", 1, "old", "kept")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
+
+
+def test_store_files_keep_their_order(spark, tmp_path):
+    entries = spark.createDataFrame([(k, f"key{k}", 1, 2, 3, 4, [(0, 5, [1.0, 2.0])]) for k in range(50)], "ordinal long, key string, mod_ts long, size long, prompt_tokens int, total_tokens int, chunks array<struct<start:int,end:int,vec:array<float>>>")
+    store.save(entries.repartition(5), str(tmp_path / "db"))
+    back = store.load(spark, str(tmp_path / "db"))
+    assert [r["key"] for r in back.orderBy("ordinal").collect()] == [f"key{k}" for k in range(50)]
+    assert store.load(spark, str(tmp_path / "none"), back) is back
+
+
+def test_embedder_of_ones_own(spark):
+    docs = spark.createDataFrame([(1, "ab. cd"), (2, "")], "doc_id long, text string")
+    got = chunking.embed_with(chunking.chunks(docs, 4, 0, 2), lambda texts: ([len(t) for t in texts], np.array([[len(t), 1] for t in texts])), batch_size=1)
+    assert sorted((r["doc_id"], r["chunk_index"], r["n_tokens"], r["embedding"]) for r in got.collect()) == [(1, 0, 3, [3.0, 1.0]), (1, 1, 3, [3.0, 1.0])]
+
+
+def test_streams_end_alike(spark):
+    for text, want in (("x data: 1 \t\ndata: 2", ["1"]), ("data: a data: b\r\n: c\ndata:x\n", ["a data: b"]), ("data: [DONE] \n data:  \x01y\n", ["y"]), ("\n\n", [])):
+        rows = spark.createDataFrame([(1, k, c) for k, c in enumerate(text)], "s int, seq int, piece string")
+        assert [r["payload"] for r in events.payloads(rows, "s").orderBy("pos").collect()] == want
+        assert [x for x in map(events.payload_of, text.split("\n")[:-1]) if x is not None] == want
+
+
+def test_numbers_before_a_row_cross_blocks(spark):
+    rows = spark.createDataFrame([(k % 2 or None, k * 3, k) for k in range(40)], "key int, at long, v long")
+    got = events.before(rows, "key", "at", F.col("v"), "sum", block=7)
+    assert got.columns == ["key", "at", "v", "sum"]
+    assert all(r["sum"] == sum(k for k in range(r["v"]) if k % 2 == r["v"] % 2) for r in got.collect()) and got.count() == 40
+
+
+def test_throttle_is_linear_and_holds_any_key(spark):
+    rng = np.random.default_rng(0)
+    rows = [(k, int(t)) for k in ("a", None, "b") for t in rng.integers(0, 400_000, 300)]
+    want = []
+    for k in ("a", None, "b"):
+        last = None
+        for t in sorted(t for q, t in rows if q == k):
+            if last is None or (t - last) // 1000 >= 3:
+                want.append((str(k), t))
+                last = t
+    got = events.throttled(spark.createDataFrame(rows, "k string, t long").repartition(3), "k", "t", 3)
+    assert sorted((str(r["k"]), r["at"]) for r in got.collect()) == sorted(want)
+
+
+def test_classes_from_archives(spark):
+    def jar(**entries):
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w") as z:
+            for name, body in entries.items():
+                z.writestr(name.replace("__", "/").replace("_java", ".java").replace("_class", ".class"), body)
+        return bytearray(data.getvalue())
+
+    archives = spark.createDataFrame(
+        [("r/a-sources.jar", jar(p__A_java="l1\nl2\nl3"), 0, False), ("cp/a.jar", jar(p__A_class="x", p__B_class="y"), 1, True), ("r/c.jar", jar(p__C_class="z", p__C_java="no"), 2, False), ("bad.jar", bytearray(b"no"), 3, True)],
+        "path string, content binary, ordinal long, on_classpath boolean",
+    )
+    wanted = [("p.A", "read_source", 2, 9), ("p.A", "read_class_structure", None, None), ("p.A", "read_metadata", None, None), ("p.B", "read_source", None, None), ("p.C", "read_metadata", 1, 1), ("p.Z", "read_source", None, None), ("no class", "read_source", 1, 1), ("p.A", "run", 1, 1)]
+    rows = artifacts.read_classes(spark.createDataFrame(wanted, "class_name string, command string, start_line int, end_line int"), archives).collect()
+    got = {(r["class_name"], r["command"]): r for r in rows}
+    assert len(rows) == len(wanted)
+    a = got["p.A", "read_source"]
+    assert (a["status"], a["text"], a["lines_read"], a["truncated"], a["message"]) == ("success", "--- File: p/A.java ---\nLines 2-3 of 3\n\n   2 | l2\n   3 | l3", 2, False, "File has 3 lines total.")
+    assert [got[k]["status"] for k in (("p.A", "read_class_structure"), ("p.A", "read_metadata"), ("p.B", "read_source"), ("p.C", "read_metadata"), ("p.Z", "read_source"), ("no class", "read_source"), ("p.A", "run"))] == ["error", "success", "sources_not_available", "success", "not_found", "error", "error"]
+    assert (got["p.A", "read_metadata"]["path"], got["p.C", "read_metadata"]["entry_name"], got["p.A", "run"]["error"]) == ("cp/a.jar", "p/C.class", "Unknown command: run")
+
+
+def test_json_arguments(spark):
+    rows = spark.createDataFrame([('{"a":[1,{"b":null}]}',), ('"{\\"a\\":2}"',), ("[1]",), ("no",), (None,), ('"x"',)], "t string")
+    assert [r["j"] for r in rows.select(F.to_json(text_.json_arguments(F.col("t"))).alias("j")).collect()] == ['{"a":[1,{"b":null}]}', '{"a":2}', "{}", "{}", "{}", "{}"]
+
+
+def test_names_are_not_cut(spark):
+    long = "x" * 12_000
+    rows = spark.createDataFrame([(long + "/f",)], "path string")
+    assert textfiles.allowed(rows, "b", "x{12000}").first()["allowed"]
+    md = spark.createDataFrame([(0, f"# r\n-> {long}\n")], "file long, text string")
+    assert glossary.parse(md, resolve_references=True).first()["reference"] == long

@@ -35,6 +35,21 @@ def test_payloads(spark, tmp_path):
     assert got == [(s, p) for s in range(3) for p in ('{"x":1}', '{"y":"é"}')]
 
 
+def test_pieces_that_come_early_wait(spark, tmp_path):
+    text = "data: one\ndata: two\ndata: three\nrest"
+    cut = [text[k : k + 4] for k in range(0, len(text), 4)]
+    rows = [(1, k, x) for k, x in enumerate(cut)]
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = spark.createDataFrame(rows, "stream_id long, seq long, piece string").schema
+    for part in (rows[1::2], rows[::2]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+        q = streaming.payloads(spark.readStream.schema(schema).parquet(path)).writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert sorted(r["payload"] for r in spark.read.parquet(out).collect()) == ["one", "three", "two"]
+    batch = events.payloads(spark.createDataFrame(rows, schema), "stream_id").orderBy("pos").collect()
+    assert [r["payload"] for r in batch] == ["one", "two", "three"]
+
+
 def test_throttle(spark, tmp_path):
     rows = spark.createDataFrame([(k, t) for k in (1, 2) for t in (0, 1900, 2000, 3900, 4100)], "key long, at long").coalesce(1)
     path = str(tmp_path / "one")

@@ -1,7 +1,9 @@
 import re
 
+import numpy as np
+
 import corpus_pipeline
-from tessel.llm import pii
+from tessel.llm import pii, quality
 from tessel.llm.common import settle
 
 from . import test_exact, test_near, test_pii, test_tokens
@@ -39,6 +41,23 @@ def test_each_stage_against_brute_force(spark):
     test_tokens.check_packing(tables[5].collect(), after, 4096)
 
 
+def test_repeated_rows_and_clashing_names(spark, clashing, monkeypatch):
+    docs = settle(clashing.unionByName(clashing).where("doc_id in (4, 5, 8, 11)"), "t")
+    monkeypatch.setattr(quality.Model, "score", lambda self, column: np.ones(len(column)))
+    table = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        table = settle(stage(spark, table, "/root/testdata/sf0.001"), f"t-{name}")
+        assert table.columns == docs.columns
+    rows = {r["doc_id"]: r for r in table.collect()}
+    assert table.count() == len(rows) and set(rows) == {4, 8, 11}
+    first = {r["doc_id"]: r for r in docs.collect()}
+    changed = {"text", "n_chars"}
+    assert all({**r.asDict(), **dict.fromkeys(changed)} == {**first[i].asDict(), **dict.fromkeys(changed)} for i, r in rows.items())
+    assert rows[11]["text"] == "mail [EMAIL], call [PHONE]" and rows[4]["text"] == first[4]["text"]
+    packed = corpus_pipeline.STAGES[-1][1](spark, table, "/root/testdata/sf0.001").collect()
+    assert {r["doc_id"] for r in packed} == {4, 8, 11}
+
+
 def test_odd_tables_pass_all_stages(spark, odd, none):
     docs = odd.drop("ids")
     for table in (docs, none.drop("ids")):

@@ -29,8 +29,22 @@ def texts_of(spark):
     return {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
 
 
+def morse(n, letters="ab"):
+    """A word that polynomial hashes modulo 2**64 can't tell from its complement."""
+    return "".join(letters[k.bit_count() % 2] for k in range(n))
+
+
+def test_words_are_told_byte_for_byte(spark):
+    texts = {1: morse(2048), 2: morse(2048, "ba"), 3: f"{morse(1024)} {morse(1024, 'ba')}"}
+    docs, path = spark.createDataFrame([*texts.items()], "doc_id long, text string"), scratch(spark, "t")
+    check_packing(packing.pack_documents(docs, WORDS, 1).collect(), texts, 4096)
+    token_files.write_token_files(docs, path, WORDS, 2)
+    assert {r["doc_id"]: bytes(r["ids"]) for r in token_files.read_token_files(spark, path).collect()} == {k: library_ids(t, 2) for k, t in texts.items()}
+
+
 def test_memo_equals_the_library():
     texts = [t or "" for _, t in ODD] + ["Word word. WORD, Wörter. Wörter x.. 'S. it's. <|ENDOFTEXT|> <|endoftext|>. ., . é, é. 5. ٣. 中."]
+    texts += [*map(morse, (1024, 2048)), *(morse(n, "ba") for n in (1024, 2048)), *("x" * n for n in range(6, 10))]
     memo = WordMemo(WORDS, room=5)
     for _ in range(2):
         for column in (pa.array(texts), pa.array(["x", *texts, "y"]).slice(1, len(texts))):

@@ -1,12 +1,13 @@
 """Byte-level BPE as recursive DuckDB queries inside each partition (operator 10).
 
 Texts are split by the vocabulary's pattern. The different words of a portion of documents that
-this worker has not met yet become rows (word, pos, token) of a DuckDB table; a recursive query
+this worker has not met yet become rows (place, token) of a DuckDB table; a recursive query
 joins neighbouring tokens with the merge table, contracts in every word its leftmost pair of
-minimum rank, and ends when no word has a pair that merges. For words of over ``LONG`` bytes a
-round contracts all places of that pair, from the left, where this can't change the outcome: no
-pair with the new token has a smaller rank. So rounds don't grow with the length of a word. Decoding joins the ids of whole
-documents with the vocabulary and puts the bytes together with an ordered aggregate.
+minimum rank, and ends when no word has a pair that merges. One contraction a round would take a
+word of over ``LONG`` bytes as many rounds as it has bytes. So such words fall into parts wherever
+no merge can ever cross, each of which contracts its own pair of minimum rank, and in the same round
+all pairs that nothing can forestall (see ``ENCODE_LONG``); the ids are the same. Decoding joins the
+ids of whole documents with the vocabulary and puts the bytes together with an ordered aggregate.
 
 Each Python worker has a DuckDB of its own with one thread and a memory limit; nothing is
 shuffled. Should a query spill, it does so in a folder of the executor's, which goes with it.
@@ -56,29 +57,58 @@ WITH RECURSIVE step AS (
 SELECT place >> 7 AS word, token FROM step WHERE NOT live ORDER BY place
 """
 
-#: The same by word and pos, which is where a token begins; overlapping places form a run, in which every second one contracts.
+#: Neighbours of a token only grow, and go on to begin or end with what now touches it. So where no
+#: merge has a left side that ends with one token and a right side that begins with the next
+#: (``meets``), a part ends for good. A pair whose rank is below all merges that could ever take
+#: one of its tokens away, or take the new token up, from the left (``lefts``) or right (``rights``)
+#: contracts as it is whenever its turn comes: it may do so now. Of the part's minimum rank all places
+#: contract where the new token has no earlier merge; where they overlap, every second one of a run.
+#: part is the place where it begins.
 ENCODE_LONG = """
 WITH RECURSIVE step AS (
-    SELECT word, pos, token, true AS live FROM start
+    SELECT place, token, place >> 32 << 32 AS part, true AS live FROM start
   UNION ALL
-    SELECT word, pos, token, live FROM (
-        WITH pair AS (
-            SELECT word, pos, token, lead(token) OVER w AS other, row_number() OVER w AS n
-            FROM step WHERE live WINDOW w AS (PARTITION BY word ORDER BY pos)
-        ), ranked AS (
-            SELECT pair.*, rank, hazard, min(rank::BIGINT * 4294967296 + n) OVER (PARTITION BY word) AS best
-            FROM pair LEFT JOIN merges ON a = token AND b = other
-        ), place AS (
-            SELECT *, coalesce(rank = best // 4294967296 AND (NOT hazard OR n = best % 4294967296), false) AS fits FROM ranked
-        ), run AS (
-            SELECT *, n - max(CASE WHEN NOT fits THEN n ELSE 0 END) OVER (PARTITION BY word ORDER BY pos) AS nth FROM place
-        ), marked AS (
-            SELECT *, fits AND nth % 2 = 1 AS joins, lag(fits AND nth % 2 = 1, 1, false) OVER (PARTITION BY word ORDER BY pos) AS gone FROM run
+    SELECT place, token, part, live FROM (
+        WITH near AS (
+            SELECT place, token, part, row_number() OVER w AS n, lag(part) OVER w AS p0, lag(token) OVER w AS t0,
+                lead(part) OVER w AS p2, lead(place) OVER w AS after, lead(token) OVER w AS t2, lead(part, 2) OVER w AS p3, lead(token, 2) OVER w AS t3
+            FROM step WHERE live WINDOW w AS (ORDER BY place)
+        ), cut AS (
+            SELECT near.*, max(CASE WHEN a IS NULL THEN place END) OVER (ORDER BY place ROWS UNBOUNDED PRECEDING) AS own
+            FROM near LEFT JOIN meets ON a = t0 AND b = token AND p0 = part
+        ), pair AS (
+            SELECT place, own, n, token, t2, after, rank, hazard, CASE WHEN p0 = part THEN t0 END AS t0, CASE WHEN p3 = part THEN t3 END AS t3
+            FROM cut JOIN merges ON a = token AND b = t2 AND p2 = part
+        ), best AS (
+            SELECT own, min(rank::BIGINT << 32 | (place & 4294967295)) AS best FROM pair GROUP BY own
+        ), fit AS (
+            SELECT place, n, n - row_number() OVER (ORDER BY n) AS run
+            FROM pair JOIN best USING (own) WHERE rank = best >> 32 AND (NOT hazard OR place & 4294967295 = best & 4294967295)
+        ), chosen AS (
+            SELECT place FROM (SELECT place, row_number() OVER (PARTITION BY run ORDER BY n) AS nth FROM fit) WHERE nth % 2 = 1
+          UNION
+            SELECT place FROM pair LEFT JOIN lefts l ON l.a = t0 AND l.b = token LEFT JOIN lefts m ON m.a = t0 AND m.b = rank
+                LEFT JOIN rights r ON r.a = t2 AND r.b = t3 LEFT JOIN rights s ON s.a = rank AND s.b = t3
+            WHERE rank < coalesce(least(l.least, m.least, r.least, s.least), 2147483647)
+        ), joined AS (
+            SELECT place, rank, after FROM pair SEMI JOIN chosen USING (place)
         )
-        SELECT word, pos, CASE WHEN joins THEN rank ELSE token END AS token, best IS NOT NULL AS live FROM marked WHERE NOT gone
+        SELECT cut.place, coalesce(rank, token) AS token, own AS part, best IS NOT NULL AS live
+        FROM cut LEFT JOIN best USING (own) LEFT JOIN joined ON joined.place = cut.place ANTI JOIN (SELECT after FROM joined) gone ON gone.after = cut.place
     )
 )
-SELECT word, token FROM step WHERE NOT live ORDER BY word, pos
+SELECT place >> 32 AS word, token FROM step WHERE NOT live ORDER BY place
+"""
+
+#: What a merge's left side may end with, and its right side begin with; the least rank by either.
+REACH = """
+CREATE TABLE tail AS SELECT v.token AS whole, s.token AS part FROM (SELECT token, hex, unnest(range(2, length(hex) + 1, 2)) AS k FROM vocabulary) v JOIN vocabulary s ON s.hex = right(v.hex, k);
+CREATE TABLE head AS SELECT v.token AS whole, s.token AS part FROM (SELECT token, hex, unnest(range(2, length(hex) + 1, 2)) AS k FROM vocabulary) v JOIN vocabulary s ON s.hex = left(v.hex, k);
+CREATE TABLE lefts AS SELECT part AS a, b, min(rank) AS least FROM merges JOIN tail ON whole = a GROUP BY ALL;
+CREATE TABLE rights AS SELECT a, part AS b, min(rank) AS least FROM merges JOIN head ON whole = b GROUP BY ALL;
+CREATE TABLE meets AS SELECT DISTINCT lefts.a, head.part AS b FROM (SELECT DISTINCT tail.part AS a, b FROM merges JOIN tail ON whole = a) lefts JOIN head ON head.whole = lefts.b;
+DROP TABLE tail;
+DROP TABLE head
 """
 
 #: Bytes are hexadecimal text inside, as DuckDB aggregates text in order but not blobs.
@@ -119,6 +149,7 @@ class ByteBpe:
             self.db.sql(f"CREATE TABLE {name}_ AS SELECT * FROM {name}")
             self.db.unregister(name)
             self.db.sql(f"ALTER TABLE {name}_ RENAME TO {name}")
+        self.ready = False
 
     def fill(self, name: str, columns: dict) -> None:
         self.db.register(name, pa.table(columns))
@@ -128,9 +159,12 @@ class ByteBpe:
         size = np.array([*map(len, words)])
         word = np.repeat(np.arange(len(words)), size)
         pos = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
-        where = {"place": word << 7 | pos} if size.max() <= LONG else {"word": word, "pos": pos}
-        self.fill("start", where | {"token": self.single[np.frombuffer(b"".join(words), np.uint8)]})
-        got = self.db.sql(ENCODE if size.max() <= LONG else ENCODE_LONG).fetchnumpy()
+        long = size.max() > LONG
+        if long and not self.ready:
+            self.db.execute(REACH)
+            self.ready = True
+        self.fill("start", {"place": word << (32 if long else 7) | pos, "token": self.single[np.frombuffer(b"".join(words), np.uint8)]})
+        got = self.db.sql(ENCODE_LONG if long else ENCODE).fetchnumpy()
         return np.split(got["token"].astype("<u4"), np.flatnonzero(np.diff(got["word"])) + 1)
 
     def encode(self, batch: list[str]) -> list[bytes]:

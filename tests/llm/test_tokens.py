@@ -185,3 +185,23 @@ def test_op10_odd(spark, odd, none):
         assert np.frombuffer(r["ids"], "<u4").tolist() == own.encode_ordinary(r["text"] or "")
         assert bytes(r["decoded"]).decode() == (r["text"] or "")
     assert byte_bpe.encode_bytes(none, path, P.PATTERN).count() == 0
+
+
+def test_op10_long_words():
+    own, rng = tiktoken_of(), np.random.default_rng(3)
+    bpe = byte_bpe.coder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    words = [(part * 9000)[:9000] for part in (b"a", b"ab", b"the", b"aing", b"er", b"abcabd", b"=", b"\xff")]
+    for letters in (b"ab", b"acgt", b"ethanoirs", bytes(range(97, 123)), bytes(range(256))):
+        words += [bytes(np.frombuffer(letters, np.uint8)[rng.integers(0, len(letters), n)]) for n in (1, 2, 65, 66, 67, 300, 300, 4000)]
+    words.sort(key=len)
+    for word, ids in zip(words, bpe.contract(words), strict=True):
+        assert ids.tolist() == own._core_bpe.encode_single_piece(word)
+
+
+def test_op10_both_forms_agree(monkeypatch):
+    rng = np.random.default_rng(4)
+    bpe = byte_bpe.coder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    words = [bytes(rng.choice(np.frombuffer(b"ethanoirsd", np.uint8), n)) for n in rng.integers(1, 65, 3000)]
+    short = bpe.contract(words)
+    monkeypatch.setattr(byte_bpe, "LONG", 0)
+    assert [x.tolist() for x in bpe.contract(words)] == [x.tolist() for x in short]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import byte_bpe, exact_dedup, jpeg, licenses, near_dedup, packing, pii, quality, token_files, toxicity
+from tessel.llm import byte_bpe, exact_dedup, jaccard_join, jpeg, licenses, near_dedup, packing, pii, quality, token_files, toxicity, treaps, whitening
 from tessel.llm.common import public_tokenizer, read_documents, read_labels, scratch
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
@@ -62,6 +62,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(read_documents(spark, sf_dir))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treaps.ranked_search(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_pii": op2_pii,
@@ -73,6 +85,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_token_files": op9_token_files,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_ngram_jaccard_join": op11_ngram_jaccard_join,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -127,4 +142,22 @@ l AS (SELECT a, b FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE c >= 0.
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 reach AS (SELECT rep_id AS id, rep_id AS other FROM r UNION SELECT reach.id, e.b FROM reach JOIN e ON e.a = reach.other)
 SELECT doc_id, rep_id, class_id FROM k JOIN r USING (k) JOIN (SELECT id, min(other) AS class_id FROM reach GROUP BY id) c ON c.id = rep_id""",
+    "op11_ngram_jaccard_join": rf"""
+WITH RECURSIVE k AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+r AS (SELECT w, min(doc_id) AS rep_id FROM k WHERE len(w) > 0 GROUP BY w),
+s AS (SELECT rep_id AS id, unnest(list_distinct(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END)) AS x FROM r),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+p AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.id < b.id GROUP BY a.id, b.id),
+l AS (SELECT a, b FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT rep_id AS id, rep_id AS other FROM r UNION SELECT reach.id, e.b FROM reach JOIN e ON e.a = reach.other)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM k LEFT JOIN r USING (w) LEFT JOIN n ON n.id = rep_id LEFT JOIN (SELECT id, min(other) AS component_id FROM reach GROUP BY id) c ON c.id = rep_id""",
+    "op13_ranked_search": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+q AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term FROM benchmark),
+c AS (SELECT count(*) FILTER (len(w) > 0) AS n, sum(len(w))::BIGINT AS l FROM d),
+t AS (SELECT doc_id, term, count(*) AS tf, any_value(size) AS size FROM (SELECT doc_id, len(w) AS size, unnest(w) AS term FROM d) GROUP BY doc_id, term),
+f AS (SELECT term, floor(1000 * ln((2 * n + 2) / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM t GROUP BY term), c),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * size * n) // l))))::BIGINT AS score FROM q JOIN t USING (term) JOIN f USING (term), c GROUP BY item_id, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 50""",
 }

@@ -12,6 +12,8 @@ from tessel.llm.common import ONLY, distinct, eights, strings
 #: Words are runs of ASCII letters (lower-cased), digits and non-ASCII bytes.
 SMALL = np.array([c + 32 if 65 <= c < 91 else c for c in range(256)], np.uint8)
 WORD = np.array([48 <= c < 58 or 97 <= c < 123 or c >= 128 for c in range(256)])
+#: Words of another kind: runs of anything but a blank or one of the five bytes from tab on.
+SOLID = np.array([c != 32 and not 9 <= c < 14 for c in range(256)])
 _BASE = 0xD1342543DE82EF95
 _KEY = b"tessel words"
 
@@ -64,27 +66,27 @@ def hashes(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.concatenate([mix(short), name])[which]
 
 
-def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Names of all words in order, and the n + 1 bounds of each text among them."""
+def words(column: pa.Array, kind: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray]:
+    """Names of all words (runs of bytes of a ``kind``) in order, and the n + 1 bounds of each text among them."""
     raw, offsets = texts_of(column)
     raw = SMALL[raw]
-    begins, ends = spans(WORD[raw], offsets)
+    begins, ends = spans(kind[raw], offsets)
     return hashes(raw, begins, ends), np.searchsorted(begins, offsets)
 
 
-def digests(column: pa.Array) -> list[bytes]:
+def digests(column: pa.Array, kind: np.ndarray = WORD) -> list[bytes]:
     """BLAKE2b (256 bits) of the words of each text with a blank behind each; of the text itself if it has none."""
     raw, offsets = texts_of(column)
     small = SMALL[raw]
-    begins, ends = spans(WORD[small], offsets)
+    begins, ends = spans(kind[small], offsets)
     after = np.cumsum(ends - begins)
     body = np.insert(np.frombuffer(strings(small, begins, ends).buffers()[2], np.uint8), after, 32).tobytes()
     at = np.append(0, after + np.arange(1, len(after) + 1))[np.searchsorted(begins, offsets)].tolist()
     whole, offsets = raw.tobytes(), offsets.tolist()
     out = []
     for k in range(len(column)):
-        own, kind = (body[at[k] : at[k + 1]], b"words") if at[k + 1] > at[k] else (whole[offsets[k] : offsets[k + 1]], b"text")
-        out.append(hashlib.blake2b(own, digest_size=32, key=kind).digest())
+        own, key = (body[at[k] : at[k + 1]], b"words") if at[k + 1] > at[k] else (whole[offsets[k] : offsets[k + 1]], b"text")
+        out.append(hashlib.blake2b(own, digest_size=32, key=key).digest())
     return out
 
 

@@ -152,6 +152,14 @@ def sifted(pairs: DataFrame, prefix: DataFrame) -> DataFrame:
     return both.select("a", "b")
 
 
+def sets_of(pairs: DataFrame, once: DataFrame, docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """id, items: the shingle sets of the texts in ``pairs`` (a, b) only, written."""
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    members = settle(ids.join(once, "id").select("id", "digest", F.col("rep_id").alias("doc_id")), "op11-members")
+    some = shingle_sets(likely(texts(docs), members, "doc_id"), width).join(members.select("digest", "id"), "digest")
+    return settle(some.groupBy("id").agg(F.first("items").alias("items")), "op11-sets")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Those pairs (a, b) of a written table whose sets (id, items) have a Jaccard of ``percent`` or more."""
     count = {end: pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n")) for end in "ab"}
@@ -189,14 +197,10 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, or
     sifts = lambda pairs: settle(sifted(settle(pairs, "op11-pairs"), prefix), "op11-sifted")
     close = 100 * F.least("n", "leader_n") >= percent * F.greatest("n", "leader_n")
     led = sifts(buckets.where("leader <> id").where(close).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
-    members = settle(once.join(prefix.select("id"), "id", "left_semi").select("id", "digest", F.col("rep_id").alias("doc_id")), "op11-members")
-    some = shingle_sets(likely(texts(docs), members, "doc_id"), width).groupBy("digest").agg(F.first("items").alias("items"))
-    sets = settle(some.join(members.select("digest", "id"), "digest").select("id", "items"), "op11-sets")
-    links = settle(verified(led, sets, percent), "op11-linked")
-    hubs = sifts(hub_pairs(buckets, links, threshold).join(led, ["a", "b"], "left_anti"))
-    links = links.unionByName(settle(verified(hubs, sets, percent), "op11-linked"))
-    more = sifts(cross_pairs(buckets, components(links), percent))
-    label = components(links.unionByName(settle(verified(more, sets, percent), "op11-linked")))
+    check = lambda pairs: settle(verified(pairs, sets_of(pairs, once, docs, width), percent), "op11-linked")
+    links = check(led)
+    links = links.unionByName(check(sifts(hub_pairs(buckets, links, threshold).join(led, ["a", "b"], "left_anti"))))
+    label = components(links.unionByName(check(sifts(cross_pairs(buckets, components(links), percent)))))
     discard(spark, begin, keep=1)
     least = F.min(F.struct(F.col("rep_id").isNull(), "rep_id")).getField("rep_id").alias("component_id")
     classes = label.join(once.select("id", "rep_id"), "id").groupBy("component").agg(least)

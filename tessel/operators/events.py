@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -14,20 +14,22 @@ from pyspark.sql import functions as F
 BLOCK = 4096  # rows of one key that are numbered in one task
 
 
-def before(rows: DataFrame, key: str, order: str, value: Column, name: str, block: int = BLOCK) -> DataFrame:
-    """Adds ``name``: the sum of ``value`` over the rows of ``key`` with a smaller ``order`` (an integer).
+def before(rows: DataFrame, key: str, order: str, value: Column, name: str, block: int = BLOCK, fold: Callable = F.sum, none: Column | int = 0) -> DataFrame:
+    """Adds ``name``: the sum (or another ``fold``) of ``value`` over the rows of ``key`` with a smaller ``order`` (an integer); ``none`` for the first.
 
     Rows are summed in blocks of ``order`` first, then the blocks of a key, so that one key's rows
     don't meet in one task.
     """
+    none = F.lit(none) if isinstance(none, int) else none
     marked = rows.withColumns({"_block": F.floor(F.col(order) / block), "_value": value})
-    blocks = marked.groupBy(key, "_block").agg(F.sum("_value").alias("_sum"))
+    blocks = marked.groupBy(key, "_block").agg(fold("_value").alias("_sum"))
     earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(F.col(key).alias("_key"), F.col("_block").alias("_of"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    blocks = blocks.select(F.col(key).alias("_key"), F.col("_block").alias("_of"), F.coalesce(fold("_sum").over(earlier), none).alias("_before"))
     inside = Window.partitionBy(key, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    own = marked.withColumn("_own", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
+    own = marked.withColumn("_own", F.coalesce(fold("_value").over(inside), none))
     both = own.join(blocks, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_block") == F.col("_of")))
-    return both.withColumn(name, F.col("_before") + F.col("_own")).drop("_block", "_value", "_sum", "_key", "_of", "_before", "_own")
+    total = F.col("_before") + F.col("_own") if fold is F.sum else F.greatest("_before", "_own")
+    return both.withColumn(name, total).drop("_block", "_value", "_sum", "_key", "_of", "_before", "_own")
 
 
 def payload_of(line: str) -> str | None:
@@ -124,6 +126,20 @@ def call_pairs(history: DataFrame, key: str = "conv_id") -> DataFrame:
     return calls.join(history.where("type = 'function_call_output'").select(key, "call_id", F.col("text").alias("output")), [key, "call_id"], "left")
 
 
+def sessions(items: DataFrame, key: str = "conv_id") -> DataFrame:
+    """key, n_turns, history, last_answer, calls: conversations whose ``items`` (turn, role, text, type, call_id) hold tool calls too.
+
+    ``history`` has the messages (type null or ``message``); ``calls`` is an array of call_id, call and
+    output in the order of the calls, null where no output has come.
+    """
+    said = conversations(items.where(F.coalesce("type", F.lit("message")) == "message"), key)
+    first = items.where("type = 'function_call'").groupBy(key, "call_id").agg(F.min("turn").alias("turn"))
+    pair = F.struct("turn", "call_id", "call", "output")
+    pairs = call_pairs(items.where("type <> 'message'"), key).join(first, [key, "call_id"]).groupBy(key).agg(F.array_sort(F.collect_list(pair)).alias("p"))
+    calls = F.coalesce(F.transform("p", lambda x: F.struct(x["call_id"].alias("call_id"), x["call"].alias("call"), x["output"].alias("output"))), F.array())
+    return said.join(pairs, key, "full").select(key, F.coalesce("n_turns", F.lit(0)).alias("n_turns"), F.coalesce("history", F.lit("")).alias("history"), "last_answer", calls.alias("calls"))
+
+
 def tool_loop(calls: DataFrame, key: str = "conv_id", bound: int = 20) -> DataFrame:
     """Rounds up to the first without a call, ``bound`` at most: key, rounds."""
     ends = F.min(F.when(~F.col("has_call"), F.col("round")))
@@ -140,3 +156,29 @@ def tool_table(calls: DataFrame, toggles: DataFrame | None = None, active_only:
         out = out.withColumn("is_active", F.lit(True))
     out = out.withColumn("is_active", F.coalesce("is_active", F.lit(True)))
     return (out.where("is_active") if active_only else out).orderBy("name")
+
+
+#: What a change of the tool table may ask for: ``register`` makes a tool anew, switched off unless ``active`` is true.
+ACTIONS = ("register", "on", "off", "toggle")
+
+
+def transitions(changes: DataFrame) -> DataFrame:
+    """name, seq, change: where a tool really goes on (``activated``) or off (``deactivated``).
+
+    ``changes`` has name, seq (an integer, different for each change of a name), action (one of
+    ``ACTIONS``) and active. Asking for a state that a tool has changes nothing, registering one
+    anew resets it without a notice, and so do actions on names that were never registered. A state
+    is what the last action but a toggle has set, turned round by each toggle since; both are
+    found over blocks of ``seq``, so a name's changes needn't meet in one task.
+    """
+    toggles = F.when(F.col("action") == "toggle", 1).otherwise(0)
+    rows = before(changes.where(F.col("action").isin(*ACTIONS)), "name", "seq", toggles, "flips")
+    # A setting is kept as it would be without the toggles before it, so that all toggles up to a row apply.
+    wanted = F.when(F.col("action") == "on", 1).when(F.col("action") == "off", 0).when(F.col("action") == "register", F.when(F.col("active"), 1).otherwise(0))
+    rows = rows.withColumn("setting", F.when(wanted.isNotNull(), F.struct("seq", ((wanted + F.col("flips")) % 2).alias("on"))))
+    rows = before(rows, "name", "seq", F.when(F.col("action") == "register", F.col("seq")), "known", fold=F.max, none=F.lit(None).cast("long"))
+    rows = before(rows, "name", "seq", F.col("setting"), "last", fold=F.max, none=F.lit(None))
+    was = F.coalesce((F.col("last.on") + F.col("flips")) % 2, F.lit(0)) == 1
+    now = F.when(F.col("action") == "toggle", ~was).otherwise(wanted == 1)
+    news = F.when(F.col("action") == "register", F.when(now, "activated")).when(F.col("known").isNull(), None).when(now & ~was, "activated").when(~now & was, "deactivated")
+    return rows.select("name", "seq", news.alias("change")).where("change is not null")

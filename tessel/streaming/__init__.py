@@ -3,15 +3,36 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessel.operators.events import payload_of
 
 
+#: What operators with several states of a key need: state in RocksDB, its changes written to the checkpoint.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB; the session's settings are as before afterwards."""
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    try:
+        for k, v in STATE.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def running_totals(calls: DataFrame) -> DataFrame:
     """Totals over a stream of calls (for output mode complete); summed in each task first."""
     return calls.groupBy().agg(F.count(F.lit(1)).alias("n_calls"), *[F.sum(c).alias(c) for c in ("prompt_tokens", "completion_tokens", "total_tokens")])

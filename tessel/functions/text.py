@@ -65,7 +65,8 @@ def glob_regex(pattern: str) -> str:
         elif c == "[":
             end = pattern.index("]", k + 2)
             inner = pattern[k + 1 : end]
-            out += "[" + ("^/" + inner[1:] if inner[0] == "!" else inner).replace("\\", "\\\\") + "]"
+            negated = inner[0] == "!"
+            out += "(?!/)[" + "^" * negated + inner[negated:].replace("\\", "\\\\") + "]"  # not even a range has a separator in it
             k = end
         elif c == "{":
             out, depth = out + "(?:", depth + 1

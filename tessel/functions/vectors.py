@@ -38,8 +38,9 @@ def blocks(v: Column) -> Column:
 
     def rounded(block: Column) -> Column:
         def value(x: Column) -> Column:
-            q = F.floor((x / block["scale"]).cast("float").cast("double") + 0.5)
-            return F.when(F.isnan(x), 0).otherwise(F.greatest(F.least(q, F.lit(127)), F.lit(-128))).cast("byte")
+            q = F.greatest(F.least(F.floor((x / block["scale"]).cast("float").cast("double") + 0.5), F.lit(127)), F.lit(-128))
+            tiny = F.when(x > 0, 127).when(x < 0, -128).otherwise(0)  # the scale of a block of subnormal values may be 0
+            return F.when(F.isnan(x), 0).when(block["scale"] == 0, tiny).otherwise(q).cast("byte")
 
         return F.struct(block["scale"].alias("scale"), F.transform(block["part"], value).alias("q"))
 
@@ -78,7 +79,8 @@ def q8_encoded(v: np.ndarray) -> np.ndarray:
     part = v.reshape(-1, BLOCK)
     top = np.nan_to_num(np.abs(part), nan=0.0, posinf=np.inf).max(1)
     scale = np.where(top == 0, np.float32(1), (top / np.float32(127)).astype(np.float32)).astype(np.float32)
-    q = np.floor((part / scale[:, None]).astype(np.float32).astype(np.float64) + 0.5)
+    with np.errstate(divide="ignore", invalid="ignore"):  # the scale of a block of subnormal values may be 0
+        q = np.floor((part / scale[:, None]).astype(np.float32).astype(np.float64) + 0.5)
     out = np.empty((len(part), 2 + BLOCK), np.uint8)
     with np.errstate(over="ignore"):
         out[:, :2] = scale.astype("<f2").view(np.uint8).reshape(-1, 2)

@@ -88,28 +88,58 @@ def edited(rows: DataFrame) -> DataFrame:
     return rows.where("replacements > 0")
 
 
+TRIES = 32  # searches of a text before every place is looked at
+
+
+def common_prefixes(text: str, needle: str) -> list[int]:
+    """For each place of ``text`` how much of the beginning of ``needle`` stands there (the Z-function of both), in linear time."""
+    whole, n = needle + text, len(needle)
+    z, left, right = [0] * len(whole), 0, 0
+    for i in range(1, len(whole)):
+        k = min(right - i, z[i - left]) if i < right else 0
+        while i + k < len(whole) and k < n and whole[k] == whole[i + k]:
+            k += 1
+        z[i] = k
+        if i + k > right:
+            left, right = i, i + k
+    return z[n:]
+
+
 def farthest(text: str, needle: str) -> tuple[int, int] | None:
-    """(length, place) of the longest prefix of ``needle`` that another character follows, at its last place; None without one."""
+    """(length, place) of the longest prefix of ``needle`` that another character follows, at its last place; None without one.
+
+    A few searches settle most texts: halving finds the longest prefix there is, and its last
+    places are looked at from the end, in the reversed text. Where ``TRIES`` don't do, as in
+    periodic texts, one linear pass over all places does.
+    """
     if not text:
         return None
     low, high = 0, len(needle) - 1
     while low < high:  # a prefix occurs where a longer one does
         middle = (low + high + 1) // 2
         low, high = (middle, high) if text.find(needle[:middle]) >= 0 else (low, middle - 1)
+    back, tries = text[::-1], 0
     for n in range(low, -1, -1):
-        at = text.rfind(needle[:n], 0, len(text) - 1)
-        while at >= 0 and text[at + n] == needle[n]:
-            at = text.rfind(needle[:n], 0, at + n - 1) if n else len(text[:at].rstrip(needle[0])) - 1
-        if at >= 0:
-            return n, at
-    return None
+        part, at = needle[:n][::-1], 0
+        while tries < TRIES:
+            tries += 1
+            at = back.find(part, at + 1)  # at least one character follows
+            if at < 0:
+                break
+            if back[at - 1] != needle[n]:
+                return n, len(text) - at - n
+        if tries == TRIES:
+            break
+    z, size = common_prefixes(text, needle), len(text)
+    places = [(n, i) for i, n in enumerate(z) if n < len(needle) and i + n < size]
+    return max(places) if places else None
 
 
 def longest_prefix(docs: DataFrame, needle: str, key: str = "doc_id") -> DataFrame:
     """key, prefix_length, position, expected, actual, actual_code: how far a text that isn't there matches.
 
     The longest prefix that is followed by another character counts, at its last place; one that
-    the text's end cuts off doesn't. One pass over the texts, whatever the needle's length.
+    the text's end cuts off doesn't. The time grows as the text, whatever it repeats.
     """
     _needle(needle)
     names = [key, "prefix_length", "position", "expected", "actual", "actual_code"]

@@ -3,15 +3,23 @@
 from __future__ import annotations
 
 import contextlib
+import gzip
 import io
+import os
+import re
+import struct
 import zipfile
 import zlib
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessel.session import checkpointed
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A Parquet table of a data folder."""
@@ -19,11 +27,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
-    """path, mod_ts (epoch milliseconds), size, text of all files below ``path``; UTF-8."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    """path, mod_ts (epoch milliseconds), size (as stored), text of all files below ``path``; UTF-8, that of ``.gz`` files unpacked."""
+    files = unpacked(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
     return files.select("path", F.unix_millis("modificationTime").alias("mod_ts"), F.col("length").alias("size"), F.decode("content", "UTF-8").alias("text"))
 
 
+@F.pandas_udf("binary")
+def gunzip(content: pd.Series) -> pd.Series:
+    """Unpacked bytes; null for what is no whole gzip file."""
+
+    def one(data: bytes | None) -> bytes | None:
+        with contextlib.suppress(OSError, EOFError, zlib.error):
+            return gzip.decompress(data) if data is not None else None
+        return None
+
+    return content.map(one)
+
+
+def unpacked(files: DataFrame) -> DataFrame:
+    """``files`` (path, content and more) with the contents of ``.gz`` paths unpacked; others pass by Python."""
+    packed = F.endswith("path", F.lit(".gz"))
+    return files.where(~packed).unionByName(files.where(packed).withColumn("content", gunzip("content")))
+
+
+def resources(files: DataFrame) -> DataFrame:
+    """resource, path, is_gzipped, content: each resource of ``files`` (path, content) once, unpacked from its ``.gz`` form where there is one.
+
+    A plain file only goes if its ``.gz`` form is there, so no content moves but by the paths of those.
+    """
+    twins = files.where(F.endswith("path", F.lit(".gz"))).select(F.regexp_replace("path", r"\.gz$", "").alias("path")).distinct()
+    rows = unpacked(files.select("path", "content").join(twins, "path", "left_anti"))
+    return rows.select(F.regexp_replace("path", r"\.gz$", "").alias("resource"), "path", F.endswith("path", F.lit(".gz")).alias("is_gzipped"), "content")
+
+
 def listing(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """path and size of files below ``path``; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
@@ -50,6 +86,8 @@ def prefer_gzip(files: DataFrame) -> DataFrame:
     return files.groupBy(plain.alias("resource")).agg(F.max_by("path", F.col("path").endswith(".gz").cast("int")).alias("path"))
 
 
+#: What reading an archive raises that is damaged, encrypted, or of a version that isn't known.
+DAMAGED = (zipfile.BadZipFile, NotImplementedError, RuntimeError, EOFError, zlib.error, ValueError, OSError, struct.error)
 ENTRY = "archive string, name string, size long, compressed_size long, modified string, method string"
 
 
@@ -61,8 +99,8 @@ def archive_entries(archives: DataFrame) -> DataFrame:
             rows = []
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 try:
-                    infos = zipfile.ZipFile(io.BytesIO(content)).infolist()
-                except zipfile.BadZipFile:
+                    infos = zipfile.ZipFile(io.BytesIO(content or b"")).infolist()
+                except DAMAGED:
                     continue
                 for x in infos:
                     y, mo, d, h, mi, s = x.date_time
@@ -84,9 +122,9 @@ def entry_texts(archives: DataFrame) -> DataFrame:
                 try:
                     archive = zipfile.ZipFile(io.BytesIO(content or b""))
                     for name in names:
-                        with contextlib.suppress(KeyError, zipfile.BadZipFile, NotImplementedError, RuntimeError, EOFError, zlib.error):
+                        with contextlib.suppress(KeyError, *DAMAGED):
                             rows.append({"path": path, "name": name, "text": archive.read(name).decode("utf-8", "replace")})
-                except zipfile.BadZipFile:
+                except DAMAGED:
                     continue
                 yield pa.RecordBatch.from_pylist(rows, pa.schema([("path", pa.string()), ("name", pa.string()), ("text", pa.string())]))
 
@@ -96,3 +134,61 @@ def entry_texts(archives: DataFrame) -> DataFrame:
 def name_list(value: F.Column) -> F.Column:
     """The different names of a comma-separated setting."""
     return F.array_distinct(F.filter(F.transform(F.split(value, ","), lambda x: F.trim(x)), lambda x: x != ""))
+
+
+def setting(spark: SparkSession, *keys: str, default: str | None = None) -> str | None:
+    """A setting by the first of its names that is known: to the environment, else to the session, else the default."""
+    for source in (os.environ.get, lambda key: spark.conf.get(key, None)):
+        for key in keys:
+            if (value := source(key)) is not None:
+                return value
+    return default
+
+
+def resolved_settings(wanted: DataFrame, settings: DataFrame) -> DataFrame:
+    """name, value, source of settings in tables: ``wanted`` has name, keys (array, the preferred one first) and fallback.
+
+    ``settings`` has source (the smallest number comes first), key, value; null values count as
+    unknown. A source that knows any of the keys comes before the next one, whatever keys that knows; without one the fallback
+    counts and source is null.
+    """
+    asked = wanted.select("name", F.posexplode("keys").alias("place", "key"))
+    found = asked.join(settings.where("value is not null"), "key").groupBy("name").agg(F.min(F.struct("source", "place", "value")).alias("s"))
+    return wanted.join(found, "name", "left").select("name", F.coalesce("s.value", "fallback").alias("value"), F.col("s.source").alias("source"))
+
+
+def walk(spark: SparkSession, root: str, exclude: str | None = None, opened: Accumulator | None = None) -> DataFrame:
+    """path (relative), size, is_dir of all below ``root``, whose excluded directories are never opened.
+
+    Directories are listed level by level, each level as a Spark job over those of the one before, so
+    no list goes through the driver. A path that matches ``exclude`` whole goes, and with it all below;
+    one that can't be read has size -1 and nothing below. ``root`` is a folder that all executors
+    reach: a path, or a URI that pyarrow's file systems know. ``opened`` counts directories listed.
+    """
+    schema = "path string, size long, is_dir boolean"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, top = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root.rstrip("/"))
+        out = re.compile(exclude) if exclude is not None else None
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                rows = []
+                with contextlib.suppress(OSError):
+                    if opened is not None:
+                        opened.add(1)
+                    for info in system.get_file_info(fs.FileSelector(f"{top}/{folder}" if folder else top)):
+                        path = f"{folder}/{info.base_name}" if folder else info.base_name
+                        if out is None or not out.fullmatch(path):
+                            is_dir = info.type == fs.FileType.Directory
+                            rows.append((path, 0 if is_dir else -1 if info.size is None else info.size, is_dir))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.bool_()))], ["path", "size", "is_dir"])
+
+    level = checkpointed(spark.createDataFrame([("",)], "path string").mapInArrow(run, schema))
+    found = level
+    while not (below := level.where("is_dir")).isEmpty():
+        # A folder may hold most of the files: its subfolders are dealt anew.
+        level = checkpointed(below.select("path").repartition("path").mapInArrow(run, schema))
+        found = found.unionByName(level)
+    return found

@@ -9,9 +9,10 @@ all documents in ``SLOTS`` slots) and others by hashes, a different one for each
 lines and passages stand in no prefix unless a text consists of them.
 
 Texts with the same words are one row first. Candidates come from the first order; the prefixes
-under the others, cut to 16 bits a shingle, travel in their stead and sift them; and only what is
-left is compared, on the sets themselves (64-bit names), in whole numbers. To lose no link and yet
-never to make all pairs of a large group, this goes in three steps:
+under the others, cut to 16 bits a shingle, sift them. What is left is compared by sets of names cut to
+16 bits, which can only seem to have more in common, and what passes that on the sets themselves
+(64-bit names), in whole numbers; so few whole sets move. To lose no link and yet never to make all
+pairs of a large group, this goes in three steps:
 
 1. Each text with one leader for each of its prefix shingles.
 2. Each text with the hub of each of its prefix shingles, which has most links so far.
@@ -38,8 +39,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import discard, likely, made, portions, settle, spread_join, texts
-from tessel.llm.near_dedup import bucketed, components, hub_pairs
+from tessel.llm.common import discard, likely, made, portions, settle, spread_join, texts, without
+from tessel.llm.near_dedup import components, hub_pairs
 from tessel.llm.shingles import SOLID, digests, mix, shingles, words
 
 WIDTH, PERCENT, ORDERS = 3, 90, 3
@@ -124,16 +125,17 @@ def signed(docs: DataFrame, crowded: np.ndarray, width: int = WIDTH, percent: in
 
 
 def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """digest (of the words) and items: the different shingles as 64-bit names."""
+    """digest (of the words), items (the different shingles as 64-bit names) and cut (the upper 16 bits of each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in portions(batch):
                 text, item = _sets(part.column("text"), width)
-                items = _lists(np.bincount(text, minlength=len(part)), pa.array(item.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(digests(part.column("text"), SOLID), pa.binary()), items], ["digest", "items"])
+                sizes = np.bincount(text, minlength=len(part))
+                cut = (item >> np.uint64(48)).astype(np.uint16).view(np.int16)
+                yield pa.RecordBatch.from_arrays([pa.array(digests(part.column("text"), SOLID), pa.binary()), _lists(sizes, pa.array(item.view(np.int64))), _lists(sizes, pa.array(cut))], ["digest", "items", "cut"])
 
-    return texts(docs).mapInArrow(run, "digest binary, items array<long>")
+    return texts(docs).mapInArrow(run, "digest binary, items array<long>, cut array<short>")
 
 
 def reaches(common: Column, total: Column, percent: int) -> Column:
@@ -141,32 +143,47 @@ def reaches(common: Column, total: Column, percent: int) -> Column:
     return (100 + percent) * common >= percent * total
 
 
-def sifted(pairs: DataFrame, prefix: DataFrame) -> DataFrame:
-    """Those pairs (a, b) of a written table that share prefix shingles under all the other orders (id and a column for each)."""
-    others = [c for c in prefix.columns if c != "id"]
-    side = {end: prefix.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in others]) for end in "ab"}
+def _with_both(pairs: DataFrame, rows: DataFrame, key: str, *columns: str) -> DataFrame:
+    """Pairs (a, b) of a written table with ``columns`` of the rows whose ``key`` each end has."""
     count = {end: pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n")) for end in "ab"}
-    both = spread_join(spread_join(pairs, side["b"], "b", "a", count["b"]), side["a"], "a", "b", count["a"])
+    side = {end: rows.select(F.col(key).alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns]) for end in "ab"}
+    return spread_join(spread_join(pairs, side["b"], "b", "a", count["b"]), side["a"], "a", "b", count["a"])
+
+
+def _ends(pairs: DataFrame, name: str) -> DataFrame:
+    return pairs.select(F.col("a").alias(name)).unionByName(pairs.select(F.col("b").alias(name))).distinct()
+
+
+def sifted(pairs: DataFrame, once: DataFrame, others: list[str]) -> DataFrame:
+    """Those pairs (a, b) of a written table that share prefix shingles under all the other orders."""
+    both = _with_both(pairs, likely(once.select("id", *others), _ends(pairs, "id"), "id"), "id", *others)
     for c in others:
         both = both.where(F.arrays_overlap(f"{c}_a", f"{c}_b"))
     return both.select("a", "b")
 
 
-def sets_of(pairs: DataFrame, once: DataFrame, docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """id, items: the shingle sets of the texts in ``pairs`` (a, b) only, written."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    members = settle(ids.join(once, "id").select("id", "digest", F.col("rep_id").alias("doc_id")), "op11-members")
-    some = shingle_sets(likely(texts(docs), members, "doc_id"), width).join(members.select("digest", "id"), "digest")
-    return settle(some.groupBy("id").agg(F.first("items").alias("items")), "op11-sets")
+def verified(pairs: DataFrame, once: DataFrame, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """Those pairs (a, b) of a written table whose sets have a Jaccard of ``percent`` or more.
 
+    Sets are made of the texts in pairs only, and stay where they are made; of a text that stands
+    there more than once one would do, so the pairs found are made distinct.
+    """
+    members = settle(_ends(pairs, "id").join(once.select("id", "digest", F.col("doc_id")), "id"), "op11-members")
+    sets = settle(shingle_sets(likely(texts(docs), members, "doc_id"), width), "op11-sets")
+    named = settle(_with_both(pairs, members, "id", "digest").select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b"), F.col("a").alias("id_a"), F.col("b").alias("id_b")), "op11-named")
+    total = F.size("cut_a") + F.size("cut_b")
+    near = _with_both(named, likely(sets.select("digest", "cut"), members.select("digest"), "digest"), "digest", "cut")
+    common16 = F.size("cut_a") - F.size(F.array_except("cut_a", "cut_b"))
+    near = settle(near.where(reaches(common16, total, percent)).select("a", "b", "id_a", "id_b").distinct(), "op11-near")
+    whole = _with_both(near, likely(sets.select("digest", "items"), _ends(near, "digest"), "digest"), "digest", "items")
+    common = F.size(F.array_intersect("items_a", "items_b"))
+    return whole.where(reaches(common, F.size("items_a") + F.size("items_b"), percent)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Those pairs (a, b) of a written table whose sets (id, items) have a Jaccard of ``percent`` or more."""
-    count = {end: pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n")) for end in "ab"}
-    with_b = spread_join(pairs, sets.select(F.col("id").alias("b"), F.col("items").alias("items_b")), "b", "a", count["b"])
-    both = spread_join(with_b, sets.select(F.col("id").alias("a"), F.col("items").alias("items_a")), "a", "b", count["a"])
-    common, total = F.size(F.array_intersect("items_a", "items_b")), F.size("items_a") + F.size("items_b")
-    return both.where(reaches(common, total, percent)).select("a", "b")
+
+def bucketed(entries: DataFrame) -> DataFrame:
+    """The rows (key, id, n, at) of prefix shingles that more than one text has, with the first text of each (leader)."""
+    leaders = settle(entries.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("rows")).where("rows > 1"), "op11-leaders")
+    return spread_join(entries, leaders.drop("rows"), "key", "id", leaders.select("key", F.col("rows").alias("n")))
 
 
 def cross_pairs(entries: DataFrame, label: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -184,27 +201,27 @@ def cross_pairs(entries: DataFrame, label: DataFrame, percent: int = PERCENT) ->
 def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), a row a document."""
     spark, threshold = docs.sparkSession, percent / 100
-    rows = settle(signed(docs, crowding(docs, width), width, percent, orders), "op11-signed")
-    others = [c for c in rows.columns if c not in ("doc_id", "digest", "n", "first")]
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "n", "first", *others)).alias("s")
-    once = rows.where("n > 0").groupBy("digest").agg(first, F.count(F.lit(1)).alias("copies"))
-    once = settle(once.select("digest", F.monotonically_increasing_id().alias("id"), F.col("s.doc_id").alias("rep_id"), "s.n", "s.first", *[f"s.{c}" for c in others], "copies"), "op11-once")
+    rows = settle(signed(docs, crowding(docs, width), width, percent, orders).withColumn("id", F.monotonically_increasing_id()), "op11-signed")
+    others = [c for c in rows.columns if c not in ("id", "doc_id", "digest", "n", "first")]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "id")).alias("s")
+    reps = rows.where("n > 0").groupBy("digest").agg(first, F.count(F.lit(1)).alias("copies"))
+    reps = settle(reps.select("digest", F.col("s.id").alias("id"), F.col("s.doc_id").alias("rep_id"), "copies"), "op11-reps")
+    gone = settle(rows.where("n > 0").select("id").join(reps.select("id"), "id", "left_anti"), "op11-gone")
+    once = without(rows.where("n > 0"), gone, "id")  # one row of texts with the same words; rows that stay don't move
     begin = made()
-    entries = once.select("id", "n", F.posexplode("first").alias("at", "key"))
-    buckets = settle(bucketed(entries), "op11-buckets")
-    prefix = once.join(buckets.select("id").distinct(), "id", "left_semi").select("id", *others)
-    prefix = settle(prefix, "op11-prefix")
-    sifts = lambda pairs: settle(sifted(settle(pairs, "op11-pairs"), prefix), "op11-sifted")
-    close = 100 * F.least("n", "leader_n") >= percent * F.greatest("n", "leader_n")
-    led = sifts(buckets.where("leader <> id").where(close).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
-    check = lambda pairs: settle(verified(pairs, sets_of(pairs, once, docs, width), percent), "op11-linked")
+    sifts = lambda pairs: settle(sifted(settle(pairs, "op11-pairs"), once, others), "op11-sifted")
+    check = lambda pairs: settle(verified(pairs, once, docs, width, percent), "op11-linked")
+    buckets = settle(bucketed(once.select("id", "n", F.posexplode("first").alias("at", "key"))), "op11-buckets")
+    sizes = once.select(F.col("id").alias("a"), F.col("n").alias("na"))
+    led = buckets.where("leader <> id").select(F.col("leader").alias("a"), F.col("id").alias("b"), "n").distinct()
+    led = sifts(led.join(sizes, "a").where(100 * F.least("n", "na") >= percent * F.greatest("n", "na")).select("a", "b"))
     links = check(led)
     links = links.unionByName(check(sifts(hub_pairs(buckets, links, threshold).join(led, ["a", "b"], "left_anti"))))
     label = components(links.unionByName(check(sifts(cross_pairs(buckets, components(links), percent)))))
     discard(spark, begin, keep=1)
     least = F.min(F.struct(F.col("rep_id").isNull(), "rep_id")).getField("rep_id").alias("component_id")
-    classes = label.join(once.select("id", "rep_id"), "id").groupBy("component").agg(least)
-    of = once.join(spread_join(label, classes, "component", "id"), "id", "left").select("digest", F.coalesce("component_id", "rep_id").alias("component_id"))
-    found = spread_join(rows.where("n > 0").select("doc_id", "digest", "n"), of, "digest", "doc_id", once.select("digest", F.col("copies").alias("n")))
+    classes = label.join(reps.select("id", "rep_id"), "id").groupBy("component").agg(least)
+    of = reps.join(spread_join(label, classes, "component", "id"), "id", "left").select("digest", F.coalesce("component_id", "rep_id").alias("component_id"))
+    found = spread_join(rows.where("n > 0").select("doc_id", "digest", "n"), of, "digest", "doc_id", reps.select("digest", F.col("copies").alias("n")))
     alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)

@@ -8,11 +8,16 @@ micro-batch appends the state rows that it changed to a table in the shared fold
 number, so that a batch which runs twice leaves the same files.
 
 A digest that has come more than once is a hit: before any row is dropped, the full text of each of
-its rows is compared with the one that the state's locator and identifier lead to. Hits with a large share of all rows (1,000 at most, as each has a thousandth of the rows)
+its new rows is compared with the one that the state's locator and identifier lead to. Hits with a large share of all rows (1,000 at most, as each has a thousandth of the rows)
 go to every task, which sums equal bytes before they move; others are joined by digest, and rows
-in no slot of a hit don't take part. Should
-different texts share a digest, each text is a group of its own. With a ``work`` folder of the
-caller's, checkpoint and state last: a later run over more files streams only the new ones.
+in no slot of a hit don't take part. Should different texts share a digest, each text is a group of its own.
+
+With a ``work`` folder of the caller's all this lasts: checkpoint, state (one snapshot; older ones
+and the batches in it are removed) and a ledger of rows (doc_id, size, digests, file, and the text of likely
+hits). A later run, over the same folder or another one, streams and reads the files that are new
+to the ledger, and of earlier files only those that hold the located text of a new hit whose text
+the ledger hasn't kept. Groups are over all rows ever seen, rows of the report those at ``path``.
+Where a located file is gone, its text can't be compared any more, and SHA-256 alone decides.
 
 Defined cases: a null text counts as empty, and so equals a text of blanks only; of equal texts
 the one with most code points stays, then the smallest doc_id; rows with the doc_id that stays and
@@ -22,10 +27,12 @@ most code points, then as first written (so do rows without a doc_id, if one of
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm.common import SLOTS, named, scratch, settle, spare, spread_join, without
+from tessel.llm.common import SLOTS, likely, named, scratch, settle, spare, spread_join, without
 
 BLANKS = "[\\x20\\x09-\\x0D]+"
 HOT_SHARE = 1000  # a digest is hot with one in so many rows; so there are no more hot ones than that
@@ -77,18 +84,62 @@ def watch(spark: SparkSession, path: str, table: str, checkpoint: str, bits: int
     query.awaitTermination()
 
 
-_STATE = "digest string, group_size long, keep_id long, locator string, batch int"
+_STATE = "digest string, group_size long, keep_id long, locator string"
+_LEDGER = "doc_id long, n_points long, digest string, text_sha256 string, locator string"
+
+
+def _numbers(spark: SparkSession, path: str, name: str) -> list[int]:
+    """The numbers of whole tables ``<name>=<number>`` below a path."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in system.listStatus(top)] if system.exists(top) else []
+    whole = [n for n in names if n.startswith(f"{name}=") and system.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    return sorted(int(n.partition("=")[2]) for n in whole)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def state(spark: SparkSession, table: str) -> DataFrame:
-    """The newest state row of each digest: digest, group_size, keep_id, locator."""
-    rows = spark.read.schema(_STATE).parquet(table)
-    newest = rows.groupBy("digest").agg(F.max_by(F.struct("group_size", "keep_id", "locator"), "batch").alias("s"))
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def state(spark: SparkSession, table: str, snapshots: str | None = None) -> DataFrame:
+    """The newest state row of each digest (digest, group_size, keep_id, locator) in a snapshot and the batches after it."""
+    last = _numbers(spark, snapshots, "upto")[-1:] if snapshots else []
+    batches = [n for n in _numbers(spark, table, "batch") if not last or n > last[0]]
+    rows = [spark.read.schema(_STATE).parquet(f"{snapshots}/upto={n}").withColumn("batch", F.lit(n)) for n in last]
+    if batches:
+        paths = [f"{table}/batch={n}" for n in batches]
+        rows.append(spark.read.schema(f"{_STATE}, batch int").option("basePath", table).parquet(*paths))
+    if not rows:
+        return spark.createDataFrame([], _STATE)
+    if not batches:
+        return rows[0].drop("batch")
+    newest = reduce(DataFrame.unionByName, rows).groupBy("digest").agg(F.max_by(F.struct("group_size", "keep_id", "locator"), "batch").alias("s"))
     return newest.select("digest", "s.*")
 
 
-def read_rows(docs: DataFrame, hits: DataFrame, bits: int = 256, *keep: str) -> DataFrame:
-    """One more pass over the texts: doc_id, n_points, digest, text_sha256, locator, ``keep``, and the content of likely hits only.
+def compacted(spark: SparkSession, table: str, snapshots: str) -> DataFrame:
+    """``state`` as one snapshot; what went into it is removed once it is whole."""
+    batches, before = _numbers(spark, table, "batch"), _numbers(spark, snapshots, "upto")
+    upto = max([*batches, *before], default=-1)
+    if upto not in before:
+        path = f"{snapshots}/upto={max(upto, 0)}"
+        state(spark, table, snapshots).write.mode("overwrite").option("compression", "zstd").parquet(path)
+    for n in before:
+        if n < upto:
+            _remove(spark, f"{snapshots}/upto={n}")
+    for n in batches:
+        _remove(spark, f"{table}/batch={n}")
+    return spark.read.schema(_STATE).parquet(f"{snapshots}/upto={max(upto, 0)}")
+
+
+def read_rows(docs: DataFrame, hits: DataFrame, path: str, bits: int = 256, *keep: str) -> DataFrame:
+    """One pass over new texts, written to ``path``: doc_id, n_points, digest, text_sha256, locator, ``keep``, and the content of likely hits only.
 
     ``SLOTS`` bounds the list of slots that goes to every task.
     """
@@ -96,47 +147,94 @@ def read_rows(docs: DataFrame, hits: DataFrame, bits: int = 256, *keep: str) ->
     few = F.broadcast(hits.select(slot).distinct().withColumn("_hit", F.lit(True)))
     file = docs.metadataColumn("_metadata").getField("file_path").alias("locator")
     rows = digests(docs, bits, file, *named(keep)).withColumn("text_sha256", F.sha2("content", 256)).withColumn("_slot", slot).join(few, "_slot", "left")
-    return settle(rows.select("doc_id", "n_points", "digest", "text_sha256", "locator", *keep, F.when(F.col("_hit"), F.col("content")).alias("content")), "op5-rows")
+    rows = rows.select("doc_id", "n_points", "digest", "text_sha256", "locator", *keep, F.when(F.col("_hit"), F.col("content")).alias("content"))
+    rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(rows.schema).parquet(path)
+
 
+def originals(spark: SparkSession, places: DataFrame, rows: DataFrame, bits: int = 256) -> DataFrame:
+    """digest, original: the texts that the state locates for hits (digest, id, place), each once.
 
-def collisions(rows: DataFrame, seen: DataFrame) -> DataFrame:
-    """Compare full texts on hits: the groups (digest, content, ...) of digests with texts unlike the one that the state locates."""
-    hits = seen.where("group_size > 1").select("digest", "group_size")
+    They stand in ``rows`` (doc_id, digest, locator, content) or, for those that don't, are read from their
+    files, as far as those are there still. The list of these files is as long as they are many.
+    """
+    same = (F.col("doc_id").eqNullSafe(F.col("id"))) & (F.col("locator") == F.col("place"))
+    held = rows.where("content is not null").join(places, "digest").where(same).groupBy("digest").agg(F.first("content").alias("original"))
+    files = [r["place"] for r in places.join(held, "digest", "left_anti").select("place").distinct().collect()]
+    files = [f for f in files if _exists(spark, f)]
+    if not files:
+        return held
+    docs = spark.read.parquet(*files)
+    old = digests(docs, bits, docs.metadataColumn("_metadata").getField("file_path").alias("locator"))
+    found = likely(old, places.select("digest"), "digest").join(places.join(held, "digest", "left_anti"), "digest").where(same)
+    return held.unionByName(found.groupBy("digest").agg(F.first("content").alias("original")))
+
+
+def collisions(rows: DataFrame, seen: DataFrame, ledger: DataFrame, bits: int = 256) -> DataFrame:
+    """Digests that stand for different texts: new rows' full texts on hits are compared with those that the state locates."""
+    spark = rows.sparkSession
+    hits = seen.where("group_size > 1")
     total = seen.agg(F.sum("group_size")).first()[0] or 0
     least = max(2, -(-total // HOT_SHARE))
     hot = F.broadcast(hits.where(F.col("group_size") >= least).select("digest"))
-    rows = rows.where("content is not null")
+    new = rows.where("content is not null")
     # Hot rows meet nobody but the small list before they are summed; the others come to their digest.
-    often = groups(rows.join(hot, "digest", "left_semi"), "digest", "content")
-    others = hits.where(F.col("group_size") < least).hint("merge")
-    seldom = groups(rows.join(hot, "digest", "left_anti").join(others, "digest", "left_semi"), "digest", "content")
-    exact = settle(often.unionByName(seldom).select("digest", "content", "group_size", "best"), "op5-hits")
-    located = _named(exact, "digest", "content").join(seen.select("digest", F.col("keep_id").alias("id"), F.col("locator").alias("place")), "digest")
-    original = located.where(F.col("keep_id").eqNullSafe(F.col("id")) & (F.col("locator") == F.col("place"))).select("digest", F.col("content").alias("original"))
-    unlike = exact.select("digest", "content").join(original, "digest", "left").where(~F.col("content").eqNullSafe(F.col("original"))).select("digest").distinct()
-    return _named(exact.join(unlike, "digest", "left_semi"), "digest", "content")
+    once = lambda x: x.groupBy("digest", "content").agg(F.first("text_sha256").alias("sha"))
+    often = once(new.join(hot, "digest", "left_semi"))
+    others = hits.where(F.col("group_size") < least).select("digest").hint("merge")
+    seldom = once(new.join(hot, "digest", "left_anti").join(others, "digest", "left_semi"))
+    texts = settle(often.unionByName(seldom), "op5-hits")
+    places = settle(hits.join(texts.select("digest").distinct(), "digest").select("digest", F.col("keep_id").alias("id"), F.col("locator").alias("place")), "op5-places")
+    known = settle(originals(spark, places, ledger, bits), "op5-originals")
+    compared = texts.join(known, "digest")
+    if not compared.where((F.col("content") != F.col("original")) & (F.col("sha") == F.sha2("original", 256))).isEmpty():
+        raise ValueError("two different texts have one SHA-256")
+    unlike = compared.where(F.col("content") != F.col("original")).select("digest")
+    # With no located text at hand, or more than one text of a digest, their SHA-256 tells.
+    several = texts.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
+    lost = places.join(known, "digest", "left_anti").select("digest")
+    mixed = ledger.join(lost, "digest", "left_semi").groupBy("digest").agg(F.min("text_sha256").alias("a"), F.max("text_sha256").alias("b")).where("a <> b").select("digest")
+    return unlike.unionByName(several).unionByName(mixed).distinct()
 
 
 def report(spark: SparkSession, path: str, bits: int = 256, files_a_batch: int = 1000, keep: tuple[str, ...] = (), work: str | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for each document at ``path``; with ``keep`` also n_points and those columns.
 
-    ``work`` is a folder that lasts, with the stream's checkpoint and state; without it they start anew.
+    ``work`` is a folder that lasts, with the stream's checkpoint, its state and the ledger; without it they start anew.
+    ``keep`` is for tables that are read once.
     """
-    work = work or scratch(spark, "op5")
+    lasting, work = work is not None, work or scratch(spark, "op5")
+    if lasting and keep:
+        raise ValueError("a ledger that lasts keeps no columns of the caller's")
     watch(spark, path, f"{work}/changed", f"{work}/checkpoint", bits, files_a_batch)
+    seen = compacted(spark, f"{work}/changed", f"{work}/state")
     docs = spark.read.parquet(path)
-    if docs.isEmpty():
-        return docs.select(F.col("doc_id").cast("long"), F.lit(None).cast("long").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lit("").alias("text_sha256"), *([F.lit(0).cast("long").alias("n_points"), *keep] if keep else []))
-    seen = settle(state(spark, f"{work}/changed"), "op5-state")
-    rows = read_rows(docs, seen.where("group_size > 1"), bits, *keep)
-    split = settle(collisions(rows, seen), "op5-split")
-    slim, sizes = rows.drop("content", "locator"), seen.select("digest", F.col("group_size").alias("n"))
-    seen = seen.drop("locator")
+    runs = _numbers(spark, f"{work}/rows", "run")
+    fresh = docs
+    if lasting:
+        now = docs.select(docs.metadataColumn("_metadata").getField("file_path").alias("locator")).distinct()  # reads no column
+        if runs:
+            now = now.join(spark.read.schema("locator string").parquet(*[f"{work}/rows/run={n}" for n in runs]).distinct(), "locator", "left_anti")
+        files = [r["locator"] for r in now.collect()]  # as many as there are new files
+        fresh = spark.read.schema(docs.schema).parquet(*files) if files else None
+    rows = None
+    if fresh is not None and not fresh.isEmpty():
+        runs = [*runs, len(runs)]
+        rows = read_rows(fresh, seen.where("group_size > 1"), f"{work}/rows/run={runs[-1]}", bits, *keep)
+    if not runs:
+        return docs.select(F.col("doc_id").cast("long"), F.lit(None).cast("long").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lit("").alias("text_sha256"), *([F.lit(0).cast("long").alias("n_points"), *keep] if keep else [])).where("false")
+    ledger = rows if runs == [0] and rows is not None else spark.read.schema(f"{_LEDGER}, content string").parquet(*[f"{work}/rows/run={n}" for n in runs])
+    if rows is not None:
+        collisions(rows, seen, ledger, bits).write.mode("overwrite").parquet(f"{work}/split/run={runs[-1]}")
+    split = spark.read.schema("digest string").parquet(*[f"{work}/split/run={n}" for n in runs]).distinct()
+    slim, sizes = ledger.drop("content"), seen.select("digest", F.col("group_size").alias("n"))
+    if lasting:
+        slim = slim.join(docs.select(docs.metadataColumn("_metadata").getField("file_path").alias("locator")).distinct(), "locator", "left_semi")
     if split.isEmpty():
-        found = spread_join(slim, seen, "digest", "doc_id", sizes)
+        found = spread_join(slim, seen.drop("locator"), "digest", "doc_id", sizes)
     else:
-        alone = split.select("digest").distinct()
-        found = slim.join(alone, "digest", "left_anti").join(seen, "digest").unionByName(rows.drop("locator").join(split.drop("locator"), ["digest", "content"]).drop("content"))
+        apart = _named(groups(ledger.join(split, "digest", "left_semi"), "digest", "text_sha256"), "digest", "text_sha256").drop("locator")
+        found = slim.join(split, "digest", "left_anti").join(seen.drop("locator"), "digest").unionByName(slim.join(apart, ["digest", "text_sha256"]), allowMissingColumns=True)
     return found.select("doc_id", "keep_id", "group_size", F.equal_null("doc_id", "keep_id").alias("kept"), "text_sha256", *(["n_points", *keep] if keep else []))
 
 

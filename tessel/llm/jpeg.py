@@ -238,7 +238,7 @@ def decode_scans(images: list[Image]) -> list[np.ndarray]:
         sizes.append(np.minimum(per, n - per * np.arange(count)))
         owner.append(count)
     at, size = np.concatenate(starts).astype(np.int64) * 8, np.concatenate(sizes)
-    limit = 8 * (len(clean) - 5)
+    limit = 8 * (len(clean) - 8)  # no scan goes on in the spare bytes, and a step passes over less than four
 
     def peek(p: np.ndarray) -> np.ndarray:
         return window[p >> 3] << (p & 7).astype(np.uint32) >> np.uint32(16)
@@ -257,6 +257,8 @@ def decode_scans(images: list[Image]) -> list[np.ndarray]:
             extra = (peek(p) >> (np.uint32(16) - n)).astype(np.int32)
             difference = np.where(extra < (1 << n.astype(np.int32) >> 1), extra - (1 << n.astype(np.int32)) + 1, extra)
             p = p + n
+            if len(p) and p.max() > limit:
+                raise ValueError("the scan is too short")
             before[live, c] += difference
             values[live, step, b] = before[live, c]
             todo, k = np.arange(len(p)), np.ones(len(p), np.int32)
@@ -266,10 +268,10 @@ def decode_scans(images: list[Image]) -> list[np.ndarray]:
                     raise ValueError("no such code")
                 run, n = found >> 4 & 15, found & 15
                 p[todo] += (found >> 8) + n
+                if p[todo].max() > limit:
+                    raise ValueError("the scan is too short")
                 k[todo] += np.where(n > 0, run + 1, np.where(run == 15, 16, 64)).astype(np.int32)
                 todo = todo[k[todo] < 64]
-            if len(p) and p.max() > limit:
-                raise ValueError("the scan is too short")
         at[live] = p
     out, row = [], 0
     for n, count in zip(total, owner, strict=True):

@@ -43,6 +43,8 @@ def test_state_lasts_over_runs(spark):
     got = {(r["keep_id"], r["group_size"]) for r in exact_dedup.state(spark, f"{work}/out").collect()}
     assert got == {(9, 3), (6, 1), (1, 1)}
     assert spark.read.parquet(f"{work}/out").where("batch = 2").count() == 1
+    assert {(r["keep_id"], r["group_size"]) for r in exact_dedup.compacted(spark, f"{work}/out", f"{work}/state").collect()} == got
+    assert exact_dedup._numbers(spark, f"{work}/out", "batch") == [] and exact_dedup._numbers(spark, f"{work}/state", "upto") == [2]
 
 
 def test_reports_last_over_runs(spark):
@@ -54,7 +56,44 @@ def test_reports_last_over_runs(spark):
     spark.createDataFrame([(4, "z ")], "doc_id long, text string").coalesce(1).write.mode("append").parquet(f"{work}/in")
     got = exact_dedup.report(spark, f"{work}/in", bits=256, work=f"{work}/state")
     assert sorted(map(tuple, got.collect())) == brute([*rows, (4, "z ")])
-    assert 2 <= len(exact_dedup.state(spark, f"{work}/state/changed").select("locator").distinct().collect()) <= 4
+    assert 2 <= len(exact_dedup.state(spark, f"{work}/state/changed", f"{work}/state/state").select("locator").distinct().collect()) <= 4
+
+
+def seen_by(rows, own):
+    """The rows of ``own`` among groups over all ``rows``."""
+    want = brute(rows)
+    return sorted({r[0]: r for r in want}[i] for i, _ in own)
+
+
+@pytest.mark.parametrize("bits", [256, 4])
+def test_runs_over_several_folders_and_gone_files(spark, bits):
+    work, first, second = (scratch(spark, "t") for _ in range(3))
+    a = [(1, "aa"), (2, "b b"), (10, "only here")]
+    b = [(3, "aa"), (4, "c"), (5, "b  b")]
+    c = [(6, "a a"), (7, "c "), (8, "d")]
+    write = lambda rows, path: spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(path)
+    run = lambda path: sorted(map(tuple, exact_dedup.report(spark, path, bits, work=work).collect()))
+    write(a, first)
+    assert run(first) == brute(a)
+    write(b, second)  # another folder: earlier rows count
+    assert run(second) == seen_by(a + b, b)
+    assert run(first) == seen_by(a + b, a)
+    exact_dedup._remove(spark, first)  # the first folder's files are gone
+    write(c, second)
+    assert run(second) == seen_by(a + b + c, b + c)
+    assert len(exact_dedup._numbers(spark, f"{work}/state", "upto")) == 1 and exact_dedup._numbers(spark, f"{work}/changed", "batch") == []
+
+
+def test_a_later_run_reads_new_files_only(spark):
+    work, path = scratch(spark, "t"), scratch(spark, "t")
+    write = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(path)
+    write([(k, f"text {k}") for k in range(1000)])
+    exact_dedup.report(spark, path, work=work).count()
+    write([(2000, "text 5"), (2001, "new")])
+    got = exact_dedup.report(spark, path, work=work)
+    assert spark.read.parquet(f"{work}/rows/run=1").count() == 2  # what the second run read and wrote
+    assert {tuple(r)[:4] for r in got.where("group_size > 1").collect()} == {(5, 5, 2, True), (2000, 5, 2, False)}
+    assert got.count() == 1002
 
 
 def test_deduplicate(spark, odd, none, clashing):

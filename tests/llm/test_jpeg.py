@@ -119,3 +119,19 @@ def test_op3_odd(odd, none):
         assert (r["media_bytes"], r["media_sha256"]) == (len(stored[r["doc_id"]]), hashlib.sha256(stored[r["doc_id"]]).hexdigest())
     assert len({r["feature"] for r in rows if r["doc_id"] in (1, 2)}) == 1
     assert jpeg.from_media(jpeg.to_media(none)).count() == 0
+
+
+def test_steps_beyond_the_end_are_errors():
+    """An image whose coefficients would take more bits than there are, in each of its last bytes."""
+    media = jpeg.to_images([bytes(range(256)) * 9])[0]
+    for symbol in (1, 5, 10, 15, 255):
+        at = media.index(b"\xff\xc4")  # every table of codes, with its one AC symbol changed
+        while at >= 0:
+            size = int.from_bytes(media[at + 2 : at + 4], "big")
+            changed = bytearray(media)
+            changed[at + 1 + size] = symbol
+            thumbs, error = jpeg.read_each([bytes(changed)])[0]
+            assert (error is None) == bool(thumbs)
+            at = media.find(b"\xff\xc4", at + 2)
+    for end in range(1, 40):
+        jpeg.read_each([media[:-end]])

@@ -152,26 +152,36 @@ def read_rows(docs: DataFrame, hits: DataFrame, path: str, bits: int = 256, *kee
     return docs.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def originals(spark: SparkSession, places: DataFrame, rows: DataFrame, bits: int = 256) -> DataFrame:
-    """digest, original: the texts that the state locates for hits (digest, id, place), each once.
+def originals(spark: SparkSession, places: DataFrame, rows: DataFrame | None, bits: int = 256) -> DataFrame:
+    """digest, original: the texts of earlier runs that the state locates for hits (digest, id, place), each once.
 
-    They stand in ``rows`` (doc_id, digest, locator, content) or, for those that don't, are read from their
-    files, as far as those are there still. The list of these files is as long as they are many.
+    They stand in ``rows`` (digest, doc_id, locator, content), which none but the located ones leave, or are read from
+    their files, as far as those are there still. The list of these files is as long as they are many.
+    """
+    key, found = lambda *columns: F.xxhash64(*columns).alias("_key"), []
+    wanted = places.withColumn("_key", key("digest", "id", "place"))
+
+    def located(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+        few = likely(texts.where("content is not null").withColumn("_key", key("digest", "doc_id", "locator")), wanted, "_key").drop("_key")
+        same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("locator") == F.col("place"))
+        return few.join(wanted.drop("_key"), "digest").where(same).groupBy("digest").agg(F.first("content").alias("original"))
+
+    if rows is not None:
+        found.append(settle(located(rows.select("digest", "doc_id", "locator", "content"), wanted), "op5-held"))
+        wanted = wanted.join(found[0], "digest", "left_anti")
+    files = [f for f in (r["place"] for r in wanted.select("place").distinct().collect()) if _exists(spark, f)]
+    if files:
+        docs = spark.read.parquet(*files)
+        old = digests(docs, bits, docs.metadataColumn("_metadata").getField("file_path").alias("locator"))
+        found.append(located(old, wanted))
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "digest string, original string")
+
+
+def collisions(rows: DataFrame, seen: DataFrame, earlier: DataFrame | None, bits: int = 256) -> DataFrame:
+    """Digests that stand for different texts: full texts of (new) ``rows`` on hits are compared with those that the state locates.
+
+    ``earlier`` has the rows of earlier runs, if there were any.
     """
-    same = (F.col("doc_id").eqNullSafe(F.col("id"))) & (F.col("locator") == F.col("place"))
-    held = rows.where("content is not null").join(places, "digest").where(same).groupBy("digest").agg(F.first("content").alias("original"))
-    files = [r["place"] for r in places.join(held, "digest", "left_anti").select("place").distinct().collect()]
-    files = [f for f in files if _exists(spark, f)]
-    if not files:
-        return held
-    docs = spark.read.parquet(*files)
-    old = digests(docs, bits, docs.metadataColumn("_metadata").getField("file_path").alias("locator"))
-    found = likely(old, places.select("digest"), "digest").join(places.join(held, "digest", "left_anti"), "digest").where(same)
-    return held.unionByName(found.groupBy("digest").agg(F.first("content").alias("original")))
-
-
-def collisions(rows: DataFrame, seen: DataFrame, ledger: DataFrame, bits: int = 256) -> DataFrame:
-    """Digests that stand for different texts: new rows' full texts on hits are compared with those that the state locates."""
     spark = rows.sparkSession
     hits = seen.where("group_size > 1")
     total = seen.agg(F.sum("group_size")).first()[0] or 0
@@ -179,22 +189,28 @@ def collisions(rows: DataFrame, seen: DataFrame, ledger: DataFrame, bits: int =
     hot = F.broadcast(hits.where(F.col("group_size") >= least).select("digest"))
     new = rows.where("content is not null")
     # Hot rows meet nobody but the small list before they are summed; the others come to their digest.
-    once = lambda x: x.groupBy("digest", "content").agg(F.first("text_sha256").alias("sha"))
-    often = once(new.join(hot, "digest", "left_semi"))
+    often = groups(new.join(hot, "digest", "left_semi"), "digest", "content")
     others = hits.where(F.col("group_size") < least).select("digest").hint("merge")
-    seldom = once(new.join(hot, "digest", "left_anti").join(others, "digest", "left_semi"))
-    texts = settle(often.unionByName(seldom), "op5-hits")
-    places = settle(hits.join(texts.select("digest").distinct(), "digest").select("digest", F.col("keep_id").alias("id"), F.col("locator").alias("place")), "op5-places")
-    known = settle(originals(spark, places, ledger, bits), "op5-originals")
+    seldom = groups(new.join(hot, "digest", "left_anti").join(others, "digest", "left_semi"), "digest", "content")
+    texts = settle(_named(often.unionByName(seldom), "digest", "content"), "op5-hits")
+    places = hits.join(texts.select("digest").distinct(), "digest").select("digest", F.col("keep_id").alias("id"), F.col("locator").alias("place"))
+    own = texts.join(places, "digest").where(F.col("keep_id").eqNullSafe(F.col("id")) & (F.col("locator") == F.col("place"))).select("digest", F.col("content").alias("original"))
+    if earlier is None:  # whatever is located came in this run
+        known = own
+    else:
+        away = settle(places.join(own.select("digest"), "digest", "left_anti"), "op5-away")
+        known = settle(own.unionByName(originals(spark, away, earlier, bits)), "op5-originals")
     compared = texts.join(known, "digest")
-    if not compared.where((F.col("content") != F.col("original")) & (F.col("sha") == F.sha2("original", 256))).isEmpty():
+    if not compared.where((F.col("content") != F.col("original")) & (F.sha2("content", 256) == F.sha2("original", 256))).isEmpty():
         raise ValueError("two different texts have one SHA-256")
     unlike = compared.where(F.col("content") != F.col("original")).select("digest")
-    # With no located text at hand, or more than one text of a digest, their SHA-256 tells.
-    several = texts.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
+    if earlier is None:
+        return unlike.distinct()
+    # With no located text at hand SHA-256 tells texts apart.
     lost = places.join(known, "digest", "left_anti").select("digest")
-    mixed = ledger.join(lost, "digest", "left_semi").groupBy("digest").agg(F.min("text_sha256").alias("a"), F.max("text_sha256").alias("b")).where("a <> b").select("digest")
-    return unlike.unionByName(several).unionByName(mixed).distinct()
+    both = rows.select("digest", "text_sha256").unionByName(earlier.select("digest", "text_sha256"))
+    mixed = both.join(lost, "digest", "left_semi").groupBy("digest").agg(F.min("text_sha256").alias("a"), F.max("text_sha256").alias("b")).where("a <> b").select("digest")
+    return unlike.unionByName(mixed).distinct()
 
 
 def report(spark: SparkSession, path: str, bits: int = 256, files_a_batch: int = 1000, keep: tuple[str, ...] = (), work: str | None = None) -> DataFrame:
@@ -219,13 +235,14 @@ def report(spark: SparkSession, path: str, bits: int = 256, files_a_batch: int =
         fresh = spark.read.schema(docs.schema).parquet(*files) if files else None
     rows = None
     if fresh is not None and not fresh.isEmpty():
+        earlier = spark.read.schema(f"{_LEDGER}, content string").parquet(*[f"{work}/rows/run={n}" for n in runs]) if runs else None
         runs = [*runs, len(runs)]
         rows = read_rows(fresh, seen.where("group_size > 1"), f"{work}/rows/run={runs[-1]}", bits, *keep)
     if not runs:
         return docs.select(F.col("doc_id").cast("long"), F.lit(None).cast("long").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lit("").alias("text_sha256"), *([F.lit(0).cast("long").alias("n_points"), *keep] if keep else [])).where("false")
     ledger = rows if runs == [0] and rows is not None else spark.read.schema(f"{_LEDGER}, content string").parquet(*[f"{work}/rows/run={n}" for n in runs])
     if rows is not None:
-        collisions(rows, seen, ledger, bits).write.mode("overwrite").parquet(f"{work}/split/run={runs[-1]}")
+        collisions(rows, seen, earlier, bits).write.mode("overwrite").parquet(f"{work}/split/run={runs[-1]}")
     split = spark.read.schema("digest string").parquet(*[f"{work}/split/run={n}" for n in runs]).distinct()
     slim, sizes = ledger.drop("content"), seen.select("digest", F.col("group_size").alias("n"))
     if lasting:

@@ -32,6 +32,7 @@ doc_id and text are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +45,7 @@ from tessel.llm.near_dedup import components, hub_pairs
 from tessel.llm.shingles import SOLID, digests, mix, shingles, words
 
 WIDTH, PERCENT, ORDERS = 3, 90, 3
-SLOTS, CHUNKS = 1 << 20, 64
+SLOTS, CHUNKS = 1 << 22, 256
 
 
 def _sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,9 +54,11 @@ def _sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def crowding(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
-    """For each slot of shingle names how crowded it is: 0, or the bits by which its count exceeds twice the mean.
+    """For each slot of shingle names how crowded it is: 0 up to what chance brings together, then a number that grows with the bits of the excess.
 
-    Tasks send the counts of all slots, in ``CHUNKS`` parts that are summed one by one; the driver gets a byte a slot.
+    Most shingles are rare, so a slot's count without common ones is nearly the median, within
+    some roots of it. Tasks send the counts of all slots, packed, in ``CHUNKS`` parts that are summed one
+    by one; the driver gets the sums and keeps a byte a slot.
     """
     size = SLOTS // CHUNKS
 
@@ -64,25 +67,25 @@ def crowding(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
         for batch in batches:
             for part in portions(batch):
                 name = (_sets(part.column("text"), width)[1] >> np.uint64(32)).astype(np.int64)
-                total += np.bincount(name % SLOTS, minlength=SLOTS)
+                np.add.at(total, name % SLOTS, 1)
         if total.any():
-            wide = np.uint16 if total.max() < 1 << 16 else np.int64
-            yield pa.RecordBatch.from_pydict({"chunk": range(CHUNKS), "counts": [total[k * size : (k + 1) * size].astype(wide).tobytes() for k in range(CHUNKS)]})
+            yield pa.RecordBatch.from_pydict({"chunk": range(CHUNKS), "counts": [zlib.compress(total[k * size : (k + 1) * size].tobytes(), 1) for k in range(CHUNKS)]})
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                sums[chunk] = sums.get(chunk, 0) + np.frombuffer(counts, np.uint16 if len(counts) == 2 * size else np.int64).astype(np.int64)
+            for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts"), strict=True):
+                sums[chunk] = sums.get(chunk, 0) + np.frombuffer(zlib.decompress(counts.as_buffer()), np.int64)
         if sums:
-            yield pa.RecordBatch.from_pydict({"chunk": list(sums), "counts": [x.tobytes() for x in sums.values()]})
+            yield pa.RecordBatch.from_pydict({"chunk": list(sums), "counts": [zlib.compress(x.tobytes(), 1) for x in sums.values()]})
 
     summed = texts(docs).mapInArrow(count, "chunk long, counts binary").repartition(CHUNKS, "chunk").mapInArrow(merge, "chunk long, counts binary")
     total = np.zeros(SLOTS, np.int64)
-    for row in summed.collect():  # 64 rows of fixed size
-        total[row["chunk"] * size : (row["chunk"] + 1) * size] = np.frombuffer(row["counts"], np.int64)
-    over = total // max(2, 2 * int(total.sum()) // SLOTS)
-    return np.frexp(over)[1].astype(np.uint8)
+    for row in summed.toLocalIterator():  # CHUNKS rows of bounded size
+        total[row["chunk"] * size : (row["chunk"] + 1) * size] = np.frombuffer(zlib.decompress(row["counts"]), np.int64)
+    usual = float(np.median(total))
+    spread = usual**0.5 + 1
+    return np.frexp(np.maximum(total - usual - 3 * spread, 0) / spread)[1].clip(0).astype(np.uint8)
 
 
 def prefixes(text: np.ndarray, item: np.ndarray, n_texts: int, crowded: np.ndarray, orders: int = ORDERS, percent: int = PERCENT) -> list[tuple[np.ndarray, np.ndarray]]:

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import gzip
 import io
 import zipfile
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.functions import text as text_
 from tessel.functions import vectors
-from tessel.operators import artifacts, chunking, events, glossary, search, store, textfiles, usage
-from tessel.sources.files import table
+from tessel.operators import artifacts, chunking, events, glossary, search, store, textfiles, tools, usage
+from tessel.sources.files import resolved_settings, resources, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -600,3 +602,156 @@ def read_source(spark, sf_dir):
     wanted = wanted.unionByName(spark.createDataFrame([("pkg.None", "read_source"), ("pkg.D1", "run")], "class_name string, command string"))
     rows = artifacts.read_classes(wanted.withColumns({"start_line": F.lit(2), "end_line": F.lit(4)}), _archives(spark, sf_dir))
     return rows.select("class_name", "command", "status", "path", "size", "modified", "method", F.md5(F.col("text").cast("binary")).alias("text"), "lines_read", "truncated")
+
+
+@query("""
+WITH h AS (SELECT conv_id, turn, role, text, turn % 3 AS k, (turn // 3)::VARCHAR AS call_id FROM conversations),
+m AS (SELECT conv_id, count(*) AS n, string_agg(role || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS history, arg_max(text, turn) FILTER (role = 'assistant') AS last_answer FROM h WHERE k = 0 GROUP BY conv_id),
+c AS (SELECT a.conv_id, string_agg(a.call_id || '=' || md5(a.text) || '>' || coalesce(md5(b.text), ''), ',' ORDER BY a.turn) AS calls, count(*) AS n_calls FROM h a LEFT JOIN h b ON b.conv_id = a.conv_id AND b.call_id = a.call_id AND b.k = 2 WHERE a.k = 1 GROUP BY a.conv_id)
+SELECT conv_id, coalesce(n, 0)::INTEGER AS n_turns, md5(coalesce(history, '')) AS history, last_answer, coalesce(n_calls, 0)::INTEGER AS n_calls, md5(coalesce(calls, '')) AS calls FROM m FULL JOIN c USING (conv_id)""")
+def conversation_sessions(spark, sf_dir):
+    """Conversations whose turns hold tool calls and their outputs too."""
+    k = F.col("turn") % 3
+    kind = F.when(k == 1, "function_call").when(k == 2, "function_call_output").otherwise("message")
+    items = table(spark, sf_dir, "conversations").withColumns({"type": kind, "call_id": F.floor(F.col("turn") / 3).cast("string")})
+    rows = events.sessions(items)
+    pair = lambda x: F.concat(x["call_id"], F.lit("="), F.md5(x["call"].cast("binary")), F.lit(">"), F.coalesce(F.md5(x["output"].cast("binary")), F.lit("")))
+    return rows.select("conv_id", "n_turns", F.md5(F.col("history").cast("binary")).alias("history"), "last_answer", F.size("calls").alias("n_calls"), F.md5(F.array_join(F.transform("calls", pair), ",").cast("binary")).alias("calls"))
+
+
+@query("""
+WITH c AS (SELECT event_type AS name, event_id AS seq, CASE WHEN event_id % 11 = 0 THEN 'register' WHEN event_id % 11 < 4 THEN 'on' WHEN event_id % 11 < 7 THEN 'off' ELSE 'toggle' END AS action, user_id % 2 = 0 AS active FROM events),
+t AS (SELECT *, coalesce(sum((action = 'toggle')::INTEGER) OVER w, 0) AS flips, max(seq) FILTER (action = 'register') OVER w AS known FROM c WINDOW w AS (PARTITION BY name ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s AS (SELECT *, CASE action WHEN 'on' THEN 1 WHEN 'off' THEN 0 WHEN 'register' THEN active::INTEGER END AS wanted FROM t),
+l AS (SELECT *, coalesce((last_value((wanted + flips) % 2 IGNORE NULLS) OVER (PARTITION BY name ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + flips) % 2, 0) = 1 AS was FROM s),
+n AS (SELECT *, CASE action WHEN 'toggle' THEN NOT was ELSE wanted = 1 END AS now FROM l)
+SELECT name, seq, CASE WHEN now THEN 'activated' ELSE 'deactivated' END AS change FROM n WHERE CASE WHEN action = 'register' THEN now WHEN known IS NULL THEN false ELSE now <> was END""")
+def registry_transitions(spark, sf_dir):
+    """Where tools really go on or off under a feed of changes."""
+    k = F.col("event_id") % 11
+    action = F.when(k == 0, "register").when(k < 4, "on").when(k < 7, "off").otherwise("toggle")
+    return events.transitions(table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), F.col("event_id").alias("seq"), action.alias("action"), (F.col("user_id") % 2 == 0).alias("active")))
+
+
+@query("""
+WITH s AS (SELECT 0 AS source, p_name AS key, 'a' || min(p_partkey) AS value FROM part WHERE p_size % 5 = 0 GROUP BY p_name UNION ALL SELECT 0, p_brand, 'b' || min(p_partkey) FROM part WHERE p_size = 7 GROUP BY p_brand UNION ALL SELECT 1, p_brand, 'c' || min(p_partkey) FROM part WHERE p_size % 2 = 0 GROUP BY p_brand),
+w AS (SELECT p_partkey, unnest([p_brand, p_name]) AS key, unnest([0, 1]) AS place FROM part),
+f AS (SELECT p_partkey, min({'source': source, 'place': place, 'value': value}) AS s FROM w JOIN s USING (key) GROUP BY p_partkey)
+SELECT p_partkey AS name, coalesce(s.value, 'd' || p_size) AS value, s.source AS source FROM part LEFT JOIN f USING (p_partkey)""")
+def settings_resolved(spark, sf_dir):
+    """Settings by several names from two sources, else a fallback."""
+    part = table(spark, sf_dir, "part")
+    found = lambda source, rows, key, mark: rows.groupBy(F.col(key).alias("key")).agg(F.concat(F.lit(mark), F.min("p_partkey").cast("string")).alias("value")).select(F.lit(source).alias("source"), "key", "value")
+    settings = found(0, part.where("p_size % 5 = 0"), "p_name", "a").unionByName(found(0, part.where("p_size = 7"), "p_brand", "b")).unionByName(found(1, part.where("p_size % 2 = 0"), "p_brand", "c"))
+    wanted = part.select(F.col("p_partkey").alias("name"), F.array("p_brand", "p_name").alias("keys"), F.concat(F.lit("d"), F.col("p_size").cast("string")).alias("fallback"))
+    return resolved_settings(wanted, settings)
+
+
+@query("""
+SELECT 'r/' || doc_id || '.txt' AS resource, doc_id % 3 = 0 AS is_gzipped, md5(coalesce(text, '') || CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'plain' END) AS digest FROM documents WHERE doc_id % 3 = 0 OR doc_id % 2 = 0""")
+def gzip_resources(spark, sf_dir):
+    """Resources as plain and packed files; the packed form of one is preferred, and unpacked."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows += [(f"r/{doc_id}.txt", (text + "plain").encode())] if doc_id % 2 == 0 else []
+                rows += [(f"r/{doc_id}.txt.gz", gzip.compress(text.encode(), 1))] if doc_id % 3 == 0 else []
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["path", "content"])
+
+    files = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "path string, content binary")
+    return resources(files).select("resource", "is_gzipped", F.md5("content").alias("digest"))
+
+
+@query("""
+WITH j AS (SELECT *, CASE WHEN p_partkey % 5 = 0 THEN '/lib/' ELSE 'm' END AS kind FROM part WHERE p_size > 20),
+b AS (SELECT 'pkg.' || replace(p_name, ' ', '_') AS class_name, arg_min({'k': p_partkey, 'n': p_name, 't': p_type, 's': p_size}, (p_partkey % 3, p_partkey)) AS b FROM j GROUP BY 1)
+SELECT class_name, CASE WHEN b.k % 5 <> 0 THEN 'org.' || lower(b.t) END AS group_id, CASE WHEN b.k % 5 <> 0 THEN replace(b.n, ' ', '-') END AS artifact_id, CASE WHEN b.k % 5 <> 0 OR b.k % 2 = 0 THEN b.s || '.' || (b.k % 4) ELSE 'unknown' END AS version FROM b""")
+def class_artifacts(spark, sf_dir):
+    """The artifact of the first archive that has a class."""
+    part = _jars(spark, sf_dir).join(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey")
+    rows = part.select(F.concat(F.lit("pkg."), F.replace("p_name", F.lit(" "), F.lit("_"))).alias("class_name"), (F.col("p_partkey") % 3).alias("tier"), F.col("p_partkey").alias("ordinal"), "path", "p_size")
+    found = artifacts.resolve(rows.select("class_name").distinct(), rows.where("p_size > 20").drop("p_size"))
+    return artifacts.artifact_of(found, "/home/u/repository")
+
+
+@query("""
+WITH r AS (SELECT *, regexp_replace(lower(p_name), '[ _-]', '', 'g') AS key, p_partkey % 7 = 0 AS refers FROM part),
+g AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY p_partkey) AS n FROM r) WHERE n = 1),
+w AS (SELECT r.p_partkey AS pos, CASE WHEN g.refers THEN 'redwidget' ELSE g.key END AS key FROM r JOIN g USING (key))
+SELECT min(pos)::INTEGER AS pos, key, any_value(p_name) AS term, any_value(p_type || chr(10) || '## ' || p_size) AS description FROM w JOIN (SELECT key, p_name, p_type, p_size FROM g WHERE NOT refers) USING (key) GROUP BY key""")
+def glossary_redirects(spark, sf_dir):
+    """All names looked up; a term that refers to another one leads there."""
+    words = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("pos"), F.concat(F.lit('"'), F.upper("p_name"), F.lit('"')).alias("word"))
+    return glossary.look_up(_glossary(spark, sf_dir, resolve_references=True), words)
+
+
+@query("""
+WITH l AS (SELECT doc_id, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS lines FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '\r\n|\r|\n') AS l FROM documents))
+SELECT 'pkg.D' || doc_id AS class_name, CASE doc_id % 2 WHEN 0 THEN 'success' ELSE 'error' END AS status, CASE WHEN doc_id % 2 = 0 THEN md5('--- File: pkg/D' || doc_id || '.java ---' || chr(10) || 'Lines 1-' || least(1000, len(lines)) || ' of ' || len(lines) || chr(10) || chr(10) || coalesce(array_to_string(lines[1:1000], chr(10)), '')) END AS text, CASE WHEN doc_id % 2 = 0 THEN len(lines)::INTEGER END AS total_lines FROM l WHERE doc_id % 2 = 1 OR doc_id % 6 = 0""")
+def read_structure(spark, sf_dir):
+    """The structure of classes: from sources on the class path; classes without sources have an error."""
+    ids = table(spark, sf_dir, "documents").select("doc_id").where("doc_id % 2 = 1 OR doc_id % 6 = 0")
+    wanted = ids.select(F.concat(F.lit("pkg.D"), F.col("doc_id").cast("string")).alias("class_name"), F.lit("read_class_structure").alias("command"), F.lit(None).cast("int").alias("start_line"), F.lit(None).cast("int").alias("end_line"))
+    # Structures are looked for in archives of the class path first, so sources lie there too.
+    archives = _archives(spark, sf_dir).withColumn("path", F.replace("path", F.lit("-sources"), F.lit("")))
+    rows = artifacts.read_classes(wanted, archives)
+    return rows.select("class_name", "status", F.md5(F.col("text").cast("binary")).alias("text"), "total_lines")
+
+
+@query("""
+SELECT doc_id, length(coalesce(text, '')) - length(replace(coalesce(text, ''), ' ', '')) + 1 AS n_tokens, length(coalesce(text, ''))::DOUBLE AS v0, (length(coalesce(text, '')) - length(replace(coalesce(text, ''), 'e', '')))::DOUBLE AS v1 FROM documents""")
+def embed_texts(spark, sf_dir):
+    """Texts embedded by an embedder of lists of texts, which counts."""
+
+    def embedder(texts):
+        return [t.count(" ") + 1 for t in texts], np.array([[len(t), t.count("e")] for t in texts], np.float32)
+
+    rows = chunking.embed_with(table(spark, sf_dir, "documents").select("doc_id", "text"), embedder, text="text")
+    return rows.select("doc_id", "n_tokens", *[F.element_at("embedding", k + 1).cast("double").alias(f"v{k}") for k in (0, 1)])
+
+
+def _tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A call of a tool for each document: lines, an edit, a look-up, a search for files; some of them can't work."""
+    docs, k, path = table(spark, sf_dir, "documents"), F.col("doc_id") % 4, F.concat(F.lit("d/"), F.col("doc_id").cast("string"))
+    name = F.when(k == 0, "get_file_text_by_path").when(k == 1, "edit_file").when(k == 2, "glossary-tool").otherwise("find_files_by_glob")
+    odd = F.col("doc_id") % 8 > 3
+    arguments = (
+        F.when(k == 0, F.to_json(F.struct(F.when(odd, F.lit("none")).otherwise(path).alias("pathInProject"), F.lit(2).alias("start_line"), F.lit(3).alias("end_line"))))
+        .when(k == 1, F.to_json(F.struct(path.alias("pathInProject"), F.lit("the").alias("oldString"), F.lit("<THE>").alias("newString"), odd.alias("replaceAll"))))
+        .when(k == 2, F.when(odd, '{"words":["zz"]}').otherwise('{"words":["blue bolt","zz","Red_Widget"]}'))
+        .otherwise(F.when(odd, "{}").otherwise(F.lit(r'{"globPattern":"**/*[0-9]{.html,?}","excludeRegex":"www\\.[^/]*|m\\.[^/]*|[^/]*/fr","fileCountLimit":3}')))
+    )
+    calls = docs.select(F.col("doc_id").alias("call_id"), name.alias("name"), arguments.alias("arguments"))
+    return tools.run_calls(calls, {"files": _paths(spark, sf_dir), "texts": docs.select(path.alias("path"), "text"), "glossary": _glossary(spark, sf_dir)})
+
+
+_TOOLS_SQL = (
+    _GLOSSARY_SQL
+    + f""", d AS (SELECT doc_id, doc_id % 8 > 3 AS odd, coalesce(text, '') AS text FROM documents),
+l AS (SELECT doc_id, odd, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS l FROM (SELECT *, string_split_regex(text, '\\r\\n|\\r|\\n') AS l FROM d WHERE doc_id % 4 = 0)),
+e AS (SELECT doc_id, text, odd, CASE WHEN odd THEN (length(text) - length(replace(text, 'the', ''))) // 3 ELSE contains(text, 'the')::INTEGER END AS n, CASE WHEN odd THEN replace(text, 'the', '<THE>') ELSE left(text, strpos(text, 'the') - 1) || '<THE>' || substr(text, strpos(text, 'the') + 3) END AS new FROM d WHERE doc_id % 4 = 1),
+f AS (SELECT list(path ORDER BY path, size)[1:3] AS f FROM (SELECT {_PATH_SQL} AS path, length(html) AS size FROM pages)
+  WHERE regexp_full_match(path, '(?s).*/[^/]*[0-9](?:\\.html|[^/])') AND NOT regexp_matches(path, '^(?:www\\.[^/]*|m\\.[^/]*)(?:/|$)') AND NOT regexp_full_match(path, '[^/]*/fr(?:/.*)?')),
+w AS (SELECT string_agg('# ' || term || chr(10) || description, chr(10) || chr(10) ORDER BY CASE key WHEN 'bluebolt' THEN 0 ELSE 2 END) AS t FROM g WHERE key IN ('bluebolt', 'redwidget')),
+r AS (SELECT doc_id AS call_id, 'get_file_text_by_path' AS name, NOT odd AS ok, CASE WHEN NOT odd THEN coalesce(array_to_string(l[2:3], chr(10)), '') END AS t, CASE WHEN odd THEN 'no such file' END AS error FROM l
+  UNION ALL SELECT doc_id, 'edit_file', n > 0, CASE WHEN n > 0 THEN n || ':' || new END, CASE WHEN n = 0 THEN 'no such text in the file' END FROM e
+  UNION ALL SELECT doc_id, 'glossary-tool', NOT odd AND t IS NOT NULL, CASE WHEN NOT odd THEN t END, CASE WHEN odd OR t IS NULL THEN 'no term was found' END FROM d, w WHERE doc_id % 4 = 2
+  UNION ALL SELECT doc_id, 'find_files_by_glob', NOT odd, CASE WHEN NOT odd THEN coalesce(array_to_string(f, ','), '') END, CASE WHEN odd THEN 'missing argument: globPattern' END FROM d, f WHERE doc_id % 4 = 3)"""
+)
+
+
+@query(_TOOLS_SQL + "SELECT call_id, name, ok, md5(t) AS result, error FROM r")
+def tool_calls(spark, sf_dir):
+    """Calls of several tools in one table, run in one plan."""
+    rows, field = _tool_calls(spark, sf_dir), lambda name: F.get_json_object("result", f"$.{name}")
+    files = F.array_join(F.transform(F.from_json(field("files"), "array<struct<path string>>"), lambda x: x["path"]), ",")
+    text = F.when(F.col("name") == "find_files_by_glob", files).when(F.col("name") == "edit_file", F.concat_ws(":", field("replacements"), field("text"))).otherwise(field("text"))
+    return rows.select("call_id", "name", "ok", F.when(F.col("ok"), F.md5(text.cast("binary"))).alias("result"), "error")
+
+
+@query(_TOOLS_SQL + "SELECT name, count(*) AS call_count, count(*) FILTER (ok) AS calls_ok, true AS is_active FROM r GROUP BY name ORDER BY name")
+def tool_outcomes(spark, sf_dir):
+    """Counters of each tool from what its calls came to."""
+    return events.tool_table(_tool_calls(spark, sf_dir))

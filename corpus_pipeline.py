@@ -10,6 +10,13 @@ stage's table is written, those that it came from are removed.
 3. near_dedup: of each group of near duplicates the smallest doc_id stays.
 4. pii: personal data, and terms that disclose it, are generalised or removed in the text.
 5. packing: best-fit packing into sequences of 4096 tokens.
+
+Defined cases: a null text counts as empty throughout, and so may be judged, deduplicated and packed
+(as its end id); without any usable label each text scores alike, as ``quality`` states; of rows that are equal in
+text one stays, with or without a doc_id, and so does one of several rows under one doc_id whose
+texts are near each other, while different texts under one doc_id are texts of their own; texts of any
+length pass whole; an empty table gives an empty one; other columns go along to the last stage
+under whatever names, which drops them.
 """
 
 from __future__ import annotations

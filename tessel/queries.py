@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import uuid
 import zipfile
 from collections.abc import Callable
 
@@ -11,11 +12,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessel.functions import text as text_
 from tessel.functions import vectors
 from tessel.operators import artifacts, chunking, events, glossary, search, store, textfiles, tools, usage
+from tessel.session import shared_folder
 from tessel.sources.files import resolved_settings, resources, table
+from tessel.streaming import drained, log, sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -611,10 +615,16 @@ c AS (SELECT a.conv_id, string_agg(a.call_id || '=' || md5(a.text) || '>' || coa
 SELECT conv_id, coalesce(n, 0)::INTEGER AS n_turns, md5(coalesce(history, '')) AS history, last_answer, coalesce(n_calls, 0)::INTEGER AS n_calls, md5(coalesce(calls, '')) AS calls FROM m FULL JOIN c USING (conv_id)""")
 def conversation_sessions(spark, sf_dir):
     """Conversations whose turns hold tool calls and their outputs too."""
+    return _session_digests(events.sessions(_items(spark, sf_dir)))
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("turn") % 3
     kind = F.when(k == 1, "function_call").when(k == 2, "function_call_output").otherwise("message")
-    items = table(spark, sf_dir, "conversations").withColumns({"type": kind, "call_id": F.floor(F.col("turn") / 3).cast("string")})
-    rows = events.sessions(items)
+    return table(spark, sf_dir, "conversations").withColumns({"type": kind, "call_id": F.floor(F.col("turn") / 3).cast("string")})
+
+
+def _session_digests(rows: DataFrame) -> DataFrame:
     pair = lambda x: F.concat(x["call_id"], F.lit("="), F.md5(x["call"].cast("binary")), F.lit(">"), F.coalesce(F.md5(x["output"].cast("binary")), F.lit("")))
     return rows.select("conv_id", "n_turns", F.md5(F.col("history").cast("binary")).alias("history"), "last_answer", F.size("calls").alias("n_calls"), F.md5(F.array_join(F.transform("calls", pair), ",").cast("binary")).alias("calls"))
 
@@ -628,9 +638,13 @@ n AS (SELECT *, CASE action WHEN 'toggle' THEN NOT was ELSE wanted = 1 END AS no
 SELECT name, seq, CASE WHEN now THEN 'activated' ELSE 'deactivated' END AS change FROM n WHERE CASE WHEN action = 'register' THEN now WHEN known IS NULL THEN false ELSE now <> was END""")
 def registry_transitions(spark, sf_dir):
     """Where tools really go on or off under a feed of changes."""
+    return events.transitions(_changes(spark, sf_dir))
+
+
+def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id") % 11
     action = F.when(k == 0, "register").when(k < 4, "on").when(k < 7, "off").otherwise("toggle")
-    return events.transitions(table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), F.col("event_id").alias("seq"), action.alias("action"), (F.col("user_id") % 2 == 0).alias("active")))
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), F.col("event_id").alias("seq"), action.alias("action"), (F.col("user_id") % 2 == 0).alias("active"))
 
 
 @query("""
@@ -755,3 +769,37 @@ def tool_calls(spark, sf_dir):
 def tool_outcomes(spark, sf_dir):
     """Counters of each tool from what its calls came to."""
     return events.tool_table(_tool_calls(spark, sf_dir))
+
+
+def _fed(rows: DataFrame, order: str, name: str, parts: int = 3) -> tuple[DataFrame, str]:
+    """``rows`` as a stream, whose micro-batches take them in order of a number, and a folder for what comes of it."""
+    spark, folder = rows.sparkSession, f"{shared_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    last = rows.agg(F.max(order)).first()[0] or 0
+    for part in range(parts):
+        rows.where(F.floor(F.col(order) * parts / (last + 1)) == part).write.mode("append").parquet(f"{folder}/in/part={part}")
+    return spark.readStream.schema(T.StructType([*rows.schema.fields, T.StructField("part", T.IntegerType())])).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in").drop("part"), folder
+
+
+@query(ORACLES["conversation_sessions"])
+def stream_sessions(spark, sf_dir):
+    """The same from a stream with keyed state: what the last batch that touches a conversation gives."""
+    stream, folder = _fed(_items(spark, sf_dir), "turn", "sessions")
+    rows = drained(sessions.sessions(stream), folder, "update")
+    fields = [c for c in rows.columns if c not in ("conv_id", "batch")]
+    return _session_digests(rows.groupBy("conv_id").agg(F.max_by(F.struct(*fields), "batch").alias("s")).select("conv_id", "s.*"))
+
+
+@query(ORACLES["registry_transitions"])
+def stream_transitions(spark, sf_dir):
+    """The same from a stream of changes that come in order."""
+    stream, folder = _fed(_changes(spark, sf_dir).repartitionByRange(1, "seq"), "seq", "transitions")
+    return drained(sessions.transitions(stream), folder).drop("batch")
+
+
+@query(_CALLS_SQL + "SELECT count(*) AS n_calls, sum(p)::BIGINT AS prompt_tokens, sum(g)::BIGINT AS completion_tokens, sum(p + g)::BIGINT AS total_tokens, count(*) AS n_lines FROM c")
+def stream_log(spark, sf_dir):
+    """Totals and lines of a usage log that a stream of calls was written to."""
+    stream, folder = _fed(usage.rates(_calls(spark, sf_dir)), "event_id", "log")
+    log.start_log(stream, f"{folder}/log", availableNow=True).awaitTermination()
+    lines = log.read_log(spark, f"{folder}/log").agg(F.count(F.lit(1)).alias("n_lines"))
+    return log.log_totals(spark, f"{folder}/log").join(lines, F.lit(True))  # a row each

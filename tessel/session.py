@@ -21,14 +21,17 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
     )
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder that driver and executors share (``spark.checkpoint.dir``), where its lineage ends.
-
-    Only in local mode a folder is made where the session names none.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``); in local mode one is made where the session names none."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         if not re.match(r"local(\[|$)", context.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tessel-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, where its lineage ends."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -8,6 +8,7 @@ from contextlib import contextmanager
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessel.operators.events import payload_of
@@ -33,6 +34,19 @@ def rocksdb(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def drained(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """All that a stream gives until its input is used up, with the number of its ``batch``; a later call goes on from there.
+
+    Each batch is written below ``folder`` under its number, beside the checkpoint, so one that runs twice leaves the same rows.
+    """
+    spark, schema = stream.sparkSession, stream.schema
+    write = lambda rows, batch: rows.write.mode("overwrite").parquet(f"{folder}/out/batch={batch}")
+    with rocksdb(spark):
+        query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.IntegerType())])).option("basePath", f"{folder}/out").parquet(f"{folder}/out")
+
+
 def running_totals(calls: DataFrame) -> DataFrame:
     """Totals over a stream of calls (for output mode complete); summed in each task first."""
     return calls.groupBy().agg(F.count(F.lit(1)).alias("n_calls"), *[F.sum(c).alias(c) for c in ("prompt_tokens", "completion_tokens", "total_tokens")])

@@ -19,9 +19,8 @@ pairs of a large group, this goes in three steps:
 3. Any two texts that are still in different components and share a prefix shingle early enough
    for the rest to suffice. Per shingle only rows outside its commonest component start pairs.
 
-After step 3 every two linked texts are in one component. A cut to 32 bits of a shingle's name for
-prefixes can only let more pairs through: equal names stay equal, and a set loses no more of them
-than what it has in common with another one.
+After step 3 every two linked texts are in one component. Prefix shingles meet by their 64-bit names,
+as shorter ones would meet by chance in numbers that grow with the square of the corpus.
 
 Defined cases: texts of one or two words have one shingle of them all; a text without words (or a
 null) has none and is alone; equal texts of words are linked; repeated rows are documents of their
@@ -66,8 +65,7 @@ def crowding(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
         total = np.zeros(SLOTS, np.int64)
         for batch in batches:
             for part in portions(batch):
-                name = (_sets(part.column("text"), width)[1] >> np.uint64(32)).astype(np.int64)
-                np.add.at(total, name % SLOTS, 1)
+                np.add.at(total, _slot(_sets(part.column("text"), width)[1]), 1)
         if total.any():
             yield pa.RecordBatch.from_pydict({"chunk": range(CHUNKS), "counts": [zlib.compress(total[k * size : (k + 1) * size].tobytes(), 1) for k in range(CHUNKS)]})
 
@@ -88,23 +86,20 @@ def crowding(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
     return np.frexp(np.maximum(total - usual - 3 * spread, 0) / spread)[1].clip(0).astype(np.uint8)
 
 
-def prefixes(text: np.ndarray, item: np.ndarray, n_texts: int, crowded: np.ndarray, orders: int = ORDERS, percent: int = PERCENT) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each order the 32-bit names in the prefix of each text, in order, and how many each text has."""
+def _slot(item: np.ndarray) -> np.ndarray:
+    return (item >> np.uint64(32)).astype(np.int64) % SLOTS
+
+
+def prefixes(text: np.ndarray, item: np.ndarray, n_texts: int, crowded: np.ndarray, orders: int = ORDERS, percent: int = PERCENT) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each order the names in the prefix of each text, in order; and how many each text has."""
     n = np.bincount(text, minlength=n_texts)
-    name = (item >> np.uint64(32)).astype(np.uint32)
-    once = np.ones(len(name), bool)
-    once[1:] = (name[1:] != name[:-1]) | (text[1:] != text[:-1])
-    text, name = text[once].astype(np.uint16), name[once]
-    length = n - (n * percent + 99) // 100 + 1
-    rank = np.arange(len(name)) - (np.cumsum(np.bincount(text, minlength=n_texts)) - np.bincount(text, minlength=n_texts))[text]
-    early = rank < length[text]
-    slot = crowded[name % np.uint32(SLOTS)].astype(np.uint64) << np.uint64(56)
-    out = []
+    length = np.where(n > 0, n - (n * percent + 99) // 100 + 1, 0)
+    early = np.arange(len(item)) - (np.cumsum(n) - n)[text] < length[text]
+    slot, short, out = crowded[_slot(item)].astype(np.uint64) << np.uint64(56), text.astype(np.uint16), []
     for k in range(orders):
-        order = np.argsort(slot | mix(name.astype(np.uint64) + np.uint64(k + 1 << 33)) >> np.uint64(8))
-        order = order[np.argsort(text[order], kind="stable")][early]
-        out.append((name[order], np.bincount(text[early], minlength=n_texts)))
-    return out
+        order = np.argsort(slot | mix(item + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(8))
+        out.append(item[order[np.argsort(short[order], kind="stable")][early]])
+    return out, length
 
 
 def _lists(sizes: np.ndarray, values: pa.Array) -> pa.Array:
@@ -120,11 +115,11 @@ def signed(docs: DataFrame, crowded: np.ndarray, width: int = WIDTH, percent: in
             for part in portions(batch):
                 column = part.column("text")
                 text, item = _sets(column, width)
-                kept = prefixes(text, item, len(part), crowded, orders, percent)
-                lists = [_lists(kept[0][1], pa.array(kept[0][0].view(np.int32))), *[_lists(size, pa.array((x >> np.uint32(16)).astype(np.uint16).view(np.int16))) for x, size in kept[1:]]]
+                (first, *rest), sizes = prefixes(text, item, len(part), crowded, orders, percent)
+                lists = [_lists(sizes, pa.array(first.view(np.int64))), *[_lists(sizes, pa.array((x >> np.uint64(48)).astype(np.uint16).view(np.int16))) for x in rest]]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digests(column, SOLID), pa.binary()), pa.array(np.bincount(text, minlength=len(part))), *lists], ["doc_id", "digest", "n", "first", *others])
 
-    return texts(docs).mapInArrow(run, "doc_id long, digest binary, n long, first array<int>" + "".join(f", {x} array<short>" for x in others))
+    return texts(docs).mapInArrow(run, "doc_id long, digest binary, n long, first array<long>" + "".join(f", {x} array<short>" for x in others))
 
 
 def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:

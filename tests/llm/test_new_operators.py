@@ -79,7 +79,9 @@ def test_prefixes_are_shared_under_every_order():
     for cut in (0, 4, 9):
         other = base[: 300 - cut] + [f"b{k}" for k in range(cut)]
         text, item = jaccard_join._sets(pa.array([" ".join(base), " ".join(other)]), 3)
-        for names, sizes in jaccard_join.prefixes(text, item, 2, crowded):
+        orders, sizes = jaccard_join.prefixes(text, item, 2, crowded)
+        assert len(orders) == 3
+        for names in orders:
             a, b = names[: sizes[0]], names[sizes[0] :]
             assert set(a.tolist()) & set(b.tolist()) and sizes.tolist() == [30, 30]
     assert not SOLID[[32, 9, 13]].any() and SOLID[[8, 14, 33]].all()

@@ -9,10 +9,11 @@ all documents in ``SLOTS`` slots) and others by hashes, a different one for each
 lines and passages stand in no prefix unless a text consists of them.
 
 Texts with the same words are one row first. Candidates come from the first order; the prefixes
-under the others, cut to 16 bits a shingle, sift them. What is left is compared by sets of names cut to
-16 bits, which can only seem to have more in common, and what passes that on the sets themselves
-(64-bit names), in whole numbers; so few whole sets move. To lose no link and yet never to make all
-pairs of a large group, this goes in three steps:
+under the others, cut to 16 bits a shingle, sift them, and so do tallies: how many shingles of a set
+fall in each of ``TALLY`` classes. Two sets differ in at least as many shingles as their tallies do,
+so tallies that differ too much rule a link out. What passes is compared on the sets themselves
+(64-bit names), in whole numbers; so few sets are made and move. To lose no link and yet never to
+make all pairs of a large group, this goes in three steps:
 
 1. Each text with one leader for each of its prefix shingles.
 2. Each text with the hub of each of its prefix shingles, which has most links so far.
@@ -43,7 +44,7 @@ from tessel.llm.common import discard, likely, made, portions, settle, spread_jo
 from tessel.llm.near_dedup import components, hub_pairs
 from tessel.llm.shingles import SOLID, digests, mix, shingles, words
 
-WIDTH, PERCENT, ORDERS = 3, 90, 3
+WIDTH, PERCENT, ORDERS, TALLY = 3, 90, 3, 128
 SLOTS, CHUNKS = 1 << 22, 256
 
 
@@ -102,12 +103,18 @@ def prefixes(text: np.ndarray, item: np.ndarray, n_texts: int, crowded: np.ndarr
     return out, length
 
 
+def tallies(text: np.ndarray, item: np.ndarray, n_texts: int) -> np.ndarray:
+    """How many shingles of each text fall in each of ``TALLY`` classes, ``TALLY`` numbers a text; 127 stands for more as well."""
+    counts = np.bincount(text * TALLY + (item >> np.uint64(20)).astype(np.int64) % TALLY, minlength=n_texts * TALLY)
+    return np.minimum(counts, 127).astype(np.int8)
+
+
 def _lists(sizes: np.ndarray, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), values)
 
 
 def signed(docs: DataFrame, crowded: np.ndarray, width: int = WIDTH, percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
-    """doc_id, digest (of the words), n (different shingles), first (prefix under the first order), others (under the rest, 16 bits each)."""
+    """doc_id, digest (of the words), n (different shingles), first (prefix under the first order), others (under the rest, 16 bits each), tally."""
     others = [f"p{k}" for k in range(1, orders)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,23 +124,23 @@ def signed(docs: DataFrame, crowded: np.ndarray, width: int = WIDTH, percent: in
                 text, item = _sets(column, width)
                 (first, *rest), sizes = prefixes(text, item, len(part), crowded, orders, percent)
                 lists = [_lists(sizes, pa.array(first.view(np.int64))), *[_lists(sizes, pa.array((x >> np.uint64(48)).astype(np.uint16).view(np.int16))) for x in rest]]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digests(column, SOLID), pa.binary()), pa.array(np.bincount(text, minlength=len(part))), *lists], ["doc_id", "digest", "n", "first", *others])
+                lists.append(_lists(np.full(len(part), TALLY), pa.array(tallies(text, item, len(part)))))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digests(column, SOLID), pa.binary()), pa.array(np.bincount(text, minlength=len(part))), *lists], ["doc_id", "digest", "n", "first", *others, "tally"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, digest binary, n long, first array<long>" + "".join(f", {x} array<short>" for x in others))
+    return texts(docs).mapInArrow(run, "doc_id long, digest binary, n long, first array<long>" + "".join(f", {x} array<short>" for x in others) + ", tally array<tinyint>")
 
 
 def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """digest (of the words), items (the different shingles as 64-bit names) and cut (the upper 16 bits of each)."""
+    """digest (of the words) and items (the different shingles as 64-bit names)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in portions(batch):
                 text, item = _sets(part.column("text"), width)
-                sizes = np.bincount(text, minlength=len(part))
-                cut = (item >> np.uint64(48)).astype(np.uint16).view(np.int16)
-                yield pa.RecordBatch.from_arrays([pa.array(digests(part.column("text"), SOLID), pa.binary()), _lists(sizes, pa.array(item.view(np.int64))), _lists(sizes, pa.array(cut))], ["digest", "items", "cut"])
+                items = _lists(np.bincount(text, minlength=len(part)), pa.array(item.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(digests(part.column("text"), SOLID), pa.binary()), items], ["digest", "items"])
 
-    return texts(docs).mapInArrow(run, "digest binary, items array<long>, cut array<short>")
+    return texts(docs).mapInArrow(run, "digest binary, items array<long>")
 
 
 def reaches(common: Column, total: Column, percent: int) -> Column:
@@ -152,12 +159,15 @@ def _ends(pairs: DataFrame, name: str) -> DataFrame:
     return pairs.select(F.col("a").alias(name)).unionByName(pairs.select(F.col("b").alias(name))).distinct()
 
 
-def sifted(pairs: DataFrame, once: DataFrame, others: list[str]) -> DataFrame:
-    """Those pairs (a, b) of a written table that share prefix shingles under all the other orders."""
-    both = _with_both(pairs, likely(once.select("id", *others), _ends(pairs, "id"), "id"), "id", *others)
+def sifted(pairs: DataFrame, once: DataFrame, others: list[str], percent: int = PERCENT) -> DataFrame:
+    """Those pairs (a, b) of a written table that share prefix shingles under all the other orders, and whose tallies allow for ``percent``."""
+    columns = ["n", *others, "tally"]
+    both = _with_both(pairs, likely(once.select("id", *columns), _ends(pairs, "id"), "id"), "id", *columns)
     for c in others:
         both = both.where(F.arrays_overlap(f"{c}_a", f"{c}_b"))
-    return both.select("a", "b")
+    apart = F.aggregate(F.zip_with("tally_a", "tally_b", lambda x, y: F.abs(x.cast("int") - y)), F.lit(0), lambda x, y: x + y)
+    total = F.col("n_a") + F.col("n_b")
+    return both.where(reaches(total - apart, 2 * total, percent)).select("a", "b")
 
 
 def verified(pairs: DataFrame, once: DataFrame, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -169,11 +179,7 @@ def verified(pairs: DataFrame, once: DataFrame, docs: DataFrame, width: int = WI
     members = settle(_ends(pairs, "id").join(once.select("id", "digest", F.col("doc_id")), "id"), "op11-members")
     sets = settle(shingle_sets(likely(texts(docs), members, "doc_id"), width), "op11-sets")
     named = settle(_with_both(pairs, members, "id", "digest").select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b"), F.col("a").alias("id_a"), F.col("b").alias("id_b")), "op11-named")
-    total = F.size("cut_a") + F.size("cut_b")
-    near = _with_both(named, likely(sets.select("digest", "cut"), members.select("digest"), "digest"), "digest", "cut")
-    common16 = F.size("cut_a") - F.size(F.array_except("cut_a", "cut_b"))
-    near = settle(near.where(reaches(common16, total, percent)).select("a", "b", "id_a", "id_b").distinct(), "op11-near")
-    whole = _with_both(near, likely(sets.select("digest", "items"), _ends(near, "digest"), "digest"), "digest", "items")
+    whole = _with_both(named, likely(sets, members.select("digest"), "digest"), "digest", "items")
     common = F.size(F.array_intersect("items_a", "items_b"))
     return whole.where(reaches(common, F.size("items_a") + F.size("items_b"), percent)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
@@ -200,15 +206,21 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, or
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), a row a document."""
     spark, threshold = docs.sparkSession, percent / 100
     rows = settle(signed(docs, crowding(docs, width), width, percent, orders).withColumn("id", F.monotonically_increasing_id()), "op11-signed")
-    others = [c for c in rows.columns if c not in ("id", "doc_id", "digest", "n", "first")]
+    others = [c for c in rows.columns if c not in ("id", "doc_id", "digest", "n", "first", "tally")]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "id")).alias("s")
     reps = rows.where("n > 0").groupBy("digest").agg(first, F.count(F.lit(1)).alias("copies"))
     reps = settle(reps.select("digest", F.col("s.id").alias("id"), F.col("s.doc_id").alias("rep_id"), "copies"), "op11-reps")
     gone = settle(rows.where("n > 0").select("id").join(reps.select("id"), "id", "left_anti"), "op11-gone")
     once = without(rows.where("n > 0"), gone, "id")  # one row of texts with the same words; rows that stay don't move
     begin = made()
-    sifts = lambda pairs: settle(sifted(settle(pairs, "op11-pairs"), once, others), "op11-sifted")
-    check = lambda pairs: settle(verified(pairs, once, docs, width, percent), "op11-linked")
+    sifts = lambda pairs: settle(sifted(settle(pairs, "op11-pairs"), once, others, percent), "op11-sifted")
+
+    def check(pairs: DataFrame) -> DataFrame:
+        mark = made()
+        out = settle(verified(pairs, once, docs, width, percent), "op11-linked")
+        discard(spark, mark, keep=1)  # the sets have served
+        return out
+
     buckets = settle(bucketed(once.select("id", "n", F.posexplode("first").alias("at", "key"))), "op11-buckets")
     sizes = once.select(F.col("id").alias("a"), F.col("n").alias("na"))
     led = buckets.where("leader <> id").select(F.col("leader").alias("a"), F.col("id").alias("b"), "n").distinct()

@@ -87,6 +87,20 @@ def test_prefixes_are_shared_under_every_order():
     assert not SOLID[[32, 9, 13]].any() and SOLID[[8, 14, 33]].all()
 
 
+def test_tallies_never_differ_more_than_sets():
+    rng = random.Random(3)
+    for n, changed in ((40, 0), (300, 4), (300, 60), (30_000, 900)):
+        base = [f"a{rng.randrange(n)}" for _ in range(n)]
+        other = list(base)
+        for k in rng.sample(range(n), changed):
+            other[k] = f"b{k}"
+        text, item = jaccard_join._sets(pa.array([" ".join(base), "", " ".join(other)]), 3)
+        a, none, b = jaccard_join.tallies(text, item, 3).reshape(3, -1).astype(int)
+        sets = [set(item[text == k].tolist()) for k in (0, 2)]
+        assert np.abs(a - b).sum() <= len(sets[0] ^ sets[1]) and not none.any()
+        assert a.sum() == len(sets[0]) or a.max() == 127
+
+
 # ---- whitening
 
 VECTORS = "vec_id long, embedding array<double>, x string, w string"

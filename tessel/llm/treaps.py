@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from tessel.llm.common import portions, scratch, settle, strings, texts
 from tessel.llm.shingles import SMALL, WORD, spans, texts_of
 
-K, BLOCK_BYTES = 50, 8 << 20
+K, BLOCK_BYTES, PIECE_BYTES = 50, 8 << 20, 1 << 20
 ITEM_TERMS = 50_000  # terms of the items that one pass over the index serves, about
 CELLS = 1 << 18  # treap nodes under work at once, about
 _LAST = np.iinfo(np.int64).max
@@ -56,20 +56,40 @@ _BLOCK = "n_docs long, n_terms long, terms array<binary>, df array<int>, docs bi
 
 
 def _block(ids: pa.Array, column: pa.Array) -> pa.RecordBatch:
-    """One row: the inverted lists of a block, documents in order of doc_id (null last)."""
+    """One row: the inverted lists of a block, documents in order of doc_id (null last); lists of numbers are compressed.
+
+    Texts are taken apart in pieces, as the places of all words take many times the memory of the lists.
+    """
     named = ids.fill_null(_LAST).to_numpy(zero_copy_only=False)
     order = np.lexsort((named, ids.is_null().to_numpy(zero_copy_only=False)))
-    which, bounds, terms = terms_of(column)
-    size, place = np.diff(bounds), np.empty(len(column), np.int64)
+    place = np.empty(len(column), np.int64)
     place[order] = np.arange(len(column))
-    cell, tf = np.unique(which * len(column) + np.repeat(place, size), return_counts=True)
-    df = np.bincount(cell // len(column), minlength=len(terms))
+    size, known, number, doc, tf = [], [], [], [], []
+    for part in portions(pa.RecordBatch.from_arrays([column], ["text"]), PIECE_BYTES):
+        which, bounds, terms = terms_of(part.column("text"))
+        own = place[sum(map(len, size)) :][: len(part)]
+        cell, count = np.unique(which * len(part) + np.repeat(np.arange(len(part)), np.diff(bounds)), return_counts=True)
+        number.append((cell // len(part) + sum(map(len, known))).astype(np.int32))
+        doc.append(own[cell % len(part)].astype(np.int32))
+        tf.append(count.astype(np.int32))
+        size.append(np.diff(bounds))
+        known.append(terms)
+    coded, size, doc = pa.concat_arrays(known).dictionary_encode(), np.concatenate(size), np.concatenate(doc)
+    terms, which, tf = coded.dictionary, coded.indices.to_numpy()[np.concatenate(number)], np.concatenate(tf)
+    del number
+    by_cell = np.argsort(which.astype(np.int64) * len(column) + doc)
+    df = np.bincount(which, minlength=len(terms))
     lists = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-    docs, counts = (cell % len(column)).astype(np.int32).tobytes(), tf.astype(np.int32).tobytes()
-    columns = [pa.array([int((size > 0).sum())]), pa.array([int(size.sum())]), lists(terms), lists(pa.array(df.astype(np.int32))), pa.array([docs], pa.binary()), pa.array([counts], pa.binary()), lists(ids.take(pa.array(order))), lists(pa.array(size[order].astype(np.int32)))]
+    docs, counts = (pa.array([pa.compress(x[by_cell].tobytes(), "zstd", asbytes=True)], pa.binary()) for x in (doc, tf))
+    columns = [pa.array([int((size > 0).sum())]), pa.array([int(size.sum())]), lists(terms), lists(pa.array(df.astype(np.int32))), docs, counts, lists(ids.take(pa.array(order))), lists(pa.array(size[order].astype(np.int32)))]
     return pa.RecordBatch.from_arrays(columns, ["n_docs", "n_terms", "terms", "df", "docs", "tf", "ids", "sizes"])
 
 
+def _numbers(block: pa.RecordBatch, name: str, n: int) -> np.ndarray:
+    """The ``n`` numbers of a compressed list of a block."""
+    return np.frombuffer(pa.decompress(block.column(name)[0].as_buffer(), 4 * n, "zstd"), np.int32)
+
+
 def build(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The index, a row a block of about ``block_bytes`` bytes of text."""
 
@@ -293,8 +313,7 @@ def _search_block(block: pa.RecordBatch, wanted: pa.Array, cells: np.ndarray, we
     starts, size = np.cumsum(df) - df, df[here]
     ends = np.cumsum(size)
     pick = np.repeat(starts[here] - (ends - size), size) + np.arange(ends[-1])
-    doc = np.frombuffer(block.column("docs")[0].as_buffer(), np.int32)[pick].astype(np.int64)
-    tf = np.frombuffer(block.column("tf")[0].as_buffer(), np.int32)[pick].astype(np.int64)
+    doc, tf = (_numbers(block, name, int(df.sum()))[pick].astype(np.int64) for name in ("docs", "tf"))
     ids, sizes = block.column("ids").flatten(), block.column("sizes").flatten().to_numpy().astype(np.int64)
     unnamed, ids = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(_LAST).to_numpy()
     treaps = Treaps(np.append(0, ends), doc, _factors(tf, sizes[doc], n, total))
@@ -326,6 +345,15 @@ def search(index: DataFrame, items: DataFrame, k: int = K, item_terms: int = ITE
     return ranked.select("item_id", "rank", "doc_id", "score")
 
 
+def write_index(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> None:
+    """``build`` into files at ``path``, each block a row group of its own.
+
+    A block has millions of bytes, and Parquet's writer looks at sizes only after 100 rows. Without
+    the bound a task holds all its blocks when it writes, and again when it reads.
+    """
+    build(docs, block_bytes).write.option("compression", "zstd").option("parquet.block.row.count.limit", 1).parquet(path)
+
+
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(_BLOCK).parquet(path)
 
@@ -333,5 +361,5 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 def ranked_search(docs: DataFrame, items: DataFrame, k: int = K) -> DataFrame:
     """``search`` over an index of ``docs`` in the shared folder."""
     path = scratch(docs.sparkSession, "op13-index")
-    build(docs).write.option("compression", "zstd").parquet(path)
+    write_index(docs, path)
     return search(read_index(docs.sparkSession, path), items, k)

@@ -3,14 +3,18 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from tessel.llm import jaccard_join, treaps, whitening
-from tessel.llm.common import portions
+from tessel.llm.common import portions, scratch
 from tessel.llm.shingles import SOLID
 
 from .conftest import ODD
@@ -207,6 +211,27 @@ def test_search_in_parts_and_small_blocks(spark, corpus):
     assert sorted(map(tuple, got.collect()), key=str) == ranked(docs, items[:20], 3)
 
 
+def test_blocks_of_a_task_are_written_and_read_one_by_one(spark, monkeypatch):
+    paths = []
+    monkeypatch.setattr(treaps, "scratch", lambda *a: paths.append(scratch(*a)) or paths[-1])
+    docs = spark.range(90_000, numPartitions=1).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("all"), F.col("id").cast("string")).alias("text"))
+    got = treaps.ranked_search(docs, spark.createDataFrame([(1, "77777"), (2, "5 all")], "item_id long, text string"), k=2)
+    assert sorted(map(tuple, got.select("item_id", "rank", "doc_id").collect())) == [(1, 1, 77777), (2, 1, 5)]  # what all documents hold weighs nothing
+    files = [pq.ParquetFile(f).metadata for f in Path(paths[0]).glob("*.parquet")]
+    assert sum(f.num_rows for f in files) == 3 and [f.row_group(k).num_rows for f in files for k in range(f.num_row_groups)] == [1, 1, 1]
+
+
+def test_a_block_takes_little_more_memory_than_its_lists():
+    rng = random.Random(3)
+    texts = pa.array([" ".join(str(rng.randrange(50_000)) for _ in range(400)) for _ in range(2000)])
+    tracemalloc.start()
+    block = treaps._block(pa.array(range(2000)), texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    cells = sum(len(set(t.split())) for t in texts.to_pylist())
+    assert sum(block.column("df").flatten().to_pylist()) == cells and peak < 40 * cells and block.nbytes < 6 * cells
+
+
 def test_search_of_odd_texts(spark, odd, none, clashing):
     items = spark.createDataFrame([(1, "One mail Z"), (2, "word"), (3, None)], "item_id long, text string")
     want = ranked(ODD, [(1, "One mail Z"), (2, "word")])

@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from tessel.llm.common import portions, scratch, settle, strings, texts
 from tessel.llm.shingles import SMALL, WORD, spans, texts_of
 
-K, BLOCK_BYTES, PIECE_BYTES = 50, 8 << 20, 1 << 20
+K, BLOCK_BYTES, PIECE_BYTES, BATCH_BYTES = 50, 8 << 20, 1 << 20, 4 << 20
 ITEM_TERMS = 50_000  # terms of the items that one pass over the index serves, about
 CELLS = 1 << 18  # treap nodes under work at once, about
 _LAST = np.iinfo(np.int64).max
@@ -96,7 +97,7 @@ def build(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for part in portions(batch, block_bytes):
+            for part in portions(batch, max(1, block_bytes // 8)):  # so a block has little more than asked for
                 held.append(part)
                 size += pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
                 if size >= block_bytes or sum(map(len, held)) >= 1 << 15:
@@ -112,6 +113,18 @@ def build(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     return texts(docs).mapInArrow(run, _BLOCK)
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs inside sends rows to Python in batches of about ``BATCH_BYTES``, as the JVM and Python each hold a whole one."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    try:
+        spark.conf.set(name, BATCH_BYTES)
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 class Treaps:
     """Treaps of several lists: node arrays ``doc``, ``impact``, ``left``, ``right`` (-1: none) and the ``root`` of each list."""
 
@@ -339,7 +352,8 @@ def search(index: DataFrame, items: DataFrame, k: int = K, item_terms: int = ITE
     for p in range(parts):  # parts of the items by a hash, so each is a bounded list
         part = terms.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == p).collect()
         if part:
-            found = found.unionByName(settle(_searched(index, part, n, total, k), "op13-found"))
+            with _small_batches(spark):
+                found = found.unionByName(settle(_searched(index, part, n, total, k), "op13-found"))
     order = Window.partitionBy("item").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("item_id", "rank", "doc_id", "score")
@@ -351,7 +365,8 @@ def write_index(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> N
     A block has millions of bytes, and Parquet's writer looks at sizes only after 100 rows. Without
     the bound a task holds all its blocks when it writes, and again when it reads.
     """
-    build(docs, block_bytes).write.option("compression", "zstd").option("parquet.block.row.count.limit", 1).parquet(path)
+    with _small_batches(docs.sparkSession):
+        build(docs, block_bytes).write.option("compression", "zstd").option("parquet.block.row.count.limit", 1).parquet(path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessel.llm import jaccard_join, treaps, whitening
-from tessel.llm.common import portions, scratch
+from tessel.llm.common import _made, portions, scratch
 from tessel.llm.shingles import SOLID
 
 from .conftest import ODD
@@ -219,6 +219,13 @@ def test_blocks_of_a_task_are_written_and_read_one_by_one(spark, monkeypatch):
     assert sorted(map(tuple, got.select("item_id", "rank", "doc_id").collect())) == [(1, 1, 77777), (2, 1, 5)]  # what all documents hold weighs nothing
     files = [pq.ParquetFile(f).metadata for f in Path(paths[0]).glob("*.parquet")]
     assert sum(f.num_rows for f in files) == 3 and [f.row_group(k).num_rows for f in files for k in range(f.num_row_groups)] == [1, 1, 1]
+    long = spark.range(400, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 200).alias("text"))
+    seen, name = [], "spark.sql.execution.arrow.maxBytesPerBatch"
+    monkeypatch.setattr(treaps, "build", lambda *a, f=treaps.build: seen.append(spark.conf.get(name)) or f(*a))
+    before = spark.conf.get(name, None)
+    treaps.write_index(long, scratch(spark, "t"), 80_000)
+    sizes = [sum(r["sizes"]) * 5 for r in treaps.read_index(spark, _made[-1]).collect()]
+    assert sum(sizes) == 400_000 and max(sizes) <= 91_000 and seen == [str(treaps.BATCH_BYTES)] and spark.conf.get(name, None) == before
 
 
 def test_a_block_takes_little_more_memory_than_its_lists():
